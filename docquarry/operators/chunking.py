@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
-from docquarry.operators.scans import block_of, concat_in_order, running_total
+from docquarry.operators.scans import block_of, by_block, concat_in_order, running_total
 
 PAGES_PER_BLOCK = 1024
 
@@ -26,7 +26,7 @@ def chunk_text(
     split = tx.split_pieces(chunk_size, overlap)
     kept = [c for c in docs.columns if c != text_col]
     pieces = docs.select(*kept, split(tx.normalize_text(F.col(text_col))).alias("_pieces"))
-    return pieces.select(*kept, F.posexplode("_pieces").alias("chunk_index", text_col)).select(
+    return explode_pieces(pieces, "chunk_index", text_col).select(
         *kept,
         F.col("chunk_index").cast("bigint").alias("chunk_index"),
         F.concat(F.lit("chunk-"), F.col("chunk_index")).alias("chunk_id"),
@@ -35,6 +35,15 @@ def chunk_text(
     )
 
 
+def explode_pieces(pieces: DataFrame, position: str, text_col: str) -> DataFrame:
+    """One row per piece. A plain posexplode would make Spark test the array's
+    size below it, which means running the Python split a second time; the
+    outer form with a filter on the result does not."""
+    kept = [c for c in pieces.columns if c != "_pieces"]
+    rows = pieces.select(*kept, F.posexplode_outer("_pieces").alias(position, text_col))
+    return rows.filter(F.col(text_col).isNotNull())
+
+
 def chunk_pages(
     pages: DataFrame,
     doc_col: str = "doc_id",
@@ -60,16 +69,15 @@ def chunk_pages(
     counted = running_total(
         pieces, [doc_col], "_block", [page_col], F.size("_pieces").cast("bigint"), "_through"
     )
-    return (
-        counted.withColumn("_before", F.col("_through") - F.size("_pieces"))
-        .select(doc_col, page_col, "_before", F.posexplode("_pieces").alias("_pos", text_col))
-        .select(
-            doc_col,
-            (F.col("_before") + F.col("_pos")).alias("chunk_index"),
-            F.concat(F.lit("chunk-"), F.col("_before") + F.col("_pos")).alias("chunk_id"),
-            F.col(page_col).cast("bigint").alias("page"),
-            text_col,
-        )
+    before = F.col("_through") - F.size("_pieces")
+    index = F.col("_before") + F.col("_pos")
+    rows = explode_pieces(counted.select(doc_col, page_col, before.alias("_before"), "_pieces"), "_pos", text_col)
+    return rows.select(
+        doc_col,
+        index.alias("chunk_index"),
+        F.concat(F.lit("chunk-"), index).alias("chunk_id"),
+        F.col(page_col).cast("bigint").alias("page"),
+        text_col,
     )
 
 
@@ -82,28 +90,41 @@ def merge_pages(
 ) -> DataFrame:
     """Page texts joined by a blank line, trimmed as a whole.
 
-    Rows are (document, part, text): a document of up to ``pages_per_part``
-    pages is the single part 0, a longer one continues in the next parts, and
-    the parts put together in order are the whole text. Blank pages before the
+    Rows are (document, part, text): a document below ``pages_per_part`` pages
+    is the single part 0, a longer one continues in the next parts, and the
+    parts put together in order are the whole text. Blank pages before the
     first and after the last page with text fall away; a document of blank
     pages gives one empty part.
     """
-    filled = F.when(~tx.is_blank(F.col(text_col)), F.col(page_col))
-    ends = pages.groupBy(doc_col).agg(
-        F.min(filled).alias("_first"), F.max(filled).alias("_last"), F.min(page_col).alias("_lowest")
-    )
     page = F.col(page_col)
-    body = pages.join(ends, doc_col).filter(
-        page.between(F.col("_first"), F.col("_last")) | (F.col("_first").isNull() & (page == F.col("_lowest")))
+    filled = F.when(~tx.is_blank(F.col(text_col)), page)
+    blocked = by_block(
+        pages.select(doc_col, page_col, text_col, block_of(page, pages_per_part).alias("_block")), [doc_col], "_block"
+    )
+    whole = Window.partitionBy(doc_col)
+    ends = (
+        blocked.groupBy(doc_col, "_block")
+        .agg(F.min(filled).alias("_low"), F.max(filled).alias("_high"), F.min(page_col).alias("_page"))
+        .select(
+            doc_col,
+            "_block",
+            F.coalesce(F.min("_low").over(whole), F.min("_page").over(whole)).alias("_first"),
+            F.coalesce(F.max("_high").over(whole), F.min("_page").over(whole)).alias("_last"),
+        )
     )
     chars = F.lit(tx.TRIM_CHARS)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    text = F.when(F.col("_first").isNull() | (page == F.col("_first")), F.ltrim(text, chars)).otherwise(text)
-    text = F.when(F.col("_first").isNull() | (page == F.col("_last")), F.rtrim(text, chars)).otherwise(text)
-    part = block_of(page - F.coalesce(F.col("_first"), page), pages_per_part)
+    text = F.when(page == F.col("_first"), F.ltrim(text, chars)).otherwise(text)
+    text = F.when(page == F.col("_last"), F.rtrim(text, chars)).otherwise(text)
     joint = F.when(page > F.col("_first"), F.lit("\n\n")).otherwise(F.lit(""))
-    lines = body.select(doc_col, page_col, part.alias("part"), F.concat(joint, text).alias(text_col))
-    return concat_in_order(lines, [doc_col, "part"], page_col, text_col, "", text_col)
+    part = F.col("_block") - block_of(F.col("_first"), pages_per_part)
+    lines = (
+        blocked.join(ends, [doc_col, "_block"])
+        .filter(page.between(F.col("_first"), F.col("_last")))
+        .select(doc_col, "_block", page_col, part.alias("part"), F.concat(joint, text).alias("_line"))
+    )
+    merged = concat_in_order(lines, [doc_col, "_block", "part"], page_col, "_line", "", text_col)
+    return merged.drop("_block")
 
 
 def chunk_counts(chunks: DataFrame, doc_col: str = "doc_id") -> DataFrame:
@@ -116,7 +137,7 @@ def extension_gate(docs: DataFrame, name_col: str = "file_name") -> DataFrame:
 
 def ingest_gate(
     docs: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | None = None,
     doc_col: str = "doc_id",
     name_col: str = "file_name",
     text_col: str = "text",
@@ -126,7 +147,10 @@ def ingest_gate(
 
     ``invalid`` no file at all (null name), ``unsupported`` extension,
     ``unreadable`` (null text, or ``readable_col`` false), ``empty``,
-    ``no_chunks``, else ``ready``. ``chunks`` is any table of chunks by document.
+    ``no_chunks``, else ``ready``.
+
+    Chunks of plain texts are counted in place, without a shuffle. For paged
+    documents give their ``chunks``, which are counted and joined.
     """
     readable = F.col(text_col).isNotNull()
     if readable_col:
@@ -138,7 +162,10 @@ def ingest_gate(
         tx.has_supported_extension(F.col(name_col)).alias("_supported"),
         readable.alias("_readable"),
         tx.is_blank(F.col(text_col)).alias("_blank"),
+        *([] if chunks is not None else [F.size(tx.split_pieces()(tx.normalize_text(F.col(text_col)))).alias("chunk_count")]),
     )
+    if chunks is not None:
+        facts = facts.join(chunk_counts(chunks, doc_col), doc_col, "left")
     status = (
         F.when(F.col("_nameless"), "invalid")
         .when(~F.col("_supported"), "unsupported")
@@ -147,8 +174,7 @@ def ingest_gate(
         .when(F.coalesce(F.col("chunk_count"), F.lit(0)) == 0, "no_chunks")
         .otherwise("ready")
     )
-    counts = chunk_counts(chunks, doc_col)
-    return facts.join(counts, doc_col, "left").select(
+    return facts.select(
         doc_col,
         name_col,
         status.alias("status"),

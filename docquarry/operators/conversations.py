@@ -6,12 +6,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.json import is_strict_json
 from docquarry.operators.prompts import CHAT_ROLES
-from docquarry.operators.scans import block_of, concat_in_order, previous_value
+from docquarry.operators.scans import block_of, concat_in_order, previous_row
 
 TURNS_PER_BLOCK = 10_000
 EVENTS_PER_BLOCK = 10_000
@@ -38,12 +38,12 @@ def latest_sources(messages: DataFrame) -> DataFrame:
 
 def feedback_pairs(messages: DataFrame, turns_per_block: int = TURNS_PER_BLOCK) -> DataFrame:
     """Each assistant message with the message directly before it, else ''."""
-    blocked = messages.withColumn("_block", block_of(F.col("turn"), turns_per_block))
-    paired = previous_value(blocked, ["conv_id"], "_block", "turn", "text", "_before")
+    said = messages.select("conv_id", "turn", "role", "text", block_of(F.col("turn"), turns_per_block).alias("_block"))
+    paired = previous_row(said, ["conv_id"], "_block", "turn", "_before")
     return paired.filter(F.col("role") == "assistant").select(
         "conv_id",
         "turn",
-        F.coalesce("_before", F.lit("")).alias("question"),
+        F.coalesce("_before.text", F.lit("")).alias("question"),
         F.col("text").alias("answer"),
     )
 
@@ -61,13 +61,12 @@ def export_markdown(messages: DataFrame, turns_per_part: int = TURNS_PER_BLOCK)
         block_of(F.col("turn"), turns_per_part).alias("_block"),
         F.concat(F.lit("\n"), speaker, F.col("text"), F.lit("\n")).alias("_line"),
     )
-    parts = concat_in_order(lines, ["conv_id", "_block"], "turn", "_line", "", "markdown")
-    first = messages.groupBy("conv_id").agg(block_of(F.min("turn"), turns_per_part).alias("_first"))
-    heading = F.when(F.col("_block") == F.col("_first"), "# Conversation export\n").otherwise("")
-    return parts.join(first, "conv_id").select(
-        "conv_id",
-        (F.col("_block") - F.col("_first")).alias("part"),
-        F.concat(heading, F.col("markdown")).alias("markdown"),
+    merged = concat_in_order(lines, ["conv_id", "_block"], "turn", "_line", "", "markdown")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("_block")) - 1
+    numbered = lines.select("conv_id", "_block").distinct().select("conv_id", "_block", place.alias("part"))
+    heading = F.when(F.col("part") == 0, "# Conversation export\n").otherwise("")
+    return merged.join(numbered, ["conv_id", "_block"]).select(
+        "conv_id", F.col("part").cast("bigint").alias("part"), F.concat(heading, F.col("markdown")).alias("markdown")
     )
 
 
@@ -147,13 +146,12 @@ def replay_answers(log: DataFrame, events_per_part: int = EVENTS_PER_BLOCK) -> D
         )
     )
     parts = concat_in_order(deltas, ["request_id", "part"], "seq", "_delta", "", "answer")
-    good = replay_requests(log).filter(~F.col("failed")).select("request_id", "sources")
-    return good.join(parts, "request_id", "left").select(
-        "request_id",
-        F.coalesce("part", F.lit(0)).cast("bigint").alias("part"),
-        F.coalesce("answer", F.lit("")).alias("answer"),
-        "sources",
+    good = replay_requests(log).filter(~F.col("failed"))
+    told = parts.join(good.select("request_id", "sources"), "request_id")
+    silent = good.filter(F.col("deltas") == 0).select(
+        "request_id", F.lit(0).cast("bigint").alias("part"), F.lit("").alias("answer"), "sources"
     )
+    return told.unionByName(silent)
 
 
 def replayed_messages(requests: DataFrame, answers: DataFrame) -> DataFrame:

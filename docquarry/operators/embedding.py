@@ -85,7 +85,7 @@ def attach_vectors(chunks: DataFrame, vectors: DataFrame, keys: Sequence[str] =
 def nonzero_terms(vectors: DataFrame, keys: Sequence[str], vector_col: str = "embedding") -> DataFrame:
     """The long form of sparse vectors: one row (keys, slot, weight) per entry."""
     return (
-        vectors.select(*keys, F.posexplode(vector_col).alias("slot", "weight"))
+        vectors.select(*keys, F.posexplode_outer(vector_col).alias("slot", "weight"))
         .filter(F.col("weight") != 0)
         .select(*keys, F.col("slot").cast("bigint").alias("slot"), F.col("weight").cast("double").alias("weight"))
     )

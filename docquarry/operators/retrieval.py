@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquarry.functions.text import trim_text
-from docquarry.operators.scoring import BlockScorer, QueryBlock
+from docquarry.operators.scoring import BlockScorer
 
 DEFAULT_K = 3  # Fixed value: chunks retrieved per question.
 BLOCK_BYTES = 64 * 1024 * 1024
 INLINE_SCOPES = 1000
-BROADCAST_HITS = 100_000
+BROADCAST_ROWS = 100_000  # rows of two or three narrow columns
 
 
 def _unscoped(queries: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def _score(
         if None not in scopes and len(scopes) <= INLINE_SCOPES:
             # Reaches the scan: partition, file and row-group pruning.
             source = slim.filter(F.col("doc_id").isin(sorted(scopes)))
-        sent = spark.sparkContext.broadcast(QueryBlock.from_table(table))
+        sent = spark.sparkContext.broadcast(table)
         parts.append(source.mapInArrow(BlockScorer(sent, k, per_document, ties), out_schema))
     return reduce(DataFrame.unionAll, parts), facts.n
 
@@ -124,6 +124,30 @@ def has_document(registry: DataFrame) -> Column:
     return F.coalesce(registry.limit(1).select(F.lit(True)).scalar(), F.lit(False))
 
 
+def hint_small(df: DataFrame, at_most: int | None) -> DataFrame:
+    """Broadcast a table of narrow rows whose row count has a known, small bound."""
+    return F.broadcast(df) if at_most is not None and at_most <= BROADCAST_ROWS else df
+
+
+def registered_chunks(chunks: DataFrame, registry: DataFrame) -> DataFrame:
+    """Chunks of registered documents, without shuffling vectors when avoidable.
+
+    Either the registry or the set of chunk documents missing from it is
+    usually small; counting the two (document ids only, up to the bound) picks
+    the one to broadcast. When neither is, a plain semi join does the work.
+    """
+    known = registry.select("doc_id").distinct()
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return chunks.join(F.broadcast(known), "doc_id", "left_semi")
+    missing = chunks.select("doc_id").distinct().join(known, "doc_id", "left_anti")
+    unknown = missing.limit(BROADCAST_ROWS + 1).count()
+    if unknown == 0:
+        return chunks
+    if unknown <= BROADCAST_ROWS:
+        return chunks.join(F.broadcast(missing), "doc_id", "left_anti")
+    return chunks.join(known, "doc_id", "left_semi")
+
+
 def scoped_top_k(
     queries: DataFrame,
     chunks: DataFrame,
@@ -142,7 +166,7 @@ def scoped_top_k(
     asked = asked.filter(has_document(registry))
     everywhere = top_k(
         asked.filter(F.col("scope").isNull()),
-        chunks.join(registry.select("doc_id"), "doc_id", "left_semi"),
+        registered_chunks(chunks, registry),
         k,
         newest_col=newest_col,
         **options,
@@ -155,10 +179,7 @@ def attach_text(hits: DataFrame, chunks: DataFrame, max_hits: int | None = None)
     in it. ``max_hits`` (questions x k) allows a broadcast when it is small."""
     wanted = [c for c in ("chunk_id", "text", "file_name", "page") if c in chunks.columns]
     slim = chunks.select("doc_id", "chunk_index", *wanted)
-    small = hits
-    if max_hits is not None and max_hits <= BROADCAST_HITS:
-        small = F.broadcast(hits)
-    return slim.join(small, ["doc_id", "chunk_index"])
+    return slim.join(hint_small(hits, max_hits), ["doc_id", "chunk_index"])
 
 
 def source_rows(hits: DataFrame) -> DataFrame:

@@ -16,8 +16,21 @@ from pyspark.sql import functions as F
 
 
 def by_block(df: DataFrame, keys: Sequence[str], block: str) -> DataFrame:
-    """Partition by key and block; both uses below share this one exchange."""
-    return df.repartition(*[F.col(key) for key in keys], F.col(block))
+    """Partition by key and block, leaving out rows without either.
+
+    Naming the null test here keeps both uses of the result below identical
+    down to this exchange, so Spark runs it once.
+    """
+    columns = [F.col(c) for c in [*keys, block]]
+    for column in columns:
+        df = df.filter(column.isNotNull())
+    return df.repartition(*columns)
+
+
+def _last_rows(parts: DataFrame, keys: Sequence[str], block: str, order: Sequence[str]) -> DataFrame:
+    """The last row of each block, whole: taking every column is what lets the
+    exchange be shared."""
+    return parts.groupBy(*keys, block).agg(F.max_by(F.struct(*parts.columns), F.struct(*order)).alias("_last"))
 
 
 def running_total(
@@ -33,45 +46,28 @@ def running_total(
     ``block`` must be non-decreasing along ``order``. Rows equal in ``order``
     count together, as in a SQL RANGE frame.
     """
-    parts = by_block(df, keys, block)
     inside = Window.partitionBy(*keys, block).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        parts.groupBy(*keys, block)
-        .agg(F.sum(value).alias("_total"))
-        .select(*keys, block, F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_carried"))
-    )
-    return (
-        parts.withColumn("_inside", F.sum(value).over(inside))
-        .join(carried, [*keys, block])
-        .withColumn(name, F.col("_inside") + F.col("_carried"))
-        .drop("_inside", "_carried")
+    parts = by_block(df, keys, block).withColumn(name, F.sum(value).over(inside))
+    carried = _last_rows(parts, keys, block, order).select(
+        *keys, block, F.coalesce(F.sum(F.col("_last")[name]).over(across), F.lit(0)).alias("_carried")
     )
+    return parts.join(carried, [*keys, block]).withColumn(name, F.col(name) + F.col("_carried")).drop("_carried")
 
 
-def previous_value(
-    df: DataFrame,
-    keys: Sequence[str],
-    block: str,
-    order: str,
-    value: str,
-    name: str,
-) -> DataFrame:
-    """Add ``name``: ``value`` of the row directly before this one in the key."""
-    parts = by_block(df, keys, block)
+def previous_row(df: DataFrame, keys: Sequence[str], block: str, order: str, name: str) -> DataFrame:
+    """Add ``name``: the row directly before this one in the key, as a struct."""
     inside = Window.partitionBy(*keys, block).orderBy(order)
     across = Window.partitionBy(*keys).orderBy(block)
-    carried = (
-        parts.groupBy(*keys, block)
-        .agg(F.max_by(value, order).alias("_last"))
-        .select(*keys, block, F.lag("_last").over(across).alias("_carried"))
+    parts = by_block(df, keys, block)
+    carried = _last_rows(parts, keys, block, [order]).select(
+        *keys, block, F.lag("_last").over(across).alias("_carried")
     )
     return (
-        parts.withColumn("_first", F.row_number().over(inside) == 1)
-        .withColumn("_inside", F.lag(value).over(inside))
+        parts.withColumn(name, F.lag(F.struct(*df.columns)).over(inside))
         .join(carried, [*keys, block])
-        .withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_inside")))
-        .drop("_first", "_inside", "_carried")
+        .withColumn(name, F.coalesce(F.col(name), F.col("_carried")))
+        .drop("_carried")
     )
 
 

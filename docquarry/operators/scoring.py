@@ -19,7 +19,7 @@ SCORES_AT_ONCE = 4_000_000  # entries of one score matrix (32 MB)
 
 @dataclass
 class QueryBlock:
-    """A bounded set of queries, as sent to every task."""
+    """A bounded set of queries, as used by one task."""
 
     ids: pa.ChunkedArray
     unit: np.ndarray
@@ -95,13 +95,13 @@ class BlockScorer:
     """Iterator of chunk batches to iterator of candidate batches."""
 
     def __init__(self, block, k: int | None, per_document: bool, ties: list[tuple[str, str]]):
-        self.block = block  # a Spark broadcast of a QueryBlock
+        self.block = block  # a Spark broadcast of the queries' Arrow table
         self.k = k
         self.per_document = per_document
         self.ties = ties
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries: QueryBlock = self.block.value
+        queries = QueryBlock.from_table(self.block.value)
         running = self.k is not None and not self.per_document
         room = 8 * (self.k or 1) * max(len(queries.unit), 1)
         held: list[pa.Table] = []

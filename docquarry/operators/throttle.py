@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.operators.scans import running_total
+from docquarry.operators.scans import by_block, running_total
 
 SLOTS_PER_WINDOW = 240
 REPLAY_SLOTS = 24
@@ -55,12 +55,15 @@ def throttle_flags(
     so the count is one running total over both kinds of rows.
     """
     at = micros(F.col(ts_col))
-    slim = requests.select(client_col, ts_col, id_col, at.alias("_at"))
-    made = slim.withColumn("_step", F.lit(1))
     # An attempt exactly one window old still counts: it leaves just after.
-    gone = slim.withColumn("_at", F.col("_at") + F.lit(limit.window_micros + 1)).withColumn("_step", F.lit(-1))
+    steps = F.array(
+        F.struct(at.alias("_at"), F.lit(1).alias("_step")),
+        F.struct((at + F.lit(limit.window_micros + 1)).alias("_at"), F.lit(-1).alias("_step")),
+    )
     slot = max(1, limit.window_micros // slots_per_window)
-    steps = made.unionByName(gone).withColumn("_slot", F.floor(F.col("_at") / F.lit(slot)).cast("bigint"))
+    steps = requests.select(client_col, ts_col, id_col, F.inline(steps)).withColumn(
+        "_slot", F.floor(F.col("_at") / F.lit(slot)).cast("bigint")
+    )
     counted = running_total(steps, [client_col], "_slot", ["_at"], F.col("_step").cast("bigint"), "attempts")
     return counted.filter(F.col("_step") == 1).select(
         client_col, ts_col, id_col, "attempts", (F.col("attempts") > limit.requests).alias("throttled")
@@ -84,7 +87,7 @@ def _slotted(requests: DataFrame, limit: Limit, client_col: str, id_col: str, sl
         "_slot", F.floor(F.col("_elapsed") / F.lit(slot)).cast("bigint")
     )
     within = Window.partitionBy(client_col, "_bucket", "_slot").orderBy("_at", id_col)
-    return placed.repartition(client_col, "_bucket", "_slot").withColumn(
+    return by_block(placed, [client_col, "_bucket"], "_slot").withColumn(
         "_place", F.row_number().over(within).cast("bigint")
     )
 
@@ -155,6 +158,8 @@ def admission_step(
 ) -> tuple[DataFrame, DataFrame]:
     """Decide one batch of requests; returns (decisions, state afterwards).
 
+    Decisions are (client, id, decided_at, admitted).
+
     Two-bucket rule, where only admitted requests count: reject when
     ``floor(share * previous) + current >= limit``. Within a bucket the
     allowance never falls, so after the i-th attempt of a slot the count is
@@ -168,7 +173,7 @@ def admission_step(
     arrival, at the time of that decision.
     """
     at = micros(F.col(ts_col))
-    slim = requests.select(client_col, ts_col, id_col, at.alias("_at"))
+    slim = requests.select(client_col, id_col, at.alias("_at"))
     if state is not None:
         last = state.select(client_col, F.col("last_at").alias("_decided"))
         slim = (
@@ -206,7 +211,7 @@ def admission_step(
         placed.join(chain.select(*keys, "_previous", "_start"), keys)
         .withColumn("_room", room)
         .withColumn("admitted", F.col("_room") >= F.least(F.col("_start"), F.min("_room").over(earlier)))
-        .select(client_col, ts_col, id_col, "admitted")
+        .select(client_col, id_col, F.timestamp_micros("_at").alias("decided_at"), "admitted")
     )
     final = F.max_by(
         F.struct(F.col("_bucket").alias("bucket"), F.col("_previous").alias("previous"),
@@ -218,7 +223,7 @@ def admission_step(
 
 
 def admission_replay(requests: DataFrame, limit: Limit = CHAT_LIMIT, **options) -> DataFrame:
-    """Add ``admitted`` to a whole log of requests; see ``admission_step``."""
+    """Decisions for a whole log of requests; see ``admission_step``."""
     decisions, _ = admission_step(requests, limit, **options)
     return decisions
 

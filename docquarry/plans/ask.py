@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from docquarry.operators.chunking import chunk_text
 from docquarry.operators.embedding import ModelFactory, embed
 from docquarry.operators.prompts import answerable, build_context, build_prompt, validate_questions
-from docquarry.operators.retrieval import DEFAULT_K, attach_text, scoped_top_k, source_rows, top_k
+from docquarry.operators.retrieval import DEFAULT_K, attach_text, hint_small, scoped_top_k, source_rows, top_k
+from docquarry.session import spread
 
 
 def embed_questions(questions: DataFrame, model: ModelFactory | None = None) -> DataFrame:
@@ -21,7 +23,6 @@ def find_sources(
     registry: DataFrame | None = None,
     k: int = DEFAULT_K,
     model: ModelFactory | None = None,
-    max_hits: int | None = None,
 ) -> DataFrame:
     """Source rows of each question.
 
@@ -31,7 +32,25 @@ def find_sources(
     """
     asked = embed_questions(questions, model)
     hits = top_k(asked, chunks, k) if registry is None else scoped_top_k(asked, chunks, registry, k)
-    return source_rows(attach_text(hits, chunks if texts is None else texts, max_hits))
+    return source_rows(attach_text(hits, chunks if texts is None else texts, questions.count() * k))
+
+
+def find_sources_in_documents(
+    questions: DataFrame,
+    docs: DataFrame,
+    k: int = DEFAULT_K,
+    model: ModelFactory | None = None,
+) -> DataFrame:
+    """The same over documents that have no store yet.
+
+    All documents are chunked and embedded for ranking; only those that were
+    hit are chunked once more for their texts.
+    """
+    hits = top_k(embed_questions(questions, model), embed(chunk_text(spread(docs.select("doc_id", "text"))), model=model), k)
+    at_most = questions.count() * k
+    hit_docs = hint_small(hits.select("doc_id").distinct(), at_most)
+    texts = chunk_text(docs.join(hit_docs, "doc_id", "left_semi"))
+    return source_rows(attach_text(hits, texts, at_most))
 
 
 def prompts_for(

@@ -83,18 +83,9 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     return table.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-def question_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Best chunks of the whole documents table for each benchmark question."""
-    asked = ask.embed_questions(questions(spark, sf))
-    index = embedding.embed(document_chunks(spark, sf))
-    return retrieval.top_k(asked, index)
-
-
 def question_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """The hits with their text; only documents that were hit are chunked again."""
-    hits = question_hits(spark, sf)
-    texts = chunking.chunk_text(uploads(spark, sf).join(hits.select("doc_id").distinct(), "doc_id", "left_semi"))
-    return retrieval.source_rows(retrieval.attach_text(hits, texts))
+    """Best chunks of the whole documents table for each benchmark question."""
+    return ask.find_sources_in_documents(questions(spark, sf), uploads(spark, sf))
 
 
 def usage_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +147,7 @@ def ingest_gate(spark, sf):
     files = files.withColumn("file_name", F.when(number % 17 != 4, F.col("file_name"))).withColumn(
         "text", F.when(number % 11 == 3, F.lit(" \n\t")).when(number % 13 != 5, F.col("text"))
     )
-    return chunking.ingest_gate(files, chunking.chunk_text(spread(files.select("doc_id", "text"))))
+    return chunking.ingest_gate(spread(files))
 
 
 def normalize(spark, sf):
@@ -429,11 +420,12 @@ def classify_errors(spark, sf):
 # --- throttling ---------------------------------------------------------------
 
 def throttle_flags(spark, sf):
-    return throttle.throttle_flags(requests(spark, sf), DAILY).select("event_id", "client", "attempts", "throttled")
+    flagged = throttle.throttle_flags(requests(spark, sf), DAILY)
+    return flagged.select("event_id", "client", stamp("ts"), "attempts", "throttled")
 
 
 def admission_replay(spark, sf):
-    return throttle.admission_replay(requests(spark, sf), DAILY).select("event_id", "client", "admitted")
+    return throttle.admission_replay(requests(spark, sf), DAILY).select("event_id", "client", stamp("decided_at"), "admitted")
 
 
 # --- streams ------------------------------------------------------------------
@@ -486,7 +478,7 @@ def admission_stream(spark, sf):
     path = work_dir(spark, "admission")
     asked = _stream(spark, sf, "events").select("event_id", F.col("user_id").alias("client"), "ts")
     start_admission(asked, f"{path}/out", f"{path}/checkpoint", DAILY).awaitTermination()
-    return read_decisions(spark, f"{path}/out").select("event_id", "client", "admitted")
+    return read_decisions(spark, f"{path}/out").select("event_id", "client", stamp("decided_at"), "admitted")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

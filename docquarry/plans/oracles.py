@@ -180,7 +180,7 @@ ADMISSION = f"""
         )
       )
     )
-    SELECT event_id, client, admitted FROM steps"""
+    SELECT event_id, client, strftime(ts, {STAMP}) AS decided_at, admitted FROM steps JOIN events USING (event_id)"""
 
 _STOP = ", ".join(text_sql(word) for word in highlights.STOP_WORDS)
 TERMS = f"""
@@ -377,9 +377,9 @@ ORACLES: dict[str, str] = {
         SELECT event_id,
                CASE WHEN user_id % 5 <= 2 THEN {text_sql(labels.ANONYMOUS)} ELSE '10.0.0.' || user_id END AS client
         FROM events""",
-    "throttle_flags": """
-        SELECT event_id, client, attempts, attempts > 3 AS throttled
-        FROM (SELECT event_id, user_id AS client,
+    "throttle_flags": f"""
+        SELECT event_id, client, strftime(ts, {STAMP}) AS ts, attempts, attempts > 3 AS throttled
+        FROM (SELECT event_id, user_id AS client, ts,
                      count(*) OVER (PARTITION BY user_id ORDER BY ts
                                     RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS attempts
               FROM events)""",

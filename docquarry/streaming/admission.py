@@ -28,7 +28,7 @@ def start_admission(
     id_col: str = "event_id",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Write decisions (client, ts, id, admitted) for streaming ``requests``.
+    """Write decisions (client, id, decided_at, admitted) for streaming ``requests``.
 
     Batch n reads the state written by batch n - 1 and overwrites its own
     folders, so a replayed batch decides the same again.
