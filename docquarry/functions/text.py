@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,17 +88,17 @@ def split_pieces(chunk_size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
     """
     check_chunk_options(chunk_size, overlap)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pieces(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def pieces(texts: pa.Array) -> pa.Array:
         out = []
-        for text in texts:
+        for text in texts.to_pylist():
             found = []
             for start, stop in window_spans(text or "", chunk_size, overlap):
                 piece = text[start:stop].strip(TRIM_CHARS)
                 if piece:
                     found.append(piece)
             out.append(found)
-        return pd.Series(out)
+        return pa.array(out, type=pa.list_(pa.string()))
 
     return pieces
 

@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,15 +35,17 @@ class HashedTerms:
 
         def embed(texts: Sequence[str]) -> np.ndarray:
             slots: dict[str, int] = {}  # one batch's vocabulary
-            out = np.zeros((len(texts), dim))
+            places: list[int] = []
             for row, text in enumerate(texts):
-                for term in terms.findall((text or "").lower()):
+                start = row * dim
+                for term in terms.findall(text.lower()):
                     slot = slots.get(term)
                     if slot is None:
-                        slot = int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
-                        slots[term] = slot
-                    out[row, slot] += 1.0
-            lengths = np.sqrt((out * out).sum(axis=1, keepdims=True))
+                        slot = slots[term] = int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
+                    places.append(start + slot)
+            counts = np.bincount(places, minlength=len(texts) * dim) if places else np.zeros(len(texts) * dim)
+            out = counts.reshape(len(texts), dim).astype(np.float64)
+            lengths = np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
             np.divide(out, lengths, out=out, where=lengths > 0)
             return out.astype(np.float32)
 
@@ -64,15 +66,18 @@ def embed(
     """
     load = model or HashedTerms()
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = load()
         for texts in batches:
-            values = texts.fillna("").tolist()
-            rows: list[np.ndarray] = []
-            for at in range(0, len(values), batch_size):
-                rows.extend(np.asarray(run(values[at : at + batch_size]), dtype=np.float32))
-            yield pd.Series(rows, index=texts.index, dtype=object)
+            values = [text or "" for text in texts.to_pylist()]
+            parts = [
+                np.asarray(run(values[at : at + batch_size]), dtype=np.float32)
+                for at in range(0, len(values), batch_size)
+            ]
+            matrix = np.concatenate(parts) if parts else np.zeros((0, 0), dtype=np.float32)
+            ends = np.arange(len(values) + 1, dtype=np.int32) * matrix.shape[1]
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()))
 
     return df.withColumn(output_col, vectors(F.col(text_col)))
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from docquarry.functions.vectors import SCORE_DIGITS
 
@@ -68,20 +69,21 @@ def unit_rows(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return rows[usable] / lengths[usable, None], present[usable]
 
 
-def best_of(scores: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each column's k best scores; ties go to the lower row."""
-    if k is None:
-        rows, columns = np.indices(scores.shape)
-        return rows.ravel(), columns.ravel()
-    if len(scores) > k:
-        kth = -np.partition(-scores, k - 1, axis=0)[k - 1]
-        columns, rows = np.nonzero((scores >= kth).T)
+def best_of(scores: np.ndarray, k: int | None, tie_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, chunk) positions of each row's k best scores; equal scores go to
+    the chunk of lower ``tie_rank``."""
+    if k is None or scores.shape[1] <= k:
+        asked, chunks = (axis.ravel() for axis in np.indices(scores.shape))
+        if k is None:
+            return asked, chunks
     else:
-        columns, rows = (axis.ravel() for axis in np.indices(scores.shape[::-1]))
-    order = np.lexsort((rows, -scores[rows, columns], columns))
-    rows, columns = rows[order], columns[order]
-    keep = place_in_run(columns) < k
-    return rows[keep], columns[keep]
+        at = scores.shape[1] - k
+        kth = np.partition(scores, at, axis=1)[:, at : at + 1]
+        asked, chunks = np.nonzero(scores >= kth)
+    order = np.lexsort((tie_rank[chunks], -scores[asked, chunks], asked))
+    asked, chunks = asked[order], chunks[order]
+    keep = place_in_run(asked) < k
+    return asked[keep], chunks[keep]
 
 
 def place_in_run(groups: np.ndarray) -> np.ndarray:
@@ -120,19 +122,22 @@ class BlockScorer:
             yield from self.finish(queries, self.cut(pa.concat_tables(held)))
 
     def candidates(self, queries: QueryBlock, chunks: pa.Table) -> pa.Table:
-        chunks = chunks.sort_by(self.ties)
         unit, usable = unit_rows(chunks.column("embedding"))
         chunks = chunks.drop_columns(["embedding"]).take(pa.array(usable))
+        tie_rank = np.empty(len(chunks), dtype=np.int64)
+        tie_rank[pc.sort_indices(chunks, self.ties).to_numpy()] = np.arange(len(chunks))
         found_rows, found_queries, found_scores = [], [], []
         for rows, asked in self.groups(queries, chunks):
-            width = max(1, SCORES_AT_ONCE // max(len(rows), 1))
+            vectors = unit if rows is None else unit[rows]
+            ranks = tie_rank if rows is None else tie_rank[rows]
+            width = max(1, SCORES_AT_ONCE // max(len(vectors), 1))
             for at in range(0, len(asked), width):
                 some = asked[at : at + width]
-                scores = np.round(unit[rows] @ queries.unit[some].T, SCORE_DIGITS) + 0.0
-                picked, columns = best_of(scores, self.k)
-                found_rows.append(rows[picked])
-                found_queries.append(some[columns])
-                found_scores.append(scores[picked, columns])
+                scores = np.round(queries.unit[some] @ vectors.T, SCORE_DIGITS) + 0.0
+                which, picked = best_of(scores, self.k, ranks)
+                found_rows.append(picked if rows is None else rows[picked])
+                found_queries.append(some[which])
+                found_scores.append(scores[which, picked])
         rows = np.concatenate(found_rows) if found_rows else np.zeros(0, dtype=np.int64)
         asked = np.concatenate(found_queries) if found_queries else np.zeros(0, dtype=np.int64)
         scores = np.concatenate(found_scores) if found_scores else np.zeros(0)
@@ -143,11 +148,11 @@ class BlockScorer:
         )
 
     def groups(self, queries: QueryBlock, chunks: pa.Table):
-        """(chunk rows, query rows) blocks to multiply."""
+        """(chunk rows, query rows) blocks to multiply; None stands for all rows."""
         if len(chunks) == 0:
             return
         if not self.per_document and len(queries.open_rows):
-            yield np.arange(len(chunks)), queries.open_rows
+            yield None, queries.open_rows
         if not self.per_document and not queries.scoped_rows:
             return
         coded = chunks.column("doc_id").combine_chunks().dictionary_encode()
