@@ -113,8 +113,9 @@ def read_chunks(spark: SparkSession, path: str, only: Column | None = None) -> D
 
 def read_document(spark: SparkSession, path: str, doc_id, buckets: int = DOC_BUCKETS) -> DataFrame:
     """The live chunks of one document; other buckets are not read."""
-    bucket = doc_bucket(F.lit(doc_id), buckets)
-    return read_chunks(spark, path, (F.col("doc_bucket") == bucket) & (F.col("doc_id") == F.lit(doc_id)))
+    # The hash that names a bucket depends on the id's type, not only its value.
+    wanted = F.lit(doc_id).cast(spark.read.parquet(f"{path}/chunks").schema["doc_id"].dataType)
+    return read_chunks(spark, path, (F.col("doc_bucket") == doc_bucket(wanted, buckets)) & (F.col("doc_id") == wanted))
 
 
 def registry(chunks: DataFrame) -> DataFrame:
