@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
-from docquarry.operators.scans import block_of, by_block, concat_in_order, running_total
+from docquarry.operators.scans import (
+    LARGE_KEY_ROWS,
+    block_of,
+    by_block,
+    concat_in_order,
+    large_keys,
+    running_total,
+)
 
-PAGES_PER_BLOCK = 1024
+PAGES_PER_PART = 1024
 
 
 def chunk_text(
@@ -51,24 +58,23 @@ def chunk_pages(
     text_col: str = "text",
     chunk_size: int = tx.CHUNK_SIZE,
     overlap: int = tx.CHUNK_OVERLAP,
-    pages_per_block: int = PAGES_PER_BLOCK,
+    large_key_rows: int = LARGE_KEY_ROWS,
 ) -> DataFrame:
     """Chunk each page on its own; ``chunk_index`` runs on over the document.
 
-    The index is a running total of chunks per page, taken per block of pages,
-    so a document with very many pages is still spread over many tasks. The
-    split runs once, before the shuffle.
+    The index is a running total of chunks per page; a document with very many
+    pages is spread over many tasks. The split runs once, before the shuffle.
     """
     split = tx.split_pieces(chunk_size, overlap)
     pieces = pages.select(
         F.col(doc_col),
         F.col(page_col),
-        block_of(F.col(page_col), pages_per_block).alias("_block"),
         split(tx.normalize_text(F.col(text_col))).alias("_pieces"),
     )
-    counted = running_total(
-        pieces, [doc_col], "_block", [page_col], F.size("_pieces").cast("bigint"), "_through"
-    )
+    page = F.col(page_col)
+    large = large_keys(pages, [doc_col], page, large_key_rows)
+    count = F.size("_pieces").cast("bigint")
+    counted = running_total(pieces, [doc_col], [page_col], count, "_through", page, large)
     before = F.col("_through") - F.size("_pieces")
     index = F.col("_before") + F.col("_pos")
     rows = explode_pieces(counted.select(doc_col, page_col, before.alias("_before"), "_pieces"), "_pos", text_col)
@@ -86,7 +92,7 @@ def merge_pages(
     doc_col: str = "doc_id",
     page_col: str = "page",
     text_col: str = "text",
-    pages_per_part: int = PAGES_PER_BLOCK,
+    pages_per_part: int = PAGES_PER_PART,
 ) -> DataFrame:
     """Page texts joined by a blank line, trimmed as a whole.
 

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.json import is_strict_json
 from docquarry.operators.prompts import CHAT_ROLES
-from docquarry.operators.scans import block_of, concat_in_order, previous_row
+from docquarry.operators.scans import LARGE_KEY_ROWS, block_of, concat_in_order, large_keys, previous_row
 
-TURNS_PER_BLOCK = 10_000
-EVENTS_PER_BLOCK = 10_000
+TURNS_PER_PART = 10_000
+EVENTS_PER_PART = 10_000
 
 
 def chat_messages(messages: DataFrame) -> DataFrame:
@@ -36,10 +36,11 @@ def latest_sources(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.coalesce(last, empty).alias("sources"))
 
 
-def feedback_pairs(messages: DataFrame, turns_per_block: int = TURNS_PER_BLOCK) -> DataFrame:
+def feedback_pairs(messages: DataFrame, large_key_rows: int = LARGE_KEY_ROWS) -> DataFrame:
     """Each assistant message with the message directly before it, else ''."""
-    said = messages.select("conv_id", "turn", "role", "text", block_of(F.col("turn"), turns_per_block).alias("_block"))
-    paired = previous_row(said, ["conv_id"], "_block", "turn", "_before")
+    said = messages.select("conv_id", "turn", "role", "text")
+    large = large_keys(said, ["conv_id"], F.col("turn"), large_key_rows)
+    paired = previous_row(said, ["conv_id"], "turn", "_before", large)
     return paired.filter(F.col("role") == "assistant").select(
         "conv_id",
         "turn",
@@ -48,7 +49,7 @@ def feedback_pairs(messages: DataFrame, turns_per_block: int = TURNS_PER_BLOCK)
     )
 
 
-def export_markdown(messages: DataFrame, turns_per_part: int = TURNS_PER_BLOCK) -> DataFrame:
+def export_markdown(messages: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
     """Markdown of each chat as (conv_id, part, markdown).
 
     A chat of up to ``turns_per_part`` turns is part 0; the parts of a longer
@@ -128,7 +129,7 @@ def replay_requests(log: DataFrame) -> DataFrame:
     )
 
 
-def replay_answers(log: DataFrame, events_per_part: int = EVENTS_PER_BLOCK) -> DataFrame:
+def replay_answers(log: DataFrame, events_per_part: int = EVENTS_PER_PART) -> DataFrame:
     """(request_id, part, answer, sources) of the requests that did not fail.
 
     Deltas are joined in order within blocks of events; an answer of up to

@@ -1,10 +1,12 @@
-"""Running values over an ordered key, safe when one key holds most rows.
-
-A window partitioned by the key alone would send a hot key to one task. Here
-each key is cut into blocks (a page range, a time slot, ...) that follow the
-row order: one shuffle on (key, block) lets every block compute its own
-running value, the blocks' totals - one row per block - carry over from block
-to block, and both parts meet in a join that reuses the first partitioning.
+"""Ordered work per key - running totals, previous rows - when one key may
+hold most of the rows.
+
+A window partitioned by the key sends a key to one task. That is the best plan
+for ordinary keys, and it is used as long as no key is large. Keys found to be
+large are cut into blocks along the row order. One shuffle on (key, block)
+lets every block compute its own values. Blocks of large keys are also summed
+up before any shuffle, to one row each; these carry over from block to block
+and are joined on, which reuses the partitioning.
 """
 
 from __future__ import annotations
@@ -14,12 +16,48 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+LARGE_KEY_ROWS = 500_000  # rows one task orders without holding up the others
+MOST_LARGE_KEYS = 100_000  # the largest ones, when there are more
+BLOCKS_PER_LARGE_KEY = 8  # at least; larger keys get more, of this share
+
+
+def large_keys(
+    df: DataFrame, keys: Sequence[str], position: Column, large_key_rows: int = LARGE_KEY_ROWS
+) -> DataFrame | None:
+    """Large keys as (keys, _low, _width): where they start and how wide their
+    blocks are in units of ``position``. None when no key is large.
+
+    One job over the keys and positions, combined before its shuffle. At most
+    ``MOST_LARGE_KEYS`` short rows come back, so the result may be broadcast.
+    """
+    facts = df.groupBy(*keys).agg(
+        F.count("*").alias("_rows"), F.min(position).alias("_low"), F.max(position).alias("_high")
+    )
+    share = F.lit(large_key_rows / BLOCKS_PER_LARGE_KEY)
+    width = F.ceil((F.col("_high") - F.col("_low") + 1) * share / F.col("_rows")).cast("bigint")
+    found = (
+        facts.filter(F.col("_rows") > large_key_rows)
+        .orderBy(F.desc("_rows"))
+        .limit(MOST_LARGE_KEYS)
+        .select(*keys, F.col("_low").cast("bigint").alias("_low"), F.greatest(width, F.lit(1)).alias("_width"))
+    )
+    rows = found.collect()
+    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
+
+
+def split_large_keys(df: DataFrame, keys: Sequence[str], position: Column, large: DataFrame, only: bool = False) -> DataFrame:
+    """Add ``_block``: 0, 1, ... along a large key, -1 for all other keys (or
+    drop those, with ``only``)."""
+    block = F.floor((position - F.col("_low")) / F.col("_width")).cast("bigint")
+    marked = df.join(F.broadcast(large), list(keys), "inner" if only else "left")
+    return marked.withColumn("_block", F.coalesce(block, F.lit(-1).cast("bigint"))).drop("_low", "_width")
+
 
 def by_block(df: DataFrame, keys: Sequence[str], block: str) -> DataFrame:
-    """Partition by key and block, leaving out rows without either.
+    """Partition by key and block, for several uses that share the exchange.
 
-    Naming the null test here keeps both uses of the result below identical
-    down to this exchange, so Spark runs it once.
+    Naming the null test here keeps the uses identical down to the exchange;
+    Spark would otherwise add it below one of them and run both.
     """
     columns = [F.col(c) for c in [*keys, block]]
     for column in columns:
@@ -27,47 +65,64 @@ def by_block(df: DataFrame, keys: Sequence[str], block: str) -> DataFrame:
     return df.repartition(*columns)
 
 
-def _last_rows(parts: DataFrame, keys: Sequence[str], block: str, order: Sequence[str]) -> DataFrame:
-    """The last row of each block, whole: taking every column is what lets the
-    exchange be shared."""
-    return parts.groupBy(*keys, block).agg(F.max_by(F.struct(*parts.columns), F.struct(*order)).alias("_last"))
-
-
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
-    block: str,
     order: Sequence[str],
     value: Column,
     name: str,
+    position: Column,
+    large: DataFrame | None,
 ) -> DataFrame:
     """Add ``name``: sum of ``value`` over all rows of the key up to this one.
 
-    ``block`` must be non-decreasing along ``order``. Rows equal in ``order``
-    count together, as in a SQL RANGE frame.
+    ``position`` is a whole number that never falls along ``order``. Rows equal
+    in ``order`` count together, as in a SQL RANGE frame, so they must share a
+    position.
     """
-    inside = Window.partitionBy(*keys, block).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    parts = by_block(df, keys, block).withColumn(name, F.sum(value).over(inside))
-    carried = _last_rows(parts, keys, block, order).select(
-        *keys, block, F.coalesce(F.sum(F.col("_last")[name]).over(across), F.lit(0)).alias("_carried")
+    if large is None:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        split_large_keys(df, keys, position, large, only=True)
+        .groupBy(*keys, "_block")
+        .agg(F.sum(value).alias("_total"))
+        .select(*keys, "_block", F.sum("_total").over(across).alias("_carried"))
+    )
+    return (
+        split_large_keys(df, keys, position, large)
+        .withColumn(name, F.sum(value).over(inside))
+        .join(carried, [*keys, "_block"], "left")
+        .withColumn(name, F.col(name) + F.coalesce("_carried", F.lit(0)))
+        .drop("_carried", "_block")
     )
-    return parts.join(carried, [*keys, block]).withColumn(name, F.col(name) + F.col("_carried")).drop("_carried")
 
 
-def previous_row(df: DataFrame, keys: Sequence[str], block: str, order: str, name: str) -> DataFrame:
-    """Add ``name``: the row directly before this one in the key, as a struct."""
-    inside = Window.partitionBy(*keys, block).orderBy(order)
-    across = Window.partitionBy(*keys).orderBy(block)
-    parts = by_block(df, keys, block)
-    carried = _last_rows(parts, keys, block, [order]).select(
-        *keys, block, F.lag("_last").over(across).alias("_carried")
+def previous_row(
+    df: DataFrame, keys: Sequence[str], order: str, name: str, large: DataFrame | None
+) -> DataFrame:
+    """Add ``name``: the row directly before this one in the key, as a struct.
+
+    ``order`` is a whole number, unique within the key.
+    """
+    row = F.struct(*df.columns)
+    if large is None:
+        return df.withColumn(name, F.lag(row).over(Window.partitionBy(*keys).orderBy(order)))
+    inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    across = Window.partitionBy(*keys).orderBy("_block")
+    carried = (
+        split_large_keys(df, keys, F.col(order), large, only=True)
+        .groupBy(*keys, "_block")
+        .agg(F.max_by(row, order).alias("_last"))
+        .select(*keys, "_block", F.lag("_last").over(across).alias("_carried"))
     )
     return (
-        parts.withColumn(name, F.lag(F.struct(*df.columns)).over(inside))
-        .join(carried, [*keys, block])
+        split_large_keys(df, keys, F.col(order), large)
+        .withColumn(name, F.lag(row).over(inside))
+        .join(carried, [*keys, "_block"], "left")
         .withColumn(name, F.coalesce(F.col(name), F.col("_carried")))
-        .drop("_carried")
+        .drop("_carried", "_block")
     )
 
 

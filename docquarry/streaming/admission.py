@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docquarry.operators.throttle import CHAT_LIMIT, Limit, admission_step, expire_state
+from docquarry.operators.throttle import CHAT_LIMIT, Limit, admission_replay, expire_state, state_after
 
 
 def _folder(path: str, kind: str, batch_id: int) -> str:
@@ -28,7 +28,7 @@ def start_admission(
     id_col: str = "event_id",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Write decisions (client, id, decided_at, admitted) for streaming ``requests``.
+    """Write decisions (client, id, decided_at, admitted, and counts) for streaming ``requests``.
 
     Batch n reads the state written by batch n - 1 and overwrites its own
     folders, so a replayed batch decides the same again.
@@ -37,10 +37,11 @@ def start_admission(
     def decide(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         state = spark.read.parquet(_folder(path, "state", batch_id - 1)) if batch_id > 0 else None
-        decisions, after = admission_step(batch, limit, client_col, ts_col, id_col, state)
-        decisions.write.mode("overwrite").parquet(_folder(path, "decisions", batch_id))
-        latest = after.agg(F.max("bucket")).scalar()
-        expire_state(after, latest).write.mode("overwrite").parquet(_folder(path, "state", batch_id))
+        decided = _folder(path, "decisions", batch_id)
+        admission_replay(batch, limit, client_col, ts_col, id_col, state).write.mode("overwrite").parquet(decided)
+        after = state_after(spark.read.parquet(decided), state, client_col, id_col)
+        newest = after.agg(F.max("bucket")).scalar()
+        expire_state(after, newest).write.mode("overwrite").parquet(_folder(path, "state", batch_id))
 
     return (
         requests.writeStream.foreachBatch(decide)

@@ -122,7 +122,7 @@ def test_chunk_pages_golden_and_block_size(spark, medium):
     pages = catalog.paged(spark, medium)
     assert chunking.chunk_pages(pages).count() == 741
     whole = chunking.chunk_pages(pages, chunk_size=200, overlap=30)
-    blocked = chunking.chunk_pages(pages, chunk_size=200, overlap=30, pages_per_block=2)
+    blocked = chunking.chunk_pages(pages, chunk_size=200, overlap=30, large_key_rows=3)
     assert whole.count() == 1_897
     assert whole.exceptAll(blocked).count() == 0 and blocked.exceptAll(whole).count() == 0
 

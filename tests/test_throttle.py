@@ -50,11 +50,11 @@ def replayed(rows, limit, state=None):
     return out
 
 
-@pytest.mark.parametrize("slots", [1, 7, 240])
-def test_flags_against_counting(spark, slots):
+@pytest.mark.parametrize("large", [10, 50, 1_000_000])
+def test_flags_against_counting(spark, large):
     rows = crowd(1)
     limit = Limit(5, 3)
-    got = throttle.throttle_flags(requests(spark, rows), limit, slots_per_window=slots).collect()
+    got = throttle.throttle_flags(requests(spark, rows), limit, large_key_rows=large).collect()
     want = counted(rows, limit.window_micros)
     assert {r.event_id: r.attempts for r in got} == want
     assert {r.event_id: r.throttled for r in got} == {i: n > 5 for i, n in want.items()}
@@ -71,10 +71,11 @@ def test_flags_golden(spark, medium):
     assert flagged.filter("throttled").count() == 3_815 and flagged.count() == 10_000
 
 
-@pytest.mark.parametrize("seed,limit,slots", [(2, Limit(5, 3), 1), (3, Limit(5, 3), 24), (4, Limit(20, 10), 5), (5, Limit(1, 1), 3)])
-def test_replay_against_the_rule(spark, seed, limit, slots):
+@pytest.mark.parametrize("large", [1, 50, 1_000_000])
+@pytest.mark.parametrize("seed,limit", [(3, Limit(5, 3)), (4, Limit(20, 10)), (5, Limit(1, 1))])
+def test_replay_against_the_rule(spark, seed, limit, large):
     rows = crowd(seed)
-    got = throttle.admission_replay(requests(spark, rows), limit, slots_per_window=slots).collect()
+    got = throttle.admission_replay(requests(spark, rows), limit, large_key_rows=large).collect()
     assert {r.event_id: r.admitted for r in got} == replayed(rows, limit)
 
 
@@ -97,24 +98,35 @@ def test_a_rejection_needs_a_full_window(spark):
             assert near >= limit.requests
 
 
-def test_batches_with_state_equal_one_batch(spark):
+@pytest.mark.parametrize("large", [10, 1_000_000])
+def test_batches_with_state_equal_one_batch(spark, large):
     rows = sorted(crowd(7), key=lambda r: (r[2], r[0]))
     limit = Limit(4, 3)
-    want = replayed(rows, limit)
     state, got = None, {}
     for part in (rows[:200], rows[200:230], rows[230:]):
-        decisions, after = throttle.admission_step(requests(spark, part), limit, state=state)
-        got.update({r.event_id: r.admitted for r in decisions.collect()})
+        decisions = throttle.admission_replay(requests(spark, part), limit, state=state, large_key_rows=large)
+        decided = decisions.collect()
+        got.update({r.event_id: r.admitted for r in decided})
+        after = throttle.state_after(spark.createDataFrame(decided, decisions.schema), state)
         state = spark.createDataFrame(after.collect(), after.schema)
-    assert got == want
+    assert got == replayed(rows, limit)
+
+
+def test_both_routes_leave_the_same_counts(spark):
+    rows = crowd(8)
+    by_slots = throttle.admission_replay(requests(spark, rows), Limit(4, 3), large_key_rows=5)
+    in_order = throttle.admission_replay(requests(spark, rows), Limit(4, 3))
+    assert by_slots.exceptAll(in_order).count() == 0 and in_order.exceptAll(by_slots).count() == 0
 
 
 def test_late_requests_are_decided_on_arrival(spark):
     limit = Limit(1, 10)
-    _, after = throttle.admission_step(requests(spark, [(0, "a", 5_000_000)]), limit)
-    late, _ = throttle.admission_step(requests(spark, [(1, "a", 1_000_000), (2, "b", 1_000_000)]), limit, state=after)
+    after = throttle.state_after(throttle.admission_replay(requests(spark, [(0, "a", 5_000_000)]), limit))
+    late = throttle.admission_replay(requests(spark, [(1, "a", 1_000_000), (2, "b", 1_000_000)]), limit, state=after)
     got = {r.event_id: (r.admitted, r.decided_at - BASE) for r in late.collect()}
     assert got == {1: (False, dt.timedelta(seconds=5)), 2: (True, dt.timedelta(seconds=1))}
+    quiet = throttle.admission_replay(requests(spark, [(3, "b", 9_000_000)]), limit, state=after)
+    assert {r.client for r in throttle.state_after(quiet, after).collect()} == {"a", "b"}
 
 
 def test_state_expires_after_two_windows(spark):
