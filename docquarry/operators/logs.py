@@ -43,10 +43,12 @@ def usage_totals(events: DataFrame) -> DataFrame:
 
 
 def usage_by_route(events: DataFrame) -> DataFrame:
-    """(route, requests): the two known routes always, others as they occur."""
+    """(route, requests): the two known routes always, others as they occur;
+    events without a route are listed as ``undefined``."""
     known = events.sparkSession.createDataFrame([(route,) for route in ROUTES], "route STRING")
     zeros = known.select("route", F.lit(0).cast("bigint").alias("requests"))
-    counted = events.groupBy("route").agg(F.count("*").alias("requests"))
+    route = F.coalesce("route", F.lit("undefined")).alias("route")
+    counted = events.groupBy(route).agg(F.count("*").alias("requests"))
     return counted.unionByName(zeros).groupBy("route").agg(F.sum("requests").alias("requests"))
 
 

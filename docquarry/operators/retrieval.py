@@ -75,6 +75,10 @@ def _score(
         if None not in scopes and len(scopes) <= INLINE_SCOPES:
             # Reaches the scan: partition, file and row-group pruning.
             source = slim.filter(F.col("doc_id").isin(sorted(scopes)))
+        elif None not in scopes:
+            # No larger than the block; keeps other documents' vectors in the JVM.
+            named = spark.createDataFrame([(s,) for s in scopes], T.StructType([chunks.schema["doc_id"]]))
+            source = slim.join(F.broadcast(named), "doc_id", "left_semi")
         sent = spark.sparkContext.broadcast(table)
         parts.append(source.mapInArrow(BlockScorer(sent, k, per_document, ties), out_schema))
     return reduce(DataFrame.unionAll, parts), facts.n

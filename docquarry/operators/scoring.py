@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from docquarry.functions.vectors import SCORE_DIGITS
 
 SCORES_AT_ONCE = 4_000_000  # entries of one score matrix (32 MB)
+ROUNDING_MARGIN = 1.5 * 10.0**-SCORE_DIGITS
 
 
 @dataclass
@@ -69,21 +70,30 @@ def unit_rows(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return rows[usable] / lengths[usable, None], present[usable]
 
 
-def best_of(scores: np.ndarray, k: int | None, tie_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, chunk) positions of each row's k best scores; equal scores go to
-    the chunk of lower ``tie_rank``."""
+def best_of(
+    scores: np.ndarray, k: int | None, tie_rank: np.ndarray, floor: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, chunk, rounded score) of each row's k best scores; equal scores
+    go to the chunk of lower ``tie_rank``. Scores below ``floor``, what each
+    query already has k of, may be left out.
+
+    Only candidates are rounded: whatever rounds to the k-th score or above
+    lies within the margin of it.
+    """
     if k is None or scores.shape[1] <= k:
         asked, chunks = (axis.ravel() for axis in np.indices(scores.shape))
-        if k is None:
-            return asked, chunks
     else:
-        at = scores.shape[1] - k
-        kth = np.partition(scores, at, axis=1)[:, at : at + 1]
-        asked, chunks = np.nonzero(scores >= kth)
-    order = np.lexsort((tie_rank[chunks], -scores[asked, chunks], asked))
-    asked, chunks = asked[order], chunks[order]
-    keep = place_in_run(asked) < k
-    return asked[keep], chunks[keep]
+        least = floor
+        if np.isneginf(floor).any():
+            at = scores.shape[1] - k
+            least = np.maximum(floor, np.partition(scores, at, axis=1)[:, at])
+        asked, chunks = np.nonzero(scores >= (least - ROUNDING_MARGIN)[:, None])
+    rounded = np.round(scores[asked, chunks], SCORE_DIGITS) + 0.0
+    if k is None:
+        return asked, chunks, rounded
+    order = np.lexsort((tie_rank[chunks], -rounded, asked))
+    order = order[place_in_run(asked[order]) < k]
+    return asked[order], chunks[order], rounded[order]
 
 
 def place_in_run(groups: np.ndarray) -> np.ndarray:
@@ -108,20 +118,28 @@ class BlockScorer:
         room = 8 * (self.k or 1) * max(len(queries.unit), 1)
         held: list[pa.Table] = []
         held_rows = 0
+        floor = np.full(len(queries.unit), -np.inf)
         for batch in batches:
-            found = self.candidates(queries, pa.Table.from_batches([batch]))
+            found = self.candidates(queries, pa.Table.from_batches([batch]), floor)
             if not running:
                 yield from self.finish(queries, found)
                 continue
             held.append(found)
             held_rows += len(found)
-            if held_rows > room:
+            if held_rows > room or len(held) == 1:
                 held = [self.cut(pa.concat_tables(held))]
                 held_rows = len(held[0])
+                self.raise_floor(floor, held[0])
         if held:
             yield from self.finish(queries, self.cut(pa.concat_tables(held)))
 
-    def candidates(self, queries: QueryBlock, chunks: pa.Table) -> pa.Table:
+    def raise_floor(self, floor: np.ndarray, kept: pa.Table) -> None:
+        """Set the k-th score of every query that has k candidates."""
+        asked, scores = kept.column("_query").to_numpy(), kept.column("score").to_numpy()
+        last = place_in_run(asked) == self.k - 1
+        floor[asked[last]] = scores[last]
+
+    def candidates(self, queries: QueryBlock, chunks: pa.Table, floor: np.ndarray) -> pa.Table:
         unit, usable = unit_rows(chunks.column("embedding"))
         chunks = chunks.drop_columns(["embedding"]).take(pa.array(usable))
         tie_rank = np.empty(len(chunks), dtype=np.int64)
@@ -133,11 +151,10 @@ class BlockScorer:
             width = max(1, SCORES_AT_ONCE // max(len(vectors), 1))
             for at in range(0, len(asked), width):
                 some = asked[at : at + width]
-                scores = np.round(queries.unit[some] @ vectors.T, SCORE_DIGITS) + 0.0
-                which, picked = best_of(scores, self.k, ranks)
+                which, picked, scores = best_of(queries.unit[some] @ vectors.T, self.k, ranks, floor[some])
                 found_rows.append(picked if rows is None else rows[picked])
                 found_queries.append(some[which])
-                found_scores.append(scores[which, picked])
+                found_scores.append(scores)
         rows = np.concatenate(found_rows) if found_rows else np.zeros(0, dtype=np.int64)
         asked = np.concatenate(found_queries) if found_queries else np.zeros(0, dtype=np.int64)
         scores = np.concatenate(found_scores) if found_scores else np.zeros(0)

@@ -209,6 +209,22 @@ def delete_documents(spark, sf):
     return store.latest_chunks(store.without_deleted(_versions(spark, sf), tombstones))
 
 
+def compact_store(spark, sf):
+    """The same history through a written store: two uploads, a delete between
+    them, then compaction into a new store and a read of that."""
+    path = work_dir(spark, "store")
+    rows = vector_chunks(spark, sf).withColumn("text", F.lit("first"))
+    again = rows.filter(F.col("embedding")[0] > 0).withColumn("text", F.lit("second"))
+    small = rows.groupBy("doc_id").count().filter("count < 50")
+    store.save_chunks(rows, f"{path}/old", 0, buckets=4, gather=True)
+    store.delete_documents(small, f"{path}/old", 1)
+    store.save_chunks(again, f"{path}/old", 2, buckets=4, gather=True)
+    store.compact(spark, f"{path}/old", f"{path}/new", 3, buckets=4)
+    return store.read_chunks(spark, f"{path}/new").select(
+        "doc_id", "chunk_index", "text", F.size("embedding").cast("bigint").alias("dim"), "batch_id"
+    )
+
+
 def list_documents(spark, sf):
     files = uploads(spark, sf)
     chunks = chunking.chunk_text(spread(files)).withColumn("batch_id", F.lit(0).cast("bigint"))
@@ -494,6 +510,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upsert_latest": upsert_latest,
     "list_documents": list_documents,
     "delete_documents": delete_documents,
+    "compact_store": compact_store,
     "cosine_scores": cosine_scores,
     "topk_in_document": topk_in_document,
     "topk_all_documents": topk_all_documents,

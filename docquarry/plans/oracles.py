@@ -246,6 +246,11 @@ ORACLES: dict[str, str] = {
         small AS (SELECT label AS doc_id FROM embeddings GROUP BY label HAVING count(*) < 50)
         SELECT doc_id, chunk_index, text, batch_id FROM versions
         WHERE batch_id > 1 OR doc_id NOT IN (SELECT doc_id FROM small) {NEWEST_VERSION}""",
+    "compact_store": f"""
+        WITH {VERSIONS},
+        small AS (SELECT label AS doc_id FROM embeddings GROUP BY label HAVING count(*) < 50)
+        SELECT doc_id, chunk_index, text, CAST(64 AS BIGINT) AS dim, CAST(3 AS BIGINT) AS batch_id
+        FROM (SELECT * FROM versions WHERE batch_id > 1 OR doc_id NOT IN (SELECT doc_id FROM small) {NEWEST_VERSION})""",
     "cosine_scores": f"WITH {VECTORS} SELECT query_id, doc_id, chunk_index, score FROM scored WHERE query_id = doc_id",
     "topk_in_document": f"""
         WITH {VECTORS}

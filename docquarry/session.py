@@ -30,7 +30,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     A large table already has more splits than cores and passes unchanged, so
     this never shuffles the data it is meant for; it only stops a small file
-    from running a Python stage on one core.
+    from running a Python stage on one core. Meant for a table just read: on a
+    plan with shuffles, counting its partitions would run them.
     """
     parallelism = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= parallelism:

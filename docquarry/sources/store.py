@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docquarry.operators.retrieval import BROADCAST_ROWS, hint_small
+
 DOC_BUCKETS = 64
 CHUNKS_PER_FILE_BLOCK = 4096
 
@@ -84,15 +86,22 @@ def without_deleted(chunks: DataFrame, tombstones: DataFrame) -> DataFrame:
 def latest_chunks(chunks: DataFrame) -> DataFrame:
     """The newest version of each (document, chunk).
 
-    Only documents written by more than one batch need the ranking; finding
-    them reads two narrow columns, and the rest pass without a shuffle.
+    Only documents written by more than one batch need the ranking. Finding
+    them reads two narrow columns; while they are few, the rest of the table
+    passes without a shuffle, and with a single batch everything does.
     """
+    if chunks.select("batch_id").distinct().limit(2).count() < 2:
+        return chunks
     rewritten = (
         chunks.groupBy("doc_id")
         .agg(F.min("batch_id").alias("_low"), F.max("batch_id").alias("_high"))
         .filter(F.col("_low") < F.col("_high"))
         .select("doc_id")
     )
+    count = rewritten.limit(BROADCAST_ROWS + 1).count()
+    if count == 0:
+        return chunks
+    rewritten = hint_small(rewritten, count)
     newest = F.row_number().over(Window.partitionBy("doc_id", "chunk_index").orderBy(F.desc("batch_id")))
     resolved = (
         chunks.join(rewritten, "doc_id", "left_semi").withColumn("_version", newest).filter("_version = 1").drop("_version")
@@ -111,11 +120,13 @@ def read_chunks(spark: SparkSession, path: str, only: Column | None = None) -> D
     return latest_chunks(chunks)
 
 
-def read_document(spark: SparkSession, path: str, doc_id, buckets: int = DOC_BUCKETS) -> DataFrame:
-    """The live chunks of one document; other buckets are not read."""
+def read_documents(spark: SparkSession, path: str, doc_ids: list, buckets: int = DOC_BUCKETS) -> DataFrame:
+    """The live chunks of some documents; buckets of others are not read."""
     # The hash that names a bucket depends on the id's type, not only its value.
-    wanted = F.lit(doc_id).cast(spark.read.parquet(f"{path}/chunks").schema["doc_id"].dataType)
-    return read_chunks(spark, path, (F.col("doc_bucket") == doc_bucket(wanted, buckets)) & (F.col("doc_id") == wanted))
+    id_type = spark.read.parquet(f"{path}/chunks").schema["doc_id"].dataType
+    wanted = [F.lit(doc_id).cast(id_type) for doc_id in doc_ids]
+    only = F.col("doc_bucket").isin([doc_bucket(doc_id, buckets) for doc_id in wanted]) & F.col("doc_id").isin(wanted)
+    return read_chunks(spark, path, only)
 
 
 def registry(chunks: DataFrame) -> DataFrame:

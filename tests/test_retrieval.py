@@ -202,3 +202,24 @@ def test_prompts_over_a_store_like_table(spark, small):
     none = ask.prompts_for(asked, chunks, docs.select("doc_id").filter("false"), model=embedding.HashedTerms(128))
     assert none.count() == 0
     chunks.unpersist()
+
+
+def test_many_small_batches_per_task(spark, small):
+    """The running cut and its floor, with ties across batches."""
+    chunks = catalog.vector_chunks(spark, small)
+    copies = chunks.unionByName(chunks.withColumn("chunk_index", F.col("chunk_index") + 1_000)).repartition(3)
+    asked = chunks.select(F.col("chunk_index").cast("string").alias("query_id"), "embedding")
+    want = brute_force(asked.collect(), copies.collect(), 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        same(as_dict(retrieval.top_k(asked, copies, 5)), want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_many_scopes_take_the_join(spark, small, monkeypatch):
+    chunks = catalog.vector_chunks(spark, small)
+    asked = catalog.centroid_queries(spark, small)
+    few = as_dict(retrieval.top_k_in_document(asked, chunks))
+    monkeypatch.setattr(retrieval, "INLINE_SCOPES", 2)
+    assert as_dict(retrieval.top_k_in_document(asked, chunks)) == few and len(few) == 10

@@ -69,7 +69,7 @@ def test_compaction_keeps_the_live_rows(spark, path, tmp_path):
 
 
 def test_one_document_reads_one_bucket(spark, path):
-    rows = store.read_document(spark, path, 1, buckets=4)
+    rows = store.read_documents(spark, path, [1], buckets=4)
     assert {r.doc_id for r in rows.collect()} == {1} and rows.count() == 3
     plan = rows._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.split("\n") if "FileScan" in line]
