@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions.json import is_json_record
@@ -30,7 +30,7 @@ def newest(events: DataFrame, limit: int = MAX_EVENTS, ts_col: str = "ts", id_co
     return events.orderBy(F.desc(ts_col), F.desc(id_col)).limit(limit)
 
 
-def usage_totals(events: DataFrame) -> DataFrame:
+def usage_totals(events: DataFrame, *more: Column) -> DataFrame:
     """(total_requests, average_latency_ms) over the given events; 0, 0 if none.
 
     The average is rounded half up. Events without a latency do not count
@@ -39,6 +39,7 @@ def usage_totals(events: DataFrame) -> DataFrame:
     return events.agg(
         F.count("*").alias("total_requests"),
         F.coalesce(F.floor(F.avg("latency_ms") + F.lit(0.5)), F.lit(0)).cast("bigint").alias("average_latency_ms"),
+        *more,
     )
 
 
@@ -57,24 +58,27 @@ def usage_recent(events: DataFrame, limit: int = RECENT_EVENTS) -> DataFrame:
 
 
 def usage_summary(events: DataFrame, limit: int = RECENT_EVENTS) -> DataFrame:
-    """The whole report as one row, over events already cut by ``newest``.
+    """The whole report over the newest 500 events, as one row.
 
     (total_requests, by_route MAP, average_latency_ms, recent ARRAY<STRUCT>)
+
+    The retained events are few, so one array of them serves the whole report
+    and the log is read once.
     """
-    routes = usage_by_route(events).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("route", "requests")))).alias("by_route")
+    route = F.coalesce("route", F.lit("undefined")).alias("route")
+    row = F.struct("ts", "event_id", route, "latency_ms")
+    totals = usage_totals(newest(events), F.reverse(F.array_sort(F.collect_list(row))).alias("_events"))
+    routes = F.transform("_events", lambda e: e["route"])
+    names = F.array_distinct(F.concat(F.array(*[F.lit(route) for route in ROUTES]), routes))
+    counts = F.transform(
+        names, lambda name: F.struct(name, F.size(F.filter(routes, lambda other: other == name)).cast("bigint"))
     )
-    recent = usage_recent(events, limit).agg(
-        F.transform(
-            F.reverse(F.array_sort(F.collect_list(F.struct("ts", "event_id", "route", "latency_ms")))),
-            lambda e: F.struct(e["route"].alias("route"), e["latency_ms"].alias("latency_ms"), e["ts"].alias("ts")),
-        ).alias("recent")
+    recent = F.transform(
+        F.slice("_events", 1, limit),
+        lambda e: F.struct(e["route"].alias("route"), e["latency_ms"].alias("latency_ms"), e["ts"].alias("ts")),
     )
-    return usage_totals(events).select(
-        "total_requests",
-        routes.scalar().alias("by_route"),
-        "average_latency_ms",
-        recent.scalar().alias("recent"),
+    return totals.select(
+        "total_requests", F.map_from_entries(counts).alias("by_route"), "average_latency_ms", recent.alias("recent")
     )
 
 

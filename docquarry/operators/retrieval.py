@@ -54,16 +54,20 @@ def _score(
     tie_cols = [newest_col] if newest_col else []
     chunk_cols = [*tie_cols, "doc_id", "chunk_index"]
     fields = [queries.schema["query_id"], *(chunks.schema[c] for c in chunk_cols)]
+    # Not null, so that no later join adds a null test below the merge's
+    # exchange, which would keep two uses of the hits from sharing it.
     out_schema = T.StructType(
-        [T.StructField(f.name, f.dataType, True) for f in fields] + [T.StructField("score", T.DoubleType(), True)]
+        [T.StructField(f.name, f.dataType, f.name == newest_col) for f in fields]
+        + [T.StructField("score", T.DoubleType(), False)]
     )
     ties = [(c, "descending") for c in tie_cols] + [("doc_id", "ascending"), ("chunk_index", "ascending")]
 
+    queries = queries.filter("query_id IS NOT NULL")
     facts = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim")).first()
     if facts.n == 0:
         return spark.createDataFrame([], out_schema), 0
     blocks = max(1, -(-facts.n * max(facts.dim, 1) * 8 // block_bytes))
-    slim = chunks.select(*chunk_cols, "embedding")
+    slim = chunks.select(*chunk_cols, "embedding").filter("doc_id IS NOT NULL AND chunk_index IS NOT NULL")
     parts = []
     for number in range(blocks):
         rows = queries

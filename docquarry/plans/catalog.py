@@ -367,7 +367,7 @@ def decode_usage(spark, sf):
 
 
 def usage_summary(spark, sf):
-    report = logs.usage_summary(logs.newest(usage_events(spark, sf)))
+    report = logs.usage_summary(usage_events(spark, sf))
     routes = F.transform(F.map_entries("by_route"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     recent = F.transform("recent", lambda e: F.concat_ws("@", e["route"], F.date_format(e["ts"], STAMP)))
     return report.select(

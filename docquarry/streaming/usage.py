@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docquarry.operators.logs import append_log, newest, usage_summary
+from docquarry.operators.logs import append_log, usage_summary
 
 
 def start_usage_log(events: DataFrame, log_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -21,7 +21,7 @@ def start_usage_log(events: DataFrame, log_path: str, checkpoint: str, trigger:
 
 def live_summary(spark: SparkSession, log_path: str) -> DataFrame:
     """The report as of now."""
-    return usage_summary(newest(spark.read.parquet(log_path)))
+    return usage_summary(spark.read.parquet(log_path))
 
 
 def requests_per_window(events: DataFrame, window: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:

@@ -31,6 +31,14 @@ def test_summary_of_nothing(spark):
     assert row.by_route == {"chat": 0, "upload": 0}
 
 
+def test_summary_is_over_the_newest_500(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i == 599 else "chat", float(i >= 100), base + dt.timedelta(seconds=i)) for i in range(600)]
+    row = logs.usage_summary(spark.createDataFrame(rows, EVENTS)).first()
+    assert (row.total_requests, row.average_latency_ms) == (500, 1)
+    assert row.by_route == {"chat": 499, "upload": 0, "undefined": 1} and len(row.recent) == 20
+
+
 def test_average_rounds_half_up_and_recent_is_newest_first(spark):
     base = dt.datetime(2024, 1, 1)
     rows = [(i, "chat", float(i), base + dt.timedelta(seconds=i // 2)) for i in range(4)]
