@@ -26,6 +26,7 @@ def embedded_documents(
     chunk_size: int = tx.CHUNK_SIZE,
     overlap: int = tx.CHUNK_OVERLAP,
     buckets: int | None = None,
+    files_per_bucket: int = 1,
 ) -> DataFrame:
     """Gate, chunk and embed ``docs(doc_id, file_name, text, uploaded_at)``.
 
@@ -34,7 +35,7 @@ def embedded_documents(
     """
     docs = accepted(docs)
     if buckets:
-        docs = spread_documents(docs, buckets)
+        docs = spread_documents(docs, buckets, files_per_bucket)
     return embed(chunk_text(docs, chunk_size=chunk_size, overlap=overlap), model=model)
 
 

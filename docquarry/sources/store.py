@@ -31,14 +31,19 @@ def _write(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
+def _gathered(df: DataFrame, buckets: int, files_per_bucket: int, *more: Column) -> DataFrame:
+    share = F.pmod(F.hash("doc_id"), F.lit(files_per_bucket))
+    return df.repartition(buckets * files_per_bucket, doc_bucket(F.col("doc_id"), buckets), share, *more)
+
+
 def spread_documents(docs: DataFrame, buckets: int = DOC_BUCKETS, files_per_bucket: int = 1) -> DataFrame:
     """Bring documents of one bucket together before they are chunked.
 
     Vectors take several times the space of their text, so the shuffle that
-    gives tidy store files is cheaper here than after embedding.
+    gives tidy store files is cheaper here than after embedding. There are
+    ``buckets * files_per_bucket`` tasks, one file each: size them for the batch.
     """
-    share = F.pmod(F.hash("doc_id"), F.lit(files_per_bucket))
-    return docs.repartition(buckets * files_per_bucket, doc_bucket(F.col("doc_id"), buckets), share)
+    return _gathered(docs, buckets, files_per_bucket)
 
 
 def save_chunks(
@@ -47,6 +52,7 @@ def save_chunks(
     batch_id: int,
     buckets: int = DOC_BUCKETS,
     gather: bool = False,
+    files_per_bucket: int = 1,
 ) -> None:
     """Add a batch of embedded chunks.
 
@@ -57,7 +63,8 @@ def save_chunks(
         "doc_bucket", doc_bucket(F.col("doc_id"), buckets)
     )
     if gather:
-        rows = rows.repartition("doc_bucket", F.floor(F.col("chunk_index") / CHUNKS_PER_FILE_BLOCK))
+        block = F.floor(F.col("chunk_index") / F.lit(CHUNKS_PER_FILE_BLOCK))
+        rows = _gathered(rows, buckets, files_per_bucket, block)
     _write(rows.sortWithinPartitions("doc_bucket", "doc_id", "chunk_index"), f"{path}/chunks", "batch_id", "doc_bucket")
 
 
@@ -143,11 +150,18 @@ def list_documents(documents: DataFrame) -> DataFrame:
     return documents.orderBy(F.desc("uploaded_at"), "doc_id")
 
 
-def compact(spark: SparkSession, path: str, new_path: str, batch_id: int, buckets: int = DOC_BUCKETS) -> None:
+def compact(
+    spark: SparkSession,
+    path: str,
+    new_path: str,
+    batch_id: int,
+    buckets: int = DOC_BUCKETS,
+    files_per_bucket: int = 1,
+) -> None:
     """Write the live rows as one batch of a new store at ``new_path``.
 
     The old path is left alone, so readers of it are not disturbed; switch
     them over and retire the old path afterwards.
     """
     live = read_chunks(spark, path).drop("batch_id", "doc_bucket")
-    save_chunks(live, new_path, batch_id, buckets, gather=True)
+    save_chunks(live, new_path, batch_id, buckets, gather=True, files_per_bucket=files_per_bucket)
