@@ -19,4 +19,4 @@ def is_strict_json(raw: Column) -> Column:
 
 def is_json_record(raw: Column) -> Column:
     """Strictly valid and not the JSON literal ``null``."""
-    return is_strict_json(raw) & (F.regexp_replace(raw, r"[ \t\r\n]", "") != "null")
+    return is_strict_json(raw) & (F.btrim(raw, F.lit(" \t\r\n")) != "null")

@@ -144,7 +144,7 @@ def registered_chunks(chunks: DataFrame, registry: DataFrame) -> DataFrame:
     usually small; counting the two (document ids only, up to the bound) picks
     the one to broadcast. When neither is, a plain semi join does the work.
     """
-    known = registry.select("doc_id").distinct()
+    known = registry.select("doc_id")
     if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return chunks.join(F.broadcast(known), "doc_id", "left_semi")
     missing = chunks.select("doc_id").distinct().join(known, "doc_id", "left_anti")

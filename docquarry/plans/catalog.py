@@ -16,6 +16,7 @@ from docquarry.functions import labels, vectors
 from docquarry.functions.text import normalize_text
 from docquarry.operators import chunking, conversations, embedding, highlights, logs, prompts, retrieval, throttle
 from docquarry.plans import ask
+from docquarry.plans.ingest import embedded_documents
 from docquarry.session import spread, work_dir
 from docquarry.sources import store
 from docquarry.sources.corpus import read_table
@@ -100,7 +101,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
 def damaged_log(spark: SparkSession, sf: str) -> DataFrame:
     """events whose JSON has lost its first character in every seventh row."""
     raw = F.when(F.col("event_id") % 7 == 0, F.expr("substr(props, 2)")).otherwise(F.col("props"))
-    return read_table(spark, sf, "events").select("event_id", raw.alias("raw"))
+    return spread(read_table(spark, sf, "events").select("event_id", raw.alias("raw")))
 
 
 def stream_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,7 +110,7 @@ def stream_log(spark: SparkSession, sf: str) -> DataFrame:
     Records per message: sources, one delta per line, a record without a data
     line, and an error at the end of every answer with an even length.
     """
-    told = read_table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    told = spread(read_table(spark, sf, "conversations").filter(F.col("role") == "assistant"))
     request = F.concat_ws("-", "conv_id", "turn").alias("request_id")
     lines = F.split("text", "\n")
 
@@ -289,6 +290,16 @@ def build_prompt(spark, sf):
     return prompts.build_prompt(asked, prompts.build_context(asked, question_sources(spark, sf)))
 
 
+def store_prompts(spark, sf):
+    """The whole way: gate, chunk, embed and store the uploads, then answer the
+    questions from the store's registered documents."""
+    path = f"{work_dir(spark, 'library')}/store"
+    store.save_chunks(embedded_documents(uploads(spark, sf), buckets=8), path, 0, buckets=8)
+    store.write_registry(spark, path, 0)
+    asked = questions(spark, sf).withColumn("scope", F.lit(None).cast("string"))
+    return ask.prompts_for(asked, store.read_chunks(spark, path), store.read_registry(spark, path))
+
+
 def history_window(spark, sf):
     talk = read_table(spark, sf, "conversations")
     return prompts.history_window(talk, HISTORY).select("conv_id", "turn", "role", "text")
@@ -520,6 +531,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "citation_labels": citation_labels,
     "build_context": build_context,
     "build_prompt": build_prompt,
+    "store_prompts": store_prompts,
     "history_window": history_window,
     "message_list": message_list,
     "validate_questions": validate_questions,

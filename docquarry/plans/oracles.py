@@ -78,8 +78,13 @@ def terms_of(source: str, keys: str, name: str) -> str:
     )"""
 
 
-QUESTION_HITS = f"""
-    {DOC_CHUNKS},
+def question_hits(source: str) -> str:
+    """CTEs ending in ``sources``: the best chunks of ``source(doc_id, page, t)``
+    for each benchmark question."""
+    return f"""
+    {UPLOADS},
+    src AS ({source}),
+    {chunks_of('src')},
     {terms_of('chunks', 'doc_id, chunk_index', 'cv')},
     asked AS (SELECT item_id AS query_id, text FROM benchmark),
     {terms_of('asked', 'query_id', 'qv')},
@@ -94,21 +99,26 @@ QUESTION_HITS = f"""
       FROM (SELECT query_id, doc_id, chunk_index, round(d / (cn.len * qn.len), 6) AS score
             FROM dots JOIN cn USING (doc_id, chunk_index) JOIN qn USING (query_id))
     ),
-    {UPLOADS},
     sources AS (
       SELECT query_id, rank, 'chunk-' || chunk_index AS chunk_id, score, chunks.text AS text, chunk_index, doc_id,
              file_name, CAST(NULL AS BIGINT) AS page
       FROM ranked JOIN chunks USING (doc_id, chunk_index) JOIN uploads USING (doc_id)
       WHERE rank <= 3
     )"""
+
+
+ALL_DOCUMENTS = f"SELECT doc_id, 0 AS page, {normalized('text')} AS t FROM uploads"
+QUESTION_HITS = question_hits(ALL_DOCUMENTS)
 CONTEXTS = f"""
-    {QUESTION_HITS},
     contexts AS (
       SELECT query_id,
              string_agg('Source ' || rank || ' (' || file_name || ', chunk ' || (chunk_index + 1) || '):' || {NL} || text,
                         {NL} || {NL} ORDER BY rank) AS context
       FROM sources GROUP BY query_id
     )"""
+PROMPTS = f"""
+    SELECT query_id, 'Question:' || {NL} || text || {NL} || {NL} || 'Context:' || {NL} || coalesce(context, '') AS prompt
+    FROM asked LEFT JOIN contexts USING (query_id)"""
 
 VECTORS = """
     vecs AS (SELECT CAST(label AS BIGINT) AS doc_id, vec_id AS chunk_index, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -284,12 +294,10 @@ ORACLES: dict[str, str] = {
                printf('%.3f', length(text) / 777.0::DOUBLE) AS score
         FROM shifted""",
     "build_context": f"""
-        WITH RECURSIVE {CONTEXTS}
+        WITH RECURSIVE {QUESTION_HITS}, {CONTEXTS}
         SELECT query_id, coalesce(context, '') AS context FROM asked LEFT JOIN contexts USING (query_id)""",
-    "build_prompt": f"""
-        WITH RECURSIVE {CONTEXTS}
-        SELECT query_id, 'Question:' || {NL} || text || {NL} || {NL} || 'Context:' || {NL} || coalesce(context, '') AS prompt
-        FROM asked LEFT JOIN contexts USING (query_id)""",
+    "build_prompt": f"WITH RECURSIVE {QUESTION_HITS}, {CONTEXTS} {PROMPTS}",
+    "store_prompts": f"WITH RECURSIVE {question_hits(f'{ALL_DOCUMENTS} WHERE {SUPPORTED}')}, {CONTEXTS} {PROMPTS}",
     "history_window": f"WITH {HISTORY} SELECT conv_id, turn, role, text FROM history",
     "message_list": f"""
         WITH {CHATS}, {LATEST}, {HISTORY},

@@ -4,6 +4,7 @@ Layout below the store's path::
 
     chunks/batch_id=<n>/doc_bucket=<b>/    chunk rows with vectors
     tombstones/batch_id=<n>/               deleted document ids
+    registry/batch_id=<n>/                 documents as of a batch
 
 Writers only add partitions, and writing a batch again replaces that batch, so
 a retried or repeated job leaves the same store. Reads resolve versions and
@@ -145,6 +146,20 @@ def registry(chunks: DataFrame) -> DataFrame:
     )
 
 
+def write_registry(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Keep the registry as a table of its own, one version per call, so that
+    asking for it does not go through the chunks each time."""
+    rows = registry(read_chunks(spark, path)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    _write(rows, f"{path}/registry", "batch_id")
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version written."""
+    versions = spark.read.parquet(f"{path}/registry")
+    newest = versions.agg(F.max("batch_id")).scalar()
+    return versions.filter(F.col("batch_id") == newest).drop("batch_id")
+
+
 def list_documents(documents: DataFrame) -> DataFrame:
     """The registry, newest upload first."""
     return documents.orderBy(F.desc("uploaded_at"), "doc_id")

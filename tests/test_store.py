@@ -95,3 +95,12 @@ def test_embedded_pages(spark):
 def test_bucket_is_stable(spark):
     row = spark.range(1).select(store.doc_bucket(F.lit(5)).alias("a"), store.doc_bucket(F.lit(5)).alias("b")).first()
     assert row.a == row.b and 0 <= row.a < store.DOC_BUCKETS
+
+
+def test_registry_table_keeps_versions(spark, path):
+    store.write_registry(spark, path, 0)
+    store.delete_documents(spark.createDataFrame([(2,)], "doc_id long"), path, 1)
+    store.write_registry(spark, path, 1)
+    rows = store.read_registry(spark, path)
+    assert [(r.doc_id, r.file_name, r.chunk_count) for r in rows.collect()] == [(1, "a.txt", 3)]
+    assert "batch_id" not in rows.columns
