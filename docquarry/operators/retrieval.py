@@ -13,8 +13,10 @@ nor a retried task can change an answer. Ties go to the newest document when
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,7 @@ from docquarry.operators.scoring import BlockScorer
 
 DEFAULT_K = 3  # Fixed value: chunks retrieved per question.
 BLOCK_BYTES = 64 * 1024 * 1024
+FEW_QUERIES = 2048
 INLINE_SCOPES = 1000
 BROADCAST_ROWS = 100_000  # rows of two or three narrow columns
 
@@ -44,11 +47,11 @@ def _score(
     per_document: bool = False,
     newest_col: str | None = None,
     block_bytes: int = BLOCK_BYTES,
-) -> tuple[DataFrame, int]:
-    """Candidates of all tasks (not yet merged), and the number of queries.
+) -> DataFrame:
+    """Candidates of all tasks, not yet merged.
 
-    Two small actions size the job first: a count of the questions, and one
-    bounded fetch per block.
+    The questions are fetched first: in one go when they are few, else in
+    blocks sized by a count.
     """
     spark = queries.sparkSession
     tie_cols = [newest_col] if newest_col else []
@@ -63,17 +66,16 @@ def _score(
     ties = [(c, "descending") for c in tie_cols] + [("doc_id", "ascending"), ("chunk_index", "ascending")]
 
     queries = queries.filter("query_id IS NOT NULL")
-    facts = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim")).first()
-    if facts.n == 0:
-        return spark.createDataFrame([], out_schema), 0
-    blocks = max(1, -(-facts.n * max(facts.dim, 1) * 8 // block_bytes))
+    first = queries.limit(FEW_QUERIES + 1).toArrow()
+    if first.num_rows == 0:
+        return spark.createDataFrame([], out_schema)
+    if first.num_rows <= FEW_QUERIES and first.nbytes <= block_bytes:
+        blocks = [first]
+    else:
+        blocks = _fetch_blocks(queries, block_bytes)
     slim = chunks.select(*chunk_cols, "embedding").filter("doc_id IS NOT NULL AND chunk_index IS NOT NULL")
     parts = []
-    for number in range(blocks):
-        rows = queries
-        if blocks > 1:
-            rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        table = rows.toArrow()
+    for table in blocks:
         scopes = set(table.column("scope").to_pylist())
         source = slim
         if None not in scopes and len(scopes) <= INLINE_SCOPES:
@@ -85,7 +87,20 @@ def _score(
             source = slim.join(F.broadcast(named), "doc_id", "left_semi")
         sent = spark.sparkContext.broadcast(table)
         parts.append(source.mapInArrow(BlockScorer(sent, k, per_document, ties), out_schema))
-    return reduce(DataFrame.unionAll, parts), facts.n
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _fetch_blocks(queries: DataFrame, block_bytes: int) -> Iterator[pa.Table]:
+    """All questions, a block at a time: sized by one count, split by hash."""
+    facts = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    blocks = max(1, -(-facts.n * max(facts.dim or 0, 1) * 8 // block_bytes))
+    # Distinct ids hash evenly; the limit keeps any block bounded regardless.
+    most = 2 * -(-facts.n // blocks) + 1000
+    for number in range(blocks):
+        table = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).limit(most + 1).toArrow()
+        if table.num_rows > most:
+            raise ValueError("query ids must be unique")
+        yield table
 
 
 def _merge(found: DataFrame, k: int, groups: list[str], newest_col: str | None) -> DataFrame:
@@ -101,7 +116,7 @@ def cosine_scores(queries: DataFrame, chunks: DataFrame, **options) -> DataFrame
     ``queries(query_id, scope, embedding)``; a null scope asks every chunk, so
     leave those to the top-k forms, whose output is bounded.
     """
-    found, _ = _score(_scoped(queries, chunks), chunks, k=None, **options)
+    found = _score(_scoped(queries, chunks), chunks, k=None, **options)
     return found.select("query_id", "doc_id", "chunk_index", "score")
 
 
@@ -110,20 +125,20 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, newest_col:
 
     Equal to the best k of each document, merged and cut to k.
     """
-    found, _ = _score(_unscoped(queries), chunks, k, newest_col=newest_col, **options)
+    found = _score(_unscoped(queries), chunks, k, newest_col=newest_col, **options)
     return _merge(found, k, ["query_id"], newest_col)
 
 
 def top_k_in_document(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, **options) -> DataFrame:
     """Best k chunks of the one document named by each question's ``scope``."""
     named = _scoped(queries, chunks).filter(F.col("scope").isNotNull())
-    found, _ = _score(named, chunks, k, **options)
+    found = _score(named, chunks, k, **options)
     return _merge(found, k, ["query_id"], None)
 
 
 def top_k_per_document(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, **options) -> DataFrame:
     """Best k chunks of every document, ranked within question and document."""
-    found, _ = _score(_unscoped(queries), chunks, k, per_document=True, **options)
+    found = _score(_unscoped(queries), chunks, k, per_document=True, **options)
     return _merge(found, k, ["query_id", "doc_id"], None)
 
 

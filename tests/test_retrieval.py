@@ -223,3 +223,11 @@ def test_many_scopes_take_the_join(spark, small, monkeypatch):
     few = as_dict(retrieval.top_k_in_document(asked, chunks))
     monkeypatch.setattr(retrieval, "INLINE_SCOPES", 2)
     assert as_dict(retrieval.top_k_in_document(asked, chunks)) == few and len(few) == 10
+
+
+def test_repeated_query_ids_do_not_make_a_huge_block(spark, small, monkeypatch):
+    monkeypatch.setattr(retrieval, "FEW_QUERIES", 10)
+    chunks = catalog.vector_chunks(spark, small)
+    asked = spark.range(5_000).select(F.lit("same").alias("query_id"), F.array(*[F.lit(1.0).cast("float")] * 64).alias("embedding"))
+    with pytest.raises(ValueError, match="unique"):
+        retrieval.top_k(asked, chunks, block_bytes=400_000)
