@@ -73,19 +73,21 @@ def running_total(
     name: str,
     position: Column,
     large: DataFrame | None,
+    large_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``name``: sum of ``value`` over all rows of the key up to this one.
 
     ``position`` is a whole number that never falls along ``order``. Rows equal
     in ``order`` count together, as in a SQL RANGE frame, so they must share a
-    position.
+    position. ``large_rows`` are the rows of large keys, if there is a cheaper
+    way to them than through all of ``df``.
     """
     if large is None:
         return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order)))
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        split_large_keys(df, keys, position, large, only=True)
+        split_large_keys(df if large_rows is None else large_rows, keys, position, large, only=True)
         .groupBy(*keys, "_block")
         .agg(F.sum(value).alias("_total"))
         .select(*keys, "_block", F.sum("_total").over(across).alias("_carried"))
