@@ -130,7 +130,9 @@ def test_in_document_prunes_the_scan(spark, small):
     chunks = catalog.vector_chunks(spark, small)
     asked = query_table(spark, [("a", "3", [1.0] * 64)])
     plan = retrieval.top_k_in_document(asked, chunks)._jdf.queryExecution().executedPlan().toString()
-    assert "In(label" in plan or "EqualTo(label" in plan or "label#" in plan.split("DataFilters: [")[1]
+    scan = next(line for line in plan.split("\n") if "FileScan" in line)
+    assert "EqualTo(label,3)" in scan or "In(label, [3])" in scan, scan
+    assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>,label:int>" in scan
 
 
 def test_no_questions(spark, small):

@@ -1,5 +1,6 @@
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docquarry.operators import embedding, logs
@@ -14,7 +15,7 @@ from docquarry.streaming.usage import live_summary, requests_per_window, start_u
 
 def files_of(df, path, order, parts):
     """The table as several files, to be streamed one per micro-batch."""
-    numbered = df.withColumn("_p", F.ntile(parts).over(__import__("pyspark").sql.Window.orderBy(order)))
+    numbered = df.withColumn("_p", F.ntile(parts).over(Window.orderBy(order)))
     for p in range(1, parts + 1):
         numbered.filter(F.col("_p") == p).drop("_p").coalesce(1).write.mode("append").parquet(path)
 
