@@ -91,6 +91,4 @@ def accept_feedback(submitted: DataFrame) -> DataFrame:
 
 def append_log(events: DataFrame, path: str, batch_id: int) -> None:
     """Append one batch; writing the same batch again replaces it."""
-    events.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("batch_id").parquet(path)
+    events.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

@@ -13,8 +13,11 @@ deletes. ``compact`` writes the live rows to a new path.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docquarry.operators.retrieval import BROADCAST_ROWS, hint_small
 
@@ -124,7 +127,9 @@ def read_chunks(spark: SparkSession, path: str, only: Column | None = None) -> D
     if only is not None:
         chunks = chunks.filter(only)
     if _exists(spark, f"{path}/tombstones"):
-        chunks = without_deleted(chunks, spark.read.parquet(f"{path}/tombstones"))
+        # A given schema, because a delete of no documents leaves no file to infer one from.
+        schema = T.StructType([chunks.schema["doc_id"], T.StructField("batch_id", T.LongType())])
+        chunks = without_deleted(chunks, spark.read.schema(schema).parquet(f"{path}/tombstones"))
     return latest_chunks(chunks)
 
 
@@ -149,15 +154,14 @@ def registry(chunks: DataFrame) -> DataFrame:
 def write_registry(spark: SparkSession, path: str, batch_id: int) -> None:
     """Keep the registry as a table of its own, one version per call, so that
     asking for it does not go through the chunks each time."""
-    rows = registry(read_chunks(spark, path)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    _write(rows, f"{path}/registry", "batch_id")
+    registry(read_chunks(spark, path)).write.mode("overwrite").parquet(f"{path}/registry/batch_id={batch_id}")
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version written."""
-    versions = spark.read.parquet(f"{path}/registry")
-    newest = versions.agg(F.max("batch_id")).scalar()
-    return versions.filter(F.col("batch_id") == newest).drop("batch_id")
+    """The newest version written, found by file names: it may have no rows."""
+    files = spark.read.parquet(f"{path}/registry").inputFiles()
+    newest = max(int(re.search(r"/batch_id=(\d+)/", file).group(1)) for file in files)
+    return spark.read.parquet(f"{path}/registry/batch_id={newest}")
 
 
 def list_documents(documents: DataFrame) -> DataFrame:

@@ -104,3 +104,12 @@ def test_registry_table_keeps_versions(spark, path):
     rows = store.read_registry(spark, path)
     assert [(r.doc_id, r.file_name, r.chunk_count) for r in rows.collect()] == [(1, "a.txt", 3)]
     assert "batch_id" not in rows.columns
+
+
+def test_deleting_nothing_and_everything(spark, path):
+    store.delete_documents(spark.createDataFrame([], "doc_id long"), path, 1)
+    assert set(d for d, _ in state(spark, path)) == {1, 2}
+    store.write_registry(spark, path, 1)
+    store.delete_documents(spark.createDataFrame([(1,), (2,)], "doc_id long"), path, 2)
+    store.write_registry(spark, path, 2)
+    assert state(spark, path) == {} and store.read_registry(spark, path).count() == 0
