@@ -20,7 +20,7 @@ lines_kept AS (
 
 ORACLES = {
     "op3_substring_dedup": r"""
-WITH cut AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+WITH cut AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 word AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS p, unnest(words) AS w FROM cut),
 win AS (SELECT doc_id, p, array_to_string(words[p:p + 12], ' ') AS run FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM cut)),
 first AS (SELECT run, min(doc_id) AS least FROM win GROUP BY run HAVING count(DISTINCT doc_id) > 1),
