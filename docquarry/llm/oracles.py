@@ -35,3 +35,23 @@ SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::
 FROM documents LEFT JOIN kept USING (doc_id)""",
     "op6_line_dedup": f"WITH {line_dedup('documents')} SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM lines_kept",
 }
+
+
+def contained_items(table: str) -> str:
+    """CTEs ending in ``held(doc_id, item_id, n_shingles, n_found, containment)``."""
+    words = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), %s), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')" % _A_TO_Z
+    return f"""
+item AS (SELECT item_id, {words} AS w FROM benchmark),
+item_size AS (SELECT item_id, w, least(len(w), 5) AS k FROM item WHERE len(w) > 0),
+wanted AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM item_size)),
+total AS (SELECT item_id, count(*) AS n_shingles FROM wanted GROUP BY item_id),
+doc AS (SELECT doc_id, {words} AS w FROM {table}),
+placed AS (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM doc, (SELECT DISTINCT k FROM item_size) WHERE len(w) >= k),
+spelled AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS run FROM placed),
+held AS (
+    SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles AS containment
+    FROM spelled JOIN wanted USING (k, run) JOIN total USING (item_id)
+    GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= ceil(n_shingles * 0.8 - 1e-9))"""
+
+
+ORACLES["op4_benchmark_decontamination"] = f"WITH {contained_items('documents')} SELECT * FROM held"

@@ -7,15 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import lines, simhash, substrings
+from docquarry.llm import contamination, lines, packing, simhash, substrings
 from docquarry.llm.tables import read
 
 
+def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(read(spark, sf, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = substrings.without_repeated_runs(read(spark, sf, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.contained_items(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = lines.without_repeated_lines(read(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -27,5 +35,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_substring_dedup, op6_line_dedup, op10_simhash_near_dedup)
+    f.__name__: f for f in (op2_best_fit_packing, op3_substring_dedup, op4_benchmark_decontamination, op6_line_dedup, op10_simhash_near_dedup)
 }
