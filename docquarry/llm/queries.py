@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import contamination, lines, packing, simhash, substrings
+from docquarry.llm import brown, contamination, lines, packing, simhash, substrings
 from docquarry.llm.tables import read
 
 
+def op1_brown_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return brown.score_texts(read(spark, sf, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(read(spark, sf, "documents"))
 
@@ -35,5 +39,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op3_substring_dedup, op4_benchmark_decontamination, op6_line_dedup, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_brown_scores, op2_best_fit_packing, op3_substring_dedup, op4_benchmark_decontamination, op6_line_dedup, op10_simhash_near_dedup)
 }
