@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import brown, contamination, lines, packing, simhash, substrings
+from docquarry.llm import brown, contamination, lines, packing, quality, simhash, substrings
 from docquarry.llm.tables import read
 
 
@@ -33,11 +33,15 @@ def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_brown_scores, op2_best_fit_packing, op3_substring_dedup, op4_benchmark_decontamination, op6_line_dedup, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_brown_scores, op2_best_fit_packing, op3_substring_dedup, op4_benchmark_decontamination, op6_line_dedup, op7_quality_classifier, op10_simhash_near_dedup)
 }
