@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.arrays import pieces
+from docquarry.llm.arrays import mix, pieces
 
 SHORTEST = 10
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -83,9 +83,12 @@ def _keys(shortest: int):
             new_row = new_key | np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]
             at = np.flatnonzero(new_row)
             offsets = pa.array(np.r_[at, len(lines)].astype(np.int32))
+            settled = (doc > least)[at]
+            # what is settled needs no company of its key: it is spread by document instead
+            spread = mix((hi[at] ^ doc[at]).view(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hi[at]), pa.array(lo[at]), pa.array(doc[at]), pa.array(tag[at]),
-                 pa.ListArray.from_arrays(offsets, pa.array(lines)), pa.array((doc > least)[at])],
+                [pa.array(np.where(settled, spread, hi[at])), pa.array(lo[at]), pa.array(doc[at]), pa.array(tag[at]),
+                 pa.ListArray.from_arrays(offsets, pa.array(lines)), pa.array(settled)],
                 ["hi", "lo", "doc_id", "tag", "lines", "settled"])
 
     return run
