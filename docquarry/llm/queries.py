@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import brown, contamination, lines, packing, quality, simhash, substrings
+from docquarry.llm import attribution, brown, contamination, lines, packing, quality, simhash, substrings
 from docquarry.llm.tables import read
 
 
@@ -37,11 +37,22 @@ def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
+def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of the opening quarter, the middle and the closing quarter of each document."""
+    size = F.char_length(F.coalesce("text", F.lit("")))
+    edges = [F.lit(0), F.floor(size / 4), size - F.floor(size / 4), size]
+    parts = [
+        F.struct(F.lit(name).alias("section"), a.cast("int").alias("start"), b.cast("int").alias("end"))
+        for name, a, b in zip(("opening", "middle", "closing"), edges, edges[1:])
+    ]
+    return attribution.token_counts(read(spark, sf, "documents"), F.array(*parts), rule="most")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_brown_scores, op2_best_fit_packing, op3_substring_dedup, op4_benchmark_decontamination, op6_line_dedup, op7_quality_classifier, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_brown_scores, op2_best_fit_packing, op3_substring_dedup, op4_benchmark_decontamination, op6_line_dedup, op7_quality_classifier, op9_token_counts, op10_simhash_near_dedup)
 }
