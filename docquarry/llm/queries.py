@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import attribution, brown, contamination, lines, packing, quality, simhash, substrings
+from docquarry.llm import attribution, brown, contamination, licenses, lines, packing, quality, simhash, substrings
 from docquarry.llm.tables import read
 
 
@@ -28,6 +28,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.contained_items(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
+def op5_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(read(spark, sf, "documents")).drop("spans")
+
+
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = lines.without_repeated_lines(read(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -54,5 +58,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_brown_scores, op2_best_fit_packing, op3_substring_dedup, op4_benchmark_decontamination, op6_line_dedup, op7_quality_classifier, op9_token_counts, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_brown_scores, op2_best_fit_packing, op3_substring_dedup, op4_benchmark_decontamination, op5_license_scan, op6_line_dedup, op7_quality_classifier, op9_token_counts, op10_simhash_near_dedup)
 }
