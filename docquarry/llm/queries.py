@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import attribution, brown, contamination, licenses, lines, packing, quality, simhash, substrings
+from docquarry.llm import attribution, brown, contamination, editprint, licenses, lines, packing, quality, simhash, substrings
 from docquarry.llm.tables import read
 
 
@@ -41,6 +41,10 @@ def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return editprint.edited_fingerprints(read(spark, sf, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of the opening quarter, the middle and the closing quarter of each document."""
     size = F.char_length(F.coalesce("text", F.lit("")))
@@ -58,5 +62,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_brown_scores, op2_best_fit_packing, op3_substring_dedup, op4_benchmark_decontamination, op5_license_scan, op6_line_dedup, op7_quality_classifier, op9_token_counts, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_brown_scores, op2_best_fit_packing, op3_substring_dedup, op4_benchmark_decontamination, op5_license_scan, op6_line_dedup, op7_quality_classifier, op8_document_fingerprints, op9_token_counts, op10_simhash_near_dedup)
 }
