@@ -1,7 +1,9 @@
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import check, connect
+from docquarry.plans.catalog import QUERIES
+from docquarry.plans.oracles import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -10,10 +12,10 @@ def connection(small):
 
 
 def test_every_query_has_its_statement():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_its_statement(spark, connection, small, name):
     assert check(spark, connection, small, name) is None
 
