@@ -95,7 +95,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
         worded.select("doc_id", F.lit(length).alias("length"), F.explode(_hashes(F.col("w"), length)).alias("hash")).filter(F.col("hash") <= bound)
         for length, bound in sorted(most.items())
     ]
-    empty = texts.sparkSession.createDataFrame([], "doc_id long, length int, hash long")
+    none = texts.sparkSession.range(0)
+    empty = none.selectExpr("id AS doc_id", "0 AS length", "id AS hash")
     found = _union(low, empty).join(_sized(sketch.select("item_id", "length", "hash"), 32), ["length", "hash"])
     candidates = kept(found.select("doc_id", "item_id").distinct(), "candidates")
 
@@ -106,7 +107,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
         for length in sorted(most)
     ]
     wanted = shingles.select("item_id", "length", "text", "n")
-    empty = texts.sparkSession.createDataFrame([], "doc_id long, length int, text string")
+    empty = none.selectExpr("id AS doc_id", "0 AS length", "'' AS text")
     hits = _union(spelled, empty).join(_sized(wanted, 128), ["length", "text"]).join(candidates, ["doc_id", "item_id"], "left_semi")
     held = hits.select("doc_id", "item_id", "n", "text").distinct().groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_found"))
     return held.filter(F.col("n_found") >= F.ceil(F.col("n") * threshold - 1e-9)).select(
@@ -114,9 +115,11 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
 
 def _union(frames: list[DataFrame], empty: DataFrame) -> DataFrame:
-    for frame in frames:
-        empty = frame if empty is None else empty.union(frame)
-    return empty
+    """All frames in one; ``empty`` if there is none."""
+    found = frames[0] if frames else empty
+    for frame in frames[1:]:
+        found = found.union(frame)
+    return found
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

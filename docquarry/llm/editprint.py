@@ -8,7 +8,7 @@ distance. Here a walk starts anew every ``BLOCK`` characters, which lets numpy
 walk thousands of blocks at once and bounds what an edit can disturb.
 
 A fingerprint samples ``SAMPLES`` bits of the embedding in each octave of the
-text (its first block, the second, the next two, the next four, ...). The
+text (its first eight characters, the next eight, the next 16, the next 32, ...). The
 positions are the same for all texts, so texts of different length compare where
 both reach. ``likeness`` is the share of equal bits, weighted by the characters
 of each octave and rescaled so that unrelated texts come to about 0 and equal
@@ -36,23 +36,23 @@ from pyspark.sql import functions as F
 from docquarry.llm.arrays import pieces
 from docquarry.llm.tables import doc_columns, groups_for
 
-BLOCK, SAMPLES, OCTAVES = 128, 128, 40
+BLOCK, SAMPLES, OCTAVES, SHORTEST = 128, 128, 40, 8
 STEPS = 2 * BLOCK
 _RANDOM = np.random.default_rng(8)
 WALK = _RANDOM.integers(0, 2, (STEPS, 256)).astype(np.int32)
 WALK[:, 0] = 0  # symbol 0 is past the end of a text
 BITS = _RANDOM.integers(0, 2, (OCTAVES, SAMPLES, 256)).astype(np.uint8)
-AT_STEP = _RANDOM.integers(0, STEPS, (OCTAVES, SAMPLES))
-FIRST_BLOCK = np.array([0] + [1 << i for i in range(OCTAVES - 1)])
-AT_BLOCK = FIRST_BLOCK[:, None] + (_RANDOM.random((OCTAVES, SAMPLES)) * np.maximum(FIRST_BLOCK, 1)[:, None]).astype(np.int64)
-AT_CHAR = AT_BLOCK * BLOCK + AT_STEP // 2
+FIRST_CHAR = np.array([0] + [SHORTEST << i for i in range(OCTAVES - 1)])
+WIDTH = np.maximum(FIRST_CHAR, SHORTEST)
+# a walk takes two steps for a character on average
+_PLACE = 2 * FIRST_CHAR[:, None] + (_RANDOM.random((OCTAVES, SAMPLES)) * 2 * WIDTH[:, None]).astype(np.int64)
+AT_BLOCK, AT_STEP, AT_CHAR = _PLACE // STEPS, _PLACE % STEPS, _PLACE // 2
 _LANES = 1 << 14
 
 
 def octaves(chars: np.ndarray) -> np.ndarray:
     """How many octaves a text of so many characters reaches."""
-    blocks = np.maximum(-(-chars // BLOCK), 1)
-    return np.where(blocks == 1, 1, 2 + np.floor(np.log2(np.maximum(blocks - 1, 1))).astype(np.int64))
+    return np.searchsorted(FIRST_CHAR, np.maximum(chars, 1), "left")
 
 
 def walks(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -105,7 +105,7 @@ def likeness(a: np.ndarray, b: np.ndarray, chars: int) -> float:
         return 1.0
     count = len(a)
     valid = AT_CHAR[:count] < chars
-    begin = FIRST_BLOCK[:count] * BLOCK
+    begin = FIRST_CHAR[:count]
     weight = np.minimum(np.r_[begin[1:], chars], chars) - np.minimum(begin, chars)
     seen = valid.sum(1)
     weight = np.where(seen > 0, weight, 0)

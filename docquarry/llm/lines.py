@@ -140,22 +140,23 @@ def without_repeated_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFra
     new = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("keep", T.BinaryType())])
     base = docs.select([c for c in docs.columns if c not in new.names])
     schema = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in base.schema] + new.fields)
-    lost = drop_bitmaps(base, shortest).select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"), "drops")
+    lost = drop_bitmaps(base, shortest).select(
+        F.col("doc_id").alias("_llm_doc"), F.col("tag").alias("_llm_tag"), F.col("drops").alias("_llm_drops"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = base.withColumn("text", text).join(
-        lost, (F.col("doc_id").cast("long") == F.col("_d")) & (F.crc32(text) == F.col("_t")), "left").drop("_d", "_t")
+        lost, (F.col("doc_id").cast("long") == F.col("_llm_doc")) & (F.crc32(text) == F.col("_llm_tag")), "left").drop("_llm_doc", "_llm_tag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces(batches):
             texts, counts, dropped, keeps = [], [], [], []
-            for text, bitmaps in zip(table.column("text").to_pylist(), table.column("drops").to_pylist()):
+            for text, bitmaps in zip(table.column("text").to_pylist(), table.column("_llm_drops").to_pylist()):
                 lines = text.split(b"\n")
                 keep = ~unpacked(bitmaps or [], len(lines))
                 texts.append(text if keep.all() else b"\n".join([x for x, k in zip(lines, keep.tolist()) if k]))
                 counts.append(len(lines))
                 dropped.append(len(lines) - int(keep.sum()))
                 keeps.append(zlib.compress(np.packbits(keep).tobytes(), 1))
-            out = table.drop(["drops"])
+            out = table.drop(["_llm_drops"])
             out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
             for name, values, kind in (("n_lines", counts, pa.int64()), ("n_dropped", dropped, pa.int64()), ("keep", keeps, pa.binary())):
                 out = out.append_column(name, pa.array(values, kind))
