@@ -89,6 +89,6 @@ def accept_feedback(submitted: DataFrame) -> DataFrame:
     return submitted.filter(F.col("vote").isin(*VOTES) & given)
 
 
-def append_log(events: DataFrame, path: str, batch_id: int) -> None:
-    """Append one batch; writing the same batch again replaces it."""
-    events.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def append_log(events: DataFrame, path: str, batch_id: int, writer: str = "batch") -> None:
+    """Append one batch of a writer; writing the same batch again replaces it, and no other writer's."""
+    events.write.mode("overwrite").parquet(f"{path}/writer={writer}/batch_id={batch_id}")

@@ -37,7 +37,7 @@ def _unscoped(queries: DataFrame) -> DataFrame:
 
 def _scoped(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     doc_type = chunks.schema["doc_id"].dataType
-    return queries.select("query_id", F.col("scope").cast(doc_type).alias("scope"), "embedding")
+    return queries.select("query_id", F.col("scope").try_cast(doc_type).alias("scope"), "embedding")
 
 
 def _score(

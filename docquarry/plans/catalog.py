@@ -204,9 +204,9 @@ def upsert_latest(spark, sf):
 
 
 def delete_documents(spark, sf):
-    """Small documents are deleted between the two uploads."""
-    small = vector_chunks(spark, sf).groupBy("doc_id").count().filter("count < 50")
-    tombstones = small.select("doc_id", F.lit(1).cast("bigint").alias("batch_id"))
+    """Every third document is deleted between the two uploads."""
+    gone = vector_chunks(spark, sf).select("doc_id").distinct().filter("doc_id % 3 = 0")
+    tombstones = gone.select("doc_id", F.lit(1).cast("bigint").alias("batch_id"))
     return store.latest_chunks(store.without_deleted(_versions(spark, sf), tombstones))
 
 
@@ -216,13 +216,13 @@ def compact_store(spark, sf):
     path = work_dir(spark, "store")
     rows = vector_chunks(spark, sf).withColumn("text", F.lit("first"))
     again = rows.filter(F.col("embedding")[0] > 0).withColumn("text", F.lit("second"))
-    small = rows.groupBy("doc_id").count().filter("count < 50")
+    gone = rows.select("doc_id").distinct().filter("doc_id % 3 = 0")
     store.save_chunks(rows, f"{path}/old", 0, buckets=4, gather=True)
-    store.delete_documents(small, f"{path}/old", 1)
+    store.delete_documents(gone, f"{path}/old", 1)
     store.save_chunks(again, f"{path}/old", 2, buckets=4, gather=True)
     store.compact(spark, f"{path}/old", f"{path}/new", 3, buckets=4)
     return store.read_chunks(spark, f"{path}/new").select(
-        "doc_id", "chunk_index", "text", F.size("embedding").cast("bigint").alias("dim"), "batch_id"
+        "doc_id", "chunk_index", "text", F.size("embedding").cast("bigint").alias("dim")
     )
 
 
@@ -253,14 +253,15 @@ def topk_per_document(spark, sf):
 
 def scoped_topk(spark, sf):
     """Each centroid asked twice: in its document, and with a blank scope over
-    the registered documents (those of 50 chunks or more)."""
+    the registered documents, two in three. A scope that names no document gets no hits."""
     asked = centroid_queries(spark, sf)
     inside = asked.select(F.concat(F.lit("in-"), "query_id").alias("query_id"),
                           F.concat(F.lit(" "), F.col("scope").cast("string")).alias("scope"), "embedding")
     everywhere = asked.select(F.concat(F.lit("all-"), "query_id").alias("query_id"), F.lit(" ").alias("scope"), "embedding")
     chunks = vector_chunks(spark, sf)
-    registered = chunks.groupBy("doc_id").count().filter("count >= 50").select("doc_id")
-    return retrieval.scoped_top_k(inside.unionByName(everywhere), chunks, registered)
+    registered = chunks.select("doc_id").distinct().filter("doc_id % 3 <> 0")
+    nowhere = asked.select(F.concat(F.lit("no-"), "query_id").alias("query_id"), F.lit("no such document").alias("scope"), "embedding")
+    return retrieval.scoped_top_k(inside.unionByName(everywhere).unionByName(nowhere), chunks, registered)
 
 
 def answer_sources(spark, sf):
@@ -295,7 +296,6 @@ def store_prompts(spark, sf):
     questions from the store's registered documents."""
     path = f"{work_dir(spark, 'library')}/store"
     store.save_chunks(embedded_documents(uploads(spark, sf), buckets=8), path, 0, buckets=8)
-    store.write_registry(spark, path, 0)
     asked = questions(spark, sf).withColumn("scope", F.lit(None).cast("string"))
     return ask.prompts_for(asked, store.read_chunks(spark, path), store.read_registry(spark, path))
 

@@ -138,7 +138,7 @@ VERSIONS = """
       UNION ALL
       SELECT CAST(label AS BIGINT), vec_id, 'second', 2 FROM embeddings WHERE embedding[1] > 0
     )"""
-NEWEST_VERSION = "QUALIFY row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY batch_id DESC) = 1"
+NEWEST_VERSION = "QUALIFY batch_id = max(batch_id) OVER (PARTITION BY doc_id)"
 
 CHATS = "chats AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant'))"
 HISTORY = f"""
@@ -253,14 +253,14 @@ ORACLES: dict[str, str] = {
         FROM uploads JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) USING (doc_id)""",
     "delete_documents": f"""
         WITH {VERSIONS},
-        small AS (SELECT label AS doc_id FROM embeddings GROUP BY label HAVING count(*) < 50)
+        gone AS (SELECT DISTINCT label AS doc_id FROM embeddings WHERE label % 3 = 0)
         SELECT doc_id, chunk_index, text, batch_id FROM versions
-        WHERE batch_id > 1 OR doc_id NOT IN (SELECT doc_id FROM small) {NEWEST_VERSION}""",
+        WHERE batch_id > 1 OR doc_id NOT IN (SELECT doc_id FROM gone) {NEWEST_VERSION}""",
     "compact_store": f"""
         WITH {VERSIONS},
-        small AS (SELECT label AS doc_id FROM embeddings GROUP BY label HAVING count(*) < 50)
-        SELECT doc_id, chunk_index, text, CAST(64 AS BIGINT) AS dim, CAST(3 AS BIGINT) AS batch_id
-        FROM (SELECT * FROM versions WHERE batch_id > 1 OR doc_id NOT IN (SELECT doc_id FROM small) {NEWEST_VERSION})""",
+        gone AS (SELECT DISTINCT label AS doc_id FROM embeddings WHERE label % 3 = 0)
+        SELECT doc_id, chunk_index, text, CAST(64 AS BIGINT) AS dim
+        FROM (SELECT * FROM versions WHERE batch_id > 1 OR doc_id NOT IN (SELECT doc_id FROM gone) {NEWEST_VERSION})""",
     "cosine_scores": f"WITH {VECTORS} SELECT query_id, doc_id, chunk_index, score FROM scored WHERE query_id = doc_id",
     "topk_in_document": f"""
         WITH {VECTORS}
@@ -276,7 +276,7 @@ ORACLES: dict[str, str] = {
         FROM scored QUALIFY rank <= 3""",
     "scoped_topk": f"""
         WITH {VECTORS},
-        registered AS (SELECT doc_id FROM vecs GROUP BY doc_id HAVING count(*) >= 50),
+        registered AS (SELECT DISTINCT doc_id FROM vecs WHERE doc_id % 3 <> 0),
         pool AS (
           SELECT 'in-' || query_id AS query_id, doc_id, chunk_index, score FROM scored WHERE query_id = doc_id
           UNION ALL

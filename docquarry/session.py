@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,10 +43,11 @@ def spread(df: DataFrame) -> DataFrame:
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, the folder all nodes share.
 
-    Only when the setting is missing, as in a plain local run, is a temporary
-    folder used.
+    Only a local session may go without the setting, and gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         base = tempfile.mkdtemp(prefix="docquarry-")
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")

@@ -7,7 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docquarry.operators.embedding import ModelFactory
 from docquarry.plans.ingest import embedded_documents
-from docquarry.sources.store import DOC_BUCKETS, save_chunks
+from docquarry.sources.store import save_chunks
+from docquarry.streaming.writers import writer_of
 
 
 def start_ingest(
@@ -15,17 +16,18 @@ def start_ingest(
     store_path: str,
     checkpoint: str,
     model: ModelFactory | None = None,
-    buckets: int = DOC_BUCKETS,
+    buckets: int | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start a query from a streaming ``docs`` table into the store.
 
-    The micro-batch number is the store's batch id: a batch replayed after a
-    failure replaces its own rows.
+    Batches are named by the checkpoint's writer id and the micro-batch number: one
+    replayed after a failure replaces its own rows, and no others.
     """
+    writer = writer_of(docs.sparkSession, checkpoint)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        save_chunks(embedded_documents(batch, model, buckets=buckets), store_path, batch_id, buckets)
+        save_chunks(embedded_documents(batch, model, buckets=buckets), store_path, batch_id, buckets, writer=writer)
 
     return (
         docs.writeStream.foreachBatch(add)

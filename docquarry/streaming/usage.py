@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docquarry.operators.logs import append_log, usage_summary
+from docquarry.streaming.writers import writer_of
 
 
 def start_usage_log(events: DataFrame, log_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Append streaming ``events(event_id, route, latency_ms, ts)`` to the log."""
+    writer = writer_of(events.sparkSession, checkpoint)
     return (
-        events.writeStream.foreachBatch(lambda batch, batch_id: append_log(batch, log_path, batch_id))
+        events.writeStream.foreachBatch(lambda batch, batch_id: append_log(batch, log_path, batch_id, writer))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

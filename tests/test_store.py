@@ -43,10 +43,40 @@ def test_saving_a_batch_again_changes_nothing(spark, path):
     assert state(spark, path) == before
 
 
-def test_later_batch_wins_per_chunk(spark, path):
+def test_later_batch_wins_per_document(spark, path):
     store.save_chunks(embedded_documents(docs(spark, (1, "a.txt", "new", 4)), SMALL), path, 1, buckets=4)
-    now = state(spark, path)
-    assert now[(1, 0)] == ("new", 1) and now[(1, 1)][1] == 0 and now[(2, 0)] == ("two", 0)
+    assert state(spark, path) == {(1, 0): ("new", 1), (2, 0): ("two", 0)}
+
+
+def test_saving_a_batch_again_replaces_it_whole(spark, path):
+    store.save_chunks(embedded_documents(docs(spark, (1, "a.txt", "alone", 4)), SMALL), path, 0, buckets=4)
+    assert state(spark, path) == {(1, 0): ("alone", 0)}
+    assert [r.doc_id for r in store.read_registry(spark, path).collect()] == [1]
+
+
+def test_writers_do_not_share_batches(spark, path):
+    store.save_chunks(embedded_documents(docs(spark, (5, "e.txt", "five", 4)), SMALL), path, 0, buckets=4, writer="other")
+    assert {d for d, _ in state(spark, path)} == {1, 2, 5}
+    with pytest.raises(ValueError):
+        store.save_chunks(embedded_documents(docs(spark, (5, "e.txt", "five", 4)), SMALL), path, 1, buckets=8)
+    with pytest.raises(ValueError):
+        store.save_chunks(embedded_documents(docs(spark, (5, "e.txt", "five", 4)), SMALL), path, 1, writer="a/b")
+
+
+def test_an_unfinished_batch_is_not_read(spark, path):
+    rows = embedded_documents(docs(spark, (5, "e.txt", "five", 4)), SMALL).withColumn("doc_bucket", F.lit(0))
+    rows.write.partitionBy("doc_bucket").parquet(f"{path}/chunks/batch_id=9")
+    assert {d for d, _ in state(spark, path)} == {1, 2}
+
+
+def test_many_dead_versions_join_only_their_batches(spark, path, monkeypatch):
+    store.save_chunks(embedded_documents(docs(spark, (1, "a.txt", "new", 4)), SMALL), path, 1, buckets=4)
+    store.save_chunks(embedded_documents(docs(spark, (7, "g.txt", "seven", 4)), SMALL), path, 2, buckets=4)
+    want = state(spark, path)
+    dead = spark.createDataFrame([(1, 0)], "doc_id long, batch_id long")
+    chunks = spark.read.parquet(f"{path}/chunks").withColumn("batch_id", F.col("batch_id").cast("long"))
+    rows = store.without_dead(chunks, dead, broadcast_bytes=0)
+    assert {(r.doc_id, r.chunk_index): (r.text, r.batch_id) for r in rows.collect()} == want
 
 
 def test_delete_and_write_again(spark, path):
@@ -65,11 +95,11 @@ def test_compaction_keeps_the_live_rows(spark, path, tmp_path):
     store.compact(spark, path, new_path, 7, buckets=4)
     before = {k: v[0] for k, v in state(spark, path).items()}
     assert {k: v[0] for k, v in state(spark, new_path).items()} == before
-    assert {v[1] for v in state(spark, new_path).values()} == {7}
+    assert {v[1] for v in state(spark, new_path).values()} == {0}
 
 
 def test_one_document_reads_one_bucket(spark, path):
-    rows = store.read_documents(spark, path, [1], buckets=4)
+    rows = store.read_documents(spark, path, [1])
     assert {r.doc_id for r in rows.collect()} == {1} and rows.count() == 3
     plan = rows._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.split("\n") if "FileScan" in line]
@@ -97,19 +127,21 @@ def test_bucket_is_stable(spark):
     assert row.a == row.b and 0 <= row.a < store.DOC_BUCKETS
 
 
-def test_registry_table_keeps_versions(spark, path):
-    store.write_registry(spark, path, 0)
+def test_registry_follows_saves_and_deletes(spark, path):
+    def listed():
+        return {r.doc_id: (r.file_name, r.chunk_count) for r in store.read_registry(spark, path).collect()}
+
+    assert listed() == {1: ("a.txt", 3), 2: ("b.txt", 1)}
     store.delete_documents(spark.createDataFrame([(2,)], "doc_id long"), path, 1)
-    store.write_registry(spark, path, 1)
-    rows = store.read_registry(spark, path)
-    assert [(r.doc_id, r.file_name, r.chunk_count) for r in rows.collect()] == [(1, "a.txt", 3)]
-    assert "batch_id" not in rows.columns
+    assert listed() == {1: ("a.txt", 3)}
+    store.save_chunks(embedded_documents(docs(spark, (1, "n.txt", "new", 4), (2, "b.txt", "again", 5)), SMALL), path, 2, buckets=4)
+    assert listed() == {1: ("n.txt", 1), 2: ("b.txt", 1)}
+    plan = store.read_registry(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "/chunks" not in plan and "embedding" not in plan
 
 
 def test_deleting_nothing_and_everything(spark, path):
     store.delete_documents(spark.createDataFrame([], "doc_id long"), path, 1)
     assert set(d for d, _ in state(spark, path)) == {1, 2}
-    store.write_registry(spark, path, 1)
     store.delete_documents(spark.createDataFrame([(1,), (2,)], "doc_id long"), path, 2)
-    store.write_registry(spark, path, 2)
     assert state(spark, path) == {} and store.read_registry(spark, path).count() == 0

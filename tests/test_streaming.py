@@ -38,6 +38,27 @@ def test_streamed_ingest_equals_batch(spark, small, tmp_path):
     assert got.select(columns).exceptAll(want.select(columns)).count() == 0
 
 
+def test_stream_leaves_stored_documents_alone(spark, small, tmp_path):
+    """A stream with a new checkpoint, and one whose checkpoint was lost, add to the store."""
+    path, model = str(tmp_path / "store"), embedding.HashedTerms(16)
+    docs = catalog.uploads(spark, small)
+    store.save_chunks(embedded_documents(docs.filter("doc_id < 20"), model), path, 0, buckets=4)
+    for number, part in enumerate((docs.filter("doc_id >= 20 AND doc_id < 40"), docs.filter("doc_id >= 40 AND doc_id < 60"))):
+        files_of(part, str(tmp_path / f"in{number}"), "doc_id", 1)
+        start_ingest(stream_of(spark, docs, str(tmp_path / f"in{number}")), path, str(tmp_path / f"cp{number}"), model).awaitTermination()
+    want = {r.doc_id for r in embedded_documents(docs.filter("doc_id < 60"), model).select("doc_id").distinct().collect()}
+    assert {r.doc_id for r in store.read_chunks(spark, path).select("doc_id").distinct().collect()} == want
+    assert {r.doc_id for r in store.read_registry(spark, path).collect()} == want
+
+
+def test_two_usage_streams_share_a_log(spark, small, tmp_path):
+    events = catalog.usage_events(spark, small)
+    for number, part in enumerate((events.filter("event_id % 2 = 0"), events.filter("event_id % 2 = 1"))):
+        files_of(part, str(tmp_path / f"in{number}"), "event_id", 1)
+        start_usage_log(stream_of(spark, events, str(tmp_path / f"in{number}")), str(tmp_path / "log"), str(tmp_path / f"cp{number}")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "log")).count() == events.count()
+
+
 def test_live_usage_equals_batch(spark, small, tmp_path):
     events = catalog.usage_events(spark, small)
     files_of(events, str(tmp_path / "in"), "event_id", 4)
