@@ -32,6 +32,7 @@ from docquarry.llm.arrays import LOWER, document_of, pieces, text_bytes, whole_w
 from docquarry.llm.tables import doc_columns
 
 RUN, NEAR, COVER = 4, 6, 0.8
+PIECE = 1 << 20  # bytes of text at a time: every word becomes a row
 BREAKS = np.zeros(256, bool)
 BREAKS[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
@@ -72,7 +73,7 @@ def _runs(length: int):
     """(doc_id, place, hash) of every run of words of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in pieces(batches):
+        for table in pieces(batches, size=PIECE):
             words, first = words_from(*text_bytes(table.column("text")))
             at = whole_windows(first, length)
             owner = document_of(first)[at]
@@ -144,7 +145,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, length: int = RU
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("share", pa.float64())]))
-        for table in pieces(batches):
+        for table in pieces(batches, size=PIECE):
             words, first = words_from(*text_bytes(table.column("text")))
             n = table.num_rows
             count, begin, stop = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
