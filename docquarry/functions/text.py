@@ -1,14 +1,14 @@
 """Text shaping: line ends, trimming, file extensions and the chunk splitter.
 
-Offsets and lengths count Unicode code points, as Spark's own string functions
-do. Texts without characters above U+FFFF (surrogate pairs) give the same
-pieces as an engine that counts UTF-16 units.
+Offsets and lengths of chunks count UTF-16 units, so a character above U+FFFF
+counts twice; one that a chunk's end cuts in two is replaced by U+FFFD on both sides.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,6 +80,39 @@ def window_spans(text: str, chunk_size: int, overlap: int):
         start = max(stop - overlap, start + 1)
 
 
+def utf16_units(text: str) -> str:
+    """The text with one character per UTF-16 unit."""
+    if text.isascii() or max(text) <= "\uffff":
+        return text
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
+    return units.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def pieces_of(text: str | None, chunk_size: int, overlap: int) -> list[str]:
+    """The chunks of one normalised text."""
+    units = utf16_units(text or "")
+    found = []
+    for start, stop in window_spans(units, chunk_size, overlap):
+        piece = units[start:stop]
+        if units is not text:
+            piece = piece.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+        piece = piece.strip(TRIM_CHARS)
+        if piece:
+            found.append(piece)
+    return found
+
+
+def count_pieces(chunk_size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
+    """Arrow-batched UDF: how many chunks a normalised text gives; 0 for null."""
+    check_chunk_options(chunk_size, overlap)
+
+    @F.arrow_udf(T.LongType())
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array([len(pieces_of(text, chunk_size, overlap)) for text in texts.to_pylist()], pa.int64())
+
+    return count
+
+
 def split_pieces(chunk_size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
     """Arrow-batched UDF: normalised text to the ordered array of its chunks.
 
@@ -90,15 +123,7 @@ def split_pieces(chunk_size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def pieces(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
-            found = []
-            for start, stop in window_spans(text or "", chunk_size, overlap):
-                piece = text[start:stop].strip(TRIM_CHARS)
-                if piece:
-                    found.append(piece)
-            out.append(found)
-        return pa.array(out, type=pa.list_(pa.string()))
+        return pa.array([pieces_of(text, chunk_size, overlap) for text in texts.to_pylist()], type=pa.list_(pa.string()))
 
     return pieces
 
@@ -108,7 +133,7 @@ def split_pieces_native(text: Column, chunk_size: int = CHUNK_SIZE, overlap: int
 
     Slower than the UDF (the fold over candidate positions is interpreted), so
     it serves clusters without Python workers and as a cross-check in tests.
-    Expects normalised text.
+    Expects normalised text. Counts code points: the same up to U+FFFF.
     """
     check_chunk_options(chunk_size, overlap)
     shortest = math.floor(chunk_size * BREAK_SHARE)

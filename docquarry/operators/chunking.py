@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from docquarry.functions import text as tx
 from docquarry.operators.scans import (
     LARGE_KEY_ROWS,
+    PART_BYTES,
     block_of,
     by_block,
     concat_in_order,
+    in_parts,
     large_keys,
     running_total,
 )
 
-PAGES_PER_PART = 1024
+PAGES_PER_BLOCK = 1024  # of one document in a task
 
 
 def chunk_text(
@@ -94,20 +96,21 @@ def merge_pages(
     doc_col: str = "doc_id",
     page_col: str = "page",
     text_col: str = "text",
-    pages_per_part: int = PAGES_PER_PART,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Page texts joined by a blank line, trimmed as a whole.
 
-    Rows are (document, part, text): a document below ``pages_per_part`` pages
+    Rows are (document, part, text): a document below ``part_bytes``
     is the single part 0, a longer one continues in the next parts, and the
     parts put together in order are the whole text. Blank pages before the
     first and after the last page with text fall away; a document of blank
     pages gives one empty part.
     """
     page = F.col(page_col)
+    pages = pages.withColumn(page_col, F.coalesce(page, F.lit(-1)))  # a page without a number comes first
     filled = F.when(~tx.is_blank(F.col(text_col)), page)
     blocked = by_block(
-        pages.select(doc_col, page_col, text_col, block_of(page, pages_per_part).alias("_block")), [doc_col], "_block"
+        pages.select(doc_col, page_col, text_col, block_of(page, PAGES_PER_BLOCK).alias("_block")), [doc_col], "_block"
     )
     whole = Window.partitionBy(doc_col)
     ends = (
@@ -125,14 +128,13 @@ def merge_pages(
     text = F.when(page == F.col("_first"), F.ltrim(text, chars)).otherwise(text)
     text = F.when(page == F.col("_last"), F.rtrim(text, chars)).otherwise(text)
     joint = F.when(page > F.col("_first"), F.lit("\n\n")).otherwise(F.lit(""))
-    part = F.col("_block") - block_of(F.col("_first"), pages_per_part)
     lines = (
         blocked.join(ends, [doc_col, "_block"])
         .filter(page.between(F.col("_first"), F.col("_last")))
-        .select(doc_col, "_block", page_col, part.alias("part"), F.concat(joint, text).alias("_line"))
+        .select(doc_col, page_col, F.concat(joint, text).alias("_line"))
     )
-    merged = concat_in_order(lines, [doc_col, "_block", "part"], page_col, "_line", "", text_col)
-    return merged.drop("_block")
+    placed = in_parts(lines, [doc_col], page_col, "_line", part_bytes)
+    return concat_in_order(placed, [doc_col, "part"], page_col, "_line", "", text_col)
 
 
 def chunk_counts(chunks: DataFrame, doc_col: str = "doc_id") -> DataFrame:
@@ -163,6 +165,8 @@ def ingest_gate(
     readable = F.col(text_col).isNotNull()
     if readable_col:
         readable = readable & F.coalesce(F.col(readable_col), F.lit(False))
+    # only texts that pass the other checks are split
+    wanted = tx.has_supported_extension(F.col(name_col)) & readable
     facts = docs.select(
         doc_col,
         name_col,
@@ -170,7 +174,7 @@ def ingest_gate(
         tx.has_supported_extension(F.col(name_col)).alias("_supported"),
         readable.alias("_readable"),
         tx.is_blank(F.col(text_col)).alias("_blank"),
-        *([] if chunks is not None else [F.size(tx.split_pieces()(tx.normalize_text(F.col(text_col)))).alias("chunk_count")]),
+        *([] if chunks is not None else [tx.count_pieces()(F.when(wanted, tx.normalize_text(F.col(text_col)))).alias("chunk_count")]),
     )
     if chunks is not None:
         facts = facts.join(chunk_counts(chunks, doc_col), doc_col, "left")

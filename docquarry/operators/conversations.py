@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.json import is_strict_json
 from docquarry.operators.prompts import CHAT_ROLES
-from docquarry.operators.scans import LARGE_KEY_ROWS, block_of, concat_in_order, large_keys, previous_row
+from docquarry.operators.scans import LARGE_KEY_ROWS, PART_BYTES, concat_in_order, in_parts, large_keys, previous_row
 
-TURNS_PER_PART = 10_000
-EVENTS_PER_PART = 10_000
+# The export's heading and speakers, and the error text of a broken stream.
+HEADING = "# Conversation export\n"
+YOU, ASSISTANT = "**You:** ", "**Assistant:** "
+INVALID_DATA_TEXT = "Chat failed."
 
 
 def chat_messages(messages: DataFrame) -> DataFrame:
@@ -49,26 +51,18 @@ def feedback_pairs(messages: DataFrame, large_key_rows: int = LARGE_KEY_ROWS) ->
     )
 
 
-def export_markdown(messages: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
+def export_markdown(messages: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Markdown of each chat as (conv_id, part, markdown).
 
-    A chat of up to ``turns_per_part`` turns is part 0; the parts of a longer
+    A chat of up to ``part_bytes`` is part 0; the parts of a longer
     one, put together in order, are the whole file.
     """
-    speaker = F.when(F.col("role") == "user", "**You:** ").otherwise("**Assistant:** ")
-    lines = messages.select(
-        "conv_id",
-        "turn",
-        block_of(F.col("turn"), turns_per_part).alias("_block"),
-        F.concat(F.lit("\n"), speaker, F.col("text"), F.lit("\n")).alias("_line"),
-    )
-    merged = concat_in_order(lines, ["conv_id", "_block"], "turn", "_line", "", "markdown")
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("_block")) - 1
-    numbered = lines.select("conv_id", "_block").distinct().select("conv_id", "_block", place.alias("part"))
-    heading = F.when(F.col("part") == 0, "# Conversation export\n").otherwise("")
-    return merged.join(numbered, ["conv_id", "_block"]).select(
-        "conv_id", F.col("part").cast("bigint").alias("part"), F.concat(heading, F.col("markdown")).alias("markdown")
-    )
+    speaker = F.when(F.col("role") == "user", YOU).otherwise(ASSISTANT)
+    lines = messages.select("conv_id", "turn", F.concat(F.lit("\n"), speaker, F.col("text"), F.lit("\n")).alias("_line"))
+    placed = in_parts(lines, ["conv_id"], "turn", "_line", part_bytes)
+    merged = concat_in_order(placed, ["conv_id", "part"], "turn", "_line", "", "markdown")
+    heading = F.when(F.col("part") == 0, HEADING).otherwise("")
+    return merged.select("conv_id", "part", F.concat(heading, F.col("markdown")).alias("markdown"))
 
 
 def export_file_name(exported_at):
@@ -76,13 +70,14 @@ def export_file_name(exported_at):
     return F.concat(F.lit("conversation-"), F.date_format(exported_at, "yyyy-MM-dd"), F.lit(".md"))
 
 
-def write_markdown(exported: DataFrame, path: str) -> None:
-    """Text files below ``path``, one folder per chat and part.
+def write_markdown(exported: DataFrame, path: str, folders: int = 64) -> None:
+    """The exports as Parquet rows (name, part, markdown), in ``folders`` folders by chat.
 
-    The text writer ends each row with the newline that is cut off here.
+    A file per chat would be millions of them; ``name`` tells where each text belongs.
     """
-    body = F.expr("left(markdown, length(markdown) - 1)").alias("markdown")
-    exported.select("conv_id", "part", body).write.mode("overwrite").partitionBy("conv_id", "part").text(path)
+    name = F.concat(F.lit("conversation-"), F.col("conv_id").cast("string"), F.lit(".md"))
+    rows = exported.select(name.alias("name"), "part", "markdown", F.pmod(F.xxhash64("conv_id"), F.lit(folders)).alias("folder"))
+    rows.repartition("folder").sortWithinPartitions("folder", "name", "part").write.mode("overwrite").partitionBy("folder").parquet(path)
 
 
 # A line ends at any of these characters; the class spells out what "." and
@@ -90,63 +85,56 @@ def write_markdown(exported: DataFrame, path: str) -> None:
 _LINE = r"[^\n\r\u2028\u2029]+"
 _EVENT = rf"(?:^|[\n\r\u2028\u2029])event: ({_LINE})"
 _DATA = rf"(?:^|[\n\r\u2028\u2029])data: ({_LINE})"
-INVALID_DATA_TEXT = "Chat failed."
 
 
 def parse_stream_log(log: DataFrame) -> DataFrame:
-    """(request_id, seq, event, data) of the records that have both lines."""
-    return log.select(
-        "request_id",
-        "seq",
-        F.regexp_extract("raw", _EVENT, 1).alias("event"),
-        F.regexp_extract("raw", _DATA, 1).alias("data"),
-    ).filter((F.col("event") != "") & (F.col("data") != ""))
+    """(request_id, seq, event, data); both are null for a record without both lines."""
+    event, data = F.regexp_extract("raw", _EVENT, 1), F.regexp_extract("raw", _DATA, 1)
+    usable = (event != "") & (data != "")
+    return log.select("request_id", "seq", F.when(usable, event).alias("event"), F.when(usable, data).alias("data"))
 
 
 def replay_requests(log: DataFrame) -> DataFrame:
     """One row per request: ``failed``, ``error``, ``sources`` (JSON), ``deltas``.
 
-    The last sources and the last error win. A record whose data is not JSON
-    fails the request where it stands, as a reader would.
+    The last sources and the last error win; an error without a text fails nothing. A
+    record whose data is not JSON fails the request where it stands, as a reader would. A request of unusable
+    records alone has an empty answer.
     """
-    events = parse_stream_log(log).withColumn("_valid", is_strict_json(F.col("data")))
+    events = parse_stream_log(log).withColumn("_valid", F.when(F.col("data").isNotNull(), is_strict_json(F.col("data"))))
     is_error = F.col("_valid") & (F.col("event") == "error")
     is_sources = F.col("_valid") & (F.col("event") == "sources")
+    text = F.coalesce(F.get_json_object("data", "$.error"), F.lit(""))
     summary = events.groupBy("request_id").agg(
-        F.bool_or(~F.col("_valid")).alias("_broken"),
-        F.bool_or(is_error).alias("_error"),
-        F.max_by(F.when(is_error, F.get_json_object("data", "$.error")), F.when(is_error, F.col("seq"))).alias("_text"),
+        F.coalesce(F.bool_or(~F.col("_valid")), F.lit(False)).alias("_broken"),
+        F.coalesce(F.max_by(F.when(is_error, text), F.when(is_error, F.col("seq"))), F.lit("")).alias("_text"),
         F.max_by(F.when(is_sources, F.get_json_object("data", "$.sources")),
                  F.when(is_sources, F.col("seq"))).alias("sources"),
         F.count_if(F.col("_valid") & (F.col("event") == "delta")).alias("deltas"),
     )
     return summary.select(
         "request_id",
-        (F.col("_broken") | F.col("_error")).alias("failed"),
-        F.when(F.col("_broken"), INVALID_DATA_TEXT).when(F.col("_error"), F.col("_text")).alias("error"),
+        (F.col("_broken") | (F.col("_text") != "")).alias("failed"),
+        F.when(F.col("_broken"), INVALID_DATA_TEXT).when(F.col("_text") != "", F.col("_text")).alias("error"),
         "sources",
         "deltas",
     )
 
 
-def replay_answers(log: DataFrame, events_per_part: int = EVENTS_PER_PART) -> DataFrame:
+def replay_answers(log: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """(request_id, part, answer, sources) of the requests that did not fail.
 
-    Deltas are joined in order within blocks of events; an answer of up to
-    ``events_per_part`` events is part 0. A request without deltas still gives
+    Deltas are joined in order; an answer of up to ``part_bytes`` is part 0, and
+    longer ones go on in the next parts. A request without deltas still gives
     one empty part.
     """
     deltas = (
         parse_stream_log(log)
         .filter(F.col("event") == "delta")
-        .select(
-            "request_id",
-            "seq",
-            block_of(F.col("seq"), events_per_part).alias("part"),
-            F.coalesce(F.get_json_object("data", "$.delta"), F.lit("")).alias("_delta"),
-        )
+        .select("request_id", "seq", F.coalesce(F.get_json_object("data", "$.delta"), F.lit("")).alias("_delta"))
     )
-    parts = concat_in_order(deltas, ["request_id", "part"], "seq", "_delta", "", "answer")
+    placed = in_parts(deltas, ["request_id"], "seq", "_delta", part_bytes)
+    parts = concat_in_order(placed, ["request_id", "part"], "seq", "_delta", "", "answer")
     good = replay_requests(log).filter(~F.col("failed"))
     told = parts.join(good.select("request_id", "sources"), "request_id")
     silent = good.filter(F.col("deltas") == 0).select(

@@ -47,9 +47,13 @@ def _score(
     per_document: bool = False,
     newest_col: str | None = None,
     block_bytes: int = BLOCK_BYTES,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Candidates of all tasks, not yet merged.
 
+    ``buckets`` is the bucket count of a store that ``chunks`` come from: scoped
+    questions then open the buckets of their documents only.
+
     The questions are fetched first: in one go when they are few, else in
     blocks sized by a count.
     """
@@ -73,20 +77,28 @@ def _score(
         blocks = [first]
     else:
         blocks = _fetch_blocks(queries, block_bytes)
-    slim = chunks.select(*chunk_cols, "embedding").filter("doc_id IS NOT NULL AND chunk_index IS NOT NULL")
+    bucketed = ["doc_bucket"] if buckets and "doc_bucket" in chunks.columns else []
+    slim = chunks.select(*chunk_cols, "embedding", *bucketed).filter("doc_id IS NOT NULL AND chunk_index IS NOT NULL")
     parts = []
     for table in blocks:
+        names = table.column("query_id").to_pylist()
+        if len(set(names)) < len(names):
+            raise ValueError("query ids must be unique")
         scopes = set(table.column("scope").to_pylist())
         source = slim
         if None not in scopes and len(scopes) <= INLINE_SCOPES:
             # Reaches the scan: partition, file and row-group pruning.
             source = slim.filter(F.col("doc_id").isin(sorted(scopes)))
+            if bucketed:
+                kind = chunks.schema["doc_id"].dataType
+                held = {F.pmod(F.xxhash64(F.lit(s).cast(kind)), F.lit(buckets)).cast("int") for s in scopes}
+                source = source.filter(F.col("doc_bucket").isin(list(held)))
         elif None not in scopes:
             # No larger than the block; keeps other documents' vectors in the JVM.
             named = spark.createDataFrame([(s,) for s in scopes], T.StructType([chunks.schema["doc_id"]]))
             source = slim.join(F.broadcast(named), "doc_id", "left_semi")
         sent = spark.sparkContext.broadcast(table)
-        parts.append(source.mapInArrow(BlockScorer(sent, k, per_document, ties), out_schema))
+        parts.append(source.drop("doc_bucket").mapInArrow(BlockScorer(sent, k, per_document, ties), out_schema))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -113,10 +125,10 @@ def _merge(found: DataFrame, k: int, groups: list[str], newest_col: str | None)
 def cosine_scores(queries: DataFrame, chunks: DataFrame, **options) -> DataFrame:
     """Score of every chunk against the queries scoped to its document.
 
-    ``queries(query_id, scope, embedding)``; a null scope asks every chunk, so
-    leave those to the top-k forms, whose output is bounded.
+    ``queries(query_id, scope, embedding)``; a null scope scores nothing: those
+    questions are for the top-k forms, whose output is bounded.
     """
-    found = _score(_scoped(queries, chunks), chunks, k=None, **options)
+    found = _score(_scoped(queries, chunks).filter(F.col("scope").isNotNull()), chunks, k=None, **options)
     return found.select("query_id", "doc_id", "chunk_index", "score")
 
 

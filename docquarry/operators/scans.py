@@ -17,40 +17,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LARGE_KEY_ROWS = 500_000  # rows one task orders without holding up the others
-MOST_LARGE_KEYS = 100_000  # the largest ones, when there are more
 BLOCKS_PER_LARGE_KEY = 8  # at least; larger keys get more, of this share
+MOST_BLOCKS = 1024  # of one key
+MOST_CUTS = 4_000_000  # of all keys; a log has one large key per LARGE_KEY_ROWS rows at most
+PART_BYTES = 64 * 1024 * 1024  # of one concatenated text
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """Equality on keys of two aliased tables, null being a key like any other."""
+    return [F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) for key in keys]
 
 
 def large_keys(
     df: DataFrame, keys: Sequence[str], position: Column, large_key_rows: int = LARGE_KEY_ROWS
 ) -> DataFrame | None:
-    """Large keys as (keys, _low, _width): where they start and how wide their
-    blocks are in units of ``position``. None when no key is large.
+    """Large keys as (keys, _cuts): the positions where their blocks begin, so
+    that each block holds about the same number of rows wherever the rows lie.
+    None when no key is large.
 
-    One job over the keys and positions, combined before its shuffle. At most
-    ``MOST_LARGE_KEYS`` short rows come back, so the result may be broadcast.
+    One pre-aggregated job counts keys; a second takes quantiles of the positions
+    of large keys only. There is at most one large key per ``large_key_rows``
+    rows, and cuts per key shrink as keys get more, so the result may be broadcast.
     """
-    facts = df.groupBy(*keys).agg(
-        F.count("*").alias("_rows"), F.min(position).alias("_low"), F.max(position).alias("_high")
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > large_key_rows)
+    heavy = counts.collect()
+    if not heavy:
+        return None
+    spark = df.sparkSession
+    blocks = BLOCKS_PER_LARGE_KEY
+    while blocks < MOST_BLOCKS and 2 * blocks * len(heavy) <= MOST_CUTS:
+        blocks *= 2
+    share = large_key_rows / BLOCKS_PER_LARGE_KEY
+    wanted = F.least(F.greatest(F.ceil(F.col("_rows") / F.lit(share)), F.lit(BLOCKS_PER_LARGE_KEY)), F.lit(blocks)).cast("int")
+    points = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    placed = df.select(*keys, position.cast("bigint").alias("_position")).alias("l").join(
+        F.broadcast(spark.createDataFrame(heavy, counts.schema)).alias("r"), _same(df, counts, keys)
     )
-    share = F.lit(large_key_rows / BLOCKS_PER_LARGE_KEY)
-    width = F.ceil((F.col("_high") - F.col("_low") + 1) * share / F.col("_rows")).cast("bigint")
-    found = (
-        facts.filter(F.col("_rows") > large_key_rows)
-        .orderBy(F.desc("_rows"))
-        .limit(MOST_LARGE_KEYS)
-        .select(*keys, F.col("_low").cast("bigint").alias("_low"), F.greatest(width, F.lit(1)).alias("_width"))
-    )
-    rows = found.collect()
-    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
+    cuts = placed.groupBy(*[F.col(f"l.{key}").alias(key) for key in keys], "_rows").agg(
+        F.percentile_approx("_position", points, F.lit(20 * blocks)).alias("_all"))
+    chosen = F.transform(F.sequence(F.lit(1), wanted - 1), lambda i: F.get("_all", F.floor(i * blocks / wanted).cast("int") - 1))
+    found = cuts.select(*keys, F.array_sort(F.array_distinct(chosen)).alias("_cuts"))
+    return spark.createDataFrame(found.collect(), found.schema)
+
+
+def block_among(position: Column, cuts: Column) -> Column:
+    """How many cuts are below or at a position, by binary search."""
+    steps = F.array(*[F.lit(MOST_BLOCKS >> i) for i in range(MOST_BLOCKS.bit_length())])
+    search = F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= position, at + step).otherwise(at))
+    return search.cast("bigint")
 
 
 def split_large_keys(df: DataFrame, keys: Sequence[str], position: Column, large: DataFrame, only: bool = False) -> DataFrame:
     """Add ``_block``: 0, 1, ... along a large key, -1 for all other keys (or
     drop those, with ``only``)."""
-    block = F.floor((position - F.col("_low")) / F.col("_width")).cast("bigint")
-    marked = df.join(F.broadcast(large), list(keys), "inner" if only else "left")
-    return marked.withColumn("_block", F.coalesce(block, F.lit(-1).cast("bigint"))).drop("_low", "_width")
+    marked = df.withColumn("_position", position.cast("bigint")).alias("l").join(
+        F.broadcast(large).alias("r"), _same(df, large, keys), "inner" if only else "left")
+    block = F.when(F.col("_cuts").isNotNull(), block_among(F.col("_position"), F.col("_cuts"))).otherwise(F.lit(-1).cast("bigint"))
+    return marked.select("l.*", block.alias("_block")).drop("_position")
 
 
 def by_block(df: DataFrame, keys: Sequence[str], block: str) -> DataFrame:
@@ -92,13 +116,14 @@ def running_total(
         .agg(F.sum(value).alias("_total"))
         .select(*keys, "_block", F.sum("_total").over(across).alias("_carried"))
     )
-    return (
-        split_large_keys(df, keys, position, large)
-        .withColumn(name, F.sum(value).over(inside))
-        .join(carried, [*keys, "_block"], "left")
-        .withColumn(name, F.col(name) + F.coalesce("_carried", F.lit(0)))
-        .drop("_carried", "_block")
-    )
+    inner = split_large_keys(df, keys, position, large).withColumn(name, F.sum(value).over(inside))
+    return _carry(inner, carried, keys).withColumn(name, F.col(name) + F.coalesce("_carried", F.lit(0))).drop("_carried", "_block")
+
+
+def _carry(inner: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join what earlier blocks of a key carry over."""
+    on = [*_same(inner, carried, keys), F.col("l._block") == F.col("r._block")]
+    return inner.alias("l").join(carried.alias("r"), on, "left").select("l.*", "_carried")
 
 
 def previous_row(
@@ -119,19 +144,26 @@ def previous_row(
         .agg(F.max_by(row, order).alias("_last"))
         .select(*keys, "_block", F.lag("_last").over(across).alias("_carried"))
     )
-    return (
-        split_large_keys(df, keys, F.col(order), large)
-        .withColumn(name, F.lag(row).over(inside))
-        .join(carried, [*keys, "_block"], "left")
-        .withColumn(name, F.coalesce(F.col(name), F.col("_carried")))
-        .drop("_carried", "_block")
-    )
+    inner = split_large_keys(df, keys, F.col(order), large).withColumn(name, F.lag(row).over(inside))
+    return _carry(inner, carried, keys).withColumn(name, F.coalesce(F.col(name), F.col("_carried"))).drop("_carried", "_block")
 
 
 def block_of(position: Column, size: int) -> Column:
     return F.floor(position / F.lit(size)).cast("bigint")
 
 
+def in_parts(df: DataFrame, keys: Sequence[str], order: str, value: str, part_bytes: int, large_key_rows: int = LARGE_KEY_ROWS) -> DataFrame:
+    """Add ``part``: 0, 1, ... along the order, a new one for every ``part_bytes`` of ``value``.
+
+    A text below that is part 0 alone, whatever the numbers in ``order`` are. A single
+    value longer than a part leaves a gap in the numbers after it.
+    """
+    size = F.octet_length(F.col(value)).cast("bigint")
+    large = large_keys(df, keys, F.col(order), large_key_rows)
+    through = running_total(df, keys, [order], size, "_through", F.col(order), large)
+    return through.withColumn("part", F.floor(F.greatest(F.col("_through") - size, F.lit(0)) / F.lit(part_bytes)).cast("bigint")).drop("_through")
+
+
 def concat_in_order(df: DataFrame, keys: Sequence[str], order: str, value: str, separator: str, name: str) -> DataFrame:
     """One string per key: ``value`` joined in ``order``. Keys must name bounded
     groups, such as one block of a longer document."""

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.operators.scans import LARGE_KEY_ROWS, by_block, large_keys, running_total
+from docquarry.operators.scans import LARGE_KEY_ROWS, block_among, by_block, large_keys, running_total
 
 
 @dataclass(frozen=True)
@@ -68,13 +68,6 @@ def throttle_flags(
     )
 
 
-def _allowance(previous: Column, elapsed: Column, limit: Limit) -> Column:
-    """Requests the window allows at this moment, counting the previous
-    bucket's admissions by the share of it that the window still covers."""
-    share = F.lit(1.0) - elapsed / F.lit(float(limit.window_micros))
-    return F.lit(limit.requests) - F.floor(share * previous)
-
-
 def _whole_clients(df: DataFrame, client_col: str) -> DataFrame:
     """Bring each client into one partition, by an expression of its own.
 
@@ -199,8 +192,8 @@ def _replay_by_slots(
         slim.join(F.broadcast(large), client_col)
         .withColumn("_bucket", bucket)
         .withColumn("_elapsed", F.col("_at") - F.col("_bucket") * F.lit(limit.window_micros))
-        .withColumn("_slot", F.floor(F.col("_elapsed") / F.col("_width")).cast("bigint"))
-        .drop("_low", "_width")
+        .withColumn("_slot", block_among(F.col("_at"), F.col("_cuts")))
+        .drop("_cuts")
     )
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_at", id_col)).cast("bigint")
     placed = by_block(slotted, keys[:2], "_slot").withColumn("_place", place)
@@ -252,8 +245,15 @@ def admission_replay(
     batch, see ``state_after``. A request older than its client's last decision
     is decided on arrival, at the time of that decision.
     """
-    slim = requests.select(client_col, id_col, micros(F.col(ts_col)).alias("_at")).filter(F.col(client_col).isNotNull())
+    kind = requests.schema[client_col].dataType
+
+    def named(df: DataFrame) -> DataFrame:
+        """Clients as texts that tell a missing one from all others."""
+        return df.withColumn(client_col, F.coalesce(F.concat(F.lit("="), F.col(client_col).cast("string")), F.lit("")))
+
+    slim = named(requests.select(client_col, id_col, micros(F.col(ts_col)).alias("_at")))
     if state is not None:
+        state = named(state)
         last = state.select(client_col, F.col("last_at").alias("_decided"))
         slim = slim.join(last, client_col, "left").withColumn("_at", F.greatest("_at", "_decided")).drop("_decided")
     large = large_keys(slim, [client_col], F.col("_at"), large_key_rows)
@@ -264,8 +264,9 @@ def admission_replay(
         decided = _replay_in_order(ordinary, limit, client_col, id_col, state).unionByName(
             _replay_by_slots(slim, limit, client_col, id_col, state, large)
         )
+    client = F.when(F.col(client_col) != "", F.substring(F.col(client_col), 2, 2_000_000_000)).cast(kind)
     return decided.select(
-        client_col, id_col, F.timestamp_micros("_at").alias("decided_at"), "admitted",
+        client.alias(client_col), id_col, F.timestamp_micros("_at").alias("decided_at"), "admitted",
         F.col("_bucket").alias("bucket"), F.col("_previous").alias("previous"), F.col("_current").alias("current"),
     )
 
@@ -279,7 +280,8 @@ def state_after(
     after = decisions.groupBy(client_col).agg(last.alias("_last")).select(client_col, "_last.*")
     if state is None:
         return after
-    return after.unionByName(state.select(*after.columns).join(after, client_col, "left_anti"))
+    old, new = state.select(*after.columns).alias("old"), after.select(F.col(client_col).alias("_c"))
+    return after.unionByName(old.join(new, F.col(client_col).eqNullSafe(F.col("_c")), "left_anti"))
 
 
 def expire_state(state: DataFrame, newest_bucket: Column) -> DataFrame:

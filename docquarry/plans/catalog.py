@@ -487,16 +487,16 @@ def usage_stream(spark, sf):
 
 
 def request_windows(spark, sf):
-    """Requests per day and route as a stream; every closed window is kept."""
+    """Requests per day and route as a stream; the latest count of each window, open or closed."""
     path = work_dir(spark, "windows")
     events = _stream(spark, sf, "events").select(F.col("event_type").alias("route"), "ts")
     counted = requests_per_window(events, "1 day", "1 hour")
     (
-        counted.writeStream.format("parquet").outputMode("append")
-        .option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+        counted.writeStream.outputMode("update").foreachBatch(lambda batch, number: logs.append_log(batch, f"{path}/out", number))
+        .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True).start().awaitTermination()
     )
-    out = spark.read.parquet(f"{path}/out")
+    out = spark.read.parquet(f"{path}/out").groupBy("window_start", "route").agg(F.max_by("requests", "batch_id").alias("requests"))
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "route", "requests")
 
 

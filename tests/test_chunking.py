@@ -133,7 +133,7 @@ def test_merge_pages_parts_make_the_whole(spark):
                                   "doc_id long, page long, text string")
     want = "\n\n".join(texts).strip()
     assert {r.doc_id: r.text for r in chunking.merge_pages(pages).collect()} == {1: want, 2: ""}
-    parts = chunking.merge_pages(pages, pages_per_part=2).orderBy("doc_id", "part").collect()
+    parts = chunking.merge_pages(pages, part_bytes=4).orderBy("doc_id", "part").collect()
     assert "".join(r.text for r in parts if r.doc_id == 1) == want
     assert [r.part for r in parts if r.doc_id == 1] == list(range(len(parts) - 1))
 
@@ -167,3 +167,17 @@ def test_read_corpus(spark, tmp_path):
     assert {r.doc_id for r in files.collect()} == {r.doc_id for r in again.collect()}
     other = read_corpus(spark, str(tmp_path), upload_id="u2")
     assert not {r.doc_id for r in files.collect()} & {r.doc_id for r in other.collect()}
+
+
+def test_characters_above_the_plane_count_twice(spark):
+    docs = spark.createDataFrame([(1, "\U0001F600" * 500), (2, "ab" * 399 + "\U0001F600" * 3)], "doc_id long, text string")
+    found = {}
+    for r in chunking.chunk_text(docs).orderBy("doc_id", "chunk_index").collect():
+        found.setdefault(r.doc_id, []).append(r.text)
+    assert [len(t) for t in found[1]] == [400, 160]
+    assert found[2][0] == "ab" * 399 + "\U0001F600" and found[2][1].endswith("\U0001F600" * 3)
+
+
+def test_pages_without_a_number_come_first(spark):
+    pages = spark.createDataFrame([(1, 1, "b"), (1, None, "a"), (2, None, "alone")], "doc_id long, page long, text string")
+    assert {r.doc_id: r.text for r in chunking.merge_pages(pages).collect()} == {1: "a\n\nb", 2: "alone"}

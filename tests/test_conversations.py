@@ -36,11 +36,11 @@ def test_export_parts_make_the_whole(spark, tmp_path):
     want = "# Conversation export\n\n" + "\n\n".join(lines) + "\n"
     one = {(r.conv_id, r.part): r.markdown for r in cv.export_markdown(talk(spark)).collect()}
     assert one[(1, 0)] == want and set(one) == {(1, 0), (2, 0), (3, 0)}
-    parts = cv.export_markdown(talk(spark), turns_per_part=2).orderBy("conv_id", "part")
+    parts = cv.export_markdown(talk(spark), part_bytes=60).orderBy("conv_id", "part")
     assert "".join(r.markdown for r in parts.collect() if r.conv_id == 1) == want
     cv.write_markdown(cv.export_markdown(talk(spark)), str(tmp_path / "out"))
-    files = list((tmp_path / "out" / "conv_id=1" / "part=0").glob("*.txt"))
-    assert [f.read_text() for f in files] == [want]
+    written = {(r.name, r.part): r.markdown for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert written[("conversation-1.md", 0)] == want and len(written) == 3
 
 
 def test_export_file_name(spark):
@@ -61,6 +61,8 @@ def stream(spark):
         "broken": [event("delta", {"delta": "a"}), "event: delta\ndata: {oops"],
         "separator": ["event: delta\ndata: {\"delta\":\"a b\"}"],
         "empty": [event("sources", {"sources": []}), event("done", {})],
+        "garbage": ["hello", "data: {}"],
+        "soft": [event("delta", {"delta": "d"}), event("error", {"error": ""})],
         "skips": ["event: delta", "data: {}", "hello", event("other", {"delta": "z"}), "x: 1\n" + event("delta", {"delta": "c"})],
     }
     rows = [(name, i, raw) for name, records in logs.items() for i, raw in enumerate(records)]
@@ -69,11 +71,11 @@ def stream(spark):
 
 def test_replay(spark):
     for size in (1, 10_000):
-        answers = cv.replay_answers(stream(spark), events_per_part=size)
+        answers = cv.replay_answers(stream(spark), part_bytes=size)
         whole = {}
         for r in answers.orderBy("request_id", "part").collect():
             whole[r.request_id] = whole.get(r.request_id, "") + r.answer
-        assert whole == {"good": "a\nb", "empty": "", "skips": "c"}
+        assert whole == {"good": "a\nb", "empty": "", "skips": "c", "garbage": "", "soft": "d"}
     requests = {r.request_id: r for r in cv.replay_requests(stream(spark)).collect()}
     assert json.loads(requests["good"].sources) == [{"id": "x"}]
     assert requests["failed"].error == "two" and requests["failed"].failed
@@ -81,6 +83,13 @@ def test_replay(spark):
     assert requests["skips"].sources is None
 
 
+def test_parts_count_from_zero_whatever_the_numbers(spark):
+    rows = [("r", seq, event("delta", {"delta": "x"})) for seq in (10_500, 20_500, 1_700_000_000_000)]
+    log = spark.createDataFrame(rows, "request_id string, seq long, raw string")
+    assert [(r.part, r.answer) for r in cv.replay_answers(log).collect()] == [(0, "xxx")]
+    assert sorted((r.part, r.answer) for r in cv.replay_answers(log, part_bytes=2).collect()) == [(0, "xx"), (1, "x")]
+
+
 def test_replayed_messages_keep_the_question(spark):
     asked = spark.createDataFrame([("good", "q1"), ("failed", "q2")], "request_id string, question string")
     rows = cv.replayed_messages(asked, cv.replay_answers(stream(spark)).filter("request_id = 'good'")).collect()

@@ -233,3 +233,12 @@ def test_repeated_query_ids_do_not_make_a_huge_block(spark, small, monkeypatch):
     asked = spark.range(5_000).select(F.lit("same").alias("query_id"), F.array(*[F.lit(1.0).cast("float")] * 64).alias("embedding"))
     with pytest.raises(ValueError, match="unique"):
         retrieval.top_k(asked, chunks, block_bytes=400_000)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 26, 64])
+def test_repeated_question_ids_are_refused_at_any_size(spark, block_bytes):
+    vector = [1.0, 0.0]
+    chunks = spark.createDataFrame([(1, 0, vector)], "doc_id long, chunk_index long, embedding array<double>")
+    asked = spark.createDataFrame([(1, vector), (1, vector)], "query_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="unique"):
+        retrieval.top_k(asked, chunks, block_bytes=block_bytes)

@@ -133,3 +133,28 @@ def test_state_expires_after_two_windows(spark):
     state = spark.createDataFrame([("a", 5), ("b", 6), ("c", 7)], "client string, bucket long")
     kept = throttle.expire_state(state, F.lit(7))
     assert sorted(r.client for r in kept.collect()) == ["b", "c"]
+
+
+def test_burst_of_a_large_key_is_split_by_count(spark):
+    from pyspark.sql import functions as F
+
+    from docquarry.operators import scans
+
+    rows = spark.range(20_000).select(F.lit(None).cast("string").alias("k"), F.when(F.col("id") == 0, 0).otherwise(10**12 + F.col("id")).alias("at"))
+    large = scans.large_keys(rows, ["k"], F.col("at"), large_key_rows=1000)
+    sizes = [r["count"] for r in scans.split_large_keys(rows, ["k"], F.col("at"), large).groupBy("_block").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 2 * 125 and min(sizes) > 0
+
+
+@pytest.mark.parametrize("size", [3, 10_000])
+def test_requests_without_a_client_are_decided(spark, size):
+    import datetime as dt
+
+    rows = [(i, None if i % 2 else "c", dt.datetime(2024, 1, 1, 0, 0, i)) for i in range(12)]
+    asked = spark.createDataFrame(rows, "event_id long, client string, ts timestamp")
+    decided = throttle.admission_replay(asked, throttle.Limit(2, 60), large_key_rows=size).collect()
+    assert len(decided) == 12
+    for client in (None, "c"):
+        assert [r.admitted for r in sorted((d for d in decided if d.client == client), key=lambda d: d.event_id)] == [True] * 2 + [False] * 4
+    flagged = throttle.throttle_flags(asked, throttle.Limit(2, 60), large_key_rows=size)
+    assert flagged.count() == 12 and flagged.filter("throttled").count() == 8
