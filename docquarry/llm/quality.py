@@ -30,6 +30,7 @@ from docquarry.llm.arrays import document_of, mix, pieces, text_bytes, word_hash
 from docquarry.llm.tables import doc_columns, kept
 
 ACCEPT = 0.7
+PIECE = 1 << 20  # bytes of text whose statistics are taken at a time
 TO_POOLED, TO_DIAGONAL = 0.5, 0.3
 FEW_BYTES, FEW_WORDS, FEW_LINES = 20, 5, 3  # added below every share, so that a short text shows no extreme one
 _KINDS = 8
@@ -119,7 +120,7 @@ def transformed(statistics: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in pieces(batches):
+    for table in pieces(batches, size=PIECE):
         x = transformed(document_statistics(table))
         lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(STATISTICS), dtype=np.int32), pa.array(x.ravel()))
         yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), lists], ["doc_id", "x"])
@@ -216,15 +217,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -
 
 def accepted(docs: DataFrame, model: Discriminant, accept: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` whose text scores ``accept`` or more, decided row by row without a shuffle."""
+    rows = docs.withColumn("text", F.col("text").cast("string"))
 
-    @F.pandas_udf("boolean")
-    def good(texts):
-        import pandas as pd
-
-        found = [
-            model.score(transformed(document_statistics(t))) >= accept
-            for t in pieces([pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.string())], ["text"])])
-        ]
-        return pd.Series(np.concatenate(found) if found else np.zeros(0, bool))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))], ["text"])
+            good = [model.score(transformed(document_statistics(table))) >= accept for table in pieces([texts], size=PIECE)]
+            yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
 
-    return docs.filter(good(F.col("text").cast("string")))
+    return rows.mapInArrow(run, rows.schema)

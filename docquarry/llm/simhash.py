@@ -24,11 +24,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.arrays import pieces
+from docquarry.llm.arrays import LOWER, mix, pieces, text_bytes, window_hashes, word_hashes, words_in
 from docquarry.llm.components import components
 from docquarry.llm.tables import doc_columns, kept
 
 WORDS, SEED, DISTANCE = 4, 42, 4
+STAGE_WORDS, SIMILARITY, VIEWS = 5, 0.8, 4
 VOTES = 1 << 18  # shingles whose bits are counted at a time
 
 
@@ -120,11 +121,14 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     index = prints.select(bits.alias("v"), keys(False).alias("k")).select("v", "k.key")
     asks = prints.select(bits.alias("u"), keys(True).alias("k")).select("u", "k.start", "k.key")
     difference = F.col("u").bitwiseXOR(F.col("v"))
-    within = F.lit(False)
+    # of several chains that fit, the first alone reports the pair
+    within, earlier = F.lit(False), F.lit(False)
     for start in range(count):
-        within = within | ((F.col("start") == start) & _chain_within(difference, segments, start))
+        fits = _chain_within(difference, segments, start)
+        within = within | ((F.col("start") == start) & fits & ~earlier)
+        earlier = earlier | fits
     pairs = asks.alias("a").join(index.alias("i"), (F.col("a.key") == F.col("i.key")) & (F.col("u") < F.col("v")) & within)
-    return pairs.select("u", "v").distinct()
+    return pairs.select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, distance: int = DISTANCE) -> DataFrame:
@@ -140,11 +144,113 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, dista
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def _sketch(views: int):
+    """Per row: a hash of its words in order, and a fingerprint over its distinct words for each view."""
+    seeds = [np.uint64(view * 0x9E3779B97F4A7C15 % (1 << 64)) for view in range(views)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in pieces(batches):
+            data, offsets = text_bytes(table.column("text"))
+            data = LOWER[data]
+            starts, ends, first = words_in(data, offsets)
+            hashes = word_hashes(data, starts, ends)
+            keys, prints = [], []
+            for a, b in zip(first[:-1], first[1:]):
+                words = np.unique(hashes[a:b])
+                keys.append(int(window_hashes(hashes[a:b], b - a).view(np.int64)[0]) if b > a else 0)
+                prints.append([majority(mix(words ^ seed)) for seed in seeds])
+            yield pa.RecordBatch.from_arrays(
+                [table.column("doc_id").combine_chunks(), pa.array(keys, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], ["doc_id", "text_key", "prints"])
+
+    return run
+
+
+def _shingle_sets(words: int):
+    """(text_key, shingles): the distinct shingle hashes of each row; fewer words than a shingle are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in pieces(batches):
+            data, offsets = text_bytes(table.column("text"))
+            data = LOWER[data]
+            starts, ends, first = words_in(data, offsets)
+            hashes = word_hashes(data, starts, ends)
+            keys, sets = [], []
+            for a, b in zip(first[:-1], first[1:]):
+                keys.append(int(window_hashes(hashes[a:b], b - a).view(np.int64)[0]) if b > a else 0)
+                sets.append(np.unique(window_hashes(hashes[a:b], min(words, b - a))).view(np.int64) if b > a else np.zeros(0, np.int64))
+            ends_of = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends_of), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists], ["text_key", "shingles"])
+
+    return run
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of text keys whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    a = sets.select(F.col("text_key").alias("u"), F.col("shingles").alias("a"))
+    b = sets.select(F.col("text_key").alias("v"), F.col("shingles").alias("b"))
+    common = F.size(F.array_intersect("a", "b"))
+    joined = pairs.join(a, "u").join(b, "v").withColumn("common", common)
+    return joined.filter(F.col("common") >= F.lit(similarity) * (F.size("a") + F.size("b") - F.col("common")) - 1e-9).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY, views: int = VIEWS) -> DataFrame:
+    """(doc_id, component_id) of every row that has a doc_id: groups of texts whose sets of
+    ``words``-word shingles are similar, together with those that ``near_duplicates`` links.
+
+    At a similarity of 0.8 a SimHash over five-word shingles differs in too many bits for a selective
+    search, as each changed word changes five of them. Candidates come from ``views`` fingerprints over single distinct words,
+    which change little, by the same pigeonring search; they are verified by exact shingle
+    similarity. Equal fingerprints of a view are compared with one representative, and links between fingerprints by their
+    representatives, so a group of many near copies gives no more pairs than it has fingerprint links.
+    Most groups join in a first round, in which every text is compared with its smallest candidate alone.
+    """
+    texts = doc_columns(docs).filter("doc_id IS NOT NULL")
+    known = kept(texts.mapInArrow(_sketch(views), "doc_id long, text_key long, prints array<long>"), "sketches")
+    nodes = known.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("prints").alias("prints"))
+
+    def pairs_by(prints: DataFrame, label: str) -> DataFrame:
+        """Candidate pairs of ``prints(text_key, fingerprint)``: members with their representative, representatives by links."""
+        heads = kept(prints.groupBy("fingerprint").agg(F.min("text_key").alias("head")), label)
+        members = prints.join(heads, "fingerprint").filter("text_key <> head").select(F.col("head").alias("u"), F.col("text_key").alias("v"))
+        left, right = (heads.select(F.col("fingerprint").alias(c), F.col("head").alias(h)) for c, h in (("u", "a"), ("v", "b")))
+        linked = links(heads).join(left, "u").join(right, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+        return kept(members.union(linked), label)
+
+    found = [pairs_by(nodes.select("text_key", F.get("prints", F.lit(i)).alias("fingerprint")), "candidates") for i in range(views)]
+    candidates = found[0]
+    for more in found[1:]:
+        candidates = candidates.union(more)
+    candidates = kept(candidates.distinct(), "candidates")
+
+    involved = candidates.select(F.col("u").alias("text_key")).union(candidates.select("v")).distinct()
+    named = nodes.join(involved, "text_key").select(F.col("least").alias("doc_id"), "text_key")
+    sets = texts.join(named.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_shingle_sets(words), "text_key long, shingles array<long>")
+    # rows with the same doc_id may have other texts too
+    sets = kept(sets.join(named.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"]), "shingle-sets")
+
+    first = candidates.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    joined = kept(_alike(first, sets, similarity), "alike")
+    part = components(joined, "parts")
+    place = lambda c, p: part.select(F.col("u").alias(c), F.col("v").alias(p))
+    rest = candidates.join(place("u", "pu"), "u", "left").join(place("v", "pv"), "v", "left").filter(
+        F.coalesce("pu", "u") != F.coalesce("pv", "v")).select("u", "v")
+    more = _alike(rest, sets, similarity)
+
+    # what the fingerprints over word runs link belongs together as well
+    prints = kept(fingerprints(texts).join(known.select("doc_id", "text_key").distinct(), "doc_id").select("text_key", "fingerprint").distinct(), "simhash")
+    member = components(joined.union(more).union(pairs_by(prints, "simhash-links")), "groups")
+    group = F.coalesce("v", "text_key")
+    labelled = known.select("doc_id", "text_key").join(member.withColumnRenamed("u", "text_key"), "text_key", "left").select("doc_id", group.alias("part"))
+    smallest = labelled.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    return labelled.join(smallest, "part").select("doc_id", "component_id")
+
+
 def first_of_group(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id.
+    """One document of each group of ``similar_groups`` stays: the one with the smallest doc_id.
 
     Of several rows with that doc_id all stay; rows without a doc_id stay.
     """
-    groups = near_duplicates(docs, **options)
+    groups = similar_groups(docs, **options)
     lost = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(lost, "doc_id", "left_anti").select(docs.columns)

@@ -215,3 +215,28 @@ def test_edit_search_finds_an_edited_copy(spark):
     prints = {r.doc_id: r.fingerprint for r in editprint.fingerprints(docs).collect()}
     found = {r.fingerprint: r.likeness for r in editprint.edit_search(docs, docs.filter("doc_id = 1")).collect()}
     assert found[prints[1]] == 1 and found[prints[2]] >= 0.8 and prints[3] not in found
+
+
+def test_similar_groups_find_what_brute_force_finds(spark):
+    import random
+
+    source = random.Random(3)
+    texts = []
+    for i in range(120):
+        words = [f"t{source.randrange(3000)}" for _ in range(source.randrange(60, 300))]
+        if texts and i % 2:
+            words = source.choice(texts).split()
+            for _ in range(source.randrange(0, 7)):
+                words[source.randrange(len(words))] = f"n{source.randrange(9999)}"
+        texts.append(" ".join(words))
+    sets = [{" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    pairs = [(a, b) for a in range(120) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0]), (500, None), (501, "")], SCHEMA)
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert sum(found[a] == found[b] for a, b in pairs) >= 0.98 * len(pairs) and len(pairs) > 20
+    assert found[501] == 500 and None not in found
+    for i, own in found.items():
+        if own != i and i < 120:
+            assert max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(120) if j != i and found[j] == own) >= 0.6
+    kept = simhash.first_of_group(docs)
+    assert kept.filter("doc_id IS NULL").count() == 1 and kept.count() == len(set(found.values())) + 1
