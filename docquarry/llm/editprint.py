@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.arrays import pieces
-from docquarry.llm.tables import doc_columns, groups_for
+from docquarry.llm.tables import doc_columns
 
 BLOCK, SAMPLES, OCTAVES, SHORTEST = 128, 128, 40, 8
 STEPS = 2 * BLOCK
@@ -182,7 +182,8 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """(part, key, doc_id, text, peek) sorted by descending doc_id within parts, each part ending
     with a copy of the row that comes after it (``peek``); after the last row comes the first.
 
-    Texts are shuffled once. The bounds of the parts are quantiles of doc_id, as many as there are parts.
+    Texts are shuffled once. The bounds of the parts are quantiles of doc_id, as many as there are parts; with several
+    parts to a partition, partitions come out even.
     """
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     rows = doc_columns(docs).select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -200,7 +201,7 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     heads = heads.select("key", F.coalesce(F.lag("part").over(order), last).alias("part"))
     ahead = rows.join(F.broadcast(heads), "key").groupBy("part", "key", "doc_id").agg(F.max("text").alias("text"))
     both = placed.withColumn("peek", F.lit(False)).union(ahead.select("part", "key", "doc_id", "text", F.lit(True).alias("peek")))
-    return both.repartition(parts, "part").sortWithinPartitions("part", "peek", F.desc("key"), F.desc("text"))
+    return both.repartition("part").sortWithinPartitions("part", "peek", F.desc("key"), F.desc("text"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -235,7 +236,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                 yield rows_of(table)
             waiting = table.slice(table.num_rows - 1)
 
-    return in_order(docs, groups_for(docs, 4000)).mapInArrow(
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return in_order(docs, parts).mapInArrow(
         run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
