@@ -16,7 +16,7 @@ from docquarry.functions import labels, vectors
 from docquarry.functions.text import normalize_text
 from docquarry.operators import chunking, conversations, embedding, highlights, logs, prompts, retrieval, throttle
 from docquarry.plans import ask
-from docquarry.plans.ingest import embedded_documents
+from docquarry.plans.ingest import embedded_documents, embedded_pages
 from docquarry.session import spread, work_dir
 from docquarry.sources import store
 from docquarry.sources.corpus import read_table
@@ -226,6 +226,29 @@ def compact_store(spark, sf):
     )
 
 
+def registry_after_delete(spark, sf):
+    """Uploads in a written store, every fifth document deleted, every tenth of all uploaded again with a short text."""
+    path = f"{work_dir(spark, 'registry')}/store"
+    files = uploads(spark, sf)
+    store.save_chunks(chunking.chunk_text(spread(files)), path, 0, buckets=4, gather=True)
+    store.delete_documents(files.filter("doc_id % 5 = 0"), path, 1)
+    again = files.filter("doc_id % 10 = 0").withColumn("text", F.lit("again"))
+    store.save_chunks(chunking.chunk_text(again), path, 1, gather=True)
+    return store.list_documents(store.read_registry(spark, path)).select("doc_id", "file_name", stamp("uploaded_at"), "chunk_count")
+
+
+def paged_ingest(spark, sf):
+    """Conversations as paged uploads through gate, chunks, vectors and store; every fourth has an unsupported name."""
+    path = f"{work_dir(spark, 'paged')}/store"
+    pages = paged(spark, sf)
+    ending = F.when(F.col("doc_id") % 4 == 0, ".html").otherwise(".pdf")
+    names = pages.select("doc_id").distinct().select(
+        "doc_id", F.concat(F.lit("talk-"), F.col("doc_id").cast("string"), ending).alias("file_name"),
+        F.timestamp_seconds(F.lit(1_704_067_200)).alias("uploaded_at"))
+    store.save_chunks(embedded_pages(pages, names, embedding.HashedTerms(64), buckets=8), path, 0, buckets=8)
+    return store.read_chunks(spark, path).select("doc_id", "chunk_index", "page", "text", "file_name")
+
+
 def list_documents(spark, sf):
     files = uploads(spark, sf)
     chunks = chunking.chunk_text(spread(files)).withColumn("batch_id", F.lit(0).cast("bigint"))
@@ -312,6 +335,17 @@ def message_list(spark, sf):
     return prompts.message_list(latest.select("conv_id", prompt.alias("prompt")), history)
 
 
+def chat_messages(spark, sf):
+    """A whole chat request: a question, its sources from the stored documents, the chat's last
+    messages, and the message list to send. Question n is asked in chat n."""
+    path = f"{work_dir(spark, 'chat')}/store"
+    store.save_chunks(embedded_documents(uploads(spark, sf), buckets=8), path, 0, buckets=8)
+    asked = questions(spark, sf).withColumn("scope", F.lit(" "))
+    asked = ask.prompts_for(asked, store.read_chunks(spark, path), store.read_registry(spark, path))
+    history = prompts.history_window(read_table(spark, sf, "conversations"), HISTORY)
+    return prompts.message_list(asked.withColumnRenamed("query_id", "conv_id"), history)
+
+
 def validate_questions(spark, sf):
     """Every message as a question; system texts stand in for blank ones."""
     talk = read_table(spark, sf, "conversations")
@@ -520,6 +554,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "attach_vectors": attach_vectors,
     "upsert_latest": upsert_latest,
     "list_documents": list_documents,
+    "registry_after_delete": registry_after_delete,
+    "paged_ingest": paged_ingest,
     "delete_documents": delete_documents,
     "compact_store": compact_store,
     "cosine_scores": cosine_scores,
@@ -534,6 +570,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "store_prompts": store_prompts,
     "history_window": history_window,
     "message_list": message_list,
+    "chat_messages": chat_messages,
     "validate_questions": validate_questions,
     "highlight_terms": highlight_terms,
     "highlight_text": highlight_text,

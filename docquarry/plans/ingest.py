@@ -39,7 +39,19 @@ def embedded_documents(
     return embed(chunk_text(docs, chunk_size=chunk_size, overlap=overlap), model=model)
 
 
-def embedded_pages(pages: DataFrame, names: DataFrame, model: ModelFactory | None = None, **options) -> DataFrame:
+def embedded_pages(
+    pages: DataFrame,
+    names: DataFrame,
+    model: ModelFactory | None = None,
+    buckets: int | None = None,
+    files_per_bucket: int = 1,
+    **options,
+) -> DataFrame:
     """The same for paged documents: ``pages(doc_id, page, text)`` and
-    ``names(doc_id, file_name, uploaded_at)``."""
-    return embed(chunk_pages(pages, **options).join(names, "doc_id"), model=model)
+    ``names(doc_id, file_name, uploaded_at)``.
+
+    Documents without a supported name leave first; those with blank pages alone give no chunks.
+    """
+    named = names.filter(F.col("file_name").isNotNull() & tx.has_supported_extension(F.col("file_name")))
+    chunks = chunk_pages(pages.join(named.select("doc_id"), "doc_id", "left_semi"), **options).join(named, "doc_id")
+    return embed(spread_documents(chunks, buckets, files_per_bucket) if buckets else chunks, model=model)

@@ -251,6 +251,15 @@ ORACLES: dict[str, str] = {
         WITH RECURSIVE {UPLOADS}, {DOC_CHUNKS}
         SELECT doc_id, file_name, strftime(uploaded_at, {STAMP}) AS uploaded_at, n AS chunk_count
         FROM uploads JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) USING (doc_id)""",
+    "registry_after_delete": f"""
+        WITH RECURSIVE {UPLOADS}, {DOC_CHUNKS}
+        SELECT doc_id, file_name, strftime(uploaded_at, {STAMP}) AS uploaded_at,
+               CASE WHEN doc_id % 10 = 0 THEN 1 ELSE n END AS chunk_count
+        FROM uploads JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) USING (doc_id)
+        WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0""",
+    "paged_ingest": f"""
+        WITH RECURSIVE {PAGE_SOURCE}, {chunks_of('src')}
+        SELECT doc_id, chunk_index, page, text, 'talk-' || doc_id || '.pdf' AS file_name FROM chunks WHERE doc_id % 4 <> 0""",
     "delete_documents": f"""
         WITH {VERSIONS},
         gone AS (SELECT DISTINCT label AS doc_id FROM embeddings WHERE label % 3 = 0)
@@ -309,6 +318,17 @@ ORACLES: dict[str, str] = {
           SELECT conv_id, 2, 0, 'user', 'Question:' || {NL} || question || {NL} || {NL} || 'Context:' || {NL} FROM latest
         )
         SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, turn) AS position, role, content FROM lines""",
+    "chat_messages": f"""
+        WITH RECURSIVE {question_hits(f'{ALL_DOCUMENTS} WHERE {SUPPORTED}')}, {CONTEXTS}, {HISTORY},
+        prompt AS (SELECT query_id AS conv_id, prompt FROM ({PROMPTS})),
+        lines AS (
+          SELECT conv_id, 0 AS part, 0 AS turn, 'system' AS role, {text_sql(prompts.SYSTEM_PROMPT)} AS content FROM prompt
+          UNION ALL
+          SELECT conv_id, 1, turn, role, text FROM history SEMI JOIN prompt USING (conv_id)
+          UNION ALL
+          SELECT conv_id, 2, 0, 'user', prompt FROM prompt
+        )
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, turn) AS position, role, content FROM lines""",
     "validate_questions": f"""
         SELECT conv_id, turn, CASE WHEN role = 'system' THEN '' ELSE trim(text, {TRIM}) END AS question,
                CASE WHEN role = 'system' OR trim(text, {TRIM}) = '' THEN {text_sql(prompts.NO_QUESTION_TEXT)}

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docquarry.operators.embedding import ModelFactory
-from docquarry.plans.ingest import embedded_documents
+from docquarry.plans.ingest import embedded_documents, embedded_pages
 from docquarry.sources.store import save_chunks
 from docquarry.streaming.writers import writer_of
 
@@ -21,13 +22,20 @@ def start_ingest(
 ) -> StreamingQuery:
     """Start a query from a streaming ``docs`` table into the store.
 
+    A document comes with a ``text``, or, decoded by page, with ``pages``, an array of (page, text) structs.
+
     Batches are named by the checkpoint's writer id and the micro-batch number: one
     replayed after a failure replaces its own rows, and no others.
     """
     writer = writer_of(docs.sparkSession, checkpoint)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        save_chunks(embedded_documents(batch, model, buckets=buckets), store_path, batch_id, buckets, writer=writer)
+        if "pages" in batch.columns:
+            pages = batch.select("doc_id", F.inline("pages"))
+            ready = embedded_pages(pages, batch.select("doc_id", "file_name", "uploaded_at"), model, buckets=buckets)
+        else:
+            ready = embedded_documents(batch, model, buckets=buckets)
+        save_chunks(ready, store_path, batch_id, buckets, writer=writer)
 
     return (
         docs.writeStream.foreachBatch(add)

@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docquarry.operators import embedding, logs
+from docquarry.operators import chunking, embedding, logs
 from docquarry.operators.throttle import Limit, admission_replay
 from docquarry.plans import catalog
 from docquarry.plans.ingest import embedded_documents
@@ -105,3 +105,15 @@ def test_windowed_counts(spark, small, tmp_path):
     want = {(r.day, r.route): r.n for r in events.groupBy(F.to_date("ts").alias("day"), "route").agg(F.count("*").alias("n")).collect()
             if r.day < last}
     assert got == want
+
+
+def test_paged_uploads_through_the_stream(spark, small, tmp_path):
+    pages = catalog.paged(spark, small)
+    grouped = pages.groupBy("doc_id").agg(F.collect_list(F.struct("page", "text")).alias("pages")).select(
+        "doc_id", F.concat(F.lit("talk-"), "doc_id", F.lit(".pdf")).alias("file_name"), F.current_timestamp().alias("uploaded_at"), "pages")
+    files_of(grouped, str(tmp_path / "in"), "doc_id", 2)
+    model = embedding.HashedTerms(16)
+    start_ingest(stream_of(spark, grouped, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "cp"), model, buckets=4).awaitTermination()
+    got = store.read_chunks(spark, str(tmp_path / "store")).select("doc_id", "chunk_index", "page", "text")
+    want = chunking.chunk_pages(pages).select("doc_id", "chunk_index", "page", "text")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
