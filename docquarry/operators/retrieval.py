@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from docquarry.functions.text import trim_text
 from docquarry.operators.scoring import BlockScorer
+from docquarry.session import work_dir
 
 DEFAULT_K = 3  # Fixed value: chunks retrieved per question.
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -76,7 +77,7 @@ def _score(
     if first.num_rows <= FEW_QUERIES and first.nbytes <= block_bytes:
         blocks = [first]
     else:
-        blocks = _fetch_blocks(queries, block_bytes)
+        blocks = _fetch_blocks(queries, block_bytes, max(map(len, filter(None, first.column("embedding").to_pylist())), default=0))
     bucketed = ["doc_bucket"] if buckets and "doc_bucket" in chunks.columns else []
     slim = chunks.select(*chunk_cols, "embedding", *bucketed).filter("doc_id IS NOT NULL AND chunk_index IS NOT NULL")
     parts = []
@@ -91,8 +92,8 @@ def _score(
             source = slim.filter(F.col("doc_id").isin(sorted(scopes)))
             if bucketed:
                 kind = chunks.schema["doc_id"].dataType
-                held = {F.pmod(F.xxhash64(F.lit(s).cast(kind)), F.lit(buckets)).cast("int") for s in scopes}
-                source = source.filter(F.col("doc_bucket").isin(list(held)))
+                held = [F.pmod(F.xxhash64(F.lit(s).cast(kind)), F.lit(buckets)).cast("int") for s in sorted(scopes)]
+                source = source.filter(F.col("doc_bucket").isin(held))
         elif None not in scopes:
             # No larger than the block; keeps other documents' vectors in the JVM.
             named = spark.createDataFrame([(s,) for s in scopes], T.StructType([chunks.schema["doc_id"]]))
@@ -102,14 +103,21 @@ def _score(
     return reduce(DataFrame.unionAll, parts)
 
 
-def _fetch_blocks(queries: DataFrame, block_bytes: int) -> Iterator[pa.Table]:
-    """All questions, a block at a time: sized by one count, split by hash."""
-    facts = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    blocks = max(1, -(-facts.n * max(facts.dim or 0, 1) * 8 // block_bytes))
+def _fetch_blocks(queries: DataFrame, block_bytes: int, dim: int) -> Iterator[pa.Table]:
+    """All questions, a block at a time: sized by one count, split by hash.
+
+    Questions are written once, with their vectors, so that no block embeds them again.
+    """
+    spark, schema = queries.sparkSession, queries.schema
+    count = queries.select("query_id").count()
+    blocks = max(1, -(-count * max(dim, 1) * 8 // block_bytes))
+    path = work_dir(spark, "questions")
+    queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).write.partitionBy("_block").parquet(path)
+    written = spark.read.schema(T.StructType([*schema.fields, T.StructField("_block", T.LongType())])).parquet(path)
     # Distinct ids hash evenly; the limit keeps any block bounded regardless.
-    most = 2 * -(-facts.n // blocks) + 1000
+    most = 2 * -(-count // blocks) + 1000
     for number in range(blocks):
-        table = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).limit(most + 1).toArrow()
+        table = written.filter(F.col("_block") == number).select(*schema.names).limit(most + 1).toArrow()
         if table.num_rows > most:
             raise ValueError("query ids must be unique")
         yield table
@@ -141,11 +149,13 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, newest_col:
     return _merge(found, k, ["query_id"], newest_col)
 
 
-def top_k_in_document(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, **options) -> DataFrame:
+def top_k_in_document(
+    queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, newest_col: str | None = None, **options
+) -> DataFrame:
     """Best k chunks of the one document named by each question's ``scope``."""
     named = _scoped(queries, chunks).filter(F.col("scope").isNotNull())
-    found = _score(named, chunks, k, **options)
-    return _merge(found, k, ["query_id"], None)
+    found = _score(named, chunks, k, newest_col=newest_col, **options)
+    return _merge(found, k, ["query_id"], newest_col)
 
 
 def top_k_per_document(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, **options) -> DataFrame:
@@ -206,7 +216,7 @@ def scoped_top_k(
         newest_col=newest_col,
         **options,
     )
-    return everywhere.unionByName(top_k_in_document(asked, chunks, k, **options))
+    return everywhere.unionByName(top_k_in_document(asked, chunks, k, newest_col=newest_col, **options))
 
 
 def attach_text(hits: DataFrame, chunks: DataFrame, max_hits: int | None = None) -> DataFrame:

@@ -272,12 +272,18 @@ def admission_replay(
 
 
 def state_after(
-    decisions: DataFrame, state: DataFrame | None = None, client_col: str = "client", id_col: str = "event_id"
+    decisions: DataFrame, state: DataFrame | None = None, client_col: str = "client", id_col: str = "event_id",
+    seen_at: Column | None = None,
 ) -> DataFrame:
-    """The state to go on from: each client's counts after its last decision."""
+    """The state to go on from: each client's counts after its last decision.
+
+    With ``seen_at`` the clients of ``decisions`` are marked with that time, and others keep theirs.
+    """
     last_at = F.unix_micros("decided_at")
     last = F.max_by(F.struct("bucket", "previous", "current", last_at.alias("last_at")), F.struct(last_at, id_col))
     after = decisions.groupBy(client_col).agg(last.alias("_last")).select(client_col, "_last.*")
+    if seen_at is not None:
+        after = after.withColumn("seen_at", seen_at)
     if state is None:
         return after
     old, new = state.select(*after.columns).alias("old"), after.select(F.col(client_col).alias("_c"))
@@ -288,3 +294,13 @@ def expire_state(state: DataFrame, newest_bucket: Column) -> DataFrame:
     """Drop clients whose last bucket is two or more behind: it no longer
     affects any decision at or after ``newest_bucket``."""
     return state.filter(F.col("bucket") >= newest_bucket - 1)
+
+
+def drop_idle(state: DataFrame, idle_since: Column) -> DataFrame:
+    """Drop clients not seen since ``idle_since``.
+
+    That is a time of the log's reader, not of any client: a client idle for two
+    windows comes back two windows later by its own clock too, wherever that stands, and
+    its old counts no longer affect it. Clocks of different clients are never compared.
+    """
+    return state.filter(F.col("seen_at") >= idle_since)

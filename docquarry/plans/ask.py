@@ -23,15 +23,19 @@ def find_sources(
     registry: DataFrame | None = None,
     k: int = DEFAULT_K,
     model: ModelFactory | None = None,
+    newest_col: str | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Source rows of each question.
 
     ``chunks`` needs ids and vectors only; ``texts`` (default: the same table)
     supplies text, file name and page of the few chunks that were found. With a
-    ``registry`` each question is answered in its own scope.
+    ``registry`` each question is answered in its own scope. Equal scores go to the newest document by ``newest_col``;
+    ``buckets`` is the bucket count of the store the chunks come from.
     """
+    options = {"newest_col": newest_col, "buckets": buckets}
     asked = embed_questions(questions, model)
-    hits = top_k(asked, chunks, k) if registry is None else scoped_top_k(asked, chunks, registry, k)
+    hits = top_k(asked, chunks, k, **options) if registry is None else scoped_top_k(asked, chunks, registry, k, **options)
     return source_rows(attach_text(hits, chunks if texts is None else texts, questions.count() * k))
 
 
@@ -59,8 +63,10 @@ def prompts_for(
     registry: DataFrame | None = None,
     k: int = DEFAULT_K,
     model: ModelFactory | None = None,
+    newest_col: str | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """(query_id, prompt) for every question that can be answered."""
     valid = answerable(validate_questions(questions, registry))
-    sources = find_sources(valid, chunks, registry=registry, k=k, model=model)
+    sources = find_sources(valid, chunks, registry=registry, k=k, model=model, newest_col=newest_col, buckets=buckets)
     return build_prompt(valid, build_context(valid, sources))

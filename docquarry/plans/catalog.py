@@ -291,6 +291,12 @@ def answer_sources(spark, sf):
     return question_sources(spark, sf)
 
 
+def sources_newest_first(spark, sf):
+    """Sources among documents with exact copies: equal scores go to the newest upload."""
+    chunks = embedding.embed(chunking.chunk_text(spread(uploads(spark, sf))))
+    return ask.find_sources(questions(spark, sf), chunks, newest_col="uploaded_at")
+
+
 # --- prompts and highlighting -------------------------------------------------
 
 def citation_labels(spark, sf):
@@ -341,7 +347,7 @@ def chat_messages(spark, sf):
     path = f"{work_dir(spark, 'chat')}/store"
     store.save_chunks(embedded_documents(uploads(spark, sf), buckets=8), path, 0, buckets=8)
     asked = questions(spark, sf).withColumn("scope", F.lit(" "))
-    asked = ask.prompts_for(asked, store.read_chunks(spark, path), store.read_registry(spark, path))
+    asked = ask.prompts_for(asked, store.read_chunks(spark, path), store.read_registry(spark, path), buckets=8)
     history = prompts.history_window(read_table(spark, sf, "conversations"), HISTORY)
     return prompts.message_list(asked.withColumnRenamed("query_id", "conv_id"), history)
 
@@ -564,6 +570,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topk_per_document": topk_per_document,
     "scoped_topk": scoped_topk,
     "answer_sources": answer_sources,
+    "sources_newest_first": sources_newest_first,
     "citation_labels": citation_labels,
     "build_context": build_context,
     "build_prompt": build_prompt,

@@ -78,7 +78,7 @@ def terms_of(source: str, keys: str, name: str) -> str:
     )"""
 
 
-def question_hits(source: str) -> str:
+def question_hits(source: str, order: str = "score DESC, doc_id, chunk_index") -> str:
     """CTEs ending in ``sources``: the best chunks of ``source(doc_id, page, t)``
     for each benchmark question."""
     return f"""
@@ -95,9 +95,10 @@ def question_hits(source: str) -> str:
     ),
     ranked AS (
       SELECT query_id, doc_id, chunk_index, score,
-             row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank
+             row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank
       FROM (SELECT query_id, doc_id, chunk_index, round(d / (cn.len * qn.len), 6) AS score
             FROM dots JOIN cn USING (doc_id, chunk_index) JOIN qn USING (query_id))
+      JOIN (SELECT doc_id, uploaded_at FROM uploads) USING (doc_id)
     ),
     sources AS (
       SELECT query_id, rank, 'chunk-' || chunk_index AS chunk_id, score, chunks.text AS text, chunk_index, doc_id,
@@ -306,6 +307,9 @@ ORACLES: dict[str, str] = {
         WITH RECURSIVE {QUESTION_HITS}, {CONTEXTS}
         SELECT query_id, coalesce(context, '') AS context FROM asked LEFT JOIN contexts USING (query_id)""",
     "build_prompt": f"WITH RECURSIVE {QUESTION_HITS}, {CONTEXTS} {PROMPTS}",
+    "sources_newest_first": f"""
+        WITH RECURSIVE {question_hits(ALL_DOCUMENTS, 'score DESC, uploaded_at DESC, doc_id, chunk_index')}
+        SELECT query_id, rank, chunk_id, score, text, chunk_index, doc_id, file_name, page FROM sources""",
     "store_prompts": f"WITH RECURSIVE {question_hits(f'{ALL_DOCUMENTS} WHERE {SUPPORTED}')}, {CONTEXTS} {PROMPTS}",
     "history_window": f"WITH {HISTORY} SELECT conv_id, turn, role, text FROM history",
     "message_list": f"""

@@ -2,16 +2,18 @@
 
 Each micro-batch runs the batch operator from the state the last one left, so
 a busy client is spread over tasks here as well. State is a small Parquet
-table per batch - clients of the last two windows - next to the decisions.
+table per batch - clients seen in about the last two windows - next to the decisions.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docquarry.operators.throttle import CHAT_LIMIT, Limit, admission_replay, expire_state, state_after
+from docquarry.operators.throttle import CHAT_LIMIT, Limit, admission_replay, drop_idle, state_after
 
 
 def _folder(path: str, kind: str, batch_id: int) -> str:
@@ -27,21 +29,26 @@ def start_admission(
     ts_col: str = "ts",
     id_col: str = "event_id",
     trigger: dict | None = None,
+    lateness_seconds: int = 600,
 ) -> StreamingQuery:
     """Write decisions (client, id, decided_at, admitted, and counts) for streaming ``requests``.
 
     Batch n reads the state written by batch n - 1 and overwrites its own
-    folders, so a replayed batch decides the same again.
+    folders, so a replayed batch decides the same again. A client's state goes when it was idle for two
+    windows and ``lateness_seconds`` while this query ran; time the query was stopped does not count.
     """
+    started = time.time()
+    idle = 2 * limit.window_seconds + lateness_seconds
 
     def decide(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         state = spark.read.parquet(_folder(path, "state", batch_id - 1)) if batch_id > 0 else None
         decided = _folder(path, "decisions", batch_id)
         admission_replay(batch, limit, client_col, ts_col, id_col, state).write.mode("overwrite").parquet(decided)
-        after = state_after(spark.read.parquet(decided), state, client_col, id_col)
-        newest = after.agg(F.max("bucket")).scalar()
-        expire_state(after, newest).write.mode("overwrite").parquet(_folder(path, "state", batch_id))
+        now = time.time()
+        after = state_after(spark.read.parquet(decided), state, client_col, id_col, F.lit(now))
+        since = now - idle if now - idle > started else 0.0
+        drop_idle(after, F.lit(since)).write.mode("overwrite").parquet(_folder(path, "state", batch_id))
 
     return (
         requests.writeStream.foreachBatch(decide)

@@ -242,3 +242,35 @@ def test_repeated_question_ids_are_refused_at_any_size(spark, block_bytes):
     asked = spark.createDataFrame([(1, vector), (1, vector)], "query_id long, embedding array<double>")
     with pytest.raises(ValueError, match="unique"):
         retrieval.top_k(asked, chunks, block_bytes=block_bytes)
+
+
+def test_questions_are_embedded_once(spark, tmp_path):
+    import uuid
+
+    calls = str(tmp_path)
+
+    @F.pandas_udf("array<double>")
+    def model(ids):
+        with open(f"{calls}/{uuid.uuid4().hex}", "w") as out:
+            out.write(str(len(ids)))
+        return ids.map(lambda i: [1.0, float(i)])
+
+    asked = spark.range(3000).coalesce(1).select(F.col("id").alias("query_id"), model("id").alias("embedding"))
+    chunks = spark.createDataFrame([(1, 0, [1.0, 0.0])], "doc_id long, chunk_index long, embedding array<double>")
+    assert retrieval.top_k(asked, chunks, block_bytes=8_000).count() == 3000
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) <= 3000 + retrieval.FEW_QUERIES + 10_000
+
+
+def test_scoped_questions_open_their_buckets_only(spark, tmp_path):
+    from docquarry.sources import store
+
+    path = str(tmp_path / "store")
+    chunks = spark.createDataFrame([(d, 0, [1.0, float(d)]) for d in range(40)], "doc_id long, chunk_index long, embedding array<double>")
+    store.save_chunks(chunks, path, 0, buckets=8, gather=True)
+    store.save_chunks(chunks, path, 1, gather=True)
+    asked = spark.createDataFrame([(1, "7", [1.0, 7.0])], "query_id long, scope string, embedding array<double>")
+    found = retrieval.top_k_in_document(asked, store.read_chunks(spark, path), buckets=store.store_buckets(spark, path))
+    assert [(r.doc_id, r.score) for r in found.collect()] == [(7, 1.0)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line and "embedding" in line]
+    assert scans and all("doc_bucket" in line.split("PartitionFilters: [")[1].split("]")[0] for line in scans)

@@ -117,3 +117,17 @@ def test_paged_uploads_through_the_stream(spark, small, tmp_path):
     got = store.read_chunks(spark, str(tmp_path / "store")).select("doc_id", "chunk_index", "page", "text")
     want = chunking.chunk_pages(pages).select("doc_id", "chunk_index", "page", "text")
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_live_admission_with_clocks_days_apart(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(12):
+        rows.append((2 * i, "behind", start + dt.timedelta(seconds=i)))
+        rows.append((2 * i + 1, "ahead", start + dt.timedelta(days=5, seconds=i)))
+    asked = spark.createDataFrame(rows, "event_id long, client string, ts timestamp")
+    files_of(asked, str(tmp_path / "in"), "event_id", 4)
+    limit = Limit(5, 60)
+    start_admission(stream_of(spark, asked, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), limit).awaitTermination()
+    got = {r.event_id: r.admitted for r in read_decisions(spark, str(tmp_path / "out")).collect()}
+    assert got == {r.event_id: r.admitted for r in admission_replay(asked, limit).collect()}
