@@ -100,8 +100,10 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     One row per fingerprint and chain start goes to the index; one more per bit
     of the second segment asks it. Both have the key (start, first segment,
-    second segment), which holds about 26 bits for a distance of 4.
+    second segment), which holds about 26 bits for a distance of 4. If ``prints`` has a
+    column ``part``, pairs of one part are left out.
     """
+    parts = ["part"] if "part" in prints.columns else []
     if not 1 <= distance <= 15:
         raise ValueError("distance must be 1 to 15")
     segments = ring(distance)
@@ -118,8 +120,8 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 out += [F.struct(F.lit(start).alias("start"), key.bitwiseXOR(F.lit(1 << bit)).alias("key")) for bit in range(after[1])]
         return F.explode(F.array(*out))
 
-    index = prints.select(bits.alias("v"), keys(False).alias("k")).select("v", "k.key")
-    asks = prints.select(bits.alias("u"), keys(True).alias("k")).select("u", "k.start", "k.key")
+    index = prints.select(bits.alias("v"), *parts, keys(False).alias("k")).select("v", *parts, "k.key")
+    asks = prints.select(bits.alias("u"), *parts, keys(True).alias("k")).select("u", *parts, "k.start", "k.key")
     difference = F.col("u").bitwiseXOR(F.col("v"))
     # of several chains that fit, the first alone reports the pair
     within, earlier = F.lit(False), F.lit(False)
@@ -127,6 +129,8 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         fits = _chain_within(difference, segments, start)
         within = within | ((F.col("start") == start) & fits & ~earlier)
         earlier = earlier | fits
+    if parts:
+        within = within & (F.col("a.part") != F.col("i.part"))
     pairs = asks.alias("a").join(index.alias("i"), (F.col("a.key") == F.col("i.key")) & (F.col("u") < F.col("v")) & within)
     return pairs.select("u", "v")
 
@@ -202,48 +206,61 @@ def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
     search, as each changed word changes five of them. Candidates come from ``views`` fingerprints over single distinct words,
     which change little, by the same pigeonring search; they are verified by exact shingle
     similarity. Equal fingerprints of a view are compared with one representative, and links between fingerprints by their
-    representatives, so a group of many near copies gives no more pairs than it has fingerprint links.
-    Most groups join in a first round, in which every text is compared with its smallest candidate alone.
+    representatives. The first view's candidates are verified first, each text with its smallest candidate alone; what they
+    join is left out of all later searches, so that a group of many near copies is not paired again by each.
     """
     texts = doc_columns(docs).filter("doc_id IS NOT NULL")
     known = kept(texts.mapInArrow(_sketch(views), "doc_id long, text_key long, prints array<long>"), "sketches")
     nodes = known.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("prints").alias("prints"))
 
-    def pairs_by(prints: DataFrame, label: str) -> DataFrame:
+    def labelled(keys: DataFrame, parts: DataFrame | None, name: str, part: str) -> DataFrame:
+        """``keys`` with the part of their column ``name``; a text that nothing has joined is its own."""
+        if parts is None:
+            return keys.withColumn(part, F.col(name))
+        own = parts.select(F.col("u").alias(name), F.col("v").alias("_joined"))
+        return keys.join(own, name, "left").withColumn(part, F.coalesce("_joined", name)).drop("_joined")
+
+    def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        both = labelled(labelled(pairs, parts, "u", "_pu"), parts, "v", "_pv")
+        return both.filter("_pu <> _pv").select("u", "v")
+
+    def candidates(prints: DataFrame, parts: DataFrame | None) -> DataFrame:
         """Candidate pairs of ``prints(text_key, fingerprint)``: members with their representative, representatives by links."""
-        heads = kept(prints.groupBy("fingerprint").agg(F.min("text_key").alias("head")), label)
+        heads = kept(labelled(prints.groupBy("fingerprint").agg(F.min("text_key").alias("head")), parts, "head", "part"), "heads")
         members = prints.join(heads, "fingerprint").filter("text_key <> head").select(F.col("head").alias("u"), F.col("text_key").alias("v"))
+        if parts is not None:
+            members = apart(members, parts)
         left, right = (heads.select(F.col("fingerprint").alias(c), F.col("head").alias(h)) for c, h in (("u", "a"), ("v", "b")))
         linked = links(heads).join(left, "u").join(right, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        return kept(members.union(linked), label)
-
-    found = [pairs_by(nodes.select("text_key", F.get("prints", F.lit(i)).alias("fingerprint")), "candidates") for i in range(views)]
-    candidates = found[0]
-    for more in found[1:]:
-        candidates = candidates.union(more)
-    candidates = kept(candidates.distinct(), "candidates")
-
-    involved = candidates.select(F.col("u").alias("text_key")).union(candidates.select("v")).distinct()
-    named = nodes.join(involved, "text_key").select(F.col("least").alias("doc_id"), "text_key")
-    sets = texts.join(named.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_shingle_sets(words), "text_key long, shingles array<long>")
-    # rows with the same doc_id may have other texts too
-    sets = kept(sets.join(named.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"]), "shingle-sets")
-
-    first = candidates.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    joined = kept(_alike(first, sets, similarity), "alike")
-    part = components(joined, "parts")
-    place = lambda c, p: part.select(F.col("u").alias(c), F.col("v").alias(p))
-    rest = candidates.join(place("u", "pu"), "u", "left").join(place("v", "pv"), "v", "left").filter(
-        F.coalesce("pu", "u") != F.coalesce("pv", "v")).select("u", "v")
-    more = _alike(rest, sets, similarity)
+        return kept(members.union(linked).distinct(), "candidates")
+
+    def view(number: int) -> DataFrame:
+        return nodes.select("text_key", F.get("prints", F.lit(number)).alias("fingerprint"))
+
+    def sets_for(pairs: DataFrame) -> DataFrame:
+        """Shingle sets of the texts in some pairs; rows with the same doc_id may have other texts, too."""
+        involved = pairs.select(F.col("u").alias("text_key")).union(pairs.select("v")).distinct()
+        named = kept(nodes.join(involved, "text_key").select(F.col("least").alias("doc_id"), "text_key"), "involved")
+        rows = texts.join(named.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_shingle_sets(words), "text_key long, shingles array<long>")
+        return kept(rows.join(named.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"]), "shingle-sets")
+
+    found = candidates(view(0), None)
+    first = kept(found.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "first")
+    joined = kept(_alike(first, sets_for(first), similarity), "alike")
+    parts = components(joined, "parts")
+
+    rest = apart(found, parts)
+    for number in range(1, views):
+        rest = rest.union(candidates(view(number), parts))
+    rest = kept(rest.distinct(), "rest")
+    more = kept(_alike(rest, sets_for(rest), similarity), "alike")
 
     # what the fingerprints over word runs link belongs together as well
     prints = kept(fingerprints(texts).join(known.select("doc_id", "text_key").distinct(), "doc_id").select("text_key", "fingerprint").distinct(), "simhash")
-    member = components(joined.union(more).union(pairs_by(prints, "simhash-links")), "groups")
-    group = F.coalesce("v", "text_key")
-    labelled = known.select("doc_id", "text_key").join(member.withColumnRenamed("u", "text_key"), "text_key", "left").select("doc_id", group.alias("part"))
-    smallest = labelled.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(smallest, "part").select("doc_id", "component_id")
+    member = components(joined.union(more).union(candidates(prints, parts)), "groups")
+    grouped = labelled(known.select("doc_id", "text_key"), member, "text_key", "part")
+    smallest = grouped.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    return grouped.join(smallest, "part").select("doc_id", "component_id")
 
 
 def first_of_group(docs: DataFrame, **options) -> DataFrame:
