@@ -50,6 +50,13 @@ def client_id(forwarded_for: Column) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), F.lit(ANONYMOUS))
 
 
+# What failures are told by.
+MISSING_KEY_MARK = "Missing OPENAI_API_KEY"
+BAD_KEY_PATTERN = "(?i)incorrect api key|invalid api key"
+QUOTA_PATTERN = "(?i)quota|credits|billing"
+BAD_KEY_CODE, QUOTA_CODE, RATE_LIMIT_CODE = "invalid_api_key", "insufficient_quota", "rate_limit_exceeded"
+
+
 def classify_error(message: Column, code: Column, status: Column, fallback: str) -> Column:
     """Struct (error STRING, status BIGINT); the first rule that holds decides."""
     message = F.coalesce(message, F.lit(""))
@@ -59,12 +66,12 @@ def classify_error(message: Column, code: Column, status: Column, fallback: str)
     def answer(text: str, answer_status: int) -> Column:
         return F.struct(F.lit(text).alias("error"), F.lit(answer_status).cast("bigint").alias("status"))
 
-    bad_key = message.rlike("(?i)incorrect api key|invalid api key")
-    quota = message.rlike("(?i)quota|credits|billing")
+    bad_key = message.rlike(BAD_KEY_PATTERN)
+    quota = message.rlike(QUOTA_PATTERN)
     return (
-        F.when(message.contains("Missing OPENAI_API_KEY"), answer(MISSING_KEY_TEXT, 500))
-        .when((status == 401) | (code == "invalid_api_key") | bad_key, answer(REJECTED_KEY_TEXT, 500))
-        .when((code == "insufficient_quota") | quota, answer(QUOTA_TEXT, 500))
-        .when((status == 429) | (code == "rate_limit_exceeded"), answer(RATE_LIMIT_TEXT, 429))
+        F.when(message.contains(MISSING_KEY_MARK), answer(MISSING_KEY_TEXT, 500))
+        .when((status == 401) | (code == BAD_KEY_CODE) | bad_key, answer(REJECTED_KEY_TEXT, 500))
+        .when((code == QUOTA_CODE) | quota, answer(QUOTA_TEXT, 500))
+        .when((status == 429) | (code == RATE_LIMIT_CODE), answer(RATE_LIMIT_TEXT, 429))
         .otherwise(answer(fallback, 500))
     )

@@ -13,9 +13,10 @@ from docquarry.functions.json import is_strict_json
 from docquarry.operators.prompts import CHAT_ROLES
 from docquarry.operators.scans import LARGE_KEY_ROWS, PART_BYTES, concat_in_order, in_parts, large_keys, previous_row
 
-# The export's heading and speakers, and the error text of a broken stream.
+# The export's heading, speakers and file name, and the error text of a broken stream.
 HEADING = "# Conversation export\n"
 YOU, ASSISTANT = "**You:** ", "**Assistant:** "
+FILE_NAME = ("conversation-", ".md")
 INVALID_DATA_TEXT = "Chat failed."
 
 
@@ -67,7 +68,7 @@ def export_markdown(messages: DataFrame, part_bytes: int = PART_BYTES) -> DataFr
 
 def export_file_name(exported_at):
     """File name of an export made on the given day (UTC session)."""
-    return F.concat(F.lit("conversation-"), F.date_format(exported_at, "yyyy-MM-dd"), F.lit(".md"))
+    return F.concat(F.lit(FILE_NAME[0]), F.date_format(exported_at, "yyyy-MM-dd"), F.lit(FILE_NAME[1]))
 
 
 def write_markdown(exported: DataFrame, path: str, folders: int = 64) -> None:
