@@ -39,6 +39,7 @@ from docquarry.llm.tables import doc_columns, groups_for, kept
 CORE, CLASSES, SWEEPS, BASE_SHARE = 2048, 64, 12, 0.1
 END = int(mix(np.array([0xE0D], np.uint64))[0])
 STRIPES = 64
+BLOCK_BYTES = 2 << 20
 _BLOCK = "block long, doc_ids array<long>, train binary, sizes binary, tokens binary, words binary, counts binary"
 _RESOLVED = "doc_ids array<long>, train binary, sizes binary, tokens binary, kinds binary, totals binary, moves binary"
 
@@ -64,7 +65,7 @@ def _encode(groups: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for table in pieces(batches):
+        for table in pieces(batches, size=BLOCK_BYTES):
             data, offsets = text_bytes(table.column("text"))
             data = LOWER[data]
             starts, ends, first = words_in(data, offsets)
