@@ -17,6 +17,7 @@ doc_id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -206,7 +207,7 @@ def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
     search, as each changed word changes five of them. Candidates come from ``views`` fingerprints over single distinct words,
     which change little, by the same pigeonring search; they are verified by exact shingle
     similarity. Equal fingerprints of a view are compared with one representative, and links between fingerprints by their
-    representatives. The first view's candidates are verified first, each text with its smallest candidate alone; what they
+    representatives. The first view's candidates are all verified before the other views search; what they
     join is left out of all later searches, so that a group of many near copies is not paired again by each.
     """
     texts = doc_columns(docs).filter("doc_id IS NOT NULL")
@@ -245,14 +246,11 @@ def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
         return kept(rows.join(named.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"]), "shingle-sets")
 
     found = candidates(view(0), None)
-    first = kept(found.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "first")
-    joined = kept(_alike(first, sets_for(first), similarity), "alike")
+    joined = kept(_alike(found, sets_for(found), similarity), "alike")
     parts = components(joined, "parts")
 
-    rest = apart(found, parts)
-    for number in range(1, views):
-        rest = rest.union(candidates(view(number), parts))
-    rest = kept(rest.distinct(), "rest")
+    later = [candidates(view(number), parts) for number in range(1, views)]
+    rest = kept(reduce(DataFrame.union, later, found.limit(0)).distinct(), "rest")
     more = kept(_alike(rest, sets_for(rest), similarity), "alike")
 
     # what the fingerprints over word runs link belongs together as well
