@@ -39,7 +39,7 @@ from docquarry.llm.tables import doc_columns, groups_for, kept
 CORE, CLASSES, SWEEPS, BASE_SHARE = 2048, 64, 12, 0.1
 END = int(mix(np.array([0xE0D], np.uint64))[0])
 STRIPES = 64
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 _BLOCK = "block long, doc_ids array<long>, train binary, sizes binary, tokens binary, words binary, counts binary"
 _RESOLVED = "doc_ids array<long>, train binary, sizes binary, tokens binary, kinds binary, totals binary, moves binary"
 
