@@ -22,7 +22,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.arrays import LOWER, mix, pieces, text_bytes, window_hashes, word_hashes, words_in
@@ -32,6 +32,7 @@ from docquarry.llm.tables import doc_columns, kept
 WORDS, SEED, DISTANCE = 4, 42, 4
 STAGE_WORDS, SIMILARITY, VIEWS = 5, 0.8, 4
 VOTES = 1 << 18  # shingles whose bits are counted at a time
+SAMPLED, COMMON = 64, 1 << 16  # one document in so many tells which shingles are common; so many of those go to the tasks
 
 
 def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
@@ -190,6 +191,55 @@ def _shingle_sets(words: int):
     return run
 
 
+def _prefixes(words: int, similarity: float, common: np.ndarray, counts: np.ndarray):
+    """(text_key, size, place, rank, shingle): the first shingles of each row by rarity and hash, one more than may be missing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _shingle_sets(words)(batches):
+            keys, lists = batch.column(0).to_numpy(), batch.column(1)
+            flat, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
+            owner, sizes, places, ranks, shingles = [], [], [], [], []
+            for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                own, size = flat[a:b], b - a
+                rank = np.zeros(size, np.int32)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    rank = np.where(common[at] == own, counts[at], 0).astype(np.int32)
+                first = np.lexsort((own, rank))[: size - int(np.ceil(similarity * size - 1e-9)) + 1]
+                owner.append(np.full(len(first), i))
+                sizes.append(np.full(len(first), size, np.int32))
+                places.append(np.arange(len(first), dtype=np.int32))
+                ranks.append(rank[first])
+                shingles.append(own[first])
+            if owner:
+                columns = [keys[np.concatenate(owner)], *map(np.concatenate, (sizes, places, ranks, shingles))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["text_key", "size", "place", "rank", "shingle"])
+
+    return run
+
+
+def _buckets(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(shingle, text_key, size, place): texts that share a shingle of their prefixes.
+
+    In any one order of all shingles, two sets with a Jaccard similarity of ``similarity`` or more share one of the
+    first n - ceil(similarity * n) + 1 of each. Here rare shingles come first, by the counts of a sample, which only
+    decide the order. Of shingles with the same texts the first one is kept.
+    """
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).mapInArrow(_shingle_sets(words), "text_key long, shingles array<long>")
+    often = sample.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2")
+    top = often.orderBy(F.desc("n"), "shingle").limit(COMMON).orderBy("shingle").toPandas()  # COMMON rows at most
+    rows = texts.mapInArrow(
+        _prefixes(words, similarity, top["shingle"].to_numpy(np.int64), top["n"].to_numpy(np.int64)),
+        "text_key long, size int, place int, rank int, shingle long")
+    of_shingle = Window.partitionBy("shingle")
+    shared = rows.withColumn("least", F.min("text_key").over(of_shingle)).withColumn("most", F.max("text_key").over(of_shingle))
+    shared = kept(shared.filter("least <> most").drop("least", "most").distinct(), "buckets")
+    members = [F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("text_key", F.lit(salt))).alias(f"x{salt}") for salt in (0, 1))]
+    firsts = shared.groupBy("shingle").agg(F.min("rank").alias("rank"), *members)
+    firsts = firsts.groupBy("n", "x0", "x1").agg(F.min(F.struct("rank", "shingle")).alias("first")).select("first.shingle")
+    return kept(shared.join(firsts, "shingle", "left_semi").drop("rank"), "buckets")
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) of text keys whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
     a = sets.select(F.col("text_key").alias("u"), F.col("shingles").alias("a"))
@@ -199,6 +249,46 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.filter(F.col("common") >= F.lit(similarity) * (F.size("a") + F.size("b") - F.col("common")) - 1e-9).select("u", "v")
 
 
+def _labelled(keys: DataFrame, parts: DataFrame, name: str, part: str) -> DataFrame:
+    """``keys`` with the part of their column ``name``; a text that nothing has joined is its own."""
+    own = parts.select(F.col("u").alias(name), F.col("v").alias("_joined"))
+    return keys.join(own, name, "left").withColumn(part, F.coalesce("_joined", name)).drop("_joined")
+
+
+def _similar_links(texts: DataFrame, nodes: DataFrame, parts: DataFrame, words: int, similarity: float) -> list[DataFrame]:
+    """Tables (u, v) of similar texts that, with ``parts``, connect all pairs of ``similarity`` or more.
+
+    Rounds go over the buckets of ``_buckets``. In each, the first texts of a bucket (one, then four times as many each round) are
+    compared with all others in it that are not joined with them, and leave it. Buckets of one part are done, so
+    that a group of many near copies is not paired with itself, and no pair of different parts is left out.
+    """
+    rows = _buckets(texts, words, similarity)
+    # rows with the same doc_id may have other texts, too
+    named = kept(nodes.join(rows.select("text_key").distinct(), "text_key").select(F.col("least").alias("doc_id"), "text_key"), "involved")
+    sets = texts.join(named.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_shingle_sets(words), "text_key long, shingles array<long>")
+    sets = kept(sets.join(named.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"]), "shingle-sets")
+    of_shingle = Window.partitionBy("shingle")
+    found: list[DataFrame] = []
+    heads = 1
+    while True:
+        known = _labelled(rows, parts, "text_key", "part")
+        known = known.withColumn("least", F.min("part").over(of_shingle)).withColumn("most", F.max("part").over(of_shingle)).filter("least <> most")
+        ranked = kept(known.withColumn("number", F.row_number().over(of_shingle.orderBy("text_key"))).drop("least", "most"), "ranked")
+        if ranked.isEmpty():
+            return found
+        # what two texts can have in common, from their first common shingle on
+        within = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
+        enough = within * (1 + similarity) >= similarity * (F.col("a.size") + F.col("b.size")) - 1e-6
+        pairs = ranked.filter(F.col("number") <= heads).alias("a").join(
+            ranked.alias("b"),
+            (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.number") < F.col("b.number")) & (F.col("a.part") != F.col("b.part")) & enough)
+        pairs = kept(pairs.select(F.col("a.text_key").alias("u"), F.col("b.text_key").alias("v")).distinct(), "candidates")
+        found.append(kept(_alike(pairs, sets, similarity), "alike"))
+        parts = components(reduce(DataFrame.union, found, parts), "parts")
+        rows = ranked.filter(F.col("number") > heads).select("shingle", "text_key", "size", "place")
+        heads *= 4
+
+
 def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY, views: int = VIEWS) -> DataFrame:
     """(doc_id, component_id) of every row that has a doc_id: groups of texts whose sets of
     ``words``-word shingles are similar, together with those that ``near_duplicates`` links.
@@ -209,17 +299,14 @@ def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
     similarity. Equal fingerprints of a view are compared with one representative, and links between fingerprints by their
     representatives. The first view's candidates are all verified before the other views search; what they
     join is left out of all later searches, so that a group of many near copies is not paired again by each.
+    What the fingerprints miss, texts added, cut or put in another order above all, comes from an exact search by shingles.
     """
     texts = doc_columns(docs).filter("doc_id IS NOT NULL")
     known = kept(texts.mapInArrow(_sketch(views), "doc_id long, text_key long, prints array<long>"), "sketches")
     nodes = known.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("prints").alias("prints"))
 
     def labelled(keys: DataFrame, parts: DataFrame | None, name: str, part: str) -> DataFrame:
-        """``keys`` with the part of their column ``name``; a text that nothing has joined is its own."""
-        if parts is None:
-            return keys.withColumn(part, F.col(name))
-        own = parts.select(F.col("u").alias(name), F.col("v").alias("_joined"))
-        return keys.join(own, name, "left").withColumn(part, F.coalesce("_joined", name)).drop("_joined")
+        return keys.withColumn(part, F.col(name)) if parts is None else _labelled(keys, parts, name, part)
 
     def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
         both = labelled(labelled(pairs, parts, "u", "_pu"), parts, "v", "_pv")
@@ -253,9 +340,13 @@ def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
     rest = kept(reduce(DataFrame.union, later, found.limit(0)).distinct(), "rest")
     more = kept(_alike(rest, sets_for(rest), similarity), "alike")
 
+    parts = components(joined.union(more), "parts")
+    exact = _similar_links(texts, nodes, parts, words, similarity)
+    parts = components(reduce(DataFrame.union, exact, parts), "parts")
+
     # what the fingerprints over word runs link belongs together as well
     prints = kept(fingerprints(texts).join(known.select("doc_id", "text_key").distinct(), "doc_id").select("text_key", "fingerprint").distinct(), "simhash")
-    member = components(joined.union(more).union(candidates(prints, parts)), "groups")
+    member = components(parts.union(candidates(prints, parts)), "groups")
     grouped = labelled(known.select("doc_id", "text_key"), member, "text_key", "part")
     smallest = grouped.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     return grouped.join(smallest, "part").select("doc_id", "component_id")

@@ -240,3 +240,27 @@ def test_similar_groups_find_what_brute_force_finds(spark):
             assert max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(120) if j != i and found[j] == own) >= 0.6
     kept = simhash.first_of_group(docs)
     assert kept.filter("doc_id IS NULL").count() == 1 and kept.count() == len(set(found.values())) + 1
+
+
+def grouped_as_brute_force(spark, texts):
+    """Pairs of 0.8 or more by brute force, and how many of them ``similar_groups`` puts together."""
+    sets = [{" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    return pairs, sum(found[a] == found[b] for a, b in pairs)
+
+
+def test_similar_groups_find_added_cut_and_changed_copies(spark):
+    import random
+
+    source = random.Random(5)
+    texts = []
+    for i in range(60):
+        words = [f"t{source.randrange(4000)}" for _ in range(source.randrange(100, 600))]
+        part = int(len(words) * source.uniform(0.12, 0.19))
+        changed = list(words)
+        for at in source.sample(range(len(words)), len(words) // 60):
+            changed[at] = f"n{at}"
+        texts += [" ".join(x) for x in (words, words + [f"a{i}x{k}" for k in range(part)], words[:-part], words[part:], changed)]
+    pairs, together = grouped_as_brute_force(spark, texts)
+    assert len(pairs) > 240 and together == len(pairs)
