@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.arrays import LOWER, mix, pieces, text_bytes, window_hashes, word_hashes, words_in
+from docquarry.llm.arrays import LOWER, pieces, text_bytes, window_hashes, word_hashes, words_in
 from docquarry.llm.components import components
 from docquarry.llm.tables import doc_columns, kept
 
 WORDS, SEED, DISTANCE = 4, 42, 4
-STAGE_WORDS, SIMILARITY, VIEWS = 5, 0.8, 4
+STAGE_WORDS, SIMILARITY = 5, 0.8
 VOTES = 1 << 18  # shingles whose bits are counted at a time
 SAMPLED, COMMON = 64, 1 << 16  # one document in so many tells which shingles are common; so many of those go to the tasks
 
@@ -150,25 +150,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, dista
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def _sketch(views: int):
-    """Per row: a hash of its words in order, and a fingerprint over its distinct words for each view."""
-    seeds = [np.uint64(view * 0x9E3779B97F4A7C15 % (1 << 64)) for view in range(views)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in pieces(batches):
-            data, offsets = text_bytes(table.column("text"))
-            data = LOWER[data]
-            starts, ends, first = words_in(data, offsets)
-            hashes = word_hashes(data, starts, ends)
-            keys, prints = [], []
-            for a, b in zip(first[:-1], first[1:]):
-                words = np.unique(hashes[a:b])
-                keys.append(int(window_hashes(hashes[a:b], b - a).view(np.int64)[0]) if b > a else 0)
-                prints.append([majority(mix(words ^ seed)) for seed in seeds])
-            yield pa.RecordBatch.from_arrays(
-                [table.column("doc_id").combine_chunks(), pa.array(keys, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], ["doc_id", "text_key", "prints"])
-
-    return run
+def _text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row: a hash of its words in order."""
+    for table in pieces(batches):
+        data, offsets = text_bytes(table.column("text"))
+        data = LOWER[data]
+        starts, ends, first = words_in(data, offsets)
+        hashes = word_hashes(data, starts, ends)
+        keys = [int(window_hashes(hashes[a:b], b - a).view(np.int64)[0]) if b > a else 0 for a, b in zip(first[:-1], first[1:])]
+        yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(keys, pa.int64())], ["doc_id", "text_key"])
 
 
 def _shingle_sets(words: int):
@@ -289,65 +279,29 @@ def _similar_links(texts: DataFrame, nodes: DataFrame, parts: DataFrame, words:
         heads *= 4
 
 
-def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY, views: int = VIEWS) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of every row that has a doc_id: groups of texts whose sets of
     ``words``-word shingles are similar, together with those that ``near_duplicates`` links.
 
     At a similarity of 0.8 a SimHash over five-word shingles differs in too many bits for a selective
-    search, as each changed word changes five of them. Candidates come from ``views`` fingerprints over single distinct words,
-    which change little, by the same pigeonring search; they are verified by exact shingle
-    similarity. Equal fingerprints of a view are compared with one representative, and links between fingerprints by their
-    representatives. The first view's candidates are all verified before the other views search; what they
-    join is left out of all later searches, so that a group of many near copies is not paired again by each.
-    What the fingerprints miss, texts added, cut or put in another order above all, comes from an exact search by shingles.
+    search, as each changed word changes five of them. Similar texts come from an exact search by shingles instead.
+    It passes by what the fingerprints have joined.
     """
     texts = doc_columns(docs).filter("doc_id IS NOT NULL")
-    known = kept(texts.mapInArrow(_sketch(views), "doc_id long, text_key long, prints array<long>"), "sketches")
-    nodes = known.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("prints").alias("prints"))
-
-    def labelled(keys: DataFrame, parts: DataFrame | None, name: str, part: str) -> DataFrame:
-        return keys.withColumn(part, F.col(name)) if parts is None else _labelled(keys, parts, name, part)
-
-    def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        both = labelled(labelled(pairs, parts, "u", "_pu"), parts, "v", "_pv")
-        return both.filter("_pu <> _pv").select("u", "v")
-
-    def candidates(prints: DataFrame, parts: DataFrame | None) -> DataFrame:
-        """Candidate pairs of ``prints(text_key, fingerprint)``: members with their representative, representatives by links."""
-        heads = kept(labelled(prints.groupBy("fingerprint").agg(F.min("text_key").alias("head")), parts, "head", "part"), "heads")
-        members = prints.join(heads, "fingerprint").filter("text_key <> head").select(F.col("head").alias("u"), F.col("text_key").alias("v"))
-        if parts is not None:
-            members = apart(members, parts)
-        left, right = (heads.select(F.col("fingerprint").alias(c), F.col("head").alias(h)) for c, h in (("u", "a"), ("v", "b")))
-        linked = links(heads).join(left, "u").join(right, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        return kept(members.union(linked).distinct(), "candidates")
-
-    def view(number: int) -> DataFrame:
-        return nodes.select("text_key", F.get("prints", F.lit(number)).alias("fingerprint"))
-
-    def sets_for(pairs: DataFrame) -> DataFrame:
-        """Shingle sets of the texts in some pairs; rows with the same doc_id may have other texts, too."""
-        involved = pairs.select(F.col("u").alias("text_key")).union(pairs.select("v")).distinct()
-        named = kept(nodes.join(involved, "text_key").select(F.col("least").alias("doc_id"), "text_key"), "involved")
-        rows = texts.join(named.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_shingle_sets(words), "text_key long, shingles array<long>")
-        return kept(rows.join(named.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"]), "shingle-sets")
-
-    found = candidates(view(0), None)
-    joined = kept(_alike(found, sets_for(found), similarity), "alike")
-    parts = components(joined, "parts")
-
-    later = [candidates(view(number), parts) for number in range(1, views)]
-    rest = kept(reduce(DataFrame.union, later, found.limit(0)).distinct(), "rest")
-    more = kept(_alike(rest, sets_for(rest), similarity), "alike")
-
-    parts = components(joined.union(more), "parts")
-    exact = _similar_links(texts, nodes, parts, words, similarity)
-    parts = components(reduce(DataFrame.union, exact, parts), "parts")
+    known = kept(texts.mapInArrow(_text_keys, "doc_id long, text_key long"), "text-keys")
+    nodes = known.groupBy("text_key").agg(F.min("doc_id").alias("least"))
 
     # what the fingerprints over word runs link belongs together as well
-    prints = kept(fingerprints(texts).join(known.select("doc_id", "text_key").distinct(), "doc_id").select("text_key", "fingerprint").distinct(), "simhash")
-    member = components(parts.union(candidates(prints, parts)), "groups")
-    grouped = labelled(known.select("doc_id", "text_key"), member, "text_key", "part")
+    prints = kept(fingerprints(texts).join(known.distinct(), "doc_id").select("text_key", "fingerprint").distinct(), "simhash")
+    heads = kept(prints.groupBy("fingerprint").agg(F.min("text_key").alias("head")), "heads")
+    members = prints.join(heads, "fingerprint").filter("text_key <> head").select(F.col("head").alias("u"), F.col("text_key").alias("v"))
+    left, right = (heads.select(F.col("fingerprint").alias(c), F.col("head").alias(h)) for c, h in (("u", "a"), ("v", "b")))
+    linked = links(heads.select("fingerprint")).join(left, "u").join(right, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    parts = components(members.union(linked), "parts")
+
+    exact = _similar_links(texts, nodes, parts, words, similarity)
+    member = components(reduce(DataFrame.union, exact, parts), "groups")
+    grouped = _labelled(known, member, "text_key", "part")
     smallest = grouped.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     return grouped.join(smallest, "part").select("doc_id", "component_id")
 

@@ -264,3 +264,17 @@ def test_similar_groups_find_added_cut_and_changed_copies(spark):
         texts += [" ".join(x) for x in (words, words + [f"a{i}x{k}" for k in range(part)], words[:-part], words[part:], changed)]
     pairs, together = grouped_as_brute_force(spark, texts)
     assert len(pairs) > 240 and together == len(pairs)
+
+
+def test_similar_groups_of_one_vocabulary(spark):
+    """Texts of the same distinct words in other orders: nothing but their shingles tells them apart."""
+    import random
+
+    source = random.Random(6)
+    vocabulary = [f"column{i}" for i in range(200)]
+    texts = []
+    for _ in range(20):
+        words = source.sample(vocabulary, 200)
+        texts += [" ".join(words), " ".join(words + words[:20]), " ".join(words[:150] + words[160:] + words[150:160])]
+    pairs, together = grouped_as_brute_force(spark, texts)
+    assert len(pairs) >= 40 and together == len(pairs)
