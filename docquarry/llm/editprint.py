@@ -4,8 +4,8 @@ The embedding (Chakraborty, Goldenberg and Koucky, 2016) walks over a text: at
 each step it writes the character it stands on, and a random bit, shared by
 all texts and fixed by step and character, says whether it goes on to the next. Texts
 a few edits apart soon walk in step again, so edit distance becomes Hamming
-distance. Here a walk starts anew every ``BLOCK`` characters, which lets numpy
-walk thousands of blocks at once and bounds what an edit can disturb.
+distance. A walk goes through the whole text without a restart, one look into a table of stays
+for each character; the random bits repeat after ``STEPS`` steps.
 
 A fingerprint samples ``SAMPLES`` bits of the embedding in each octave of the
 text (its first eight characters, the next eight, the next 16, the next 32, ...). The
@@ -36,18 +36,29 @@ from pyspark.sql import functions as F
 from docquarry.llm.arrays import pieces
 from docquarry.llm.tables import doc_columns
 
-BLOCK, SAMPLES, OCTAVES, SHORTEST = 128, 128, 40, 8
-STEPS = 2 * BLOCK
+SAMPLES, OCTAVES, SHORTEST = 128, 40, 8
+STEPS = 1 << 12
 _RANDOM = np.random.default_rng(8)
-WALK = _RANDOM.integers(0, 2, (STEPS, 256)).astype(np.int32)
-WALK[:, 0] = 0  # symbol 0 is past the end of a text
-BITS = _RANDOM.integers(0, 2, (OCTAVES, SAMPLES, 256)).astype(np.uint8)
+WALK = _RANDOM.integers(0, 2, (STEPS, 256)).astype(np.uint8)
+WALK[-1] = 1
+BITS = _RANDOM.integers(0, 2, (OCTAVES, SAMPLES, 256)).astype(np.uint8)  # symbol 0 is past the end of a text
 FIRST_CHAR = np.array([0] + [SHORTEST << i for i in range(OCTAVES - 1)])
 WIDTH = np.maximum(FIRST_CHAR, SHORTEST)
 # a walk takes two steps for a character on average
 _PLACE = 2 * FIRST_CHAR[:, None] + (_RANDOM.random((OCTAVES, SAMPLES)) * 2 * WIDTH[:, None]).astype(np.int64)
-AT_BLOCK, AT_STEP, AT_CHAR = _PLACE // STEPS, _PLACE % STEPS, _PLACE // 2
-_LANES = 1 << 14
+AT_CHAR = _PLACE // 2
+_CHUNK = 1 << 16
+
+
+def _stays() -> list[bytes]:
+    """For each symbol: how many steps a walk that comes to it at a step (modulo ``STEPS``) stays on it."""
+    table = np.ones((STEPS, 256), np.uint8)
+    for step in range(STEPS - 2, -1, -1):
+        table[step] = np.where(WALK[step], 1, table[step + 1] + 1)
+    return [column.tobytes() for column in np.ascontiguousarray(table.T)]
+
+
+STAYS = _stays()
 
 
 def octaves(chars: np.ndarray) -> np.ndarray:
@@ -55,31 +66,22 @@ def octaves(chars: np.ndarray) -> np.ndarray:
     return np.searchsorted(FIRST_CHAR, np.maximum(chars, 1), "left")
 
 
-def walks(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The embedding of each block: one row per step, one column per block."""
-    out = np.empty((STEPS, len(starts)), np.uint8)
-    padded = np.r_[symbols, np.zeros(BLOCK + 1, np.uint8)]
-    for a in range(0, len(starts), _LANES):
-        begin, size = starts[a : a + _LANES], sizes[a : a + _LANES]
-        places = begin[:, None] + np.arange(BLOCK + 1)
-        texts = padded[places]
-        texts[np.arange(BLOCK + 1) >= size[:, None]] = 0
-        flat = texts.ravel()
-        at = np.arange(len(begin), dtype=np.int32) * (BLOCK + 1)
-        for step in range(STEPS):
-            here = flat.take(at)
-            out[step, a : a + _LANES] = here
-            at += WALK[step].take(here)
+def arrivals(symbols: np.ndarray, step: int = 0) -> np.ndarray:
+    """The steps at which a walk that stands on the first symbol at ``step`` comes to each symbol, and past the last."""
+    out = np.empty(len(symbols) + 1, np.int64)
+    out[0] = step
+    stays, last = STAYS, STEPS - 1
+    for a in range(0, len(symbols), _CHUNK):
+        part = symbols[a : a + _CHUNK].tobytes()
+        out[a + 1 : a + 1 + len(part)] = [step := step + stays[symbol][step & last] for symbol in part]
     return out
 
 
-def _bits(table: np.ndarray, lane: np.ndarray, owner: np.ndarray, octave: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-    """Sampled bits, one row per (text, octave): ``lane`` gives the column of (text, block)."""
-    block = AT_BLOCK[octave]
-    there = block < blocks[owner][:, None]
-    column = lane(owner[:, None], np.where(there, block, 0))
-    symbol = np.where(there, table[AT_STEP[octave], column], 0)
-    return BITS[octave[:, None], np.arange(SAMPLES), symbol]
+def _bits(symbols: np.ndarray, reached: np.ndarray, count: int) -> np.ndarray:
+    """Sampled bits of a text, one row per octave."""
+    at = np.searchsorted(reached, _PLACE[:count], "right") - 1
+    symbol = np.where(at < len(symbols), np.r_[symbols, np.uint8(0)][np.minimum(at, len(symbols))], 0)
+    return BITS[np.arange(count)[:, None], np.arange(SAMPLES), symbol]
 
 
 class Prints:
@@ -122,41 +124,27 @@ def _symbols(text: str) -> np.ndarray:
 
 def fingerprint_texts(texts: list[str], edits: list[tuple[int, str] | None]) -> tuple[Prints, Prints]:
     """Prints of the texts, and of their edited forms: ``edits[i]`` is (characters kept, new ending), or None."""
-    own = [_symbols(t) for t in texts]
-    chars = np.array([len(x) for x in own], np.int64)
-    blocks = np.maximum(-(-chars // BLOCK), 1)
-    starts_of = np.cumsum(chars) - chars
-    first = np.cumsum(blocks) - blocks
-    # an edited text shares the blocks before its first changed one
-    kept = np.array([chars[i] if e is None else e[0] for i, e in enumerate(edits)], np.int64)
-    same = np.minimum(kept // BLOCK, blocks)
-    tails = [np.zeros(0, np.uint8) if e is None else np.r_[own[i][same[i] * BLOCK : e[0]], _symbols(e[1])] for i, e in enumerate(edits)]
-    tail_chars = np.array([len(x) for x in tails], np.int64)
-    new_chars = np.where([e is None for e in edits], 0, same * BLOCK + tail_chars)
-    tail_blocks = np.where([e is None for e in edits], 0, np.maximum(-(-tail_chars // BLOCK), (same == 0).astype(np.int64)))
-    symbols = np.concatenate(own + tails) if texts else np.zeros(0, np.uint8)
-    tail_at = int(chars.sum()) + np.cumsum(tail_chars) - tail_chars
-    tail_first = int(blocks.sum()) + np.cumsum(tail_blocks) - tail_blocks
-
-    def block_spans(begin, size, count):
-        owner = np.repeat(np.arange(len(count)), count)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        return begin[owner] + number * BLOCK, np.clip(size[owner] - number * BLOCK, 0, BLOCK)
-
-    a, b = block_spans(starts_of, chars, blocks), block_spans(tail_at, tail_chars, tail_blocks)
-    table = walks(symbols, np.r_[a[0], b[0]], np.r_[a[1], b[1]])
-
-    def sampled(count, lane, total):
-        owner = np.repeat(np.arange(len(count)), count)
-        octave = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        return _bits(table, lane, owner, octave, total)
-
-    count = octaves(chars)
-    plain = Prints(sampled(count, lambda o, x: first[o] + x, blocks), count, chars)
-    new_blocks = np.where([e is None for e in edits], 0, same + tail_blocks)
-    new_count = np.where([e is None for e in edits], 0, octaves(new_chars))
-    changed = Prints(sampled(new_count, lambda o, x: np.where(x < same[o], first[o] + x, tail_first[o] + x - same[o]), new_blocks), new_count, new_chars)
-    return plain, changed
+    none = np.zeros((0, SAMPLES), np.uint8)
+    plain, changed = [], []
+    chars, new_chars = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for i, (text, edit) in enumerate(zip(texts, edits)):
+        own = _symbols(text)
+        reached = arrivals(own)
+        chars[i] = len(own)
+        plain.append(_bits(own, reached, int(octaves(chars[i]))))
+        if edit is None:
+            changed.append(none)
+            continue
+        # an edited text goes on from where the kept part ends
+        tail = _symbols(edit[1])
+        new_chars[i] = edit[0] + len(tail)
+        walked = np.r_[reached[: edit[0]], arrivals(tail, int(reached[edit[0]]))]
+        changed.append(_bits(np.r_[own[: edit[0]], tail], walked, int(octaves(new_chars[i]))))
+
+    def prints(bits: list[np.ndarray], sizes: np.ndarray) -> Prints:
+        return Prints(np.concatenate([none, *bits]), np.array([len(b) for b in bits], np.int64), sizes)
+
+    return prints(plain, chars), prints(changed, new_chars)
 
 
 def compare(a: Prints, i: int, b: Prints, j: int) -> float:

@@ -278,3 +278,19 @@ def test_similar_groups_of_one_vocabulary(spark):
         texts += [" ".join(words), " ".join(words + words[:20]), " ".join(words[:150] + words[160:] + words[150:160])]
     pairs, together = grouped_as_brute_force(spark, texts)
     assert len(pairs) >= 40 and together == len(pairs)
+
+
+@pytest.mark.parametrize("shift, least", [(1, 0.9), (10, 0.75), (50, 0.4)])
+def test_walks_come_back_into_step(shift, least):
+    """Characters put in or taken out at the front leave most of a long text alike."""
+    import random
+
+    source = random.Random(shift)
+    found = []
+    for _ in range(20):
+        text = "".join(source.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(20_000))
+        front = "".join(source.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(shift))
+        prints, _ = editprint.fingerprint_texts([text, front + text, text[shift:]], [None] * 3)
+        found += [editprint.compare(prints, 0, prints, 1), editprint.compare(prints, 0, prints, 2)]
+    print(sum(found) / len(found))
+    assert sum(found) / len(found) >= least
