@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.arrays import pieces
 from docquarry.llm.tables import doc_columns
 
-SAMPLES, OCTAVES, SHORTEST = 128, 40, 8
+SAMPLES, OCTAVES, SHORTEST, BANDED = 128, 40, 8, 4
 STEPS = 1 << 12
 _RANDOM = np.random.default_rng(8)
 WALK = _RANDOM.integers(0, 2, (STEPS, 256)).astype(np.uint8)
@@ -231,28 +231,33 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 def edit_search(docs: DataFrame, queries: DataFrame, near: float = 0.8, band: int = 16) -> DataFrame:
     """(query, fingerprint, likeness): for each distinct fingerprint of ``queries(doc_id, text)`` those of
-    ``docs`` with as many octaves that share a band of sampled bits and are alike by ``near`` or more.
+    ``docs`` that share a band of sampled bits of one octave and are alike by ``near`` or more.
 
-    Bands are ``band`` consecutive bits of the last two octaves, which hold most of a text; at 0.8 nine
-    bits in ten agree, so a pair shares at least one of the 16 bands with a probability of about 0.95, and near copies almost
-    surely. Copies share a fingerprint and are not repeated; ``fingerprints`` gives the documents of each.
+    Bands are ``band`` consecutive bits of the last ``BANDED`` octaves that a text reaches in full (the first one, if none), so
+    two texts share bands whatever their lengths; those of 0.8 are less than one octave apart and have three octaves or more in common.
+    Copies share a fingerprint and are not repeated; ``fingerprints`` gives the documents of each.
     """
-    width, tail_size = band // 4, SAMPLES // 2
-    tail = F.substring(F.col("fingerprint"), -tail_size, tail_size)
-    bands = F.transform(F.sequence(F.lit(0), F.lit(tail_size // width - 1)), lambda i: F.struct(i.alias("i"), F.substr(tail, i * width + 1, F.lit(width)).alias("b")))
+    width, octave_size = band // 4, SAMPLES // 4
+    full = F.greatest(F.length(F.bin("chars")) - F.lit(SHORTEST.bit_length() - 1), F.lit(1))
+    numbers = F.sequence(F.greatest(full - BANDED, F.lit(0)), full - 1)
+    bands = F.flatten(F.transform(numbers, lambda o: F.transform(
+        F.sequence(F.lit(0), F.lit(octave_size // width - 1)),
+        lambda i: F.struct(o.alias("octave"), i.alias("i"), F.substr("fingerprint", o * octave_size + i * width + 1, F.lit(width)).alias("b")))))
 
     def banded(rows: DataFrame) -> DataFrame:
         prints = fingerprints(rows).groupBy("fingerprint").agg(F.max("n_chars").alias("chars"))
-        return prints.select("fingerprint", "chars", F.length("fingerprint").alias("size"), F.explode(bands).alias("k")).select("*", "k.i", "k.b").drop("k")
+        return prints.select("fingerprint", "chars", F.explode(bands).alias("k")).select("fingerprint", "chars", "k.*")
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series, chars: pd.Series) -> pd.Series:
-        def bits(value: str) -> np.ndarray:
-            return np.unpackbits(np.frombuffer(bytes.fromhex(value), np.uint8)).reshape(-1, SAMPLES)
+        def bits(value: str, count: int) -> np.ndarray:
+            own = np.unpackbits(np.frombuffer(bytes.fromhex(value), np.uint8)).reshape(-1, SAMPLES)
+            return np.vstack([own, BITS[len(own) : count, :, 0]])
 
-        return pd.Series([likeness(bits(p), bits(q), int(n)) for p, q, n in zip(x, y, chars)], dtype=float)
+        counts = [max(len(p), len(q)) // octave_size for p, q in zip(x, y)]
+        return pd.Series([likeness(bits(p, c), bits(q, c), int(n)) for p, q, c, n in zip(x, y, counts, chars)], dtype=float)
 
     asked, known = banded(queries).alias("a"), banded(docs).alias("b")
-    pairs = asked.join(known, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("size", "i", "b")]).select(
+    pairs = asked.join(known, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("octave", "i", "b")]).select(
         F.col("a.fingerprint").alias("query"), F.col("b.fingerprint").alias("fingerprint"), F.greatest("a.chars", "b.chars").alias("chars")).distinct()
     return pairs.withColumn("likeness", alike("query", "fingerprint", "chars")).filter(F.col("likeness") >= near).drop("chars")

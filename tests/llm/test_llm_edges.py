@@ -294,3 +294,29 @@ def test_walks_come_back_into_step(shift, least):
         found += [editprint.compare(prints, 0, prints, 1), editprint.compare(prints, 0, prints, 2)]
     print(sum(found) / len(found))
     assert sum(found) / len(found) >= least
+
+
+def test_edit_search_finds_what_brute_force_finds(spark):
+    """Recall for the documents divisible by 50, with copies on both sides of a power of two characters."""
+    import random
+
+    source = random.Random(9)
+    texts = []
+    for i in range(400):
+        if i % 50 == 0:
+            base = "".join(source.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range([40, 130, 500, 1030, 2040, 2060, 4090, 9000][i // 50]))
+        text = list(base)
+        for _ in range(i % 50 * len(base) // 2000):
+            text[source.randrange(len(text))] = source.choice("0123456789")
+        if i % 3 == 1:
+            text += source.choices("XYZ", k=1 + len(base) // 20)
+        if i % 3 == 2:
+            del text[len(base) - len(base) // 16 :]
+        texts.append("".join(text))
+    prints, _ = editprint.fingerprint_texts(texts, [None] * len(texts))
+    wanted = {(prints.text(i), prints.text(j)) for i in range(0, 400, 50) for j in range(400) if editprint.compare(prints, i, prints, j) >= 0.8}
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    found = {(r.query, r.fingerprint) for r in editprint.edit_search(docs, docs.filter("doc_id % 50 = 0")).collect()}
+    print("recall", len(found & wanted) / len(wanted), len(wanted))
+    assert len(wanted) > 80 and found <= wanted and len(found & wanted) >= 0.9 * len(wanted)
+    assert any(len(a) != len(b) for a, b in found)
