@@ -55,3 +55,39 @@ held AS (
 
 
 ORACLES["op4_benchmark_decontamination"] = f"WITH {contained_items('documents')} SELECT * FROM held"
+
+ORACLES["op11_exact_top_k"] = """
+WITH usable AS (SELECT row_number() OVER () AS row, vec_id, embedding AS e FROM embeddings WHERE len(embedding) > 0),
+numbers AS (
+    SELECT row, vec_id, list_transform(e, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM usable
+    WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+asked AS (SELECT row, vec_id AS query_id, v AS q FROM numbers WHERE vec_id % 50 = 0),
+scored AS (
+    SELECT asked.row, query_id, numbers.vec_id, list_sum(list_transform(list_zip(q, v), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM asked JOIN numbers ON asked.row <> numbers.row AND len(q) = len(v))
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored) WHERE rank <= 5"""
+
+ORACLES["op13_phrase_collocations"] = rf"""
+WITH piece AS (
+    SELECT row_number() OVER () AS piece, lang, regexp_extract_all(part, '[^\x20\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_A_TO_Z}), '[.,;:!?\x0A-\x0D]')) AS part FROM documents)),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY lang),
+f AS (
+    SELECT lang, k, phrase, count(*) AS a
+    FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS phrase FROM piece, unnest(range(1, 6)) AS t(k))
+    GROUP BY lang, k, phrase HAVING count(*) >= 100),
+inside AS (
+    SELECT DISTINCT lang, phrase, a FROM (
+        SELECT lang, a, phrase[1:k - 1] AS phrase FROM f WHERE k > 2
+        UNION ALL SELECT lang, a, phrase[2:k] FROM f WHERE k > 2)),
+kept AS (SELECT lang, k, phrase, a FROM f ANTI JOIN inside USING (lang, phrase, a) WHERE k > 1),
+cut AS (SELECT lang, phrase, a, phrase[1:i] AS x, phrase[i + 1:k] AS y, i FROM (SELECT *, unnest(range(1, k)) AS i FROM kept)),
+scored AS (
+    SELECT cut.lang, cut.phrase, cut.a, i, l.a AS l, r.a AS r, n, ((1000::HUGEINT * cut.a * n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+    FROM cut JOIN f AS l ON l.lang = cut.lang AND l.phrase = x JOIN f AS r ON r.lang = cut.lang AND r.phrase = y JOIN total ON total.lang = cut.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+    SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, n, score,
+           row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank
+    FROM lowest) WHERE rank <= 2000"""

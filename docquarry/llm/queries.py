@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import attribution, brown, contamination, editprint, licenses, lines, packing, quality, simhash, substrings
+from docquarry.llm import attribution, brown, collocations, contamination, editprint, licenses, lines, packing, quality, runs, simhash, substrings, topk
 from docquarry.llm.tables import read
 
 
@@ -61,6 +61,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(read(spark, sf, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.digests(runs.find_runs(runs.with_planted_repeats(read(spark, sf, "documents"))))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_brown_scores, op2_best_fit_packing, op3_substring_dedup, op4_benchmark_decontamination, op5_license_scan, op6_line_dedup, op7_quality_classifier, op8_document_fingerprints, op9_token_counts, op10_simhash_near_dedup)
+    f.__name__: f for f in (
+        op1_brown_scores, op2_best_fit_packing, op3_substring_dedup, op4_benchmark_decontamination, op5_license_scan, op6_line_dedup, op7_quality_classifier, op8_document_fingerprints, op9_token_counts, op10_simhash_near_dedup,
+        op11_exact_top_k, op12_periodic_runs, op13_phrase_collocations)
 }
