@@ -65,20 +65,21 @@ def chunk_pages(
     """Chunk each page on its own; ``chunk_index`` runs on over the document.
 
     The index is a running total of chunks per page; a document with very many
-    pages is spread over many tasks.
+    pages is spread over many tasks. Rows with one page number follow each other by
+    a hash of their text, and those without a number come first.
     """
     split = tx.split_pieces(chunk_size, overlap)
     page = F.col(page_col)
 
     def pieces_of(some: DataFrame) -> DataFrame:
-        return some.select(doc_col, page_col, split(tx.normalize_text(F.col(text_col))).alias("_pieces"))
+        return some.select(doc_col, page_col, F.xxhash64(text_col).alias("_text"), split(tx.normalize_text(F.col(text_col))).alias("_pieces"))
 
     large = large_keys(pages, [doc_col], page, large_key_rows)
     large_rows = None
     if large is not None:  # only pages of large documents are split twice
         large_rows = pieces_of(pages.join(F.broadcast(large.select(doc_col)), doc_col, "left_semi"))
     count = F.size("_pieces").cast("bigint")
-    counted = running_total(pieces_of(pages), [doc_col], [page_col], count, "_through", page, large, large_rows)
+    counted = running_total(pieces_of(pages), [doc_col], [page_col, "_text"], count, "_through", page, large, large_rows, together=False)
     before = F.col("_through") - F.size("_pieces")
     index = F.col("_before") + F.col("_pos")
     rows = explode_pieces(counted.select(doc_col, page_col, before.alias("_before"), "_pieces"), "_pos", text_col)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.json import is_strict_json
 from docquarry.operators.prompts import CHAT_ROLES
 from docquarry.operators.scans import LARGE_KEY_ROWS, PART_BYTES, concat_in_order, in_parts, large_keys, previous_row
+from docquarry.sources.files import write_texts
 
 # The export's heading, speakers and file name, and the error text of a broken stream.
 HEADING = "# Conversation export\n"
@@ -56,10 +57,10 @@ def export_markdown(messages: DataFrame, part_bytes: int = PART_BYTES) -> DataFr
     """Markdown of each chat as (conv_id, part, markdown).
 
     A chat of up to ``part_bytes`` is part 0; the parts of a longer
-    one, put together in order, are the whole file.
+    one, put together in order, are the whole file. A message without a text keeps its speaker.
     """
     speaker = F.when(F.col("role") == "user", YOU).otherwise(ASSISTANT)
-    lines = messages.select("conv_id", "turn", F.concat(F.lit("\n"), speaker, F.col("text"), F.lit("\n")).alias("_line"))
+    lines = messages.select("conv_id", "turn", F.concat(F.lit("\n"), speaker, F.coalesce("text", F.lit("")), F.lit("\n")).alias("_line"))
     placed = in_parts(lines, ["conv_id"], "turn", "_line", part_bytes)
     merged = concat_in_order(placed, ["conv_id", "part"], "turn", "_line", "", "markdown")
     heading = F.when(F.col("part") == 0, HEADING).otherwise("")
@@ -72,13 +73,9 @@ def export_file_name(exported_at):
 
 
 def write_markdown(exported: DataFrame, path: str, folders: int = 64) -> None:
-    """The exports as Parquet rows (name, part, markdown), in ``folders`` folders by chat.
-
-    A file per chat would be millions of them; ``name`` tells where each text belongs.
-    """
-    name = F.concat(F.lit("conversation-"), F.col("conv_id").cast("string"), F.lit(".md"))
-    rows = exported.select(name.alias("name"), "part", "markdown", F.pmod(F.xxhash64("conv_id"), F.lit(folders)).alias("folder"))
-    rows.repartition("folder").sortWithinPartitions("folder", "name", "part").write.mode("overwrite").partitionBy("folder").parquet(path)
+    """The exports as files ``conversation-<conv_id>.md`` in ``folders`` hashed folders below ``path``."""
+    name = F.concat(F.lit(FILE_NAME[0]), F.col("conv_id").cast("string"), F.lit(FILE_NAME[1]))
+    write_texts(exported.select(name.alias("name"), "part", F.col("markdown").alias("text")), path, folders)
 
 
 # A line ends at any of these characters; the class spells out what "." and

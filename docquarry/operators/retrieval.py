@@ -2,9 +2,10 @@
 
 Chunks are never shuffled and never joined to questions. Questions go to the
 tasks in blocks of a fixed byte size; each task multiplies its chunk batches
-with the block and keeps k candidates per question, and one small shuffle by
-question merges the candidates. More questions mean more blocks, each one
-scan of the chunk table.
+with a block and keeps k candidates per question, and one small shuffle by
+question merges the candidates. More questions mean more blocks: those are
+written to the shared folder, and a task reads one after the other for a
+buffer of chunks, in one scan of the chunk table.
 
 Scores are rounded to 6 places before ranking, so that neither partitioning
 nor a retried task can change an answer. Ties go to the newest document when
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquarry.functions.text import trim_text
-from docquarry.operators.scoring import BlockScorer
+from docquarry.operators.scoring import BlockScorer, SharedBlockScorer
 from docquarry.session import work_dir
+from docquarry.sources.shared import filtered_by_parts, write_parts
 
 DEFAULT_K = 3  # Fixed value: chunks retrieved per question.
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -55,8 +57,8 @@ def _score(
     ``buckets`` is the bucket count of a store that ``chunks`` come from: scoped
     questions then open the buckets of their documents only.
 
-    The questions are fetched first: in one go when they are few, else in
-    blocks sized by a count.
+    Questions are fetched in one go when they are few; else tasks read them
+    in blocks sized by a count. A question or chunk without an id is an error.
     """
     spark = queries.sparkSession
     tie_cols = [newest_col] if newest_col else []
@@ -70,47 +72,87 @@ def _score(
     )
     ties = [(c, "descending") for c in tie_cols] + [("doc_id", "ascending"), ("chunk_index", "ascending")]
 
-    queries = queries.filter("query_id IS NOT NULL")
+    named = F.when(F.col("query_id").isNull(), F.raise_error(F.lit("a question without an id"))).otherwise(F.col("query_id"))
+    queries = queries.withColumn("query_id", named)
     first = queries.limit(FEW_QUERIES + 1).toArrow()
     if first.num_rows == 0:
         return spark.createDataFrame([], out_schema)
-    if first.num_rows <= FEW_QUERIES and first.nbytes <= block_bytes:
-        blocks = [first]
-    else:
-        blocks = _fetch_blocks(queries, block_bytes, max(map(len, filter(None, first.column("embedding").to_pylist())), default=0))
     bucketed = ["doc_bucket"] if buckets and "doc_bucket" in chunks.columns else []
-    slim = chunks.select(*chunk_cols, "embedding", *bucketed).filter("doc_id IS NOT NULL AND chunk_index IS NOT NULL")
-    parts = []
-    for table in blocks:
-        names = table.column("query_id").to_pylist()
-        if len(set(names)) < len(names):
-            raise ValueError("query ids must be unique")
-        scopes = set(table.column("scope").to_pylist())
-        source = slim
-        if None not in scopes and len(scopes) <= INLINE_SCOPES:
-            # Reaches the scan: partition, file and row-group pruning.
-            source = slim.filter(F.col("doc_id").isin(sorted(scopes)))
-            if bucketed:
-                kind = chunks.schema["doc_id"].dataType
-                held = [F.pmod(F.xxhash64(F.lit(s).cast(kind)), F.lit(buckets)).cast("int") for s in sorted(scopes)]
-                source = source.filter(F.col("doc_bucket").isin(held))
-        elif None not in scopes:
-            # No larger than the block; keeps other documents' vectors in the JVM.
-            named = spark.createDataFrame([(s,) for s in scopes], T.StructType([chunks.schema["doc_id"]]))
-            source = slim.join(F.broadcast(named), "doc_id", "left_semi")
+    slim = chunks.select(*chunk_cols, "embedding", *bucketed)
+    if first.num_rows > FEW_QUERIES or first.nbytes > block_bytes:
+        dim = max(map(len, filter(None, first.column("embedding").to_pylist())), default=0)
+        return _score_blocks(queries, slim, k, per_document, ties, out_schema, block_bytes, dim, buckets if bucketed else None)
+    scopes = set(first.column("scope").to_pylist())
+    source = slim
+    if None not in scopes:
+        # Reaches the scan: partition, file and row-group pruning.
+        kind = chunks.schema["doc_id"].dataType
+        if bucketed:
+            held = {F.pmod(F.xxhash64(F.lit(s).cast(kind)), F.lit(buckets)).cast("int") for s in sorted(scopes)}
+            source = source.filter(F.col("doc_bucket").isin(*held))
+        if len(scopes) <= INLINE_SCOPES:
+            source = source.filter(F.col("doc_id").isin(sorted(scopes)))
+        else:  # no larger than the block; keeps other documents' vectors in the JVM
+            known = spark.createDataFrame([(s,) for s in scopes], T.StructType([chunks.schema["doc_id"]]))
+            source = source.join(F.broadcast(known), "doc_id", "left_semi")
+    sent = spark.sparkContext.broadcast(first)
+    return source.drop("doc_bucket").mapInArrow(BlockScorer(sent, k, per_document, ties), out_schema)
+
+
+def _score_blocks(
+    queries: DataFrame,
+    slim: DataFrame,
+    k: int | None,
+    per_document: bool,
+    ties: list[tuple[str, str]],
+    out_schema: T.StructType,
+    block_bytes: int,
+    dim: int,
+    buckets: int | None,
+) -> DataFrame:
+    """Many questions: written once in blocks to the shared folder, from which tasks read them one at a
+    time, so that the chunks are scanned once and no block passes the driver.
+
+    If all questions are scoped, their documents' buckets prune the scan at run time, however many they are.
+    Where tasks cannot open the shared folder, blocks are broadcast, one scan each.
+    """
+    count = queries.select("query_id").count()
+    blocks = max(1, -(-count * max(dim, 1) * 8 // block_bytes))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    written = write_parts(queries, number, "questions")
+    source = slim
+    if written is not None:
+        asked = written[1].select(F.col("scope").alias("doc_id"))
+        if asked.filter("doc_id IS NULL").isEmpty():
+            source = _in_scopes(slim, asked, buckets)
+        scorer = SharedBlockScorer(written[0], k, per_document, ties)
+        return source.drop("doc_bucket").mapInArrow(lambda batches: scorer(batches), out_schema)
+    spark, parts = queries.sparkSession, []
+    for table in _fetch_blocks(queries, blocks, count):
         sent = spark.sparkContext.broadcast(table)
         parts.append(source.drop("doc_bucket").mapInArrow(BlockScorer(sent, k, per_document, ties), out_schema))
     return reduce(DataFrame.unionAll, parts)
 
 
-def _fetch_blocks(queries: DataFrame, block_bytes: int, dim: int) -> Iterator[pa.Table]:
-    """All questions, a block at a time: sized by one count, split by hash.
+def _in_scopes(slim: DataFrame, asked: DataFrame, buckets: int | None) -> DataFrame:
+    """Chunks of the documents asked for, as far as those are few enough to broadcast; the scorer finds the rest."""
+    on = ["doc_id"]
+    if buckets:
+        # the comparison always holds; it tells the optimizer that this side selects, so that it prunes partitions by it
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+        asked, on = asked.withColumn("doc_bucket", bucket).filter(F.col("doc_bucket") >= 0), ["doc_bucket", "doc_id"]
+    asked = asked.distinct()
+    if asked.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return slim
+    return slim.join(F.broadcast(asked), on, "left_semi")
+
+
+def _fetch_blocks(queries: DataFrame, blocks: int, count: int) -> Iterator[pa.Table]:
+    """All questions, a block at a time, through the driver.
 
     Questions are written once, with their vectors, so that no block embeds them again.
     """
     spark, schema = queries.sparkSession, queries.schema
-    count = queries.select("query_id").count()
-    blocks = max(1, -(-count * max(dim, 1) * 8 // block_bytes))
     path = work_dir(spark, "questions")
     queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).write.partitionBy("_block").parquet(path)
     written = spark.read.schema(T.StructType([*schema.fields, T.StructField("_block", T.LongType())])).parquet(path)
@@ -174,23 +216,27 @@ def hint_small(df: DataFrame, at_most: int | None) -> DataFrame:
     return F.broadcast(df) if at_most is not None and at_most <= BROADCAST_ROWS else df
 
 
-def registered_chunks(chunks: DataFrame, registry: DataFrame) -> DataFrame:
-    """Chunks of registered documents, without shuffling vectors when avoidable.
+def registered_chunks(chunks: DataFrame, registry: DataFrame, buckets: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Chunks of registered documents, without shuffling vectors.
 
     Either the registry or the set of chunk documents missing from it is
     usually small; counting the two (document ids only, up to the bound) picks
-    the one to broadcast. When neither is, a plain semi join does the work.
+    the one to broadcast. When neither is, the tasks that read a bucket of a store
+    (``buckets``) meet the registry's rows of that bucket there. Only a table without buckets is joined by shuffling.
     """
     known = registry.select("doc_id")
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if known.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return chunks.join(F.broadcast(known), "doc_id", "left_semi")
     missing = chunks.select("doc_id").distinct().join(known, "doc_id", "left_anti")
-    unknown = missing.limit(BROADCAST_ROWS + 1).count()
+    unknown = missing.limit(broadcast_rows + 1).count()
     if unknown == 0:
         return chunks
-    if unknown <= BROADCAST_ROWS:
+    if unknown <= broadcast_rows:
         return chunks.join(F.broadcast(missing), "doc_id", "left_anti")
-    return chunks.join(known, "doc_id", "left_semi")
+    met = None
+    if buckets and "doc_bucket" in chunks.columns:
+        met = filtered_by_parts(chunks, known, ["doc_id"], F.pmod(F.xxhash64("doc_id"), F.lit(buckets)), keep=True)
+    return chunks.join(known, "doc_id", "left_semi") if met is None else met
 
 
 def scoped_top_k(
@@ -211,7 +257,7 @@ def scoped_top_k(
     asked = asked.filter(has_document(registry))
     everywhere = top_k(
         asked.filter(F.col("scope").isNull()),
-        registered_chunks(chunks, registry),
+        registered_chunks(chunks, registry, options.get("buckets")),
         k,
         newest_col=newest_col,
         **options,

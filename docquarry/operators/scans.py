@@ -98,17 +98,22 @@ def running_total(
     position: Column,
     large: DataFrame | None,
     large_rows: DataFrame | None = None,
+    together: bool = True,
 ) -> DataFrame:
     """Add ``name``: sum of ``value`` over all rows of the key up to this one.
 
     ``position`` is a whole number that never falls along ``order``. Rows equal
     in ``order`` count together, as in a SQL RANGE frame, so they must share a
-    position. ``large_rows`` are the rows of large keys, if there is a cheaper
+    position; without ``together`` one after another. ``large_rows`` are the rows of large keys, if there is a cheaper
     way to them than through all of ``df``.
     """
+    def upto(window):
+        ordered = window.orderBy(*order)
+        return ordered if together else ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
     if large is None:
-        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order)))
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+        return df.withColumn(name, F.sum(value).over(upto(Window.partitionBy(*keys))))
+    inside = upto(Window.partitionBy(*keys, "_block"))
     across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         split_large_keys(df if large_rows is None else large_rows, keys, position, large, only=True)

@@ -14,7 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from docquarry.functions.vectors import SCORE_DIGITS
+from docquarry.sources.shared import SharedParts
 
+BUFFER_BYTES = 128 << 20  # of chunk batches a task holds while it reads blocks of queries
 SCORES_AT_ONCE = 4_000_000  # entries of one score matrix (32 MB)
 ROUNDING_MARGIN = 1.5 * 10.0**-SCORE_DIGITS
 
@@ -30,6 +32,8 @@ class QueryBlock:
 
     @staticmethod
     def from_table(table: pa.Table) -> "QueryBlock":
+        if pc.count_distinct(table.column("query_id")).as_py() < len(table):
+            raise ValueError("query ids must be unique")
         unit, usable = unit_rows(table.column("embedding"))
         table = table.take(pa.array(usable))
         scopes = table.column("scope").to_pylist()
@@ -140,6 +144,8 @@ class BlockScorer:
         floor[asked[last]] = scores[last]
 
     def candidates(self, queries: QueryBlock, chunks: pa.Table, floor: np.ndarray) -> pa.Table:
+        if chunks.column("doc_id").null_count or chunks.column("chunk_index").null_count:
+            raise ValueError("a chunk without an id")
         unit, usable = unit_rows(chunks.column("embedding"))
         chunks = chunks.drop_columns(["embedding"]).take(pa.array(usable))
         tie_rank = np.empty(len(chunks), dtype=np.int64)
@@ -194,3 +200,38 @@ class BlockScorer:
         ids = queries.ids.take(found.column("_query"))
         named = found.drop_columns(["_query"]).add_column(0, "query_id", ids)
         yield from named.combine_chunks().to_batches(max_chunksize=10_000)
+
+
+@dataclass
+class Held:
+    """A block of queries in the task's own memory, in place of a broadcast."""
+
+    value: pa.Table
+
+
+class SharedBlockScorer:
+    """Many blocks of queries in one pass over the chunks.
+
+    A task holds a buffer of chunk batches and scores it with one block after the other, each read
+    from the shared folder; candidates leave per buffer and block.
+    """
+
+    def __init__(self, blocks: SharedParts, k: int | None, per_document: bool, ties: list[tuple[str, str]], buffer_bytes: int = BUFFER_BYTES):
+        self.blocks, self.k, self.per_document, self.ties, self.buffer_bytes = blocks, k, per_document, ties, buffer_bytes
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= self.buffer_bytes:
+                yield from self.scored(held)
+                held, size = [], 0
+        if held:
+            yield from self.scored(held)
+
+    def scored(self, chunks: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number in sorted(self.blocks.files):
+            scorer = BlockScorer(Held(self.blocks.part(number)), self.k, self.per_document, self.ties)
+            yield from scorer(iter(chunks))

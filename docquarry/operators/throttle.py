@@ -49,6 +49,7 @@ def throttle_flags(
 ) -> DataFrame:
     """Add ``attempts`` (this client's attempts in the trailing window, this
     moment included, both ends closed) and ``throttled`` (over the limit).
+    A request without a time stays, with both null.
 
     Every attempt adds 1 when made and takes 1 away once the window has passed,
     so the count is one running total over both kinds of rows. (A sliding
@@ -63,8 +64,9 @@ def throttle_flags(
     large = large_keys(requests, [client_col], at, large_key_rows)
     steps = requests.select(client_col, ts_col, id_col, F.inline(steps))
     counted = running_total(steps, [client_col], ["_at"], F.col("_step"), "attempts", F.col("_at"), large)
+    attempts = F.when(F.col("_at").isNotNull(), F.col("attempts"))
     return counted.filter(F.col("_step") == 1).select(
-        client_col, ts_col, id_col, "attempts", (F.col("attempts") > limit.requests).alias("throttled")
+        client_col, ts_col, id_col, attempts.alias("attempts"), (attempts > limit.requests).alias("throttled")
     )
 
 
@@ -243,7 +245,8 @@ def admission_replay(
 
     ``state(client, bucket, previous, current, last_at)`` continues an earlier
     batch, see ``state_after``. A request older than its client's last decision
-    is decided on arrival, at the time of that decision.
+    is decided on arrival, at the time of that decision. A request without a
+    time stays undecided: everything but its client and id is null, and it counts for nobody.
     """
     kind = requests.schema[client_col].dataType
 
@@ -251,7 +254,9 @@ def admission_replay(
         """Clients as texts that tell a missing one from all others."""
         return df.withColumn(client_col, F.coalesce(F.concat(F.lit("="), F.col(client_col).cast("string")), F.lit("")))
 
-    slim = named(requests.select(client_col, id_col, micros(F.col(ts_col)).alias("_at")))
+    timed = requests.filter(F.col(ts_col).isNotNull())
+    undecided = requests.filter(F.col(ts_col).isNull())
+    slim = named(timed.select(client_col, id_col, micros(F.col(ts_col)).alias("_at")))
     if state is not None:
         state = named(state)
         last = state.select(client_col, F.col("last_at").alias("_decided"))
@@ -265,10 +270,11 @@ def admission_replay(
             _replay_by_slots(slim, limit, client_col, id_col, state, large)
         )
     client = F.when(F.col(client_col) != "", F.substring(F.col(client_col), 2, 2_000_000_000)).cast(kind)
-    return decided.select(
+    decided = decided.select(
         client.alias(client_col), id_col, F.timestamp_micros("_at").alias("decided_at"), "admitted",
         F.col("_bucket").alias("bucket"), F.col("_previous").alias("previous"), F.col("_current").alias("current"),
     )
+    return decided.unionByName(undecided.select(client_col, id_col), allowMissingColumns=True)
 
 
 def state_after(
@@ -281,6 +287,7 @@ def state_after(
     """
     last_at = F.unix_micros("decided_at")
     last = F.max_by(F.struct("bucket", "previous", "current", last_at.alias("last_at")), F.struct(last_at, id_col))
+    decisions = decisions.filter(F.col("decided_at").isNotNull())
     after = decisions.groupBy(client_col).agg(last.alias("_last")).select(client_col, "_last.*")
     if seen_at is not None:
         after = after.withColumn("seen_at", seen_at)

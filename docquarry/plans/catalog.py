@@ -19,10 +19,13 @@ from docquarry.plans import ask
 from docquarry.plans.ingest import embedded_documents, embedded_pages
 from docquarry.session import spread, work_dir
 from docquarry.sources import store
-from docquarry.sources.corpus import read_table
+from docquarry.sources.corpus import read_corpus, read_table, stream_corpus
+from docquarry.sources.files import read_paged_files, write_texts
 from docquarry.streaming.admission import read_decisions, start_admission
-from docquarry.streaming.ingest import start_ingest
-from docquarry.streaming.usage import requests_per_window, start_usage_log
+from docquarry.streaming.ingest import once_per_upload, start_ingest
+from docquarry.streaming.keyed_admission import start_keyed_admission
+from docquarry.streaming.usage import kept_routes, kept_summary, requests_per_window, start_usage_log, start_usage_report
+from docquarry.streaming.writers import writer_of
 
 PAGE_CHUNKS = {"chunk_size": 200, "overlap": 30}
 HISTORY = 4
@@ -95,7 +98,12 @@ def usage_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "events").select("event_id", F.col("user_id").alias("client"), "ts")
+    return read_table(spark, sf, "events").select("event_id", F.col("user_id").alias("client"), known_time().alias("ts"))
+
+
+def known_time() -> F.Column:
+    """The time of an event; every 97th has lost it."""
+    return F.when(F.col("event_id") % 97 != 0, F.col("ts"))
 
 
 def damaged_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -245,7 +253,7 @@ def paged_ingest(spark, sf):
     names = pages.select("doc_id").distinct().select(
         "doc_id", F.concat(F.lit("talk-"), F.col("doc_id").cast("string"), ending).alias("file_name"),
         F.timestamp_seconds(F.lit(1_704_067_200)).alias("uploaded_at"))
-    store.save_chunks(embedded_pages(pages, names, embedding.HashedTerms(64), buckets=8), path, 0, buckets=8)
+    store.save_chunks(embedded_pages(pages, names, buckets=8), path, 0, buckets=8)
     return store.read_chunks(spark, path).select("doc_id", "chunk_index", "page", "text", "file_name")
 
 
@@ -417,8 +425,7 @@ def decode_usage(spark, sf):
     return logs.decode_events(damaged_log(spark, sf), schema="k BIGINT", keep=("event_id",))
 
 
-def usage_summary(spark, sf):
-    report = logs.usage_summary(usage_events(spark, sf))
+def _as_text(report: DataFrame) -> DataFrame:
     routes = F.transform(F.map_entries("by_route"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     recent = F.transform("recent", lambda e: F.concat_ws("@", e["route"], F.date_format(e["ts"], STAMP)))
     return report.select(
@@ -428,6 +435,10 @@ def usage_summary(spark, sf):
     )
 
 
+def usage_summary(spark, sf):
+    return _as_text(logs.usage_summary(usage_events(spark, sf)))
+
+
 def usage_by_route(spark, sf):
     return logs.usage_by_route(logs.newest(usage_events(spark, sf)))
 
@@ -502,6 +513,16 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+def _in_stretches(rows: DataFrame, ts_col: str, count: int, path: str) -> DataFrame:
+    """``rows`` written stretch by stretch of time below ``path``, as a stream that takes one stretch after the other."""
+    at = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(at, [i / count for i in range(1, count)])).first()[0] or []
+    number = sum([(F.coalesce(at, F.lit(0)) > cut).cast("int") for cut in cuts], F.lit(0))
+    for stretch in range(count):
+        rows.filter(number == stretch).coalesce(1).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def ingest_stream(spark, sf):
     """The documents table through the streaming ingest; what the store lists."""
     path = work_dir(spark, "ingest")
@@ -509,8 +530,7 @@ def ingest_stream(spark, sf):
         "doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), "text",
         F.timestamp_seconds(F.lit(1_704_067_200)).alias("uploaded_at"),
     )
-    small = embedding.HashedTerms(64)
-    start_ingest(docs, f"{path}/store", f"{path}/checkpoint", small, buckets=8).awaitTermination()
+    start_ingest(docs, f"{path}/store", f"{path}/checkpoint", buckets=8).awaitTermination()
     listed = store.registry(store.read_chunks(spark, f"{path}/store"))
     return listed.select("doc_id", "file_name", "chunk_count")
 
@@ -531,8 +551,9 @@ def request_windows(spark, sf):
     path = work_dir(spark, "windows")
     events = _stream(spark, sf, "events").select(F.col("event_type").alias("route"), "ts")
     counted = requests_per_window(events, "1 day", "1 hour")
+    writer = writer_of(spark, f"{path}/checkpoint")
     (
-        counted.writeStream.outputMode("update").foreachBatch(lambda batch, number: logs.append_log(batch, f"{path}/out", number))
+        counted.writeStream.outputMode("update").foreachBatch(lambda batch, number: logs.append_log(batch, f"{path}/out", number, writer))
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True).start().awaitTermination()
     )
@@ -543,11 +564,81 @@ def request_windows(spark, sf):
 def admission_stream(spark, sf):
     """The requests through the live admission rule."""
     path = work_dir(spark, "admission")
-    asked = _stream(spark, sf, "events").select("event_id", F.col("user_id").alias("client"), "ts")
+    asked = _stream(spark, sf, "events").select("event_id", F.col("user_id").alias("client"), known_time().alias("ts"))
     start_admission(asked, f"{path}/out", f"{path}/checkpoint", DAILY).awaitTermination()
     return read_decisions(spark, f"{path}/out").select("event_id", "client", stamp("decided_at"), "admitted")
 
 
+def usage_incremental(spark, sf):
+    """The events in four stretches of time, one per micro-batch, through the kept report."""
+    path = work_dir(spark, "usage-report")
+    live = _in_stretches(usage_events(spark, sf), "ts", 4, f"{path}/in")
+    start_usage_report(live, f"{path}/kept", f"{path}/checkpoint").awaitTermination()
+    return _as_text(kept_summary(spark, f"{path}/kept"))
+
+
+def usage_routes_incremental(spark, sf):
+    """The same stream's counts of all events by route."""
+    path = work_dir(spark, "usage-routes")
+    live = _in_stretches(usage_events(spark, sf), "ts", 4, f"{path}/in")
+    start_usage_report(live, f"{path}/kept", f"{path}/checkpoint").awaitTermination()
+    return kept_routes(spark, f"{path}/kept")
+
+
+def ingest_once(spark, sf):
+    """A stream of uploads of which every third is delivered twice: how often each was stored, and its chunks."""
+    path = work_dir(spark, "once")
+    files = uploads(spark, sf).withColumn("file_name", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = files.withColumn("upload_id", F.col("doc_id").cast("string"))
+    files.filter("doc_id % 2 = 0 OR doc_id % 3 = 0").write.mode("append").parquet(f"{path}/in")
+    files.filter("doc_id % 2 <> 0 OR doc_id % 3 = 0").write.mode("append").parquet(f"{path}/in")
+    live = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    start_ingest(once_per_upload(live, "100 days").drop("upload_id"), f"{path}/store", f"{path}/checkpoint", buckets=8).awaitTermination()
+    stored = store.read_versions(spark, f"{path}/store")
+    return stored.groupBy("doc_id", "file_name").agg(F.count("*").alias("times"), F.sum("chunk_count").alias("chunk_count"))
+
+
+# --- files ----------------------------------------------------------------------
+
+def corpus_files(spark, sf):
+    """Texts of documents as files, taken up as a stream of files into a store; what it lists."""
+    path = work_dir(spark, "files")
+    docs = read_table(spark, sf, "documents")
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".html").otherwise(".txt"))
+    write_texts(docs.select(name.alias("name"), F.lit(0).alias("part"), "text"), f"{path}/in")
+    files = stream_corpus(spark, f"{path}/in", "upload")
+    start_ingest(files, f"{path}/store", f"{path}/checkpoint", buckets=8).awaitTermination()
+    return store.read_registry(spark, f"{path}/store").select("file_name", "chunk_count")
+
+
+def paged_files(spark, sf):
+    """Conversations as files with a form feed between their pages, read as pages and chunked."""
+    path = work_dir(spark, "paged-files")
+    pages = paged(spark, sf)
+    text = F.concat(F.when(F.col("page") > 1, F.lit("\f")).otherwise(""), F.coalesce("text", F.lit("")))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    write_texts(pages.select(name.alias("name"), F.col("page").alias("part"), text.alias("text")), path)
+    read = read_paged_files(spark, path).withColumn("doc_id", F.split_part("file_name", F.lit("."), F.lit(1)).cast("bigint"))
+    return chunking.chunk_pages(read.select("doc_id", "page", "text"), **PAGE_CHUNKS)
+
+
+def export_files(spark, sf):
+    """The exported chats as files, read back."""
+    path = work_dir(spark, "exports")
+    conversations.write_markdown(conversations.export_markdown(chats(spark, sf)), path)
+    files = read_corpus(spark, path).filter(F.col("file_name").like("%.md"))
+    chat = F.regexp_extract("file_name", r"^conversation-(\d+)\.md$", 1).cast("bigint")
+    return files.select(chat.alias("conv_id"), F.lit(0).cast("bigint").alias("part"), F.col("text").alias("markdown"))
+
+
+def admission_state_stream(spark, sf):
+    """The requests in four stretches of time, one per micro-batch, through the live rule with state kept by Spark."""
+    path = work_dir(spark, "keyed-admission")
+    live = _in_stretches(requests(spark, sf), "ts", 4, f"{path}/in")
+    start_keyed_admission(live, f"{path}/out", f"{path}/checkpoint", DAILY).awaitTermination()
+    return read_decisions(spark, f"{path}/out").select("event_id", "client", stamp("decided_at"), "admitted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extension_gate": extension_gate,
     "ingest_gate": ingest_gate,
@@ -601,4 +692,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_stream": usage_stream,
     "request_windows": request_windows,
     "admission_stream": admission_stream,
+    "admission_state_stream": admission_state_stream,
+    "usage_incremental": usage_incremental,
+    "usage_routes_incremental": usage_routes_incremental,
+    "ingest_once": ingest_once,
+    "corpus_files": corpus_files,
+    "paged_files": paged_files,
+    "export_files": export_files,
 }

@@ -173,7 +173,7 @@ ADMISSION = f"""
     WITH RECURSIVE attempts AS (
       SELECT event_id, user_id AS client, epoch_us(ts) // {_WINDOW} AS b, epoch_us(ts) % {_WINDOW} AS elapsed,
              row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i
-      FROM events
+      FROM events WHERE event_id % 97 <> 0
     ),
     steps AS (
       SELECT event_id, client, i, b, CAST(0 AS BIGINT) AS prev, CAST(1 AS BIGINT) AS cur, true AS admitted
@@ -191,7 +191,8 @@ ADMISSION = f"""
         )
       )
     )
-    SELECT event_id, client, strftime(ts, {STAMP}) AS decided_at, admitted FROM steps JOIN events USING (event_id)"""
+    SELECT event_id, client, strftime(ts, {STAMP}) AS decided_at, admitted FROM steps JOIN events USING (event_id)
+    UNION ALL SELECT event_id, user_id, NULL, NULL FROM events WHERE event_id % 97 = 0"""
 
 _STOP = ", ".join(text_sql(word) for word in highlights.STOP_WORDS)
 TERMS = f"""
@@ -419,7 +420,8 @@ ORACLES: dict[str, str] = {
         FROM (SELECT event_id, user_id AS client, ts,
                      count(*) OVER (PARTITION BY user_id ORDER BY ts
                                     RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS attempts
-              FROM events)""",
+              FROM events WHERE event_id % 97 <> 0)
+        UNION ALL SELECT event_id, user_id, NULL, NULL, NULL FROM events WHERE event_id % 97 = 0""",
     "admission_replay": ADMISSION,
     "classify_errors": f"""
         WITH failed AS (
@@ -457,4 +459,23 @@ ORACLES: dict[str, str] = {
         SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS route, count(*) AS requests
         FROM events GROUP BY 1, 2""",
     "admission_stream": ADMISSION,
+    "admission_state_stream": ADMISSION,
 }
+
+ORACLES["usage_incremental"] = ORACLES["usage_summary"]
+ORACLES["usage_routes_incremental"] = "SELECT event_type AS route, count(*) AS requests FROM events GROUP BY 1"
+ORACLES["paged_files"] = ORACLES["chunk_pages"]
+ORACLES["export_files"] = ORACLES["export_markdown"]
+ORACLES["ingest_once"] = f"""
+    WITH RECURSIVE {DOC_CHUNKS},
+    delivered AS (
+      SELECT doc_id FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0
+      UNION ALL SELECT doc_id FROM documents WHERE doc_id % 2 <> 0 OR doc_id % 3 = 0
+    ),
+    stored AS (SELECT doc_id FROM delivered QUALIFY row_number() OVER (PARTITION BY doc_id) = 1),
+    sizes AS (SELECT doc_id, count(*) AS chunk_count FROM chunks GROUP BY doc_id)
+    SELECT doc_id, 'doc-' || doc_id || '.txt' AS file_name, count(*) AS times, sum(chunk_count)::BIGINT AS chunk_count
+    FROM stored JOIN sizes USING (doc_id) GROUP BY doc_id"""
+ORACLES["corpus_files"] = f"""
+    WITH RECURSIVE {DOC_CHUNKS}
+    SELECT 'doc-' || doc_id || '.txt' AS file_name, count(*) AS chunk_count FROM chunks WHERE doc_id % 5 <> 0 GROUP BY doc_id"""

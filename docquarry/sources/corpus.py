@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import has_supported_extension
+from docquarry.sources.files import read_paged_files
 
 
 def document_id(*parts) -> F.Column:
@@ -20,7 +21,18 @@ def read_corpus(spark: SparkSession, path: str, upload_id: str = "") -> DataFram
     ``.csv`` files are text here, like the others. Files with unsupported
     extensions are kept so that the ingest gate can report them.
     """
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return _uploads(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True), upload_id)
+
+
+def stream_corpus(spark: SparkSession, path: str, upload_id: str = "", files_each: int | None = None) -> DataFrame:
+    """The same as a stream: files that come to lie below ``path`` are taken once each, ``files_each`` in a micro-batch."""
+    reader = spark.readStream.option("recursiveFileLookup", "true")
+    if files_each:
+        reader = reader.option("maxFilesPerTrigger", files_each)
+    return _uploads(reader.text(path, wholetext=True), upload_id)
+
+
+def _uploads(files: DataFrame, upload_id: str) -> DataFrame:
     return files.select(
         document_id(F.lit(upload_id), F.col("_metadata.file_path")).alias("doc_id"),
         F.col("_metadata.file_name").alias("file_name"),
@@ -33,9 +45,10 @@ def supported_files(files: DataFrame, name_col: str = "file_name") -> DataFrame:
     return files.filter(has_supported_extension(F.col(name_col)))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table of decoded page texts (doc_id, page, text), pages from 1."""
-    return spark.read.parquet(path).select("doc_id", "page", "text")
+def read_pages(spark: SparkSession, path: str, upload_id: str = "") -> DataFrame:
+    """The pages of text files below ``path``, see ``files.read_paged_files``, as (doc_id, file_name, page, text)."""
+    pages = read_paged_files(spark, path)
+    return pages.select(document_id(F.lit(upload_id), F.col("path")).alias("doc_id"), "file_name", "page", "text")
 
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:

@@ -24,12 +24,15 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docquarry.sources.shared import filtered_by_parts
+
 DOC_BUCKETS = 64
 CHUNKS_PER_FILE_BLOCK = 4096
 BROADCAST_BYTES = 32 << 20
 VERSION_BYTES = 64  # of a (document, batch) row in a broadcast, generously
 
-CHUNK_COLUMNS = ("doc_id", "chunk_index", "chunk_id", "page", "text", "file_name", "uploaded_at", "embedding")
+# of a store that has no chunk yet; doc_id is of the store's type
+CHUNK_SCHEMA = "chunk_index bigint, chunk_id string, page bigint, text string, file_name string, uploaded_at timestamp, embedding array<float>, doc_bucket int, batch_id bigint"
 
 
 def doc_bucket(doc_id: Column, buckets: int = DOC_BUCKETS) -> Column:
@@ -177,12 +180,12 @@ def dead_versions(versions: DataFrame, deletes: DataFrame | None = None) -> Data
         (F.col("batch_id") < F.col("_last.batch_id")) | F.col("_last.deleted")).select("doc_id", "batch_id")
 
 
-def without_dead(chunks: DataFrame, dead: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def without_dead(chunks: DataFrame, dead: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, buckets: int | None = None) -> DataFrame:
     """Chunk rows of versions that live.
 
-    The dead versions are counted: while small they are broadcast, and no vector
-    is shuffled. Beyond that only the batches that hold dead versions are
-    joined by shuffling; all others still pass through.
+    The dead versions are counted: while small they are broadcast. Beyond that, batches without dead
+    versions pass through, and in the others the tasks that read a bucket of a store (``buckets``)
+    meet the dead versions of that bucket there. No vector is shuffled; only a table without buckets is joined by shuffling.
     """
     count = dead.count()
     if count == 0:
@@ -191,7 +194,12 @@ def without_dead(chunks: DataFrame, dead: DataFrame, broadcast_bytes: int = BROA
         return chunks.join(F.broadcast(dead), ["doc_id", "batch_id"], "left_anti")
     touched = [r.batch_id for r in dead.select("batch_id").distinct().collect()]  # one row per batch
     among = F.col("batch_id").isin(touched)
-    return chunks.filter(~among).unionByName(chunks.filter(among).join(dead, ["doc_id", "batch_id"], "left_anti"))
+    met = None
+    if buckets and "doc_bucket" in chunks.columns:
+        met = filtered_by_parts(chunks.filter(among), dead, ["doc_id", "batch_id"], doc_bucket(F.col("doc_id"), buckets), keep=False)
+    if met is None:
+        met = chunks.filter(among).join(dead, ["doc_id", "batch_id"], "left_anti")
+    return chunks.filter(~among).unionByName(met)
 
 
 def without_deleted(chunks: DataFrame, tombstones: DataFrame) -> DataFrame:
@@ -219,20 +227,23 @@ def read_versions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", f"{path}/documents").parquet(*folders).drop("source")
 
 
-def read_chunks(spark: SparkSession, path: str, only: Column | None = None) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, only: Column | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The live chunks of a store. ``only`` narrows whole documents, by doc_id and doc_bucket, before
-    versions are resolved, so that it prunes every scan."""
+    versions are resolved, so that it prunes every scan. A store without any chunk gives no rows."""
+    if not _listed(spark, f"{path}/chunks/batch_id=*/doc_bucket=*"):
+        return spark.createDataFrame([], f"doc_id {_layout(spark, path).id_type}, {CHUNK_SCHEMA}")
     versions = read_versions(spark, path)
     complete = sorted(committed_batches(spark, path).values())
     chunks = spark.read.parquet(f"{path}/chunks").withColumn("batch_id", F.col("batch_id").cast("bigint")).filter(F.col("batch_id").isin(complete))
     if only is not None:
         chunks, versions = chunks.filter(only), versions.filter(only)
-    return without_dead(chunks, dead_versions(versions.filter("NOT deleted"), versions.filter("deleted")))
+    dead = dead_versions(versions.filter("NOT deleted"), versions.filter("deleted"))
+    return without_dead(chunks, dead, broadcast_bytes, store_buckets(spark, path))
 
 
 def documents_filter(spark: SparkSession, path: str, doc_ids: list) -> Column:
     """A condition for some documents that names their buckets too, so that a scan opens no other."""
-    id_type = spark.read.parquet(f"{path}/chunks").schema["doc_id"].dataType
+    id_type = _layout(spark, path).id_type
     # The hash that names a bucket depends on the id's type, not only its value.
     wanted = [F.lit(doc_id).cast(id_type) for doc_id in doc_ids]
     buckets = store_buckets(spark, path)

@@ -12,6 +12,14 @@ from docquarry.sources.store import save_chunks
 from docquarry.streaming.writers import writer_of
 
 
+def once_per_upload(docs: DataFrame, lateness: str = "1 day", keys: tuple[str, ...] = ("upload_id", "file_name"), ts_col: str = "uploaded_at") -> DataFrame:
+    """Streaming uploads without those delivered again within ``lateness`` of their first time.
+
+    Spark keeps the keys until the watermark passes; a delivery older than it is dropped, as is one without a time.
+    """
+    return docs.withWatermark(ts_col, lateness).dropDuplicatesWithinWatermark(list(keys))
+
+
 def start_ingest(
     docs: DataFrame,
     store_path: str,
