@@ -33,12 +33,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.arrays import LOWER, document_of, mix, pieces, text_bytes, word_hashes, words_in
+from docquarry.llm.brown import grown, shrunk
 from docquarry.llm.tables import kept
 from docquarry.session import work_dir
 
 LEAST, LONGEST, SHARDS, BEST = 100, 5, 4, 2000
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26  # of a bitmap: per phrase, at least, at most
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_STORED = "step int, width int, phrases binary, counts binary, heavy binary"
+_STORED_TYPE = pa.schema([("step", pa.int32()), ("width", pa.int32()), *((name, pa.binary()) for name in ("phrases", "counts", "heavy"))])
 _BLOCK = "lang string, shard int, n long, tokens binary, words binary, spelled binary"
 
 BLANKS = np.zeros(256, bool)
@@ -47,22 +50,18 @@ ENDS = np.zeros(256, bool)  # of pieces: . , ; : ! ? and line ends
 ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 
 
-def _packed(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
-
-
-def _unpacked(blob: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
-
-
 def _block(texts: pa.Array, lang: str) -> tuple[int, np.ndarray, np.ndarray, bytes]:
-    """Number of words, word numbers from 1 with 0 between pieces, the hashes of language and word, and the words, a line each."""
+    """Number of words, word numbers from 1 (the most frequent word) with 0 between pieces, the hashes of language and word, and the words, a line each."""
     data, offsets = text_bytes(texts)
     data = LOWER[data]
     starts, ends, first = words_in(data, offsets, BLANKS | ENDS)
     salt = word_hashes(np.frombuffer(lang.encode(), np.uint8), np.array([0]), np.array([len(lang.encode())]))
     hashes = mix(word_hashes(data, starts, ends) ^ (salt * _STEP))
-    words, at, number = np.unique(hashes, return_index=True, return_inverse=True)
+    words, at, number, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")  # small numbers for frequent words take little space
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    words, at, number = words[order], at[order], place[number]
     doc, ended = document_of(first), np.concatenate([[0], np.cumsum(ENDS[data])])
     begins = np.zeros(len(starts), bool)
     begins[1:] = (doc[1:] != doc[:-1]) | (ended[starts[1:]] > ended[ends[:-1]])
@@ -84,7 +83,7 @@ def encoded(docs: DataFrame, shards: int) -> DataFrame:
                 chosen = pa.compute.equal(langs, lang)
                 n, tokens, words, spelled = _block(table.filter(chosen).column("text"), lang)
                 if n:
-                    blobs = [_packed(x) for x in (tokens.tobytes(), words.tobytes(), spelled)]
+                    blobs = [shrunk(tokens), shrunk(words), zstandard.ZstdCompressor(level=1).compress(spelled)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang]), pa.array([turn % shards], pa.int32()), pa.array([n]), *(pa.array([b], pa.binary()) for b in blobs)],
                         ["lang", "shard", "n", "tokens", "words", "spelled"])
@@ -120,15 +119,11 @@ def bitmaps(phrases: DataFrame, since: int, count: int) -> tuple[Bitmap, Bitmap]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            widths = pa.compute.binary_length(batch.column(0))
-            for width in range(1, LONGEST + 1):
-                own = batch.filter(pa.compute.equal(widths, 8 * width))
-                if own.num_rows:
-                    place = _hashed(np.frombuffer(b"".join(own.column(0).to_pylist()), np.uint64).reshape(-1, width)) & np.uint64(size - 1)
-                    bits = np.uint64(1) << (place & np.uint64(63))
-                    late = np.where(own.column(1).to_numpy() >= since, bits, np.uint64(0))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((place >> np.uint64(6)).astype(np.int64)), *(pa.array(x.view(np.int64)) for x in (bits, late))], ["at", "bits", "late"])
+            place = _hashes(batch.column(0)) & np.uint64(size - 1)
+            bits = np.uint64(1) << (place & np.uint64(63))
+            late = np.where(batch.column(1).to_numpy() >= since, bits, np.uint64(0))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((place >> np.uint64(6)).astype(np.int64)), *(pa.array(x.view(np.int64)) for x in (bits, late))], ["at", "bits", "late"])
 
     words = phrases.select("phrase", "step").mapInArrow(run, "at long, bits long, late long")
     words = words.groupBy("at").agg(F.bit_or("bits").alias("bits"), F.bit_or("late").alias("late")).toArrow()
@@ -190,7 +185,7 @@ def _counted(blocks: DataFrame, reached: Bitmap, recent: Bitmap, longest: int, o
         maps = [Bitmap(bits) for bits in sent.value]
         for batch in batches:
             for at in range(batch.num_rows):
-                tokens, words = (_unpacked(batch.column(c)[at].as_py(), kind) for c, kind in (("tokens", np.uint32), ("words", np.uint64)))
+                tokens, words = (grown(batch.column(c)[at].as_py(), kind) for c, kind in (("tokens", np.uint32), ("words", np.uint64)))
                 for phrases, counts in windows_of(tokens, words, *maps, longest, opening):
                     yield _rows(phrases, counts)
 
@@ -232,29 +227,90 @@ class _Steps:
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
 
+def _hashes(phrases: pa.Array) -> np.ndarray:
+    """The hash of every phrase, whatever its length."""
+    out = np.zeros(len(phrases), np.uint64)
+    widths = pa.compute.binary_length(phrases).to_numpy(zero_copy_only=False)
+    for width in np.unique(widths):
+        at = np.flatnonzero(widths == width)
+        own = phrases.take(pa.array(at))  # a new array: its bytes begin with the first phrase
+        out[at] = _hashed(np.frombuffer(own.buffers()[2], np.uint64, len(at) * int(width) // 8).reshape(len(at), -1))
+    return out
+
+
+def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, phrases as rows of hashes, counts) of a batch (phrase, n)."""
+    widths = pa.compute.binary_length(batch.column(0)).to_numpy(zero_copy_only=False)
+    for width in np.unique(widths).tolist():
+        own = batch.take(pa.array(np.flatnonzero(widths == width)))  # a new batch: its bytes begin with the first phrase
+        size = width // 8
+        yield size, np.frombuffer(own.column(0).buffers()[2], np.uint64, own.num_rows * size).reshape(-1, size), own.column(1).to_numpy()
+
+
+def _stored(share: int, step: int):
+    """Counts packed for later steps, a row per batch and length: phrases, their counts, and those of ``share`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"step": step, "width": width, "phrases": phrases.tobytes(), "counts": counts.tobytes(), "heavy": phrases[counts >= share].tobytes()}
+                    for width, phrases, counts in _by_width(batch)]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _STORED_TYPE)
+
+    return run
+
+
+def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for width, blob in zip(batch.column("width").to_pylist(), batch.column("heavy").to_pylist()):
+            phrases = np.frombuffer(blob, np.uint64).reshape(-1, width)
+            yield _rows(phrases, np.zeros(len(phrases))).select(["phrase"])
+
+
+def _among(stored: DataFrame, phrases: DataFrame, count: int) -> DataFrame:
+    """(phrase, n, step) of ``phrases`` in stored counts: a bitmap of bounded size leaves few others, so that the exact join shuffles little."""
+    sent = stored.sparkSession.sparkContext.broadcast(bitmaps(phrases.withColumn("step", F.lit(0)), 0, count)[0].bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = Bitmap(sent.value)
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = np.frombuffer(row["phrases"], np.uint64).reshape(-1, row["width"])
+                chosen = some.holds(_hashed(found))
+                rows = _rows(found[chosen], np.frombuffer(row["counts"], np.int64)[chosen])
+                yield rows.append_column("step", pa.array(np.full(rows.num_rows, row["step"], np.int32)))
+
+    rows = stored.select("step", "width", "phrases", "counts").mapInArrow(run, "phrase binary, n long, step int")
+    return rows.join(phrases, "phrase", "left_semi")
+
+
 def phrase_counts(blocks: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
     """(phrase binary, n): all phrases of up to ``longest`` words that occur ``least`` times or more in the blocks."""
     spark = blocks.sparkSession
-    counts = _Steps(spark, "counts", "phrase binary, n long, step int")
+    counts = _Steps(spark, "counts", _STORED)
     met = _Steps(spark, "reached", "phrase binary, step int, opened int")
     sizes: list[int] = []  # phrases below the full length that reached the threshold, by step
-    step = 0
+    total = step = 0
     while step < shards or any(sizes[step - shards :]):
         reached = met.read(0, step)
         maps = bitmaps(reached.filter(_width("phrase") < longest), step - shards, sum(sizes))
         shard = blocks.filter(F.col("shard") == step % shards)
-        counts.write(step, _counted(shard, *maps, longest, step < shards).withColumn("step", F.lit(step)))
+        counts.write(step, _counted(shard, *maps, longest, step < shards).mapInArrow(_stored(-(-least // shards), step), _STORED))
+        heavy = counts.read(step - shards + 1, step + 1).select("width", "heavy").mapInArrow(_heavy, "phrase binary")
         # of phrases open in this step, those with their share of the threshold in some step, added up since they are open
-        window = counts.read(step - shards + 1, step + 1)
-        heavy = window.filter(F.col("n") * shards >= least).select("phrase").distinct().join(reached, "phrase", "left_anti")
-        sums = window.join(heavy, "phrase", "left_semi").groupBy("phrase").agg(F.collect_list(F.struct("step", "n")).alias("steps"))  # one struct a step
+        suspects = kept(heavy.distinct().join(reached, "phrase", "left_anti"), f"suspects-{step}")
+        window = _among(counts.read(step - shards + 1, step + 1), suspects, suspects.count())
+        sums = window.groupBy("phrase").agg(F.collect_list(F.struct("step", "n")).alias("steps"))  # one struct a step
         since = F.aggregate(F.filter("steps", lambda s: s["step"] >= F.col("opened")), F.lit(0).cast("long"), lambda total, s: total + s["n"])
         now = _with_first_step(sums, reached).filter((since >= least) & (F.col("opened") <= step) & (F.col("opened") > step - shards))
         met.write(step, now.select("phrase", F.lit(step).alias("step"), "opened"))
-        sizes.append(met.read(step, step + 1).filter(_width("phrase") < longest).count())
+        shorter, every = met.read(step, step + 1).agg(F.count_if(_width("phrase") < longest), F.count("*")).first()
+        sizes.append(shorter)
+        total += every
         step += 1
     reached = met.read(0, step).select("phrase", "opened")
-    whole = counts.read(0, step).join(reached, "phrase").filter((F.col("step") >= F.col("opened")) & (F.col("step") < F.col("opened") + shards))
+    whole = _among(counts.read(0, step), reached.select("phrase"), total).join(reached, "phrase")
+    whole = whole.filter((F.col("step") >= F.col("opened")) & (F.col("step") < F.col("opened") + shards))
     return kept(whole.groupBy("phrase").agg(F.sum("n").alias("n")), "phrases")
 
 
@@ -266,7 +322,7 @@ def _spellings(blocks: DataFrame, phrases: DataFrame, longest: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                hashes = _unpacked(batch.column("words")[at].as_py(), np.uint64)
+                hashes = grown(batch.column("words")[at].as_py(), np.uint64)
                 chosen = Bitmap(wanted.value).holds(hashes)
                 spelled = pa.array(zstandard.ZstdDecompressor().decompress(batch.column("spelled")[at].as_py()).split(b"\n"), pa.binary())
                 words = _rows(hashes[chosen][:, None], np.zeros(int(chosen.sum()))).column(0)
