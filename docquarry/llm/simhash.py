@@ -22,15 +22,24 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.arrays import LOWER, pieces, text_bytes, window_hashes, word_hashes, words_in
+from docquarry.llm.brown import grown, shrunk
 from docquarry.llm.components import components
 from docquarry.llm.tables import doc_columns, kept
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 STAGE_WORDS, SIMILARITY = 5, 0.8
+SHORT = 192  # texts with fewer shingles are judged by all of them, not by a quarter
+QUARTER = np.uint64(1 << 62)
+BUCKET_BYTES = 64 << 20  # of text, whose shingles make one bucket
+_PIECE = "piece long, doc_ids array<long>, keys array<long>, prints array<long>, sizes array<long>, parts array<struct<bucket:long,keys:binary,owners:binary>>"
+_PIECE_TYPE = pa.schema([
+    ("piece", pa.int64()), *((name, pa.list_(pa.int64())) for name in ("doc_ids", "keys", "prints", "sizes")),
+    ("parts", pa.list_(pa.struct([("bucket", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary())])))])
 VOTES = 1 << 18  # shingles whose bits are counted at a time
 SAMPLED, COMMON = 64, 1 << 16  # one document in so many tells which shingles are common; so many of those go to the tasks
 
@@ -150,15 +159,91 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, dista
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def _text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row: a hash of its words in order."""
-    for table in pieces(batches):
-        data, offsets = text_bytes(table.column("text"))
-        data = LOWER[data]
-        starts, ends, first = words_in(data, offsets)
-        hashes = word_hashes(data, starts, ends)
-        keys = [int(window_hashes(hashes[a:b], b - a).view(np.int64)[0]) if b > a else 0 for a, b in zip(first[:-1], first[1:])]
-        yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(keys, pa.int64())], ["doc_id", "text_key"])
+def _key_and_shingles(hashes: np.ndarray, words: int) -> tuple[int, np.ndarray]:
+    """A hash of all words in order, and the distinct shingle hashes; fewer words than a shingle are one."""
+    if not len(hashes):
+        return 0, np.zeros(0, np.uint64)
+    return int(window_hashes(hashes, len(hashes)).view(np.int64)[0]), np.unique(window_hashes(hashes, min(words, len(hashes))))
+
+
+def _parts_of(words: int, buckets: int, short: int):
+    """One row per piece of texts: their ids, keys, fingerprints and numbers of shingles, and by bucket the shingles they count:
+    all of a text with fewer than ``short``, else those in the lowest quarter of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = TaskContext.get().partitionId() << 32
+        for table in pieces(batches):
+            prints = [majority(shingle_hashes(text, WORDS, SEED)) for text in table.column("text").to_pylist()]
+            data, offsets = text_bytes(table.column("text"))
+            starts, ends, first = words_in(LOWER[data], offsets)
+            hashes = word_hashes(LOWER[data], starts, ends)
+            keys, sizes, counted, owner = [], [], [], []
+            for number, (a, b) in enumerate(zip(first[:-1], first[1:])):
+                key, shingles = _key_and_shingles(hashes[a:b], words)
+                keys.append(key)
+                sizes.append(len(shingles))
+                own = shingles if len(shingles) < short else shingles[: np.searchsorted(shingles, QUARTER)]
+                counted.append(own)
+                owner.append(np.full(len(own), number, np.uint32))
+            flat, owner = np.concatenate(counted), np.concatenate(owner)
+            bucket = (flat & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+            order = np.lexsort((flat, bucket))
+            flat, owner, bucket = (flat[order] >> np.uint64(32)).astype(np.uint32), owner[order], bucket[order]
+            names, cuts = np.unique(bucket, return_index=True)
+            cuts = np.append(cuts, len(bucket))
+            parts = [{"bucket": int(name), "keys": shrunk(flat[x:y]), "owners": shrunk(owner[x:y])} for name, x, y in zip(names, cuts, cuts[1:])]
+            yield pa.RecordBatch.from_pylist([{
+                "piece": piece, "doc_ids": table.column("doc_id").to_pylist(), "keys": keys, "prints": prints, "sizes": sizes, "parts": parts}], _PIECE_TYPE)
+            piece += 1
+
+    return run
+
+
+def _unique_counts(table: pa.Table) -> pa.Table:
+    """Of one bucket: how many of each text's shingles no other text has, of all counted and of the quarter that every text counts.
+
+    Shingles are compared by 32 of their bits within the bucket; two that agree by chance pass for a shared one.
+    """
+    rows = [(grown(k, np.uint32), grown(o, np.uint32)) for k, o in zip(table.column("keys").to_pylist(), table.column("owners").to_pylist())]
+    _, number, counts = np.unique(np.concatenate([k for k, _ in rows]), return_inverse=True, return_counts=True)
+    alone = counts[number] == 1
+    every, quarter, at = [], [], 0
+    for keys, owners in rows:
+        own = alone[at : at + len(owners)]
+        every.append(shrunk(np.bincount(owners[own]).astype(np.uint32)))
+        quarter.append(shrunk(np.bincount(owners[own & (keys < int(QUARTER) >> 32)]).astype(np.uint32)))
+        at += len(owners)
+    return pa.table([table.column("piece"), pa.array(every, pa.binary()), pa.array(quarter, pa.binary())], names=["piece", "every", "quarter"])
+
+
+def _suspects(words: int, similarity: float, short: int):
+    """(text_key) of one piece's texts whose unique shingles do not rule out a similar text."""
+
+    def run(counts: pa.Table, piece: pa.Table) -> pa.Table:
+        sizes, keys = (np.array(piece.column(c)[0].as_py(), np.int64) for c in ("sizes", "keys"))
+        alone = {name: np.zeros(len(sizes), np.int64) for name in ("every", "quarter")}
+        for name, total in alone.items():
+            for blob in counts.column(name).to_pylist():
+                some = grown(blob, np.uint32)
+                total[: len(some)] += some
+        alone = np.where(sizes < similarity * short, alone["every"], alone["quarter"])
+        most = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64)  # a similar text may lack so many
+        return pa.table([pa.array(keys[(alone <= most) & (sizes > 0)])], names=["text_key"])
+
+    return run
+
+
+def possible(parts: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY, short: int = SHORT) -> DataFrame:
+    """(text_key) of all texts that can have a similar one, from ``_parts_of``; most texts are ruled out here, by counts alone.
+
+    Two similar sets share ``similarity`` of each, so a text with more shingles of its own than 1 - ``similarity`` of them has no similar one.
+    Texts below ``similarity * short`` shingles are judged by all of theirs, and all texts that may be similar to those
+    count all of theirs; others are judged by a fixed quarter of all shingles, of which every text counts its own.
+    """
+    counted = parts.select("piece", F.inline("parts")).groupBy("bucket").applyInArrow(_unique_counts, "piece long, every binary, quarter binary")
+    found = counted.groupBy("piece").cogroup(parts.select("piece", "keys", "sizes").groupBy("piece")).applyInArrow(
+        lambda a, b: _suspects(words, similarity, short)(a, b), "text_key long")
+    return found.distinct()
 
 
 def _shingle_sets(words: int):
@@ -170,10 +255,8 @@ def _shingle_sets(words: int):
             data = LOWER[data]
             starts, ends, first = words_in(data, offsets)
             hashes = word_hashes(data, starts, ends)
-            keys, sets = [], []
-            for a, b in zip(first[:-1], first[1:]):
-                keys.append(int(window_hashes(hashes[a:b], b - a).view(np.int64)[0]) if b > a else 0)
-                sets.append(np.unique(window_hashes(hashes[a:b], min(words, b - a))).view(np.int64) if b > a else np.zeros(0, np.int64))
+            found = [_key_and_shingles(hashes[a:b], words) for a, b in zip(first[:-1], first[1:])]
+            keys, sets = [key for key, _ in found], [shingles.view(np.int64) for _, shingles in found]
             ends_of = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends_of), pa.array(np.concatenate(sets)))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists], ["text_key", "shingles"])
@@ -245,7 +328,7 @@ def _labelled(keys: DataFrame, parts: DataFrame, name: str, part: str) -> DataFr
     return keys.join(own, name, "left").withColumn(part, F.coalesce("_joined", name)).drop("_joined")
 
 
-def _similar_links(texts: DataFrame, nodes: DataFrame, parts: DataFrame, words: int, similarity: float) -> list[DataFrame]:
+def _similar_links(texts: DataFrame, parts: DataFrame, words: int, similarity: float) -> list[DataFrame]:
     """Tables (u, v) of similar texts that, with ``parts``, connect all pairs of ``similarity`` or more.
 
     Rounds go over the buckets of ``_buckets``. In each, the first texts of a bucket (one, then four times as many each round) are
@@ -253,10 +336,9 @@ def _similar_links(texts: DataFrame, nodes: DataFrame, parts: DataFrame, words:
     that a group of many near copies is not paired with itself, and no pair of different parts is left out.
     """
     rows = _buckets(texts, words, similarity)
-    # rows with the same doc_id may have other texts, too
-    named = kept(nodes.join(rows.select("text_key").distinct(), "text_key").select(F.col("least").alias("doc_id"), "text_key"), "involved")
-    sets = texts.join(named.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_shingle_sets(words), "text_key long, shingles array<long>")
-    sets = kept(sets.join(named.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"]), "shingle-sets")
+    involved = rows.select("text_key").distinct()
+    sets = texts.mapInArrow(_shingle_sets(words), "text_key long, shingles array<long>").join(involved, "text_key", "left_semi")
+    sets = kept(sets.dropDuplicates(["text_key"]), "shingle-sets")
     of_shingle = Window.partitionBy("shingle")
     found: list[DataFrame] = []
     heads = 1
@@ -284,24 +366,32 @@ def similar_groups(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
     ``words``-word shingles are similar, together with those that ``near_duplicates`` links.
 
     At a similarity of 0.8 a SimHash over five-word shingles differs in too many bits for a selective
-    search, as each changed word changes five of them. Similar texts come from an exact search by shingles instead.
-    It passes by what the fingerprints have joined.
+    search, as each changed word changes five of them. Similar texts come from an exact search by shingles instead: counts of
+    unique shingles first rule out most texts (``possible``), the others are searched by prefixes. It passes by what the fingerprints have joined.
     """
     texts = doc_columns(docs).filter("doc_id IS NOT NULL")
-    known = kept(texts.mapInArrow(_text_keys, "doc_id long, text_key long"), "text-keys")
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(8, -(-size // BUCKET_BYTES))
+    parts_of = kept(texts.mapInArrow(_parts_of(words, buckets, SHORT), _PIECE), "parts-of-texts")
+    rows = F.arrays_zip("doc_ids", "keys", "prints")
+    known = parts_of.select(F.explode(rows).alias("r")).select(F.col("r.doc_ids").alias("doc_id"), F.col("r.keys").alias("text_key"), F.col("r.prints").alias("fingerprint"))
+    known = kept(known, "text-keys")
     nodes = known.groupBy("text_key").agg(F.min("doc_id").alias("least"))
 
     # what the fingerprints over word runs link belongs together as well
-    prints = kept(fingerprints(texts).join(known.distinct(), "doc_id").select("text_key", "fingerprint").distinct(), "simhash")
+    prints = known.select("text_key", "fingerprint").distinct()
     heads = kept(prints.groupBy("fingerprint").agg(F.min("text_key").alias("head")), "heads")
     members = prints.join(heads, "fingerprint").filter("text_key <> head").select(F.col("head").alias("u"), F.col("text_key").alias("v"))
     left, right = (heads.select(F.col("fingerprint").alias(c), F.col("head").alias(h)) for c, h in (("u", "a"), ("v", "b")))
     linked = links(heads.select("fingerprint")).join(left, "u").join(right, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     parts = components(members.union(linked), "parts")
 
-    exact = _similar_links(texts, nodes, parts, words, similarity)
+    # one document of each text that can have a similar one; a row with its doc_id may have another text, which does no harm
+    suspects = kept(nodes.join(possible(parts_of, words, similarity, SHORT), "text_key").select(F.col("least").alias("doc_id")).distinct(), "suspects")
+    chosen = kept(texts.join(suspects, "doc_id", "left_semi"), "suspect-texts")
+    exact = _similar_links(chosen, parts, words, similarity)
     member = components(reduce(DataFrame.union, exact, parts), "groups")
-    grouped = _labelled(known, member, "text_key", "part")
+    grouped = _labelled(known.select("doc_id", "text_key"), member, "text_key", "part")
     smallest = grouped.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     return grouped.join(smallest, "part").select("doc_id", "component_id")
 

@@ -320,3 +320,27 @@ def test_edit_search_finds_what_brute_force_finds(spark):
     print("recall", len(found & wanted) / len(wanted), len(wanted))
     assert len(wanted) > 80 and found <= wanted and len(found & wanted) >= 0.9 * len(wanted)
     assert any(len(a) != len(b) for a, b in found)
+
+
+def test_no_text_with_a_similar_one_is_ruled_out(spark):
+    """Pairs of sizes around the bound where counting changes, each within 0.8, among texts of their own."""
+    import random
+
+    from docquarry.llm.simhash import _PIECE, _parts_of
+
+    draw, rows = random.Random(8), []
+    for i in range(160):
+        size = draw.choice([1, 3, 7, 30, 120, 150, 160, 185, 191, 192, 200, 235, 240, 245, 600])
+        words = [f"w{i}x{j}" for j in range(size)]
+        other = words[: max(1, int(size * draw.uniform(0.83, 1)))] if i % 2 else words + [f"v{i}x{j}" for j in range(int(size * draw.uniform(0, 0.2)))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    alone = [(1000 + i, " ".join(f"a{i}x{j}" for j in range(draw.choice([5, 40, 170, 300, 900])))) for i in range(200)]
+    docs = spark.createDataFrame(rows + alone, SCHEMA).repartition(6)
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    similar = {i for k in range(160) for i in (2 * k, 2 * k + 1) if len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1])}
+    assert len(similar) > 150
+    parts = docs.mapInArrow(_parts_of(5, 5, simhash.SHORT), _PIECE).cache()
+    left = {r.text_key for r in simhash.possible(parts).collect()}
+    key_of = {i: k for r in parts.select("doc_ids", "keys").collect() for i, k in zip(r.doc_ids, r.keys)}
+    assert {i for i in similar if key_of[i] not in left} == set()
+    assert sum(key_of[i] in left for i, _ in alone) <= 20  # texts of their own are mostly ruled out
