@@ -9,6 +9,7 @@ from docquarry.functions import text as tx
 from docquarry.operators.scans import (
     LARGE_KEY_ROWS,
     PART_BYTES,
+    all_ordinary,
     block_of,
     by_block,
     concat_in_order,
@@ -106,9 +107,13 @@ def merge_pages(
     parts put together in order are the whole text. Blank pages before the
     first and after the last page with text fall away; a document of blank
     pages gives one empty part.
+
+    If every document is below ``part_bytes``, one aggregate does it; else pages are placed in blocks and parts.
     """
     page = F.col(page_col)
     pages = pages.withColumn(page_col, F.coalesce(page, F.lit(-1)))  # a page without a number comes first
+    if all_ordinary(pages, [doc_col], text_col, part_bytes):
+        return _merged_whole(pages, doc_col, page_col, text_col)
     filled = F.when(~tx.is_blank(F.col(text_col)), page)
     blocked = by_block(
         pages.select(doc_col, page_col, text_col, block_of(page, PAGES_PER_BLOCK).alias("_block")), [doc_col], "_block"
@@ -138,6 +143,26 @@ def merge_pages(
     return concat_in_order(placed, [doc_col, "part"], page_col, "_line", "", text_col)
 
 
+def _merged_whole(pages: DataFrame, doc_col: str, page_col: str, text_col: str) -> DataFrame:
+    """``merge_pages`` of documents that one task may hold: their pages are sorted inside the aggregate."""
+    chars = F.lit(tx.TRIM_CHARS)
+    row = F.struct(F.col(page_col).alias("page"), F.coalesce(text_col, F.lit("")).alias("text"), (~tx.is_blank(F.col(text_col))).alias("filled"))
+    sorted_pages = pages.groupBy(doc_col).agg(F.array_sort(F.collect_list(row)).alias("_pages"))
+    filled = F.filter("_pages", lambda p: p["filled"])
+    ends = sorted_pages.withColumn("_filled", filled).select(
+        doc_col, "_pages",
+        F.coalesce(F.get("_filled", F.lit(0))["page"], F.get("_pages", F.lit(0))["page"]).alias("_first"),
+        F.coalesce(F.get("_filled", F.size("_filled") - 1)["page"], F.get("_pages", F.lit(0))["page"]).alias("_last"))
+
+    def line(p):
+        text = F.when(p["page"] == F.col("_first"), F.ltrim(p["text"], chars)).otherwise(p["text"])
+        text = F.when(p["page"] == F.col("_last"), F.rtrim(text, chars)).otherwise(text)
+        return F.concat(F.when(p["page"] > F.col("_first"), F.lit("\n\n")).otherwise(F.lit("")), text)
+
+    inside = F.filter("_pages", lambda p: p["page"].between(F.col("_first"), F.col("_last")))
+    return ends.select(doc_col, F.lit(0).cast("bigint").alias("part"), F.array_join(F.transform(inside, line), "").alias(text_col))
+
+
 def chunk_counts(chunks: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     return chunks.groupBy(doc_col).agg(F.count("*").alias("chunk_count"))
 

@@ -6,12 +6,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions.json import is_strict_json
 from docquarry.operators.prompts import CHAT_ROLES
-from docquarry.operators.scans import LARGE_KEY_ROWS, PART_BYTES, concat_in_order, in_parts, large_keys, previous_row
+from docquarry.operators.scans import LARGE_KEY_ROWS, PART_BYTES, all_ordinary, concat_in_order, in_parts, large_keys, previous_row
 from docquarry.sources.files import write_texts
 
 # The export's heading, speakers and file name, and the error text of a broken stream.
@@ -99,24 +99,33 @@ def replay_requests(log: DataFrame) -> DataFrame:
     record whose data is not JSON fails the request where it stands, as a reader would. A request of unusable
     records alone has an empty answer.
     """
-    events = parse_stream_log(log).withColumn("_valid", F.when(F.col("data").isNotNull(), is_strict_json(F.col("data"))))
+    summary = _events(log).groupBy("request_id").agg(*_outcome())
+    return summary.select("request_id", *_told(), "sources", "deltas")
+
+
+def _events(log: DataFrame) -> DataFrame:
+    return parse_stream_log(log).withColumn("_valid", F.when(F.col("data").isNotNull(), is_strict_json(F.col("data"))))
+
+
+def _outcome() -> list[Column]:
+    """Aggregates over a request's events that tell how it ended."""
     is_error = F.col("_valid") & (F.col("event") == "error")
     is_sources = F.col("_valid") & (F.col("event") == "sources")
     text = F.coalesce(F.get_json_object("data", "$.error"), F.lit(""))
-    summary = events.groupBy("request_id").agg(
+    return [
         F.coalesce(F.bool_or(~F.col("_valid")), F.lit(False)).alias("_broken"),
         F.coalesce(F.max_by(F.when(is_error, text), F.when(is_error, F.col("seq"))), F.lit("")).alias("_text"),
         F.max_by(F.when(is_sources, F.get_json_object("data", "$.sources")),
                  F.when(is_sources, F.col("seq"))).alias("sources"),
         F.count_if(F.col("_valid") & (F.col("event") == "delta")).alias("deltas"),
-    )
-    return summary.select(
-        "request_id",
+    ]
+
+
+def _told() -> list[Column]:
+    return [
         (F.col("_broken") | (F.col("_text") != "")).alias("failed"),
         F.when(F.col("_broken"), INVALID_DATA_TEXT).when(F.col("_text") != "", F.col("_text")).alias("error"),
-        "sources",
-        "deltas",
-    )
+    ]
 
 
 def replay_answers(log: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -125,7 +134,15 @@ def replay_answers(log: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     Deltas are joined in order; an answer of up to ``part_bytes`` is part 0, and
     longer ones go on in the next parts. A request without deltas still gives
     one empty part.
+
+    If every request's log is below ``part_bytes``, one aggregate gives outcome and answer; else answers are placed in parts.
     """
+    if all_ordinary(log, ["request_id"], "raw", part_bytes):
+        is_delta = F.col("_valid") & (F.col("event") == "delta")
+        delta = F.when(is_delta, F.struct("seq", F.coalesce(F.get_json_object("data", "$.delta"), F.lit("")).alias("text")))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(delta)), lambda d: d["text"]), "")
+        whole = _events(log).groupBy("request_id").agg(*_outcome(), joined.alias("answer"))
+        return whole.filter(~_told()[0]).select("request_id", F.lit(0).cast("bigint").alias("part"), "answer", "sources")
     deltas = (
         parse_stream_log(log)
         .filter(F.col("event") == "delta")

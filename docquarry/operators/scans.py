@@ -60,6 +60,13 @@ def large_keys(
     return spark.createDataFrame(found.collect(), found.schema)
 
 
+def all_ordinary(df: DataFrame, keys: Sequence[str], value: str, part_bytes: int = PART_BYTES, large_key_rows: int = LARGE_KEY_ROWS) -> bool:
+    """Whether every key has few rows and few bytes of ``value``, so that one task may hold any of them whole.
+    One job, pre-aggregated by key."""
+    sums = df.groupBy(*keys).agg(F.count("*").alias("_rows"), F.sum(F.octet_length(value).cast("bigint")).alias("_bytes"))
+    return sums.filter((F.col("_rows") > large_key_rows) | (F.col("_bytes") > part_bytes)).isEmpty()
+
+
 def block_among(position: Column, cuts: Column) -> Column:
     """How many cuts are below or at a position, by binary search."""
     steps = F.array(*[F.lit(MOST_BLOCKS >> i) for i in range(MOST_BLOCKS.bit_length())])

@@ -181,3 +181,16 @@ def test_characters_above_the_plane_count_twice(spark):
 def test_pages_without_a_number_come_first(spark):
     pages = spark.createDataFrame([(1, 1, "b"), (1, None, "a"), (2, None, "alone")], "doc_id long, page long, text string")
     assert {r.doc_id: r.text for r in chunking.merge_pages(pages).collect()} == {1: "a\n\nb", 2: "alone"}
+
+
+def test_repeated_page_numbers_get_chunks_of_their_own(spark):
+    rows = [(1, 1, "a" * 25), (1, 1, "b" * 12), (1, 1, "b" * 12), (1, None, "c" * 25), (1, 2, "d"), (1, 2, None)]
+    pages = spark.createDataFrame(rows, "doc_id long, page long, text string")
+    for large in (1_000_000, 2):
+        found = chunking.chunk_pages(pages, chunk_size=10, overlap=2, large_key_rows=large).orderBy("chunk_index").collect()
+        assert [r.chunk_index for r in found] == list(range(len(found)))
+        by_text = {}
+        for r in found:
+            by_text.setdefault(r.text[0], []).append(r.chunk_index)
+        assert by_text["c"][0] == 0 and by_text["d"] == [len(found) - 1]  # pages without a number first
+        assert len(by_text["b"]) == 4 and all(b - a == 1 for a, b in zip(by_text["a"], by_text["a"][1:]))

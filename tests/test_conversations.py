@@ -2,6 +2,7 @@ import json
 
 from docquarry.operators import conversations as cv
 from docquarry.plans import catalog
+from docquarry.sources.corpus import read_corpus
 
 TALK = "conv_id long, turn long, role string, text string"
 
@@ -39,8 +40,8 @@ def test_export_parts_make_the_whole(spark, tmp_path):
     parts = cv.export_markdown(talk(spark), part_bytes=60).orderBy("conv_id", "part")
     assert "".join(r.markdown for r in parts.collect() if r.conv_id == 1) == want
     cv.write_markdown(cv.export_markdown(talk(spark)), str(tmp_path / "out"))
-    written = {(r.name, r.part): r.markdown for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert written[("conversation-1.md", 0)] == want and len(written) == 3
+    written = {r.file_name: r.text for r in read_corpus(spark, str(tmp_path / "out")).filter("file_name <> '_SUCCESS'").collect()}
+    assert written["conversation-1.md"] == want and len(written) == 3
 
 
 def test_export_file_name(spark):

@@ -145,3 +145,23 @@ def test_deleting_nothing_and_everything(spark, path):
     assert set(d for d, _ in state(spark, path)) == {1, 2}
     store.delete_documents(spark.createDataFrame([(1,), (2,)], "doc_id long"), path, 2)
     assert state(spark, path) == {} and store.read_registry(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("id_type", ["bigint", "string"])
+def test_a_store_that_begins_without_chunks(spark, tmp_path, id_type):
+    path = str(tmp_path / "store")
+    rows = spark.range(6).select(F.col("id").cast(id_type).alias("doc_id"), F.lit(0).cast("bigint").alias("chunk_index"), F.lit("t").alias("text"),
+                                 F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    store.save_chunks(rows.limit(0), path, 0, buckets=4, gather=True)
+    store.delete_documents(rows.select("doc_id"), path, 0)
+    for only in (None, [1, 2]):
+        found = store.read_chunks(spark, path) if only is None else store.read_documents(spark, path, only)
+        assert found.collect() == [] and found.schema["doc_id"].dataType.simpleString() == id_type
+    store.save_chunks(rows, path, 1, gather=True)
+    assert store.read_chunks(spark, path).count() == 6 and store.read_documents(spark, path, [1]).count() == 1
+
+
+def test_a_store_that_begins_with_a_delete(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.delete_documents(spark.range(3).withColumnRenamed("id", "doc_id"), path, 0)
+    assert store.read_chunks(spark, path).collect() == [] and store.read_registry(spark, path).collect() == []

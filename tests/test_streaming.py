@@ -9,8 +9,9 @@ from docquarry.plans import catalog
 from docquarry.plans.ingest import embedded_documents
 from docquarry.sources import store
 from docquarry.streaming.admission import read_decisions, start_admission
-from docquarry.streaming.ingest import start_ingest
-from docquarry.streaming.usage import live_summary, requests_per_window, start_usage_log
+from docquarry.streaming.ingest import once_per_upload, start_ingest
+from docquarry.streaming.keyed_admission import start_keyed_admission
+from docquarry.streaming.usage import kept_routes, kept_summary, live_summary, requests_per_window, start_usage_log, start_usage_report
 
 
 def files_of(df, path, order, parts):
@@ -131,3 +132,83 @@ def test_live_admission_with_clocks_days_apart(spark, tmp_path):
     start_admission(stream_of(spark, asked, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), limit).awaitTermination()
     got = {r.event_id: r.admitted for r in read_decisions(spark, str(tmp_path / "out")).collect()}
     assert got == {r.event_id: r.admitted for r in admission_replay(asked, limit).collect()}
+
+
+def test_keyed_admission_restarts_and_survives_a_reset(spark, small, tmp_path):
+    asked = catalog.requests(spark, small).withColumn(
+        "client", F.when(F.col("client") % 3 == 0, F.lit(None)).otherwise(F.col("client").cast("string")))
+    limit, source, out = Limit(3, 86_400), str(tmp_path / "in"), str(tmp_path / "out")
+    timed, halves = asked.filter("ts IS NOT NULL"), []
+    middle = timed.selectExpr("percentile_approx(unix_micros(ts), 0.5)").first()[0]
+    halves = [asked.filter(F.coalesce(F.unix_micros("ts") <= middle, F.lit(True))), timed.filter(F.unix_micros("ts") > middle)]
+    want = {(r.event_id, r.client, r.admitted) for r in admission_replay(asked, limit).collect()}
+
+    def run(checkpoint):
+        start_keyed_admission(stream_of(spark, asked, source), out, checkpoint, limit).awaitTermination()
+        return read_decisions(spark, out)
+
+    for half in halves:  # the second start goes on from the state the first one left
+        half.coalesce(1).write.mode("append").parquet(source)
+        found = run(str(tmp_path / "cp"))
+    assert {(r.event_id, r.client, r.admitted) for r in found.collect()} == want and found.count() == asked.count()
+    again = run(str(tmp_path / "other"))  # a checkpoint lost: decisions made before stay
+    assert again.count() == 2 * asked.count() and again.select("writer").distinct().count() == 2
+    assert {(r.event_id, r.client, r.admitted) for r in again.collect()} == want
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled", "true") == "true"
+
+
+def test_late_requests_are_decided_at_the_last_decision(spark, tmp_path):
+    schema = "event_id long, client string, ts timestamp"
+    hour = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    source = str(tmp_path / "in")
+    for rows in ([(1, "a", hour(30)), (2, "a", hour(31))], [(3, "a", hour(1)), (4, "b", hour(1)), (5, "b", None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    start_keyed_admission(live, str(tmp_path / "out"), str(tmp_path / "cp"), Limit(2, 86_400)).awaitTermination()
+    found = {r.event_id: (r.decided_at, r.admitted) for r in read_decisions(spark, str(tmp_path / "out")).collect()}
+    assert found == {1: (hour(30), True), 2: (hour(31), True), 3: (hour(31), False), 4: (hour(1), True), 5: (None, None)}
+
+
+def test_live_admission_keeps_decisions_after_a_reset(spark, small, tmp_path):
+    asked, out = catalog.requests(spark, small).limit(40), str(tmp_path / "out")
+    files_of(asked, str(tmp_path / "in"), "event_id", 2)
+    for checkpoint in ("cp", "other"):
+        start_admission(stream_of(spark, asked, str(tmp_path / "in")), out, str(tmp_path / checkpoint), Limit(3, 86_400)).awaitTermination()
+    found = read_decisions(spark, out)
+    assert found.count() == 80 and found.select("event_id").distinct().count() == 40
+
+
+def test_kept_report_needs_no_log(spark, small, tmp_path):
+    events, path = catalog.usage_events(spark, small), str(tmp_path / "kept")
+    halves = [events.filter("event_id % 2 = 0"), events.filter("event_id % 2 = 1")]
+    for half in halves:
+        files_of(half, str(tmp_path / "in"), "event_id", 2)
+        start_usage_report(stream_of(spark, events, str(tmp_path / "in")), path, str(tmp_path / "cp")).awaitTermination()
+    assert kept_summary(spark, path).first() == logs.usage_summary(events).first()
+    counts = {r.route: r.requests for r in events.groupBy("route").agg(F.count("*").alias("requests")).collect()}
+    assert {r.route: r.requests for r in kept_routes(spark, path).collect()} == counts
+    assert spark.read.parquet(f"{path}/newest").count() <= 2 * logs.MAX_EVENTS  # the last two micro-batches
+    # another stream's rows are counted next to these, and an event told twice is listed once
+    start_usage_report(stream_of(spark, events, str(tmp_path / "in")), path, str(tmp_path / "other")).awaitTermination()
+    assert kept_summary(spark, path).first() == logs.usage_summary(events).first()
+    assert {r.route: r.requests for r in kept_routes(spark, path).collect()} == {k: 2 * v for k, v in counts.items()}
+
+
+def test_an_upload_delivered_twice_is_stored_once(spark, small, tmp_path):
+    docs = catalog.uploads(spark, small).filter("doc_id < 12").withColumn("upload_id", F.lit("u"))
+    files_of(docs.unionByName(docs), str(tmp_path / "in"), "uploaded_at", 3)
+    live = once_per_upload(stream_of(spark, docs, str(tmp_path / "in")), "100 days").drop("upload_id")
+    start_ingest(live, str(tmp_path / "store"), str(tmp_path / "cp"), embedding.HashedTerms(16), buckets=4).awaitTermination()
+    versions = store.read_versions(spark, str(tmp_path / "store"))
+    want = embedded_documents(docs, embedding.HashedTerms(16)).select("doc_id").distinct().count()
+    assert versions.count() == versions.select("doc_id").distinct().count() == want
+
+
+def test_a_stream_of_rejected_files_leaves_a_readable_store(spark, small, tmp_path):
+    path, model = str(tmp_path / "store"), embedding.HashedTerms(16)
+    docs = catalog.uploads(spark, small)
+    for number, part in enumerate((docs.filter("doc_id < 20").withColumn("text", F.lit(" ")), docs.filter("doc_id < 20"))):
+        files_of(part, str(tmp_path / "in"), "doc_id", 1)
+        start_ingest(stream_of(spark, docs, str(tmp_path / "in")), path, str(tmp_path / "cp"), model, buckets=4).awaitTermination()
+        assert store.read_chunks(spark, path).isEmpty() == (number == 0)
+        assert store.read_registry(spark, path).isEmpty() == (number == 0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.operators import throttle
 from docquarry.operators.throttle import Limit
 from docquarry.plans import catalog
+from docquarry.sources.corpus import read_table
 
 REQUESTS = "event_id long, client string, ts timestamp"
 BASE = dt.datetime(2024, 1, 1)
@@ -66,9 +67,16 @@ def test_window_is_closed_at_both_ends(spark):
     assert [r.attempts for r in got] == [1, 2, 1]
 
 
+def timed_requests(spark, sf):
+    """All events with their times; the registered queries take some of those away."""
+    return read_table(spark, sf, "events").select("event_id", F.col("user_id").alias("client"), "ts")
+
+
 def test_flags_golden(spark, medium):
-    flagged = catalog.throttle_flags(spark, medium)
+    flagged = throttle.throttle_flags(timed_requests(spark, medium), Limit(3, 86_400))
     assert flagged.filter("throttled").count() == 3_815 and flagged.count() == 10_000
+    partly = catalog.throttle_flags(spark, medium)
+    assert partly.count() == 10_000 and partly.filter("throttled IS NULL").count() == partly.filter("ts IS NULL").count() == 104
 
 
 @pytest.mark.parametrize("large", [1, 50, 1_000_000])
@@ -80,7 +88,7 @@ def test_replay_against_the_rule(spark, seed, limit, large):
 
 
 def test_replay_golden(spark, medium):
-    asked = catalog.requests(spark, medium)
+    asked = timed_requests(spark, medium)
     daily = throttle.admission_replay(asked, Limit(3, 86_400))
     assert daily.filter("admitted").count() == 8_354 and daily.count() == 10_000
     six_hours = throttle.admission_replay(asked, Limit(3, 21_600))
@@ -158,3 +166,14 @@ def test_requests_without_a_client_are_decided(spark, size):
         assert [r.admitted for r in sorted((d for d in decided if d.client == client), key=lambda d: d.event_id)] == [True] * 2 + [False] * 4
     flagged = throttle.throttle_flags(asked, throttle.Limit(2, 60), large_key_rows=size)
     assert flagged.count() == 12 and flagged.filter("throttled").count() == 8
+
+
+def test_requests_without_a_time_stay_undecided(spark):
+    rows = [(1, "a", dt.datetime(2024, 1, 1)), (2, "a", None), (3, None, None), (4, "a", dt.datetime(2024, 1, 1, 1))]
+    asked = spark.createDataFrame(rows, "event_id long, client string, ts timestamp")
+    for large in (1_000_000, 1):
+        found = {r.event_id: (r.client, r.admitted, r.decided_at) for r in throttle.admission_replay(asked, Limit(1, 86_400), large_key_rows=large).collect()}
+        assert found == {1: ("a", True, rows[0][2]), 2: ("a", None, None), 3: (None, None, None), 4: ("a", False, rows[3][2])}
+        flags = {r.event_id: (r.attempts, r.throttled) for r in throttle.throttle_flags(asked, Limit(1, 86_400), large_key_rows=large).collect()}
+        assert flags == {1: (1, False), 2: (None, None), 3: (None, None), 4: (2, True)}
+    assert throttle.state_after(throttle.admission_replay(asked, Limit(1, 86_400))).count() == 1
