@@ -89,6 +89,12 @@ def accept_feedback(submitted: DataFrame) -> DataFrame:
     return submitted.filter(F.col("vote").isin(*VOTES) & given)
 
 
+def successes(outcomes: DataFrame, route: str, succeeded: Column, id_col: str = "event_id") -> DataFrame:
+    """Usage events (event_id, route, latency_ms, ts) of the requests that succeeded; failed ones, and those whose outcome is unknown, are not logged."""
+    logged = outcomes.filter(F.coalesce(succeeded, F.lit(False)))
+    return logged.select(F.col(id_col).cast("string").alias("event_id"), F.lit(route).alias("route"), F.col("latency_ms").cast("double").alias("latency_ms"), "ts")
+
+
 def append_log(events: DataFrame, path: str, batch_id: int, writer: str = "batch") -> None:
     """Append one batch of a writer; writing the same batch again replaces it, and no other writer's."""
     events.write.mode("overwrite").parquet(f"{path}/writer={writer}/batch_id={batch_id}")

@@ -439,6 +439,17 @@ def usage_summary(spark, sf):
     return _as_text(logs.usage_summary(usage_events(spark, sf)))
 
 
+def usage_from_outcomes(spark, sf):
+    """The newest usage events of all chat requests that did not fail and all uploads that were stored."""
+    def at(number):
+        return F.timestamp_seconds(F.lit(1_704_067_200) + number).alias("ts")
+
+    asked = replay_requests(spark, sf).select("request_id", "failed", (F.col("deltas") * 10).alias("latency_ms"), at(F.col("deltas")))
+    sent = ingest_gate(spark, sf).select("doc_id", "status", (F.col("chunk_count") * 5).alias("latency_ms"), at(F.col("doc_id")))
+    logged = logs.successes(asked, "chat", ~F.col("failed"), "request_id").unionByName(logs.successes(sent, "upload", F.col("status") == "ready", "doc_id"))
+    return logs.newest(logged).select("event_id", "route", "latency_ms", stamp("ts"))
+
+
 def usage_by_route(spark, sf):
     return logs.usage_by_route(logs.newest(usage_events(spark, sf)))
 
@@ -682,6 +693,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "decode_usage": decode_usage,
     "usage_summary": usage_summary,
     "usage_by_route": usage_by_route,
+    "usage_from_outcomes": usage_from_outcomes,
     "usage_recent": usage_recent,
     "feedback_retained": feedback_retained,
     "client_id": client_id,

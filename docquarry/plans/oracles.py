@@ -479,3 +479,12 @@ ORACLES["ingest_once"] = f"""
 ORACLES["corpus_files"] = f"""
     WITH RECURSIVE {DOC_CHUNKS}
     SELECT 'doc-' || doc_id || '.txt' AS file_name, count(*) AS chunk_count FROM chunks WHERE doc_id % 5 <> 0 GROUP BY doc_id"""
+ORACLES["usage_from_outcomes"] = f"""
+    WITH asked AS ({ORACLES["replay_requests"]}), sent AS ({ORACLES["ingest_gate"]}),
+    logged AS (
+      SELECT request_id AS event_id, 'chat' AS route, deltas * 10.0::DOUBLE AS latency_ms, TIMESTAMP '2024-01-01' + to_seconds(deltas) AS ts
+      FROM asked WHERE NOT failed
+      UNION ALL
+      SELECT CAST(doc_id AS VARCHAR), 'upload', chunk_count * 5.0::DOUBLE, TIMESTAMP '2024-01-01' + to_seconds(doc_id) FROM sent WHERE status = 'ready'
+    )
+    SELECT event_id, route, latency_ms, strftime(ts, {STAMP}) AS ts FROM (SELECT * FROM logged ORDER BY ts DESC, event_id DESC LIMIT 500)"""
