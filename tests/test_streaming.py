@@ -135,10 +135,10 @@ def test_live_admission_with_clocks_days_apart(spark, tmp_path):
 
 
 def test_keyed_admission_restarts_and_survives_a_reset(spark, small, tmp_path):
-    asked = catalog.requests(spark, small).withColumn(
+    asked = catalog.requests(spark, small).withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
         "client", F.when(F.col("client") % 3 == 0, F.lit(None)).otherwise(F.col("client").cast("string")))
     limit, source, out = Limit(3, 86_400), str(tmp_path / "in"), str(tmp_path / "out")
-    timed, halves = asked.filter("ts IS NOT NULL"), []
+    timed = asked.filter("ts IS NOT NULL")
     middle = timed.selectExpr("percentile_approx(unix_micros(ts), 0.5)").first()[0]
     halves = [asked.filter(F.coalesce(F.unix_micros("ts") <= middle, F.lit(True))), timed.filter(F.unix_micros("ts") > middle)]
     want = {(r.event_id, r.client, r.admitted) for r in admission_replay(asked, limit).collect()}
