@@ -37,7 +37,7 @@ from docquarry.llm.brown import grown, shrunk
 from docquarry.llm.tables import kept
 from docquarry.session import work_dir
 
-LEAST, LONGEST, SHARDS, BEST = 100, 5, 4, 2000
+LEAST, LONGEST, SHARDS, BEST = 100, 5, 2, 2000
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26  # of a bitmap: per phrase, at least, at most
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _STORED = "step int, width int, phrases binary, counts binary, heavy binary"
