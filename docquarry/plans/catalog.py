@@ -520,8 +520,9 @@ def admission_replay(spark, sf):
 # --- streams ------------------------------------------------------------------
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The table as a stream, be it one file or a folder of files; only a pattern may name either."""
     schema = read_table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{{name}}}.parquet")
 
 
 def _in_stretches(rows: DataFrame, ts_col: str, count: int, path: str) -> DataFrame:

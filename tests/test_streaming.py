@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -212,3 +213,17 @@ def test_a_stream_of_rejected_files_leaves_a_readable_store(spark, small, tmp_pa
         start_ingest(stream_of(spark, docs, str(tmp_path / "in")), path, str(tmp_path / "cp"), model, buckets=4).awaitTermination()
         assert store.read_chunks(spark, path).isEmpty() == (number == 0)
         assert store.read_registry(spark, path).isEmpty() == (number == 0)
+
+
+@pytest.mark.parametrize("query, table", [("ingest_stream", "documents"), ("usage_stream", "events"), ("request_windows", "events"), ("admission_stream", "events")])
+def test_streamed_tables_may_be_folders(spark, small, tmp_path, query, table):
+    """A larger table is a folder of files, not one file."""
+    rows = spark.read.parquet(f"{small}/{table}.parquet")
+    rows.filter(F.col(rows.columns[0]) < 100).repartition(2).write.parquet(str(tmp_path / "folder" / f"{table}.parquet"))
+    (tmp_path / "file").mkdir()
+    one = spark.read.parquet(str(tmp_path / "folder" / f"{table}.parquet")).toPandas()
+    if "ts" in one:
+        one["ts"] = one["ts"].astype("datetime64[us]")
+    one.to_parquet(tmp_path / "file" / f"{table}.parquet")
+    got, want = (catalog.QUERIES[query](spark, str(tmp_path / kind)).collect() for kind in ("folder", "file"))
+    assert got and sorted(got) == sorted(want)
