@@ -12,12 +12,14 @@ from docquarry.sources.store import save_chunks
 from docquarry.streaming.writers import writer_of
 
 
-def once_per_upload(docs: DataFrame, lateness: str = "1 day", keys: tuple[str, ...] = ("upload_id", "file_name"), ts_col: str = "uploaded_at") -> DataFrame:
-    """Streaming uploads without those delivered again within ``lateness`` of their first time.
+def once_per_upload(docs: DataFrame, lateness: str = "1 day", keys: tuple[str, ...] = ("upload_id", "file_name")) -> DataFrame:
+    """Streaming uploads without those delivered again within ``lateness`` of their first delivery.
 
-    Spark keeps the keys until the watermark passes; a delivery older than it is dropped, as is one without a time.
+    Spark keeps the keys of that time. It is told by the clock of the micro-batch, not by the upload's own time, so that
+    an upload whose first delivery comes late, or that has no time, is not lost.
     """
-    return docs.withWatermark(ts_col, lateness).dropDuplicatesWithinWatermark(list(keys))
+    arrived = docs.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", lateness)
+    return arrived.dropDuplicatesWithinWatermark(list(keys)).drop("_arrived")
 
 
 def start_ingest(

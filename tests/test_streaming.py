@@ -227,3 +227,17 @@ def test_streamed_tables_may_be_folders(spark, small, tmp_path, query, table):
     one.to_parquet(tmp_path / "file" / f"{table}.parquet")
     got, want = (catalog.QUERIES[query](spark, str(tmp_path / kind)).collect() for kind in ("folder", "file"))
     assert got and sorted(got) == sorted(want)
+
+
+def test_a_first_delivery_is_never_too_late(spark, small, tmp_path):
+    """Uploads that come far behind newer ones, and one without a time, are stored too, and once."""
+    docs = catalog.uploads(spark, small).filter("doc_id < 40").withColumn("upload_id", F.lit("u")).withColumn("file_name", F.concat("doc_id", F.lit(".txt")))
+    for first in range(30, -1, -10):  # newest first
+        at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 1_000_000)
+        some = docs.filter(F.col("doc_id").between(first, first + 9)).withColumn("uploaded_at", F.when(F.col("doc_id") != 35, at))
+        some.unionByName(some).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = once_per_upload(stream_of(spark, docs, str(tmp_path / "in")), "1 day").drop("upload_id")
+    start_ingest(live, str(tmp_path / "store"), str(tmp_path / "cp"), embedding.HashedTerms(16), buckets=4).awaitTermination()
+    got = store.read_versions(spark, str(tmp_path / "store")).groupBy("doc_id").count().collect()
+    want = embedded_documents(docs, embedding.HashedTerms(16)).select("doc_id").distinct().collect()
+    assert sorted(got) == sorted((r.doc_id, 1) for r in want)
