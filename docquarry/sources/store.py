@@ -28,6 +28,7 @@ from docquarry.sources.shared import filtered_by_parts
 
 DOC_BUCKETS = 64
 CHUNKS_PER_FILE_BLOCK = 4096
+FILE_TEXT_BYTES = 32 << 20  # of the texts whose chunks go to one file, unless the number of files is given
 BROADCAST_BYTES = 32 << 20
 VERSION_BYTES = 64  # of a (document, batch) row in a broadcast, generously
 
@@ -39,19 +40,30 @@ def doc_bucket(doc_id: Column, buckets: int = DOC_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
 
 
-def _gathered(df: DataFrame, buckets: int, files_per_bucket: int, *more: Column) -> DataFrame:
-    share = F.pmod(F.hash("doc_id"), F.lit(files_per_bucket))
-    return df.repartition(buckets * files_per_bucket, doc_bucket(F.col("doc_id"), buckets), share, *more)
+def _block() -> Column:
+    return F.floor(F.col("chunk_index") / F.lit(CHUNKS_PER_FILE_BLOCK))
 
 
-def spread_documents(docs: DataFrame, buckets: int = DOC_BUCKETS, files_per_bucket: int = 1) -> DataFrame:
+def _gathered(df: DataFrame, buckets: int, files_per_bucket: int) -> DataFrame:
+    """One partition per file: a share of a bucket's documents, or of the blocks of their chunks."""
+    share = F.pmod(F.hash("doc_id", *([_block()] if "chunk_index" in df.columns else [])), F.lit(files_per_bucket))
+    return df.repartitionById(buckets * files_per_bucket, (doc_bucket(F.col("doc_id"), buckets) * files_per_bucket + share).cast("int"))
+
+
+def files_for(texts: DataFrame, buckets: int, text_col: str = "text", file_bytes: int = FILE_TEXT_BYTES) -> int:
+    """Files per bucket for the chunks of ``texts``: as many as keep each at about ``file_bytes`` of text, by one pass over their sizes."""
+    total = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(1, -(-total // (buckets * file_bytes)))
+
+
+def spread_documents(docs: DataFrame, buckets: int = DOC_BUCKETS, files_per_bucket: int | None = None) -> DataFrame:
     """Bring documents of one bucket together before they are chunked.
 
     Vectors take several times the space of their text, so the shuffle that
     gives tidy store files is cheaper here than after embedding. There are
-    ``buckets * files_per_bucket`` tasks, one file each: size them for the batch.
+    ``buckets * files_per_bucket`` tasks, one file each; without ``files_per_bucket`` as many as the texts need, see ``files_for``.
     """
-    return _gathered(docs, buckets, files_per_bucket)
+    return _gathered(docs, buckets, files_per_bucket or files_for(docs, buckets))
 
 
 # --- batches ------------------------------------------------------------------
@@ -123,13 +135,14 @@ def save_chunks(
     batch_id: int,
     buckets: int | None = None,
     gather: bool = False,
-    files_per_bucket: int = 1,
+    files_per_bucket: int | None = None,
     writer: str = "batch",
 ) -> None:
     """Add the writer's batch ``batch_id`` of embedded chunks, or replace it whole.
 
     ``gather`` shuffles by bucket first, for input not prepared by
-    ``spread_documents``; blocks of a large document still go to several tasks.
+    ``spread_documents``. Without ``files_per_bucket`` Spark divides large buckets and joins small ones by their
+    shuffled size (``spark.sql.adaptive.advisoryPartitionSizeInBytes``); with it, blocks of a large document go to several tasks.
     """
     spark = chunks.sparkSession
     source = _source(writer, batch_id)
@@ -137,8 +150,7 @@ def save_chunks(
     number = _claim(spark, path, source)
     rows = chunks.drop("batch_id").withColumn("doc_bucket", doc_bucket(F.col("doc_id"), buckets))
     if gather:
-        block = F.floor(F.col("chunk_index") / F.lit(CHUNKS_PER_FILE_BLOCK))
-        rows = _gathered(rows, buckets, files_per_bucket, block)
+        rows = _gathered(rows, buckets, files_per_bucket) if files_per_bucket else rows.hint("rebalance", "doc_bucket")
     target = f"{path}/chunks/batch_id={number}"
     ordered = rows.sortWithinPartitions("doc_bucket", "doc_id", "chunk_index")
     ordered.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("doc_bucket").parquet(target)
@@ -284,7 +296,7 @@ def compact(
     new_path: str,
     batch_id: int,
     buckets: int | None = None,
-    files_per_bucket: int = 1,
+    files_per_bucket: int | None = None,
 ) -> None:
     """Write the live rows as one batch of a new store at ``new_path``.
 

@@ -165,3 +165,23 @@ def test_a_store_that_begins_with_a_delete(spark, tmp_path):
     path = str(tmp_path / "store")
     store.delete_documents(spark.range(3).withColumnRenamed("id", "doc_id"), path, 0)
     assert store.read_chunks(spark, path).collect() == [] and store.read_registry(spark, path).collect() == []
+
+
+def files_and_rows(spark, path):
+    """Files of each bucket, and rows of the largest."""
+    files = spark.read.parquet(f"{path}/chunks").groupBy("doc_bucket", F.input_file_name().alias("file")).count()
+    return files.groupBy("doc_bucket").agg(F.count("*").alias("files"), F.max("count").alias("most")).collect()
+
+
+def test_gathered_files_do_not_grow_with_the_batch(spark, tmp_path):
+    rows = spark.range(0, 40_000, 1, 16).select(F.col("id").alias("doc_id"), F.lit(0).cast("bigint").alias("chunk_index"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("text"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "500k")
+    try:
+        store.save_chunks(rows, str(tmp_path / "a"), 0, buckets=2, gather=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert all(r.files >= 4 and r.most < 10_000 for r in files_and_rows(spark, str(tmp_path / "a")))
+    assert store.read_chunks(spark, str(tmp_path / "a")).select("doc_id", "text").exceptAll(rows.select("doc_id", "text")).isEmpty()
+    assert store.read_registry(spark, str(tmp_path / "a")).count() == 40_000
+    store.save_chunks(rows.limit(100), str(tmp_path / "b"), 0, buckets=2, gather=True)
+    assert [r.files for r in files_and_rows(spark, str(tmp_path / "b"))] == [1, 1]  # and small ones stay tidy
