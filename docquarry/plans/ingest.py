@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import text as tx
 from docquarry.operators.chunking import chunk_pages, chunk_text
 from docquarry.operators.embedding import ModelFactory, embed
-from docquarry.sources.store import spread_documents
+from docquarry.sources.store import files_for, spread_documents
 
 
 def accepted(docs: DataFrame) -> DataFrame:
@@ -26,12 +26,12 @@ def embedded_documents(
     chunk_size: int = tx.CHUNK_SIZE,
     overlap: int = tx.CHUNK_OVERLAP,
     buckets: int | None = None,
-    files_per_bucket: int = 1,
+    files_per_bucket: int | None = None,
 ) -> DataFrame:
     """Gate, chunk and embed ``docs(doc_id, file_name, text, uploaded_at)``.
 
     Rejected files leave before any Python runs. With ``buckets`` the texts are
-    first gathered for a tidy write to the store.
+    first gathered for a tidy write to the store, in as many files as their size asks for unless ``files_per_bucket`` is given.
     """
     docs = accepted(docs)
     if buckets:
@@ -44,7 +44,7 @@ def embedded_pages(
     names: DataFrame,
     model: ModelFactory | None = None,
     buckets: int | None = None,
-    files_per_bucket: int = 1,
+    files_per_bucket: int | None = None,
     **options,
 ) -> DataFrame:
     """The same for paged documents: ``pages(doc_id, page, text)`` and
@@ -53,5 +53,8 @@ def embedded_pages(
     Documents without a supported name leave first; those with blank pages alone give no chunks.
     """
     named = names.filter(F.col("file_name").isNotNull() & tx.has_supported_extension(F.col("file_name")))
-    chunks = chunk_pages(pages.join(named.select("doc_id"), "doc_id", "left_semi"), **options).join(named, "doc_id")
-    return embed(spread_documents(chunks, buckets, files_per_bucket) if buckets else chunks, model=model)
+    pages = pages.join(named.select("doc_id"), "doc_id", "left_semi")
+    chunks = chunk_pages(pages, **options).join(named, "doc_id")
+    if buckets:  # sized by the pages, so that they are not chunked twice
+        chunks = spread_documents(chunks, buckets, files_per_bucket or files_for(pages, buckets))
+    return embed(chunks, model=model)

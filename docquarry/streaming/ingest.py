@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,12 +41,16 @@ def start_ingest(
     writer = writer_of(docs.sparkSession, checkpoint)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        if "pages" in batch.columns:
-            pages = batch.select("doc_id", F.inline("pages"))
-            ready = embedded_pages(pages, batch.select("doc_id", "file_name", "uploaded_at"), model, buckets=buckets)
-        else:
-            ready = embedded_documents(batch, model, buckets=buckets)
-        save_chunks(ready, store_path, batch_id, buckets, writer=writer)
+        batch = batch.persist(StorageLevel.DISK_ONLY)  # sized, then stored, but read and told apart once
+        try:
+            if "pages" in batch.columns:
+                pages = batch.select("doc_id", F.inline("pages"))
+                ready = embedded_pages(pages, batch.select("doc_id", "file_name", "uploaded_at"), model, buckets=buckets)
+            else:
+                ready = embedded_documents(batch, model, buckets=buckets)
+            save_chunks(ready, store_path, batch_id, buckets, writer=writer)
+        finally:
+            batch.unpersist()
 
     return (
         docs.writeStream.foreachBatch(add)

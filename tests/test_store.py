@@ -175,7 +175,7 @@ def files_and_rows(spark, path):
 
 def test_gathered_files_do_not_grow_with_the_batch(spark, tmp_path):
     rows = spark.range(0, 40_000, 1, 16).select(F.col("id").alias("doc_id"), F.lit(0).cast("bigint").alias("chunk_index"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("text"))
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "500k")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "150k")
     try:
         store.save_chunks(rows, str(tmp_path / "a"), 0, buckets=2, gather=True)
     finally:
@@ -185,3 +185,18 @@ def test_gathered_files_do_not_grow_with_the_batch(spark, tmp_path):
     assert store.read_registry(spark, str(tmp_path / "a")).count() == 40_000
     store.save_chunks(rows.limit(100), str(tmp_path / "b"), 0, buckets=2, gather=True)
     assert [r.files for r in files_and_rows(spark, str(tmp_path / "b"))] == [1, 1]  # and small ones stay tidy
+
+
+def test_embedded_files_do_not_grow_with_the_batch(spark, tmp_path, monkeypatch):
+    """Every task chunks, embeds and writes a bounded share of the texts, and no upload or page is lost."""
+    monkeypatch.setattr(store.files_for, "__defaults__", ("text", 40_000))
+    at = F.timestamp_seconds(F.lit(1_704_067_200)).alias("uploaded_at")
+    uploads = spark.range(0, 2000, 1, 4).select(F.col("id").alias("doc_id"), F.concat("id", F.lit(".txt")).alias("file_name"), F.repeat(F.lit("word "), 40).alias("text"), at)
+    store.save_chunks(embedded_documents(uploads, SMALL, buckets=2), str(tmp_path / "a"), 0, buckets=2)
+    pages = uploads.select(F.lit(1).alias("doc_id"), F.col("doc_id").alias("page"), "text")  # one large document
+    names = spark.range(1, 2).select(F.col("id").alias("doc_id"), F.lit("a.pdf").alias("file_name"), at)
+    store.save_chunks(embedded_pages(pages, names, SMALL, buckets=2, chunk_size=10, overlap=0), str(tmp_path / "b"), 0, buckets=2)
+    assert [r.files for r in files_and_rows(spark, str(tmp_path / "a"))] == [5, 5]
+    assert spark.read.parquet(str(tmp_path / "b" / "chunks")).count() == 2000 * 20
+    assert [r.files > 1 for r in files_and_rows(spark, str(tmp_path / "b"))] == [True]
+    assert store.read_registry(spark, str(tmp_path / "a")).agg(F.count("*"), F.sum("chunk_count")).first() == (2000, 2000)
