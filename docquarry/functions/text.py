@@ -31,6 +31,8 @@ CHUNK_SIZE = 800
 CHUNK_OVERLAP = 120
 BREAK_SHARE = 0.6
 
+TEXTS_AT_ONCE = 256  # texts a Python worker takes out of an Arrow batch
+
 
 def trim_text(text: Column) -> Column:
     return F.btrim(text, F.lit(TRIM_CHARS))
@@ -108,7 +110,7 @@ def count_pieces(chunk_size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
 
     @F.arrow_udf(T.LongType())
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array([len(pieces_of(text, chunk_size, overlap)) for text in texts.to_pylist()], pa.int64())
+        return pa.array([len(pieces_of(text.as_py(), chunk_size, overlap)) for text in texts], pa.int64())
 
     return count
 
@@ -123,7 +125,10 @@ def split_pieces(chunk_size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def pieces(texts: pa.Array) -> pa.Array:
-        return pa.array([pieces_of(text, chunk_size, overlap) for text in texts.to_pylist()], type=pa.list_(pa.string()))
+        kind = pa.list_(pa.string())
+        found = [pa.array([pieces_of(text, chunk_size, overlap) for text in texts.slice(at, TEXTS_AT_ONCE).to_pylist()], type=kind)
+                 for at in range(0, len(texts), TEXTS_AT_ONCE)]
+        return pa.concat_arrays(found) if found else pa.array([], type=kind)
 
     return pieces
 

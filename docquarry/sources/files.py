@@ -65,7 +65,7 @@ class TextFilesWriter(DataSourceArrowWriter):
                 count += 1
 
         for batch in iterator:
-            for row_name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist()):
+            for row_name, text in ((n.as_py(), t.as_py()) for n, t in zip(batch.column("name"), batch.column("text"))):
                 if row_name is None:
                     continue
                 if row_name != name:

@@ -194,3 +194,11 @@ def test_repeated_page_numbers_get_chunks_of_their_own(spark):
             by_text.setdefault(r.text[0], []).append(r.chunk_index)
         assert by_text["c"][0] == 0 and by_text["d"] == [len(found) - 1]  # pages without a number first
         assert len(by_text["b"]) == 4 and all(b - a == 1 for a, b in zip(by_text["a"], by_text["a"][1:]))
+
+
+def test_splits_of_a_batch_are_joined_in_order(spark):
+    """A Python worker takes a few hundred texts at a time out of a batch of any size."""
+    docs = spark.range(0, 3 * tx.TEXTS_AT_ONCE + 5, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 != 3, F.repeat(F.concat("id", F.lit(" word ")), 30)).alias("text"))
+    got = {(r.doc_id, r.chunk_index): r.text for r in chunking.chunk_text(docs, chunk_size=100, overlap=10).collect()}
+    want = {(d.doc_id, i): piece for d in docs.collect() for i, piece in enumerate(tx.pieces_of((d.text or "").strip(), 100, 10))}
+    assert got == want
