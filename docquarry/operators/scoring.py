@@ -17,6 +17,7 @@ from docquarry.functions.vectors import SCORE_DIGITS
 from docquarry.sources.shared import SharedParts
 
 BUFFER_BYTES = 128 << 20  # of chunk batches a task holds while it reads blocks of queries
+SLICE_BYTES = 4 << 20  # of chunk rows scored at once
 SCORES_AT_ONCE = 4_000_000  # entries of one score matrix (32 MB)
 ROUNDING_MARGIN = 1.5 * 10.0**-SCORE_DIGITS
 
@@ -107,6 +108,14 @@ def place_in_run(groups: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(starts, at, 0)) if len(groups) else at
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``slice_bytes``: scoring takes several times the space of the vectors it is given."""
+    for batch in batches:
+        rows = max(1, slice_bytes * batch.num_rows // max(batch.nbytes, 1))
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
+
+
 class BlockScorer:
     """Iterator of chunk batches to iterator of candidate batches."""
 
@@ -123,7 +132,7 @@ class BlockScorer:
         held: list[pa.Table] = []
         held_rows = 0
         floor = np.full(len(queries.unit), -np.inf)
-        for batch in batches:
+        for batch in in_slices(batches):
             found = self.candidates(queries, pa.Table.from_batches([batch]), floor)
             if not running:
                 yield from self.finish(queries, found)

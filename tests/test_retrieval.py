@@ -274,3 +274,28 @@ def test_scoped_questions_open_their_buckets_only(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.split("\n") if "FileScan" in line and "embedding" in line]
     assert scans and all("doc_bucket" in line.split("PartitionFilters: [")[1].split("]")[0] for line in scans)
+
+
+def test_scoring_a_large_batch_takes_little_more_than_the_batch():
+    """A batch of the largest size Spark sends is scored in slices, with the results of one piece."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from docquarry.operators.scoring import BlockScorer, Held
+
+    draw = np.random.default_rng(1)
+    vectors = draw.random((10_000, 512), dtype=np.float32)
+    asked = draw.random((3, 512), dtype=np.float32)
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * 512), pa.array(m.ravel())) for m in (vectors, asked)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array([0] * 10_000), lists[0]], ["doc_id", "chunk_index", "embedding"])
+    block = pa.table({"query_id": [0, 1, 2], "scope": pa.array([None] * 3, pa.int64()), "embedding": lists[1]})
+    tracemalloc.start()
+    found = list(BlockScorer(Held(block), 3, False, [("doc_id", "ascending"), ("chunk_index", "ascending")])(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * batch.nbytes
+    scores = (asked / np.linalg.norm(asked.astype(float), axis=1)[:, None]) @ (vectors / np.linalg.norm(vectors.astype(float), axis=1)[:, None]).T
+    want = [(q, d, round(s[d], 6)) for q, s in enumerate(scores) for d in sorted(range(len(s)), key=lambda d: (-round(s[d], 6), d))[:3]]
+    assert [(r["query_id"], r["doc_id"], r["score"]) for b in found for r in b.to_pylist()] == want
