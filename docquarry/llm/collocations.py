@@ -8,8 +8,9 @@ reached the threshold, in whatever shard that is, for one full cycle. The scan e
 those of the whole corpus.
 
 Texts are encoded once, into blocks of word numbers with the block's own list of
-words. A step reads one shard of them, counts windows per block, and adds up by
-phrase in one shuffle. Which windows are active comes to the tasks as two bitmaps of
+words. A step reads one shard of them, counts windows, and adds up by phrase in one shuffle: a task sends each
+bucket of phrases as one packed row per length, a sorted list of the words in it and the phrases, in order, as places in that list, which takes
+a few bytes a phrase. Sums are stored in the same form. Which windows are active comes to the tasks as two bitmaps of
 bounded size (phrases that reached the threshold, and those of the last cycle); what they let through by chance
 is left out exactly later, when a phrase's own first step is known. A phrase that reaches the threshold within a cycle has its share of it in some step
 (Savasere et al., 1995), so only such phrases are added up over steps.
@@ -40,9 +41,13 @@ from docquarry.session import work_dir
 LEAST, LONGEST, SHARDS, BEST = 100, 5, 2, 2000
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26  # of a bitmap: per phrase, at least, at most
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_STORED = "step int, width int, phrases binary, counts binary, heavy binary"
-_STORED_TYPE = pa.schema([("step", pa.int32()), ("width", pa.int32()), *((name, pa.binary()) for name in ("phrases", "counts", "heavy"))])
-_BLOCK = "lang string, shard int, n long, tokens binary, words binary, spelled binary"
+BUCKETS, BUCKET_WORDS = 16, 1 << 22  # of phrases, that are added up together: at least so many, one for so many words
+HELD = 1 << 21  # phrases that a task adds up before it sends them
+_SENT = "bucket int, width int, words binary, places binary, counts binary"
+_SENT_TYPE = pa.schema([("bucket", pa.int32()), ("width", pa.int32()), *((name, pa.binary()) for name in ("words", "places", "counts"))])
+_STORED = "step int, width int, words binary, places binary, counts binary, heavy binary"
+_STORED_TYPE = pa.schema([("step", pa.int32()), ("width", pa.int32()), *((name, pa.binary()) for name in ("words", "places", "counts", "heavy"))])
+_BLOCK = "lang string, n long, tokens binary, spelled binary, shard int"
 
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x09, 0x20]] = True
@@ -50,18 +55,22 @@ ENDS = np.zeros(256, bool)  # of pieces: . , ; : ! ? and line ends
 ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 
 
-def _block(texts: pa.Array, lang: str) -> tuple[int, np.ndarray, np.ndarray, bytes]:
-    """Number of words, word numbers from 1 (the most frequent word) with 0 between pieces, the hashes of language and word, and the words, a line each."""
+def _salted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lang: str) -> np.ndarray:
+    """The hashes of language and word."""
+    salt = word_hashes(np.frombuffer(lang.encode(), np.uint8), np.array([0]), np.array([len(lang.encode())]))
+    return mix(word_hashes(data, starts, ends) ^ (salt * _STEP))
+
+
+def _block(texts: pa.Array, lang: str) -> tuple[int, np.ndarray, bytes]:
+    """Number of words, word numbers from 1 (the most frequent word) with 0 between pieces, and the words, a line each."""
     data, offsets = text_bytes(texts)
     data = LOWER[data]
     starts, ends, first = words_in(data, offsets, BLANKS | ENDS)
-    salt = word_hashes(np.frombuffer(lang.encode(), np.uint8), np.array([0]), np.array([len(lang.encode())]))
-    hashes = mix(word_hashes(data, starts, ends) ^ (salt * _STEP))
-    words, at, number, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    _, at, number, counts = np.unique(_salted(data, starts, ends, lang), return_index=True, return_inverse=True, return_counts=True)
     order = np.argsort(-counts, kind="stable")  # small numbers for frequent words take little space
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    words, at, number = words[order], at[order], place[number]
+    at, number = at[order], place[number]
     doc, ended = document_of(first), np.concatenate([[0], np.cumsum(ENDS[data])])
     begins = np.zeros(len(starts), bool)
     begins[1:] = (doc[1:] != doc[:-1]) | (ended[starts[1:]] > ended[ends[:-1]])
@@ -69,11 +78,18 @@ def _block(texts: pa.Array, lang: str) -> tuple[int, np.ndarray, np.ndarray, byt
     tokens[np.arange(len(starts)) + np.cumsum(begins)] = number + 1
     raw = data.tobytes()
     spelled = b"\n".join(raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist()))
-    return len(starts), tokens, words, spelled
+    return len(starts), tokens, spelled
+
+
+def _hashes_of(spelled: bytes, lang: str) -> np.ndarray:
+    """The hashes of a block's words, from their lines."""
+    data = np.frombuffer(spelled, np.uint8)
+    ends = np.append(np.flatnonzero(data == 0x0A), len(data))
+    return _salted(data, np.append(0, ends[:-1] + 1), ends, lang)
 
 
 def encoded(docs: DataFrame, shards: int) -> DataFrame:
-    """The texts as blocks, one per language and piece of a few megabytes, dealt to shards in turn."""
+    """The texts as blocks, one per language and piece of a few megabytes, dealt to shards in turn, a folder each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId()
@@ -81,16 +97,18 @@ def encoded(docs: DataFrame, shards: int) -> DataFrame:
             langs = table.column("lang").combine_chunks()
             for lang in langs.unique().to_pylist():
                 chosen = pa.compute.equal(langs, lang)
-                n, tokens, words, spelled = _block(table.filter(chosen).column("text"), lang)
+                n, tokens, spelled = _block(table.filter(chosen).column("text"), lang)
                 if n:
-                    blobs = [shrunk(tokens), shrunk(words), zstandard.ZstdCompressor(level=1).compress(spelled)]
+                    blobs = [shrunk(tokens), zstandard.ZstdCompressor(level=3).compress(spelled)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang]), pa.array([turn % shards], pa.int32()), pa.array([n]), *(pa.array([b], pa.binary()) for b in blobs)],
-                        ["lang", "shard", "n", "tokens", "words", "spelled"])
+                        [pa.array([lang]), pa.array([n]), *(pa.array([b], pa.binary()) for b in blobs), pa.array([turn % shards], pa.int32())],
+                        ["lang", "n", "tokens", "spelled", "shard"])
             turn += 1
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return kept(texts.mapInArrow(run, _BLOCK), "encoded")
+    path = work_dir(docs.sparkSession, "encoded")
+    texts.mapInArrow(run, _BLOCK).write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(_BLOCK).parquet(path)
 
 
 def _hashed(phrases: np.ndarray) -> np.ndarray:
@@ -101,15 +119,21 @@ def _hashed(phrases: np.ndarray) -> np.ndarray:
     return total
 
 
+def _bits_of(hashes: np.ndarray, size: int) -> list[np.ndarray]:
+    return [(hashes >> np.uint64(shift)) & np.uint64(size - 1) for shift in (0, 32)]
+
+
 class Bitmap:
-    """Phrases as bits at their hash; may say yes by chance, never no."""
+    """Phrases as two bits each, at both halves of their hash; may say yes by chance, never no."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        place = hashes & np.uint64(len(self.bits) * 64 - 1)
-        return (self.bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        found = np.ones(len(hashes), bool)
+        for place in _bits_of(hashes, len(self.bits) * 64):
+            found &= (self.bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        return found
 
 
 def bitmaps(phrases: DataFrame, since: int, count: int) -> tuple[Bitmap, Bitmap]:
@@ -119,11 +143,12 @@ def bitmaps(phrases: DataFrame, since: int, count: int) -> tuple[Bitmap, Bitmap]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = _hashes(batch.column(0)) & np.uint64(size - 1)
-            bits = np.uint64(1) << (place & np.uint64(63))
-            late = np.where(batch.column(1).to_numpy() >= since, bits, np.uint64(0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((place >> np.uint64(6)).astype(np.int64)), *(pa.array(x.view(np.int64)) for x in (bits, late))], ["at", "bits", "late"])
+            recent = batch.column(1).to_numpy() >= since
+            for place in _bits_of(_hashes(batch.column(0)), size):
+                bits = np.uint64(1) << (place & np.uint64(63))
+                late = np.where(recent, bits, np.uint64(0))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((place >> np.uint64(6)).astype(np.int64)), *(pa.array(x.view(np.int64)) for x in (bits, late))], ["at", "bits", "late"])
 
     words = phrases.select("phrase", "step").mapInArrow(run, "at long, bits long, late long")
     words = words.groupBy("at").agg(F.bit_or("bits").alias("bits"), F.bit_or("late").alias("late")).toArrow()
@@ -141,16 +166,16 @@ def _rows(phrases: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
 
 
 def windows_of(tokens: np.ndarray, words: np.ndarray, reached: Bitmap, recent: Bitmap, longest: int, opening: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(phrases, counts) of one block's active windows, length by length.
+    """(phrases as rows of places in ``words``, counts) of one block's active windows, length by length.
 
     A window is named by its prefix's name and its last word. It is looked at if prefix and suffix reached the
     threshold, and counted if one of them did so in the last cycle.
     """
+    distinct = np.arange(len(words), dtype=np.uint32)[:, None]
     if opening:
-        yield words[:, None], np.bincount(tokens, minlength=len(words) + 1)[1:]
+        yield distinct, np.bincount(tokens, minlength=len(words) + 1)[1:]
     known = np.append(False, reached.holds(words))
     fresh = np.append(False, recent.holds(words)) & known
-    distinct = words[:, None]
     # name, whether it reached the threshold and whether lately, for the windows that start at each token
     names, has, late = tokens.astype(np.int64) - 1, known[tokens], fresh[tokens]
     for length in range(2, longest + 1):
@@ -163,13 +188,13 @@ def windows_of(tokens: np.ndarray, words: np.ndarray, reached: Bitmap, recent: B
         last = tokens[at + length - 1].astype(np.int64) - 1
         codes, first, inverse = np.unique(names[at] << 32 | last, return_index=True, return_inverse=True)
         active = late[at] | late[at + 1]
-        distinct = np.concatenate([distinct[codes >> 32], words[codes & 0xFFFFFFFF][:, None]], axis=1)
+        distinct = np.concatenate([distinct[codes >> 32], (codes & 0xFFFFFFFF).astype(np.uint32)[:, None]], axis=1)
         counts = np.bincount(inverse[active], minlength=len(codes))
         chosen = np.flatnonzero(counts)
         if len(chosen):
             yield distinct[chosen], counts[chosen]
         if length < longest:
-            hashes = _hashed(distinct)
+            hashes = _hashed(words[distinct])
             known = reached.holds(hashes)
             fresh = recent.holds(hashes) & known
             has, late = np.zeros(span, bool), np.zeros(span, bool)
@@ -178,18 +203,86 @@ def windows_of(tokens: np.ndarray, words: np.ndarray, reached: Bitmap, recent: B
             names[at] = inverse
 
 
-def _counted(blocks: DataFrame, reached: Bitmap, recent: Bitmap, longest: int, opening: bool) -> DataFrame:
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]  # words, phrases of one length as rows of places among them, how often each occurs
+
+
+def added(parts: list[Counts]) -> Counts:
+    """Counts of phrases of one length added up; words and phrases come in order."""
+    words = np.unique(np.concatenate([own for own, _, _ in parts]))
+    rows = np.concatenate([np.searchsorted(words, own).astype(np.uint32)[places] for own, places, _ in parts])
+    counts = np.concatenate([n for _, _, n in parts])
+    codes, width = rows[:, 0].astype(np.int64), rows.shape[1]
+    for at in range(1, width):
+        codes = codes << 32 | rows[:, at].astype(np.int64)
+        if at < width - 1:
+            codes = np.unique(codes, return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    return words, rows[order[starts]], np.add.reduceat(counts[order], starts)
+
+
+def packed(words: np.ndarray, places: np.ndarray, counts: np.ndarray) -> dict[str, bytes]:
+    """Words and phrases in order, by their differences; exact."""
+    steps = places.T.copy()
+    steps[0, 1:] = np.diff(places[:, 0])
+    return {"words": shrunk(np.diff(words, prepend=np.uint64(0))), "places": shrunk(steps.ravel()), "counts": shrunk(counts.astype(np.int64))}
+
+
+def unpacked(row: dict) -> Counts:
+    places = grown(row["places"], np.uint32).reshape(row["width"], -1).T.copy()
+    places[:, 0] = np.cumsum(places[:, 0])
+    return np.cumsum(grown(row["words"], np.uint64)), places, grown(row["counts"], np.int64)
+
+
+def _dealt(held: dict[int, list[Counts]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """What a task has counted, a packed row per length and bucket of phrases."""
+    for width, parts in held.items():
+        words, places, counts = added(parts)
+        bucket = (_hashed(words[places]) >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        rows = []
+        for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            used, local = np.unique(places[own], return_inverse=True)
+            rows.append({"bucket": int(bucket[own[0]]), "width": width, **packed(words[used], local.reshape(-1, width).astype(np.uint32), counts[own])})
+        yield pa.RecordBatch.from_pylist(rows, _SENT_TYPE)
+
+
+def _counted(blocks: DataFrame, reached: Bitmap, recent: Bitmap, longest: int, opening: bool, buckets: int) -> DataFrame:
     sent = blocks.sparkSession.sparkContext.broadcast((reached.bits, recent.bits))  # twice MOST_BITS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = [Bitmap(bits) for bits in sent.value]
+        held: dict[int, list[Counts]] = {}
+        total = 0
         for batch in batches:
             for at in range(batch.num_rows):
-                tokens, words = (grown(batch.column(c)[at].as_py(), kind) for c, kind in (("tokens", np.uint32), ("words", np.uint64)))
-                for phrases, counts in windows_of(tokens, words, *maps, longest, opening):
-                    yield _rows(phrases, counts)
+                lang, tokens, spelled = (batch.column(c)[at].as_py() for c in ("lang", "tokens", "spelled"))
+                words = _hashes_of(zstandard.ZstdDecompressor().decompress(spelled), lang)
+                for places, counts in windows_of(grown(tokens, np.uint32), words, *maps, longest, opening):
+                    held.setdefault(places.shape[1], []).append((words, places, counts))
+                    total += len(places)
+                if total >= HELD:
+                    yield from _dealt(held, buckets)
+                    held, total = {}, 0
+        yield from _dealt(held, buckets)
+
+    return blocks.select("lang", "tokens", "spelled").mapInArrow(run, _SENT)
+
+
+def _summed(share: int, step: int):
+    """One bucket of phrases for later steps, a packed row per length, with those counted ``share`` times or more."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        held: dict[int, list[Counts]] = {}
+        for row in sent.to_pylist():
+            held.setdefault(row["width"], []).append(unpacked(row))
+        rows = []
+        for width, parts in held.items():
+            words, places, counts = added(parts)
+            rows.append({"step": step, "width": width, **packed(words, places, counts), "heavy": words[places[counts >= share]].tobytes()})
+        return pa.Table.from_pylist(rows, _STORED_TYPE)
 
-    return blocks.select("tokens", "words").mapInArrow(run, "phrase binary, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
+    return run
 
 
 def _width(phrase: str | Column) -> Column:
@@ -238,28 +331,6 @@ def _hashes(phrases: pa.Array) -> np.ndarray:
     return out
 
 
-def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, phrases as rows of hashes, counts) of a batch (phrase, n)."""
-    widths = pa.compute.binary_length(batch.column(0)).to_numpy(zero_copy_only=False)
-    for width in np.unique(widths).tolist():
-        own = batch.take(pa.array(np.flatnonzero(widths == width)))  # a new batch: its bytes begin with the first phrase
-        size = width // 8
-        yield size, np.frombuffer(own.column(0).buffers()[2], np.uint64, own.num_rows * size).reshape(-1, size), own.column(1).to_numpy()
-
-
-def _stored(share: int, step: int):
-    """Counts packed for later steps, a row per batch and length: phrases, their counts, and those of ``share`` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [{"step": step, "width": width, "phrases": phrases.tobytes(), "counts": counts.tobytes(), "heavy": phrases[counts >= share].tobytes()}
-                    for width, phrases, counts in _by_width(batch)]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, _STORED_TYPE)
-
-    return run
-
-
 def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for width, blob in zip(batch.column("width").to_pylist(), batch.column("heavy").to_pylist()):
@@ -275,12 +346,13 @@ def _among(stored: DataFrame, phrases: DataFrame, count: int) -> DataFrame:
         some = Bitmap(sent.value)
         for batch in batches:
             for row in batch.to_pylist():
-                found = np.frombuffer(row["phrases"], np.uint64).reshape(-1, row["width"])
+                words, places, counts = unpacked(row)
+                found = words[places]
                 chosen = some.holds(_hashed(found))
-                rows = _rows(found[chosen], np.frombuffer(row["counts"], np.int64)[chosen])
+                rows = _rows(found[chosen], counts[chosen])
                 yield rows.append_column("step", pa.array(np.full(rows.num_rows, row["step"], np.int32)))
 
-    rows = stored.select("step", "width", "phrases", "counts").mapInArrow(run, "phrase binary, n long, step int")
+    rows = stored.select("step", "width", "words", "places", "counts").mapInArrow(run, "phrase binary, n long, step int")
     return rows.join(phrases, "phrase", "left_semi")
 
 
@@ -291,11 +363,13 @@ def phrase_counts(blocks: DataFrame, least: int = LEAST, longest: int = LONGEST,
     met = _Steps(spark, "reached", "phrase binary, step int, opened int")
     sizes: list[int] = []  # phrases below the full length that reached the threshold, by step
     total = step = 0
+    buckets = max(BUCKETS, (blocks.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS)
     while step < shards or any(sizes[step - shards :]):
         reached = met.read(0, step)
         maps = bitmaps(reached.filter(_width("phrase") < longest), step - shards, sum(sizes))
         shard = blocks.filter(F.col("shard") == step % shards)
-        counts.write(step, _counted(shard, *maps, longest, step < shards).mapInArrow(_stored(-(-least // shards), step), _STORED))
+        sent = _counted(shard, *maps, longest, step < shards, buckets)
+        counts.write(step, sent.groupBy("bucket").applyInArrow(_summed(-(-least // shards), step), _STORED))
         heavy = counts.read(step - shards + 1, step + 1).select("width", "heavy").mapInArrow(_heavy, "phrase binary")
         # of phrases open in this step, those with their share of the threshold in some step, added up since they are open
         suspects = kept(heavy.distinct().join(reached, "phrase", "left_anti"), f"suspects-{step}")
@@ -314,23 +388,25 @@ def phrase_counts(blocks: DataFrame, least: int = LEAST, longest: int = LONGEST,
     return kept(whole.groupBy("phrase").agg(F.sum("n").alias("n")), "phrases")
 
 
-def _spellings(blocks: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
-    """(word binary, lang, spelling) of all words of ``phrases``."""
-    words = phrases.filter(_width("phrase") == 1).select("phrase")
-    wanted = blocks.sparkSession.sparkContext.broadcast(bitmaps(words.withColumn("step", F.lit(0)), 0, words.count())[0].bits)
+def _spellings(blocks: DataFrame, words: DataFrame) -> DataFrame:
+    """(word binary, lang, spelling) of all of ``words(word)``, and by chance of a few others."""
+    wanted = blocks.sparkSession.sparkContext.broadcast(bitmaps(words.select(F.col("word").alias("phrase"), F.lit(0).alias("step")), 0, words.count())[0].bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = np.zeros(0, np.uint64)  # a task gives a word once, not once a block
         for batch in batches:
             for at in range(batch.num_rows):
-                hashes = grown(batch.column("words")[at].as_py(), np.uint64)
-                chosen = Bitmap(wanted.value).holds(hashes)
-                spelled = pa.array(zstandard.ZstdDecompressor().decompress(batch.column("spelled")[at].as_py()).split(b"\n"), pa.binary())
+                lang = batch.column("lang")[at].as_py()
+                lines = zstandard.ZstdDecompressor().decompress(batch.column("spelled")[at].as_py())
+                hashes = _hashes_of(lines, lang)
+                chosen = Bitmap(wanted.value).holds(hashes) & ~np.isin(hashes, given)
+                given = np.append(given if len(given) < HELD else given[:0], hashes[chosen])
+                spelled = pa.array(lines.split(b"\n"), pa.binary())
                 words = _rows(hashes[chosen][:, None], np.zeros(int(chosen.sum()))).column(0)
-                langs = pa.array([batch.column("lang")[at].as_py()] * len(words), pa.string())
+                langs = pa.array([lang] * len(words), pa.string())
                 yield pa.RecordBatch.from_arrays([words, langs, spelled.filter(pa.array(chosen)).cast(pa.string())], ["word", "lang", "spelling"])
 
-    found = blocks.select("lang", "words", "spelled").mapInArrow(run, "word binary, lang string, spelling string").distinct()
-    return found.join(words.withColumnRenamed("phrase", "word"), "word", "left_semi")
+    return blocks.select("lang", "spelled").mapInArrow(run, "word binary, lang string, spelling string").distinct()
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, best: int = BEST) -> DataFrame:
@@ -344,16 +420,16 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sh
     phrases = counts.filter(_width("phrase") > 1).withColumnRenamed("n", "a")
     # counts only fall with length, so a longer phrase as frequent means one longer by a word as frequent
     longer = [phrases.filter(_width("phrase") > 2).select(part("phrase").alias("phrase"), "a") for part in (_prefix, _suffix)]
-    phrases = phrases.join(longer[0].union(longer[1]).distinct(), ["phrase", "a"], "left_anti")
+    phrases = kept(phrases.join(longer[0].union(longer[1]).distinct(), ["phrase", "a"], "left_anti"), "candidates")
 
     cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), (_width("phrase") - 1).cast("int"))))
     cuts = cuts.withColumn("_l", F.expr("substring(phrase, 1, 8 * k)")).withColumn("_r", F.expr("substring(phrase, 8 * k + 1)"))
     cuts = cuts.join(counts.select(F.col("phrase").alias("_l"), F.col("n").alias("l")), "_l").join(
         counts.select(F.col("phrase").alias("_r"), F.col("n").alias("r")), "_r")
 
-    spelled = _spellings(blocks, counts, longest)
     parts = phrases.select("phrase", F.posexplode(F.transform(F.sequence(F.lit(0), (_width("phrase") - 1).cast("int")),
                                                               lambda i: F.substring("phrase", i * 8 + 1, F.lit(8)))).alias("at", "word"))
+    spelled = _spellings(blocks, kept(parts.select("word").distinct(), "words"))
     named = parts.join(spelled, "word").groupBy("phrase").agg(
         F.first("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "spelling"))), lambda s: s["spelling"]), " ").alias("text"))
     words = blocks.groupBy("lang").agg(F.sum("n").alias("n"))

@@ -225,3 +225,26 @@ def test_a_bitmap_never_says_no_to_its_phrases(spark):
     both, late = collocations.bitmaps(spark.createDataFrame(rows, "phrase binary, step int"), 3, len(rows))
     assert both.holds(mix(keys)).all() and late.holds(mix(keys[keys % np.uint64(5) >= 3])).all()
     assert both.holds(mix(keys + np.uint64(10**9))).mean() < 0.1
+
+
+def test_packed_counts_add_up_in_a_few_bytes_a_phrase():
+    rng = np.random.default_rng(3)
+    words, parts, want = mix(np.arange(1, 3001, dtype=np.uint64)), [], Counter()
+    for _ in range(3):
+        own = rng.permutation(words)
+        places = np.unique((rng.random((20_000, 2)) ** 3 * len(own)).astype(np.uint32), axis=0)
+        counts = rng.geometric(0.7, len(places))
+        parts.append((own, places, counts))
+        want.update(dict(zip(map(tuple, own[places].tolist()), counts.tolist())))
+    row = collocations.packed(*collocations.added(parts)) | {"width": 2}
+    found, places, counts = collocations.unpacked(row)
+    assert dict(zip(map(tuple, found[places].tolist()), counts.tolist())) == want
+    assert len(counts) == len(want) and sum(len(x) for x in row.values() if isinstance(x, bytes)) < 6 * len(want)  # 24 each as rows
+
+
+def test_collocations_sent_in_many_small_parts(spark, small, monkeypatch):
+    monkeypatch.setattr(collocations, "HELD", 1)
+    monkeypatch.setattr(collocations, "BUCKET_WORDS", 500)
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(150).repartition(3)
+    rows = [(r.lang, r.text) for r in docs.collect()]
+    assert mined(docs, least=4, best=60) == phrases(rows, 4, best=60) != []
