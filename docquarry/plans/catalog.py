@@ -618,7 +618,7 @@ def corpus_files(spark, sf):
     docs = read_table(spark, sf, "documents")
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".html").otherwise(".txt"))
     write_texts(docs.select(name.alias("name"), F.lit(0).alias("part"), "text"), f"{path}/in")
-    files = stream_corpus(spark, f"{path}/in", "upload")
+    files = stream_corpus(spark, f"{path}/in", "upload", journal=f"{path}/journal")
     start_ingest(files, f"{path}/store", f"{path}/checkpoint", buckets=8).awaitTermination()
     return store.read_registry(spark, f"{path}/store").select("file_name", "chunk_count")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.text import has_supported_extension
 from docquarry.sources.files import read_paged_files
+from docquarry.sources.journal import can_open, note_files, stream_files
 
 
 def document_id(*parts) -> F.Column:
@@ -24,8 +25,22 @@ def read_corpus(spark: SparkSession, path: str, upload_id: str = "") -> DataFram
     return _uploads(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True), upload_id)
 
 
-def stream_corpus(spark: SparkSession, path: str, upload_id: str = "", files_each: int | None = None) -> DataFrame:
-    """The same as a stream: files that come to lie below ``path`` are taken once each, ``files_each`` in a micro-batch."""
+def stream_corpus(spark: SparkSession, path: str, upload_id: str = "", files_each: int | None = None, journal: str | None = None) -> DataFrame:
+    """The same as a stream: files that come to lie below ``path`` are taken once each, ``files_each`` in a micro-batch.
+
+    With a ``journal``, a folder kept with the checkpoint, the driver's memory does not grow with the number of files. The
+    files that lie there now are noted in it; a stream that goes on takes later ones when ``journal.note_files`` has noted them.
+    Where pyarrow does not know the path's scheme, Spark lists the files and no journal is kept.
+    """
+    if journal and can_open(path):
+        note_files(spark, path, journal, files_each)
+        files = stream_files(spark, path, journal)
+        return files.select(
+            document_id(F.lit(upload_id), F.col("file_path")).alias("doc_id"),
+            "file_name",
+            F.col("value").cast("string").alias("text"),
+            F.timestamp_millis("modified_ms").alias("uploaded_at"),
+        )
     reader = spark.readStream.option("recursiveFileLookup", "true")
     if files_each:
         reader = reader.option("maxFilesPerTrigger", files_each)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.operators import conversations
+from docquarry.plans import catalog
 from docquarry.sources import files
 from docquarry.sources.corpus import read_corpus, read_pages, stream_corpus
 
@@ -88,3 +89,43 @@ def test_files_arrive_once_each(spark, tmp_path):
     assert seen.count() == 4 and seen.select("batch").distinct().count() == 3
     batch = read_corpus(spark, str(folder), "u")
     assert {r.doc_id for r in batch.collect()} == {r.doc_id for r in seen.collect()}
+
+
+def test_a_journal_of_files_stands_for_their_list(spark, tmp_path):
+    """Files are taken once each, as Spark's own stream takes them, but its source knows the journal's tables alone."""
+    folder, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), tmp_path / "cp"
+
+    def run():
+        stream = stream_corpus(spark, str(folder), "u", files_each=40, journal=str(tmp_path / "journal"))
+        stream.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")) \
+            .option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(out)
+
+    (folder / "a" / "b c").mkdir(parents=True)
+    (folder / "_hidden").mkdir()
+    for i in range(100):
+        (folder / ("" if i % 3 else "a") / f"{i}.txt").write_text(f"text {i}\nmore")
+    odd = {"x%2F y.txt": "é \U0001f600", "é+[1]#?.md": "a\r\nb", "empty.txt": "", "_no.txt": "no", ".no.txt": "no", "_k=1.txt": "shown"}
+    for name, text in odd.items():
+        (folder / "a" / "b c" / name).write_text(text, newline="")
+    (folder / "_hidden" / "no.txt").write_text("no")
+    (folder / "bytes.txt").write_bytes(b"not \xff UTF-8")
+    columns = ["doc_id", "file_name", F.to_binary("text", F.lit("utf-8")).alias("text"), "uploaded_at"]
+    want = sorted(read_corpus(spark, str(folder), "u").select(*columns).collect())
+    seen = run()
+    assert sorted(seen.select(*columns).collect()) == want and len(want) == 104
+    assert max(r["count"] for r in seen.groupBy("batch").count().collect()) <= 40
+    (folder / "a" / "late.csv").write_text("a,b")
+    late = run().exceptAll(seen)
+    assert [r.file_name for r in late.collect()] == ["late.csv"]
+    noted = [line for log in (checkpoint / "sources" / "0").iterdir() if not log.name.startswith(".") for line in log.read_text().splitlines() if "path" in line]
+    assert len(noted) < 12  # of 105 files
+    assert run().count() == 105
+
+
+def test_corpus_files_keeps_no_list_of_its_files(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "work_dir", lambda *_: str(tmp_path / "work"))
+    assert catalog.corpus_files(spark, small).count() == 160  # of 200 files
+    noted = [line for log in (tmp_path / "work" / "checkpoint" / "sources" / "0").iterdir() if not log.name.startswith(".")
+             for line in log.read_text().splitlines() if "path" in line]
+    assert 0 < len(noted) < 20
