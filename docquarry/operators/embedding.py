@@ -70,18 +70,13 @@ def embed(
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = load()
         for texts in batches:
-            matrix = np.zeros((len(texts), 0), dtype=np.float32)
-            for at in range(0, len(texts), batch_size):
+            for at in range(0, len(texts), batch_size):  # vectors leave as they come; a batch of Arrow's may have 40 times as many
                 some = texts.slice(at, batch_size).to_pylist()
                 part = np.asarray(run([text or "" for text in some]), dtype=np.float32)
                 if len(part) != len(some):
                     raise ValueError(f"{len(part)} vectors for {len(some)} texts")
-                if at == 0:  # vectors are put in place as they come, and not held twice
-                    matrix = np.empty((len(texts), part.shape[1]), dtype=np.float32)
-                matrix[at : at + batch_size] = part
-            ends = np.arange(len(texts) + 1, dtype=np.int32) * matrix.shape[1]
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()))
-            del matrix
+                ends = np.arange(len(some) + 1, dtype=np.int32) * part.shape[1]
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(part.ravel()))
 
     return df.withColumn(output_col, vectors(F.col(text_col)))
 

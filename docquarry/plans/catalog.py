@@ -31,6 +31,7 @@ PAGE_CHUNKS = {"chunk_size": 200, "overlap": 30}
 HISTORY = 4
 DAILY = throttle.Limit(3, 86_400)
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+DELIVERED_BYTES = 512 << 20  # of files in a micro-batch
 
 
 # --- the tables in their roles ------------------------------------------------
@@ -535,6 +536,18 @@ def _in_stretches(rows: DataFrame, ts_col: str, count: int, path: str) -> DataFr
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def _in_deliveries(spark: SparkSession, schema, path: str, least: int = 4) -> DataFrame:
+    """The files below ``path`` as a stream, in about ``least`` micro-batches or as many as keep each at ``DELIVERED_BYTES``.
+
+    A micro-batch has a cost of its own and goes through all keys kept: one per file would make the time grow with the files times the keys.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    files = len(spark.read.schema(schema).parquet(path).inputFiles())
+    each = -(-files // max(least, -(-size // DELIVERED_BYTES)))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, each)).parquet(path)
+
+
 def ingest_stream(spark, sf):
     """The documents table through the streaming ingest; what the store lists."""
     path = work_dir(spark, "ingest")
@@ -604,7 +617,7 @@ def ingest_once(spark, sf):
     files = files.withColumn("upload_id", F.col("doc_id").cast("string"))
     files.filter("doc_id % 2 = 0 OR doc_id % 3 = 0").write.mode("append").parquet(f"{path}/in")
     files.filter("doc_id % 2 <> 0 OR doc_id % 3 = 0").write.mode("append").parquet(f"{path}/in")
-    live = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    live = _in_deliveries(spark, files.schema, f"{path}/in")
     start_ingest(once_per_upload(live, "100 days").drop("upload_id"), f"{path}/store", f"{path}/checkpoint", buckets=8).awaitTermination()
     stored = store.read_versions(spark, f"{path}/store")
     return stored.groupBy("doc_id", "file_name").agg(F.count("*").alias("times"), F.sum("chunk_count").alias("chunk_count"))

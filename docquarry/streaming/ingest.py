@@ -51,6 +51,7 @@ def start_ingest(
             save_chunks(ready, store_path, batch_id, buckets, writer=writer)
         finally:
             batch.unpersist()
+            docs.sparkSession._jvm.System.gc()  # shuffle files of micro-batches before go when the driver collects its garbage, which it seldom needs to
 
     return (
         docs.writeStream.foreachBatch(add)

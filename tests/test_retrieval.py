@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,3 +300,11 @@ def test_scoring_a_large_batch_takes_little_more_than_the_batch():
     scores = (asked / np.linalg.norm(asked.astype(float), axis=1)[:, None]) @ (vectors / np.linalg.norm(vectors.astype(float), axis=1)[:, None]).T
     want = [(q, d, round(s[d], 6)) for q, s in enumerate(scores) for d in sorted(range(len(s)), key=lambda d: (-round(s[d], 6), d))[:3]]
     assert [(r["query_id"], r["doc_id"], r["score"]) for b in found for r in b.to_pylist()] == want
+
+
+def test_vectors_leave_as_they_come(spark, monkeypatch):
+    """A worker holds the vectors of one model call, not those of an Arrow batch of many rows."""
+    found = []
+    monkeypatch.setattr(embedding.F, "arrow_udf", lambda _: lambda f: found.append(f) or (lambda column: column))
+    embedding.embed(spark.range(1).select(F.lit("a").alias("text")), batch_size=3)
+    assert [len(part) for part in found[0](iter([pa.array(["a b"] * 7), pa.array([], pa.string())]))] == [3, 3, 1]

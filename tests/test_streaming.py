@@ -241,3 +241,15 @@ def test_a_first_delivery_is_never_too_late(spark, small, tmp_path):
     got = store.read_versions(spark, str(tmp_path / "store")).groupBy("doc_id").count().collect()
     want = embedded_documents(docs, embedding.HashedTerms(16)).select("doc_id").distinct().collect()
     assert sorted(got) == sorted((r.doc_id, 1) for r in want)
+
+
+def test_micro_batches_do_not_grow_with_the_files(spark, small, tmp_path, monkeypatch):
+    """Deliveries in many files are taken several at a time, but not all at once: what comes again later is still found."""
+    spark.read.parquet(f"{small}/documents.parquet").repartition(12).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    monkeypatch.setattr(catalog, "work_dir", lambda *_: str(tmp_path / "work"))
+    got = catalog.ingest_once(spark, str(tmp_path / "in")).collect()
+    files = [f for f in (tmp_path / "work" / "in").iterdir() if f.suffix == ".parquet"]
+    taken = [f for f in (tmp_path / "work" / "store" / "documents").iterdir() if f.name.startswith("batch_id=")]
+    assert len(files) > 8 and 2 <= len(taken) <= 5
+    want = chunking.chunk_counts(chunking.chunk_text(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))).collect()
+    assert sorted((r.doc_id, r.times, r.chunk_count) for r in got) == sorted((r.doc_id, 1, r.chunk_count) for r in want)
